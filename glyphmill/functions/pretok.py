@@ -1,0 +1,18 @@
+"""Pre-tokenizer splits as built-in regular expression columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The published split pattern of the 50k byte-level vocabulary.
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def split_matches(text: Column | str, pattern: str) -> Column:
+    """All matches of a pattern, in order; ``(?U)`` makes Java's classes follow Unicode."""
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(f"(?U){pattern}"), F.lit(0))
+
+
+def gpt2(text: Column | str) -> Column:
+    return split_matches(text, GPT2)

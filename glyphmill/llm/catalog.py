@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import idstore, packing
+from glyphmill.llm import html, idstore, packing, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,16 +15,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+#: The rules that the URL query is given, as (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, URL_RULES, urls.mine(urls.labelled_pages(pages, table(spark, sf_dir, "labels"))))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read(spark, idstore.write(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_packing": op5_packing, "op10_token_files": op10_token_files}
+    return {
+        "op2_quality": op2_quality,
+        "op5_packing": op5_packing,
+        "op6_main_text": op6_main_text,
+        "op9_url_filter": op9_url_filter,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -108,9 +108,10 @@ def shingle_hashes(hashed: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) ->
     out = np.zeros(len(text), dtype=np.uint64)
     long = counts[text] >= n
     out[long] = full[at[long]]
-    for i in np.flatnonzero((counts > 0) & (counts < n)):
-        own = hashed[bounds[i] : bounds[i + 1]]
-        out[offsets[i]] = (own * step[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)) * np.uint64(0xA0761D6478BD642F)
+    with np.errstate(over="ignore"):
+        for i in np.flatnonzero((counts > 0) & (counts < n)):
+            own = hashed[bounds[i] : bounds[i + 1]]
+            out[offsets[i]] = (own * step[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own) * 0xA0761D6478BD642F % 2**64)
     return mix(out), offsets
 
 

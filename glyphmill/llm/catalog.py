@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import html, idstore, packing, quality, urls
+from glyphmill.llm import html, idstore, packing, quality, urls, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 #: The rules that the URL query is given, as (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Query]:
         "op2_quality": op2_quality,
         "op5_packing": op5_packing,
         "op6_main_text": op6_main_text,
+        "op7_fingerprints": op7_fingerprints,
         "op9_url_filter": op9_url_filter,
         "op10_token_files": op10_token_files,
     }

@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: Separators of words without marks: every ASCII byte that is no letter or digit.
+MARKS = np.ones(256, dtype=bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
@@ -70,13 +73,13 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte) of all words, and each text's range of words as n+1 offsets.
 
-    Bytes count in the texts joined by one space.
+    ``between`` tells the bytes that part words.  Bytes count in the texts joined by one space.
     """
     raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    inside = ~_SPACE[raw]
+    inside = ~between[raw]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(raw) and inside[0]:
         edge = np.concatenate(([0], edge))

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches stay small, so that a worker holds a few MB of text however long single texts are.
-ROWS_PER_BATCH, BYTES_PER_BATCH = "512", "8m"
+ROWS_PER_BATCH, BYTES_PER_BATCH = "16384", "4m"
 
 
 def tune(spark: SparkSession) -> SparkSession:

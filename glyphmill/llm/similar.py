@@ -7,8 +7,10 @@ shingles of one and the first m - ceil(t m) + l of the other have l in common.
 prefix costs more postings, but partners must then share l of them, so crowded documents take a larger l.  A pair is
 verified only if it shares the lesser of both l, and if a parity bitmap allows the overlap.
 
-Documents that share a prefix shingle meet in the group of that shingle's hub (the document with the most popular
-prefix that has it).  Large groups are dealt into blocks, and a task sees two blocks.  Pairs are not emitted: a task
+Linked documents meet at their first common shingle.  If it stands at place i of a set of n, at most n - i shingles can
+be shared, so the partner has at most (n - i) (1 + t) / t - n shingles; places with no partner of a size that suits both
+are passed over.  The others meet in the group of the shingle's hub (the document with the most popular prefix among
+them), so that a family of copies has few groups, not one for each shingle.  Large groups are dealt into blocks, and a task sees two blocks.  Pairs are not emitted: a task
 returns a spanning forest of the links it has verified, and components are made from the forests.
 """
 
@@ -37,6 +39,8 @@ VERIFY_COST = 4.0
 #: Documents of a block; a task holds two blocks.
 BLOCK = 384
 _BITS = 1024
+#: Postings of a shingle that are compared one by one with those after them, by size; and how many a task holds.
+_NEAR, _TOGETHER = 16, 1 << 18
 #: Up to so many keys (8 bytes each) are broadcast to pick texts before a shuffle; beyond it a join picks them.
 MOST_KEYS = 4_000_000
 #: Stands for a null doc_id where ids are compared.
@@ -140,41 +144,78 @@ def _postings(order):
             grams, offsets = _sets(texts)
             key, _ = _keys(grams, offsets)
             prefixes, _, strength = ranks.prefixes(grams, offsets)
+            size = np.diff(offsets)
             seen = np.unique(key, return_index=True)[1]  # copies of one batch have one set of postings
-            seen = seen[np.diff(offsets)[seen] > 0]
+            seen = seen[size[seen] > 0]
             if not len(seen):
                 continue
-            sizes = np.array([len(prefixes[i]) for i in seen])
+            first = size[seen] - -(-PERCENT * size[seen] // 100) + 1  # where the first common shingle of a link can stand
             weak = (1_000_000 - np.minimum(1e6, 1000 * np.log1p(strength[seen]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefixes[i] for i in seen]).view(np.int64)), pa.array(np.repeat(weak, sizes)), pa.array(np.repeat(key[seen], sizes))], names=["shingle", "weak", "key"])
+            place = np.concatenate([np.arange(f) for f in first]) + np.repeat(size[seen] << 32, first)
+            shingle = np.concatenate([prefixes[i][:f] for i, f in zip(seen, first, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(place), pa.array(np.repeat(weak, first)), pa.array(np.repeat(key[seen], first))], names=["shingle", "place", "weak", "key"])
 
     return run
 
 
+def meetings(shingle: np.ndarray, place: np.ndarray, weak: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Distinct (hub, key) of postings sorted by shingle, place (size << 32 | place in the order) and key."""
+    new = np.ones(len(shingle), dtype=bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (place[1:] != place[:-1]) | (key[1:] != key[:-1])
+    shingle, place, weak, key = (x[new] for x in (shingle, place, weak, key))
+    size = place >> 32
+    most = (size - (place & 0xFFFFFFFF)) * (100 + PERCENT) // PERCENT - size  # the largest partner
+    start = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+    length = np.diff(np.append(start, len(shingle)))
+    suits = np.zeros(len(shingle), dtype=bool)
+    for apart in range(1, _NEAR + 1):
+        both = np.flatnonzero(shingle[apart:] == shingle[:-apart])
+        if not len(both):
+            break
+        both = both[(size[both + apart] <= most[both]) & (size[both] <= most[both + apart])]
+        suits[both] = suits[both + apart] = True
+    if (length > _NEAR + 1).any():  # in long lists: those that suit the least size, and that some other can suit
+        far = np.repeat(length > _NEAR + 1, length)
+        suits |= far & (most >= np.repeat(size[start], length)) & (size <= np.repeat(np.maximum.reduceat(most, start), length))
+    at = np.flatnonzero(suits)
+    if not len(at):
+        return np.zeros((0, 2), dtype=np.int64)
+    first = np.flatnonzero(np.concatenate(([True], shingle[at][1:] != shingle[at][:-1])))
+    best = np.minimum.reduceat((weak[at].astype(np.int64) << 36) + np.arange(len(at)), first) & ((1 << 36) - 1)
+    hub = np.repeat(key[at][best], np.diff(np.append(first, len(at))))
+    return np.unique(np.stack([hub, key[at]], axis=1), axis=0)
+
+
 def _meetings(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by shingle, weakness and key: (hub, key) for shingles of two keys or more, told once a batch."""
-    hub = shingle = None  # of the run that the last batch ended in
-    for batch in rows:
-        s, k = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        if not len(s):
-            continue
-        new = np.ones(len(s), dtype=bool)
-        new[1:] = s[1:] != s[:-1]
-        starts = np.flatnonzero(new)
-        hubs = k[starts]
-        if shingle is not None and s[0] == shingle:
-            hubs = hubs.copy()
-            hubs[0] = hub
-        of = np.cumsum(new) - 1
-        other = k != hubs[of]
-        some = np.zeros(len(starts), dtype=bool)
-        np.logical_or.at(some, of[other], True)
-        a, b = hubs[of[other]], k[other]
-        mine = hubs[some]
-        pairs = np.unique(np.stack([np.concatenate([a, mine]), np.concatenate([b, mine])], axis=1), axis=0)
+    """``meetings`` of a sorted stream.  A shingle's postings are seen together, up to _TOGETHER of them; if there are
+    more, all its keys meet at the strongest of the first ones, so that a task's memory is bounded and nothing is lost."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    long: tuple[int, int] | None = None  # a shingle with too many postings, and its hub
+
+    def told(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        rest = int(np.searchsorted(columns[0], long[0], "right")) if long and len(columns[0]) and columns[0][0] == long[0] else 0
+        if rest:
+            keys = np.unique(columns[3][:rest])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), long[1])), pa.array(keys)], names=["hub", "key"])
+        pairs = meetings(*(x[rest:] for x in columns)) if rest < len(columns[0]) else []
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["hub", "key"])
-        hub, shingle = hubs[-1], s[-1]
+
+    for batch in rows:
+        held.append(tuple(c.to_numpy() for c in batch.columns))
+        n += batch.num_rows
+        if n < _TOGETHER:
+            continue
+        whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+        if not cut:
+            cut = len(whole[0])
+            long = long if long and long[0] == whole[0][0] else (int(whole[0][0]), int(whole[3][np.argmin(whole[2])]))
+        yield from told(tuple(x[:cut] for x in whole))
+        held, n = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
+    if n:
+        yield from told(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _picked(wanted):
@@ -290,9 +331,9 @@ def classes(docs: DataFrame) -> DataFrame:
         counts[r["block"]] = np.frombuffer(r["counts"], dtype="<u4")
     order = spark.sparkContext.broadcast(counts.tobytes())
 
-    postings = rows.select("text").mapInArrow(_postings(order), "shingle bigint, weak int, key bigint")
+    postings = rows.select("text").mapInArrow(_postings(order), "shingle bigint, place bigint, weak int, key bigint")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "weak", "key").mapInArrow(_meetings, "hub bigint, key bigint")
+    met = postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "place", "key").mapInArrow(_meetings, "hub bigint, key bigint")
     members = stored(met.distinct(), "members")
 
     least = own.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import decontaminate, html, idstore, licenses, packing, quality, similar, urls, winnow
+from glyphmill.llm import chat, decontaminate, html, idstore, licenses, packing, quality, similar, urls, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 #: The rules that the URL query is given, as (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op5_packing": op5_packing,
         "op6_main_text": op6_main_text,
         "op7_fingerprints": op7_fingerprints,
+        "op8_chat_format": op8_chat_format,
         "op9_url_filter": op9_url_filter,
         "op10_token_files": op10_token_files,
     }

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
@@ -314,13 +314,64 @@ def _verified(order):
     return run
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def _marked(gone, name: str):
+    """Rows that stay, with their set's key in the column ``name`` (0 for no words)."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = None if gone is None else np.frombuffer(gone.value, dtype="<i8").reshape(2, -1)
+        for batch, texts in words.batches(rows):
+            grams, offsets = _sets(texts)
+            key = np.where(np.diff(offsets) > 0, _keys(grams, offsets)[0], 0)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, name])
+            if ids is not None and ids.shape[1]:
+                own = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+                lo, hi = np.searchsorted(ids[0], own, "left"), np.searchsorted(ids[0], own, "right")
+                stays = np.ones(len(own), dtype=bool)
+                for i in np.flatnonzero(hi > lo).tolist():
+                    stays[i] = key[i] not in ids[1][lo[i] : hi[i]]
+                out = out.take(pa.array(np.flatnonzero(stays)))
+            yield out
+
+    return run
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, that of the least doc_id; all columns as they are.
+
+    Of several rows with that id and text one stays.  Rows without words all stay.  A row with a null doc_id stays only if
+    nothing that it reaches has an id.
+    """
+    spark = docs.sparkSession
+    found = stored(classes(docs, with_key=True), "classes")
+    listed = found.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "key", "component_id")
+    leaving = listed.where("component_id <> id").select("id", "key").distinct()
+    name = "set_key"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    few = leaving.limit(MOST_KEYS + 1).toArrow()
+    schema = docs.withColumn(name, F.lit(None).cast("bigint")).schema
+    if len(few) <= MOST_KEYS:
+        few = few.sort_by([("id", "ascending"), ("key", "ascending")])
+        gone = spark.sparkContext.broadcast(np.stack([c.to_numpy().astype("<i8") for c in few.columns]).tobytes())
+        kept = docs.mapInArrow(_marked(gone, name), schema)
+    else:
+        kept = docs.mapInArrow(_marked(None, name), schema)
+        kept = kept.join(leaving, (F.coalesce(kept["doc_id"], F.lit(_NO_ID)) == leaving["id"]) & (kept[name] == leaving["key"]), "left_anti")
+    twice = stored(listed.groupBy("id", "key").count().where("count > 1").select(F.col("id").alias(f"{name}id"), F.col("key").alias(f"{name}key")), "twice")
+    if twice.isEmpty():
+        return kept.drop(name)
+    same = (F.coalesce(kept["doc_id"], F.lit(_NO_ID)) == twice[f"{name}id"]) & (kept[name] == twice[f"{name}key"])
+    numbered = kept.join(twice, same, "left_semi").withColumn(f"{name}n", F.row_number().over(Window.partitionBy("doc_id", name).orderBy(F.xxhash64("text"))))
+    return kept.join(twice, same, "left_anti").unionByName(numbered.where(F.col(f"{name}n") == 1).drop(f"{name}n")).drop(name)
+
+
+def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the least doc_id that links reach, its own included.
 
     Links are between sets of five-word shingles with 100 * shared >= 75 * union; equal sets are linked.  A text of
     fewer words is one shingle; a null text or one without words has none and is linked with nothing.  Repeated rows are
     equal sets.  A null doc_id takes part; its component is the least other id reached, else null.  An empty table gives
-    an empty result; further columns are ignored.  Nothing is capped: every pair that shares a prefix meets in a task.
+    an empty result; further columns are ignored.  ``with_key`` adds the set's hash.  Nothing is capped: every pair that shares a prefix meets in a task.
     """
     spark = tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -355,4 +406,5 @@ def classes(docs: DataFrame) -> DataFrame:
     smallest = least.groupBy("key").agg(F.min("rep").alias("rep")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     of_root = smallest.where("root is not null").groupBy("root").agg(F.min("rep").alias("component"))
     of_key = smallest.join(of_root, "root", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    return own.join(of_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = own.join(of_key, "key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", *(["key"] if with_key else []))

@@ -55,11 +55,15 @@ def isolated(text: Column | str, pattern: str) -> Column:
     return F.filter(F.regexp_extract_all(_column(text), F.lit(rf"(?U)(?:{pattern})|[\s\S]+?(?=(?:{pattern})|\z)"), F.lit(0)), lambda p: F.length(p) > 0)
 
 
+def _isolating(pattern: str) -> Callable[[Column], Column]:
+    return lambda piece: isolated(piece, pattern)
+
+
 def chained(text: Column | str, patterns: Iterable[str]) -> Column:
     """Isolated splits one after the other, each on every piece of the one before."""
     out = F.array(_column(text))
     for p in patterns:
-        out = F.flatten(F.transform(out, lambda piece, p=p: isolated(piece, p)))
+        out = F.flatten(F.transform(out, _isolating(p)))
     return F.filter(out, lambda p: F.length(p) > 0)
 
 

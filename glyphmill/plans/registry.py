@@ -1,30 +1,473 @@
-"""The engine's queries by name, each with the SQL that a second engine can check it with."""
+"""The engine's queries by name, each with SQL for a second engine where SQL can say the same.
+
+Results have scalar columns: numbers are BIGINT, arrays of ids are joined by spaces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions import pretok
+from glyphmill.functions import normalize, pretok
+from glyphmill.operators import added, post, vocabulary
+from glyphmill.operators.columns import Engine
+from glyphmill.operators.tokenizer import NONE, NONSPECIAL
+from glyphmill.plans import samples, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if oracle is not None:
+            _sql[f.__name__] = oracle
+        return f
+
+    return add
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pretok_gpt2_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = table(spark, sf_dir, "documents").select(F.explode(pretok.gpt2("text")).alias("piece"))
-    counted = pieces.groupBy("piece").agg(F.count("*").alias("n"))
-    return counted.orderBy(F.desc("n"), "piece").limit(100)
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _top(pieces: DataFrame, column: str = "piece", n: int = 100) -> DataFrame:
+    return pieces.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+
+def _exploded(spark: SparkSession, sf_dir: str, split: Column) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.explode(split).alias("piece"))
+
+
+def _n(x: Column | str) -> Column:
+    return (F.col(x) if isinstance(x, str) else x).cast("bigint")
+
+
+def _joined(ids: Column | str) -> Column:
+    return F.array_join(F.col(ids) if isinstance(ids, str) else ids, " ")
+
+
+# ---- splits
+
+
+def _covering(name: str) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _top(_exploded(spark, sf_dir, pretok.split_matches("text", pretok.COVERING[name])))
+
+    f.__name__ = f"pretok_{name}_top"
+    return f
+
+
+for _name, _pattern in pretok.COVERING.items():
+    query(f"SELECT piece, count(*) AS n FROM ({sql.pieces(_pattern, 'documents')}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")(_covering(_name))
+
+
+@query(f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^{sql.SPACES}]+', 0)) AS piece FROM documents) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
+def pretok_whitespace_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_exploded(spark, sf_dir, pretok.whitespace("text")))
+
+
+@query(f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[{sql.PUNCT}]|[^{sql.SPACES}{sql.PUNCT}]+', 0)) AS piece FROM documents) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
+def pretok_bert_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_exploded(spark, sf_dir, pretok.bert("text")))
+
+
+@query("SELECT page_id, count(*) AS n, max(length(piece)) AS longest FROM (SELECT page_id, unnest(regexp_extract_all(url, '\\p{N}+|\\P{N}+', 0)) AS piece FROM pages) GROUP BY page_id")
+def digits_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(pretok.digits("url")).alias("piece"))
+    return each.groupBy("page_id").agg(F.count("*").alias("n"), _n(F.max(F.length("piece"))).alias("longest"))
+
+
+@query("SELECT page_id, count(*) AS n, max(length(piece)) AS longest FROM (SELECT page_id, unnest(regexp_extract_all(url, '\\p{N}|\\P{N}+', 0)) AS piece FROM pages) GROUP BY page_id")
+def digits_split_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(pretok.digits("url", individual=True)).alias("piece"))
+    return each.groupBy("page_id").agg(F.count("*").alias("n"), _n(F.max(F.length("piece"))).alias("longest"))
+
+
+@query(f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(url, '[{sql.PUNCT}]|[^{sql.PUNCT}]+', 0)) AS piece FROM pages) GROUP BY piece ORDER BY n DESC, piece LIMIT 200")
+def punct_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(table(spark, sf_dir, "pages").select(F.explode(pretok.punctuation("url")).alias("piece")), n=200)
+
+
+@query("SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(CASE WHEN text = '' OR starts_with(replace(text, ' ', '▁'), '▁') THEN replace(text, ' ', '▁') ELSE '▁' || replace(text, ' ', '▁') END, '▁[^▁]*|[^▁]+', 0)) AS piece FROM documents) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
+def metaspace_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_exploded(spark, sf_dir, pretok.metaspace("text")))
+
+
+@query("SELECT doc_id, count(*) AS n_pieces FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{N}|\\P{N}+', 0)) AS part FROM documents) GROUP BY doc_id")
+def split_chain_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first step of a chain alone; the chain with its second step is ``pretok_digits_gpt2_top``."""
+    return _exploded(spark, sf_dir, pretok.chained("text", (r"\p{N}",))).groupBy("doc_id").agg(F.count("*").alias("n_pieces"))
+
+
+@query(f"SELECT piece, count(*) AS n FROM ({sql.pieces(pretok.GPT2, sql.DIGIT_PARTS)}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
+def pretok_digits_gpt2_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_exploded(spark, sf_dir, pretok.chained("text", pretok.DIGITS_GPT2)))
+
+
+@query()
+def pretok_deepseek3_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_exploded(spark, sf_dir, pretok.chained("text", pretok.DEEPSEEK3)))
+
+
+@query(f"SELECT length(piece) AS length, strlen(piece) AS bytes, count(*) AS n FROM ({sql.pieces(pretok.CL100K, 'documents')}) GROUP BY 1, 2")
+def piece_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _exploded(spark, sf_dir, pretok.split_matches("text", pretok.CL100K))
+    return pieces.groupBy(_n(F.length("piece")).alias("length"), _n(F.octet_length("piece")).alias("bytes")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, max(stop) AS last_end, sum(stop)::BIGINT AS sum_ends, count(*) AS n_pieces FROM (SELECT doc_id, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY c, p)::BIGINT AS stop FROM ({sql.placed_pieces(pretok.GPT2)}) x) GROUP BY doc_id")
+def piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ends in bytes, by a running sum inside each text's array."""
+    sizes = F.transform(pretok.gpt2("text"), lambda p: F.octet_length(p))
+    ends = F.aggregate(sizes, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("sum")), lambda a, s: F.struct((a["at"] + s).alias("at"), (a["sum"] + a["at"] + s).alias("sum")))
+    made = _docs(spark, sf_dir).select("doc_id", ends.alias("e"), _n(F.size(sizes)).alias("n_pieces")).where("n_pieces > 0")
+    return made.select("doc_id", F.col("e.at").alias("last_end"), F.col("e.sum").alias("sum_ends"), "n_pieces")
+
+
+# ---- normalizers
+
+
+@query(f"SELECT conv_id, turn, regexp_replace(regexp_replace(text || '  ', '^[{sql.SPACES}]+', ''), '[{sql.SPACES}]+$', '') AS text FROM conversations")
+def norm_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", normalize.strip(F.concat("text", F.lit("  "))).alias("text"))
+
+
+@query("SELECT doc_id, length(regexp_replace(replace(text, chr(10), '  '), ' {2,}', ' ', 'g')) AS n, md5(regexp_replace(replace(text, chr(10), '  '), ' {2,}', ' ', 'g')) AS h FROM documents")
+def norm_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = normalize.collapse_spaces(normalize.replace("text", "\n", "  "))
+    return _docs(spark, sf_dir).select("doc_id", _n(F.length(out)).alias("n"), F.md5(out).alias("h"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN text = '' THEN text ELSE '▁' || replace(text, ' ', '▁') END) AS h FROM documents")
+def norm_prepend_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(normalize.prepend(normalize.replace("text", " ", "▁"), "▁")).alias("h"))
+
+
+@query("SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g'), '[\\x00-\\x1F\\x7F]', '', 'g'))) AS h FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+def norm_bert_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where(normalize.is_ascii("text")).select("doc_id", F.md5(normalize.bert_ascii("text")).alias("h"))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS h FROM documents")
+def norm_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.byte_level(normalizer={"type": "NFC"}))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.normalized(F.replace("text", F.lit("e"), F.lit("é")))).alias("h"))
+
+
+# ---- models
+
+
+@query(f"SELECT doc_id, n_tokens, n_bytes FROM (SELECT doc_id, {sql.bpe_count('text')} AS n_tokens, strlen(text) AS n_bytes FROM ({sql.bpe_texts()}))")
+def bpe_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.byte_level())
+    return _docs(spark, sf_dir).select("doc_id", engine.token_count("text").alias("n_tokens"), _n(F.octet_length("text")).alias("n_bytes"))
+
+
+@query(f"SELECT doc_id, n_tokens FROM (SELECT doc_id, {sql.bpe_count('text')} AS n_tokens FROM ({sql.bpe_texts()}))")
+def bpe_dictionary_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the distinct-piece dictionary: the model runs once for each piece of the table."""
+    made = Engine(spark, samples.byte_level()).encode_by_dictionary(_docs(spark, sf_dir), "doc_id", pretok.gpt2("text"))
+    return made.select("doc_id", _n(F.size("ids")).alias("n_tokens"))
+
+
+@query(f"SELECT lang, sum(n_tokens)::BIGINT AS n_tokens, count(*) AS n_docs FROM (SELECT lang, {sql.bpe_count('text')} AS n_tokens FROM ({sql.bpe_texts()})) GROUP BY lang")
+def bpe_tokens_per_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.byte_level())
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.sum(engine.token_count("text")).alias("n_tokens"), F.count("*").alias("n_docs"))
+
+
+@query(sql.bpe_top())
+def bpe_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of tokens of ASCII text, by how often they come."""
+    engine = Engine(spark, samples.byte_level())
+    ascii_docs = _docs(spark, sf_dir).where(normalize.is_ascii("text"))
+    return ascii_docs.select(F.explode(engine.encode("text")).alias("id")).groupBy(_n("id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query(sql.wordpiece("SELECT word, string_agg(id, ' ' ORDER BY k) AS ids FROM parts GROUP BY word"))
+def wordpiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every distinct word of the ASCII texts."""
+    engine = Engine(spark, samples.wordpiece())
+    return _ascii_words(spark, sf_dir).select("word").distinct().select("word", _joined(engine.encode("word", add_special_tokens=False)).alias("ids"))
+
+
+def _ascii_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _docs(spark, sf_dir).where(normalize.is_ascii("text"))
+    return texts.select("doc_id", F.explode(pretok.bert(normalize.bert_ascii("text"))).alias("word"))
+
+
+@query(sql.wordpiece("SELECT doc_id, count(*) AS n_words, count(*) FILTER (ids = '1') AS n_unknown FROM words JOIN (SELECT word, string_agg(id, ' ' ORDER BY k) AS ids FROM parts GROUP BY word) USING (word) GROUP BY doc_id"))
+def wordpiece_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.wordpiece())
+    words = _ascii_words(spark, sf_dir)
+    known = words.select("word").distinct().withColumn("unknown", _joined(engine.encode("word", add_special_tokens=False)) == "1")
+    return words.join(known, "word").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if("unknown").alias("n_unknown"))
+
+
+@query(f"SELECT doc_id, {sql.spm_count()} AS n_tokens FROM documents")
+def spm_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.sentencepiece())
+    return _docs(spark, sf_dir).select("doc_id", engine.token_count("text").alias("n_tokens"))
+
+
+@query()
+def unigram_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.unigram())
+    return _docs(spark, sf_dir).select("doc_id", engine.token_count("text").alias("n_tokens"))
+
+
+# ---- added tokens and modes
+
+_MARKED = "'<s>' || role || '</s>' || text || '<pad>'"
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.concat(F.lit("<s>"), F.col("role"), F.lit("</s>"), F.col("text"), F.lit("<pad>"))
+    return table(spark, sf_dir, "conversations").withColumn("marked", marked)
+
+
+@query(f"SELECT segment, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_MARKED}, '</s>|<pad>|<s>|[^<]+', 0)) AS segment FROM conversations) GROUP BY segment")
+def added_token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _marked(spark, sf_dir).select(F.explode(added.segments("marked", list(samples.SPECIALS))).alias("segment"))
+    return each.groupBy("segment").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT segment, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_MARKED}, '</s>|<pad>|<s>|[^<]+', 0)) AS segment FROM conversations) GROUP BY segment")
+def added_token_split_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.byte_level())
+    each = _marked(spark, sf_dir).select(F.explode(engine.segments("marked")).alias("s"))
+    return each.groupBy(F.col("s.text").alias("segment")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT conv_id, turn, 1::BIGINT AS n_all, 1::BIGINT AS n_nonspecial FROM conversations WHERE contains({_MARKED}, '<s>')")
+def added_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all tokens matched the marks are one id each (the first id is that of <s>); without, the marks are plain text."""
+    engine = Engine(spark, samples.byte_level())
+    made = _marked(spark, sf_dir).select("conv_id", "turn", engine.encode("marked").alias("every"), engine.encode("marked", mode=NONSPECIAL).alias("plain"), engine.encode("marked", mode=NONE).alias("none"))
+    return made.select("conv_id", "turn", _n((F.get("every", F.lit(0)) == 0).cast("int")).alias("n_all"), _n(((F.col("plain") == F.col("none")) & (F.get("plain", F.lit(0)) != 0)).cast("int")).alias("n_nonspecial"))
+
+
+@query(f"SELECT role, sum(n)::BIGINT AS n_tokens, count(*) AS n_turns FROM (SELECT role, 3 + {sql.bpe_count('role_spaced')} + {sql.bpe_count('text')} AS n FROM ({sql.bpe_turns()})) GROUP BY role")
+def chat_template_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each turn in its template, the marks being added tokens."""
+    engine = Engine(spark, samples.byte_level())
+    return _marked(spark, sf_dir).groupBy("role").agg(F.sum(engine.token_count("marked")).alias("n_tokens"), F.count("*").alias("n_turns"))
+
+
+# ---- post-processing
+
+_CODES = "[ord(c) for c in string_split(source, '')]"
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small id arrays that both engines can make: the character codes of ``source``."""
+    return _docs(spark, sf_dir).select("doc_id", F.transform(F.split("source", ""), lambda c: F.ascii(c)).alias("ids"))
+
+
+@query(f"SELECT doc_id, array_to_string([1] || {_CODES} || [2, 3], ' ') AS ids FROM documents")
+def template_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes(spark, sf_dir).select("doc_id", _joined(post.template("ids", [1], [2, 3])).alias("ids"))
+
+
+@query(f"SELECT doc_id, array_to_string([1] || ({_CODES})[1:3] || [2], ' ') AS ids FROM documents")
+def truncate_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes(spark, sf_dir).select("doc_id", _joined(post.template(post.truncate("ids", 5, 2), [1], [2])).alias("ids"))
+
+
+@query(f"SELECT doc_id, array_to_string({_CODES} || [0 for x in range(greatest(0, 8 - length(source)))], ' ') AS ids FROM documents")
+def pad_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes(spark, sf_dir).select("doc_id", _joined(post.pad("ids", 0, fixed=8)).alias("ids"))
+
+
+@query(f"SELECT doc_id, array_to_string([0 for x in range((ceil(length(source) / 4.0) * 4)::BIGINT - length(source))] || {_CODES}, ' ') AS ids FROM documents")
+def pad_multiple_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes(spark, sf_dir).select("doc_id", _joined(post.pad("ids", 0, multiple=4, left=True)).alias("ids"))
+
+
+@query(f"SELECT doc_id, array_to_string({_CODES} || [9 for x in range(most - length(source))], ' ') AS ids FROM (SELECT *, max(length(source)) OVER () AS most FROM documents)")
+def pad_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return post.pad_longest(_codes(spark, sf_dir), "ids", 9).select("doc_id", _joined("ids").alias("ids"))
+
+
+@query(f"SELECT doc_id, array_to_string({_CODES} || [9 for x in range(most - length(source))], ' ') AS ids FROM (SELECT *, max(length(source)) OVER (PARTITION BY doc_id // 8) AS most FROM documents)")
+def pad_longest_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched = _codes(spark, sf_dir).withColumn("batch", F.floor(F.col("doc_id") / 8))
+    return post.pad_longest(batched, "ids", 9, batch="batch").select("doc_id", _joined("ids").alias("ids"))
+
+
+@query("SELECT doc_id, repeat('1', length(source)) || repeat('0', greatest(0, 8 - length(source))) AS attention, '1' || repeat('0', length(source) - 2) || '1' AS special FROM documents")
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padding = F.greatest(F.lit(0), 8 - F.size("ids"))
+    made = _codes(spark, sf_dir).withColumn("padded", post.pad("ids", 0, fixed=8))
+    return made.select("doc_id", F.array_join(post.attention_mask("padded", padding), "").alias("attention"), F.array_join(post.special_tokens_mask("ids", 1, 1), "").alias("special"))
+
+
+@query(f"SELECT doc_id, n + 2 AS n_ids, n + 2 AS n_mask, 2::BIGINT AS n_special FROM (SELECT doc_id, {sql.bpe_count('text')} AS n FROM ({sql.bpe_texts()}))")
+def encoding_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, masks and types of the whole encoding, with a template of <s> and </s>."""
+    engine = Engine(spark, samples.byte_level(post_processor={"type": "BertProcessing", "sep": ["</s>", 1], "cls": ["<s>", 0]}))
+    made = _docs(spark, sf_dir).select("doc_id", engine.encoding("text").alias("e"))
+    total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return made.select("doc_id", _n(F.size("e.ids")).alias("n_ids"), total("e.attention_mask").alias("n_mask"), total("e.special_tokens_mask").alias("n_special"))
+
+
+# ---- vocabulary
+
+
+def _vocab(spark: SparkSession) -> tuple[DataFrame, int]:
+    t = samples.byte_level()
+    return vocabulary.vocabulary(spark, t), t.n_vocab
+
+
+@query(f"SELECT id, token, flags FROM (VALUES {sql.vocab_values()}) v(id, token, flags)")
+def vocab_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocab(spark)[0].select(_n("id").alias("id"), "token", _n("flags").alias("flags"))
+
+
+@query(f"SELECT part_id, token FROM (SELECT p_partkey AS part_id, p_partkey % 400 AS id FROM part) LEFT JOIN (VALUES {sql.vocab_values()}) v(id, token, flags) USING (id)")
+def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab, n = _vocab(spark)
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), (F.col("p_partkey") % 400).cast("int").alias("id"))
+    return vocabulary.lookup_ids(ids, "id", vocab, n).select("part_id", "token")
+
+
+@query(f"SELECT count(*) AS n FROM part WHERE p_partkey % 400 NOT IN (SELECT id FROM (VALUES {sql.vocab_values()}) v(id, token, flags))")
+def vocab_unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab, n = _vocab(spark)
+    ids = table(spark, sf_dir, "part").select((F.col("p_partkey") % 400).cast("int").alias("id"))
+    return vocabulary.unknown_ids(ids, "id", vocab, n).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT lang, count(*) AS n_words, count(v.w) AS n_known FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+', 0)) AS w FROM documents) d LEFT JOIN (SELECT DISTINCT w FROM (VALUES {sql.words_values()}) x(w)) v ON d.w = v.w GROUP BY lang")
+def vocab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([(w,) for w in dict.fromkeys(samples.WORDS.split())], "known string")
+    words = _docs(spark, sf_dir).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return words.join(F.broadcast(known), F.col("word") == F.col("known"), "left").groupBy("lang").agg(F.count("*").alias("n_words"), F.count("known").alias("n_known"))
+
+
+@query("SELECT id::BIGINT AS id, content, true AS special FROM (VALUES (0, '<s>'), (1, '</s>'), (2, '<pad>')) v(id, content)")
+def added_tokens_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.added_tokens(spark, samples.byte_level()).select(_n("id").alias("id"), "content", "special")
+
+
+@query(f"SELECT rank, \"left\", \"right\" FROM (VALUES {sql.merge_values()}) v(rank, \"left\", \"right\")")
+def merges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.merges(spark, samples.byte_level()).select(_n("rank").alias("rank"), "left", "right")
+
+
+@query(f"SELECT 'byte_bpe' AS algorithm, {len(samples.byte_vocab())}::BIGINT AS n_ids, 3::BIGINT AS n_added, false AS control_isolation")
+def tokenizer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vocabulary.info(spark, samples.byte_level())
+    return found.select("algorithm", _n("n_ids").alias("n_ids"), _n("n_added").alias("n_added"), F.lit(False).alias("control_isolation"))
+
+
+# ---- decoding
+
+
+@query("SELECT doc_id, md5(text) AS h FROM documents")
+def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to ids and back."""
+    engine = Engine(spark, samples.byte_level())
+    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.decode(engine.encode("text"))).alias("h"))
+
+
+@query("SELECT doc_id, md5(text) AS h FROM documents")
+def decode_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the vocabulary joined, by built-in functions alone."""
+    vocab, n = _vocab(spark)
+    ids = _docs(spark, sf_dir).select("doc_id", Engine(spark, samples.byte_level()).encode("text").alias("ids"))
+    return vocabulary.decode_join(ids, "doc_id", "ids", vocab, n).select("doc_id", F.md5("text").alias("h"))
+
+
+@query("SELECT conv_id, turn, md5(role || text) AS skipped, md5('<s>' || role || '</s>' || text || '<pad>') AS kept FROM conversations")
+def decode_skip_special(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.byte_level())
+    ids = _marked(spark, sf_dir).select("conv_id", "turn", engine.encode("marked").alias("ids"))
+    return ids.select("conv_id", "turn", F.md5(engine.decode("ids")).alias("skipped"), F.md5(engine.decode("ids", skip_special_tokens=False)).alias("kept"))
+
+
+@query("SELECT doc_id, md5(text) AS h FROM documents WHERE text <> '' AND NOT starts_with(text, ' ')")
+def decode_spm_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replace, byte fallback, fuse and strip bring back the text."""
+    engine = Engine(spark, samples.sentencepiece())
+    kept = _docs(spark, sf_dir).where("text <> '' and not startswith(text, ' ')")
+    return kept.select("doc_id", F.md5(engine.decode(engine.encode("text"))).alias("h"))
+
+
+@query("SELECT doc_id, replace(replace(string_agg(w, ' ' ORDER BY k), ' .', '.'), ' ,', ',') AS text FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT doc_id, ([w for w in regexp_extract_all(lower(text), '[.,]|[a-z]+', 0) if length(w) <= 12])[1:20] AS ws FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND NOT regexp_matches(text, '[^A-Za-z., \\n]'))) GROUP BY doc_id")
+def decode_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are joined, other tokens spaced, and spaces before marks taken out again."""
+    engine = Engine(spark, samples.wordpiece())
+    plain = _docs(spark, sf_dir).where(normalize.is_ascii("text") & ~F.col("text").rlike(r"[^A-Za-z., \n]"))
+    words = F.slice(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[.,]|[a-z]+"), F.lit(0)), lambda w: F.length(w) <= 12), 1, 20)
+    made = plain.select("doc_id", words.alias("words")).where(F.size("words") > 0)
+    return made.select("doc_id", engine.decode(engine.encode(F.array_join("words", " "), add_special_tokens=False)).alias("text"))
+
+
+# ---- bounds and cuts
+
+
+@query("SELECT doc_id, strlen(text) + CASE WHEN text = '' THEN 0 ELSE 1 END AS bound, true AS holds FROM documents")
+def encode_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.byte_level())
+    made = _docs(spark, sf_dir).select("doc_id", engine.encode_bound("text").alias("bound"), engine.token_count("text").alias("n"))
+    return made.select("doc_id", "bound", (F.col("n") <= F.col("bound")).alias("holds"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def split_parts_equal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut at certified places and encoded in parts have the ids of the whole."""
+    engine = Engine(spark, samples.byte_level())
+    docs = _docs(spark, sf_dir)
+    parts = engine.encode_parts(docs, "doc_id", "text", 500).withColumnRenamed("ids", "of_parts")
+    return docs.select("doc_id", engine.encode("text").alias("whole")).join(parts, "doc_id").select("doc_id", (F.col("whole") == F.col("of_parts")).alias("same"))
+
+
+@query("SELECT doc_id, sha256(text) AS h FROM documents")
+def source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
+
+
+# ---- relational work around tokens
+
+
+@query(f"SELECT a, b, count(*) AS n FROM (SELECT piece AS a, lead(piece) OVER (PARTITION BY doc_id ORDER BY c, p) AS b FROM ({sql.placed_pieces(pretok.GPT2)})) WHERE b IS NOT NULL GROUP BY a, b ORDER BY n DESC, a, b LIMIT 50")
+def piece_bigrams_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring pieces inside each text, from its own array: nothing is shuffled before the count."""
+    pieces = pretok.gpt2("text")
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    each = _docs(spark, sf_dir).select(F.explode(pairs).alias("x")).select("x.a", "x.b")
+    return each.groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(50)
+
+
+@query(f"SELECT lang, source, sum(n_tokens)::BIGINT AS n_tokens FROM (SELECT lang, source, {sql.bpe_count('text')} AS n_tokens FROM ({sql.bpe_texts()})) GROUP BY ROLLUP (lang, source)")
+def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.byte_level())
+    counted = _docs(spark, sf_dir).select("lang", "source", engine.token_count("text").alias("n"))
+    return counted.rollup("lang", "source").agg(F.sum("n").alias("n_tokens"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n_rows, sum(len(regexp_extract_all(props, '\\p{N}+|\\P{N}+', 0)))::BIGINT AS n_pieces FROM events GROUP BY 1, 2")
+def windowed_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of event properties in windows of event time, as the streaming operator counts them."""
+    events = table(spark, sf_dir, "events").withColumn("n", F.size(pretok.digits("props")))
+    made = events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n_rows"), F.sum("n").cast("bigint").alias("n_pieces"))
+    return made.select("event_type", F.col("w.start").alias("window_start"), "n_rows", "n_pieces")
 
 
 def queries() -> dict[str, Query]:
-    return {"pretok_gpt2_top": _pretok_gpt2_top}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)

@@ -433,7 +433,8 @@ class Tokenizer:
             byte = [s for s in d.pre_tokenizers if s["type"] == "ByteLevel"]
             ok = (split and all(p in known for p in split) and len(split) == 1) or (not split and byte and byte[0].get("use_regex", True))
             return bool(ok) and set(kinds) <= {"Split", "ByteLevel"} and not any(t.normalized for t in d.added if d.normalizers)
-        if d.normalizers:
+        # steps that take characters one by one, or compose them, but never with a space
+        if any(s["type"] not in ("Lowercase", "StripAccents", "NFC", "NFD", "NFKC", "NFKD") for s in d.normalizers) or (d.normalizers and any(t.normalized for t in d.added)):
             return False
         return kinds == ["Metaspace"] and d.pre_tokenizers[0].get("split", True)
 

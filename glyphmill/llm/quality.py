@@ -103,7 +103,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.03, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def _fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.03, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Minimise the non-negative risk with Adam over all rows; where the negative part falls below 0, its own descent is undone."""
     p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (pos, unl))
     w, m, v = (np.zeros(p.shape[1]) for _ in range(3))
@@ -120,7 +120,10 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     """The share of positives among unlabelled rows, from scores of both: the least ratio of the shares above a score,
-    with a margin for chance, over scores that a good part of the positives reach."""
+    with a margin for chance, over scores that a good part of the positives reach; less two standard errors.
+
+    Too high a prior calls the negatives positive, while one that is a little too low costs next to nothing.
+    """
     if not len(pos) or not len(unl):
         return 0.5
     cuts = np.quantile(pos, np.linspace(0, 0.9, 181))
@@ -128,7 +131,8 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     share_u = np.array([(unl >= c).mean() for c in cuts])
     margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(unl)) + 1 / np.sqrt(len(pos)))
     best = int(np.argmin((share_u + margin) / share_p))
-    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
+    ratio = min(1.0, share_u[best] / share_p[best])
+    return float(np.clip(ratio - 2 * np.sqrt(ratio * (1 - ratio) / len(unl)), 0.02, 0.98))
 
 
 def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
@@ -141,7 +145,7 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
     scale = np.where(scale > 1e-6, scale, 1.0)
     p, u = (_standard(x, mean, scale) for x in (pos, unl))
     # for the prior, one half of the rows makes a score of positive against unlabelled, the other half is measured
-    w, b = _fit(p[::2], u[::2], 0.5, steps=600)
+    w, b = _fit(p[::2], u[::2], 0.5)
     prior = estimate_prior(p[1::2] @ w + b, u[1::2] @ w + b) if len(p) > 1 and len(u) > 1 else 0.5
     weight, bias = _fit(p, u, prior)
     return Model(mean, scale, weight, bias, prior)

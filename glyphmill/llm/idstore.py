@@ -143,8 +143,11 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 def _writer(folder: str, vocabulary: str, end_id: int):
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tokens.encoder(vocabulary) as encoder:
+            yield from written(rows, encoder)
+
+    def written(rows: Iterable[pa.RecordBatch], encoder: tokens.Encoder) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
-        encoder = tokens.encoder(vocabulary)
         width = 2 if len(encoder.ends_word) <= 1 << 16 and end_id < 1 << 16 else 4
         shard, sink, name, keys, null, sizes = None, None, "", [], [], []
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +20,7 @@ from tokenizers import Tokenizer
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Words that a worker keeps; beyond it the table starts anew, so memory is bounded and results stay the same.
-TABLE_WORDS = 800_000
+TABLE_WORDS = 500_000
 
 #: Texts of these characters alone are in NFC already and have the same lower case in Python and in the library.
 _PLAIN = re.compile("[^\x00-įı-ɏ]")
@@ -154,6 +156,15 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
+def _kept(path: str) -> Encoder:
     return Encoder(path)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for a task; its table goes when the task ends, so that an idle worker holds little."""
+    found = _kept(path)
+    try:
+        yield found
+    finally:
+        found._clear()

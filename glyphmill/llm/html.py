@@ -51,9 +51,9 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟،]")
 
 
-def _no_content(tag: str, attributes: str) -> bool:
-    """Whether an element is no content by its name, role or class."""
-    if tag in _SKIP:
+def _no_content(tag: str, attributes: str, in_main: bool = False) -> bool:
+    """Whether an element is no content by its name, role or class.  A header inside the main part holds its title."""
+    if tag in _SKIP and not (in_main and tag == "header"):
         return True
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
@@ -62,7 +62,7 @@ def _no_content(tag: str, attributes: str) -> bool:
         if name in ("class", "id"):
             names = [x for x in value.split() if not x.startswith(_NOT_ITSELF)]
             words = {w for x in names for w in re.split(r"[^a-z0-9]+", x)} | set(names)
-            if words & _BOILER:
+            if words & _BOILER and not (in_main and words & _BOILER <= {"header"}):
                 return True
         elif (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -174,7 +174,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             pop(len(stack) - 1)
         above = bool(stack) and stack[-1][1]
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path", "math"):
-            stack.append((tag, above or _no_content(tag, attributes)))
+            stack.append((tag, above or _no_content(tag, attributes, any(t in _MAIN for t, _ in stack))))
     flush()
     return out
 
@@ -216,8 +216,8 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
     for p in chosen:
         weight[p[:-1]] = weight.get(p[:-1], 0) + paths[p][1]
     best = max(weight.values())
-    containers = {c for c, w in weight.items() if 4 * w >= best and c}
-    keep = {p for p in paths if (p in chosen and p[:-1] in containers) or (any(p[: len(c)] == c for c in containers) and not _menu(paths[p]))}
+    containers = {c for c, w in weight.items() if 4 * w >= best}
+    keep = {p for p in paths if (p in chosen and p[:-1] in containers) or (any(c and p[: len(c)] == c for c in containers) and not _menu(paths[p]))}
     return "\n".join(text for path, text, _, _ in found if path in keep or not path)
 
 

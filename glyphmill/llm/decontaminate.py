@@ -31,8 +31,8 @@ WINDOWS = ((2, 1), (4, 2), (8, 4))
 PASSAGE = 64
 #: Latent dimensions, and columns beyond them in the randomised range finder.
 RANK, OVERSAMPLE, POWER_ROUNDS = 128, 16, 2
-#: Words in a larger share of the documents say nothing.
-STOP_SHARE = 0.2
+#: The least weight of a word, which one in every document has.
+LEAST_WEIGHT = 0.1
 #: A window is a candidate if so much of its squared weight is in words of the benchmark (the square of a bound on its
 #: cosine with any passage), and if the cosine in the latent space is so large.
 LEAST_MASS, LEAST_COSINE = 0.4, 0.5
@@ -88,9 +88,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weights(counts: np.ndarray, documents: int) -> np.ndarray:
-    """Inverse document frequency by bucket; 0 for words in more than STOP_SHARE of the documents."""
-    idf = np.log((documents + 1) / (counts + 1)) + 0.1
-    return np.where(counts > STOP_SHARE * max(documents, 10), 0.0, np.maximum(idf, 0.1))
+    """Inverse document frequency by bucket: next to nothing for words that most documents have."""
+    return np.maximum(np.log((documents + 1) / (counts + 1)), 0.0) + LEAST_WEIGHT
 
 
 @dataclass(frozen=True)

@@ -48,6 +48,30 @@ def merged(symbols: list, rank_of: Callable[[object, object], tuple[int, object]
     return [s for s, ok in zip(symbols, live, strict=True) if ok]
 
 
+#: Symbols up to which looking at every pair again is cheaper than a heap.
+SHORT = 24
+
+
+def merged_pairs(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """``merged`` for ids with a table of pairs."""
+    if len(symbols) > SHORT:
+        return merged(symbols, lambda a, b: pairs.get((a, b)))
+    found = [pairs.get(p) for p in zip(symbols, symbols[1:])]
+    while True:
+        best = None
+        for i, f in enumerate(found):
+            if f is not None and (best is None or f < best):
+                best, at = f, i
+        if best is None:
+            return symbols
+        symbols[at : at + 2] = [best[1]]
+        del found[at]
+        if at < len(found):
+            found[at] = pairs.get((symbols[at], symbols[at + 1]))
+        if at:
+            found[at - 1] = pairs.get((symbols[at - 1], symbols[at]))
+
+
 def _pair_ranks(d: Definition) -> dict[tuple[int, int], tuple[int, int]]:
     """(rank, merged id) of each pair of ids; of a pair given twice the last rank holds."""
     return {(d.vocab[a], d.vocab[b]): (k, d.vocab[a + b]) for k, (a, b) in enumerate(d.merges)}
@@ -83,7 +107,7 @@ def byte_bpe(d: Definition) -> Model:
             elif unk is not None and not (unknown and fuse):
                 symbols.append(unk)
             unknown = at is None
-        return merged(symbols, lambda a, b: pairs.get((a, b)))
+        return merged_pairs(symbols, pairs)
 
     return run
 
@@ -113,7 +137,7 @@ def spm_bpe(d: Definition) -> Model:
                 pending = True
         if pending:
             symbols.append(d.unk_id)
-        return merged(symbols, lambda a, b: pairs.get((a, b)))
+        return merged_pairs(symbols, pairs)
 
     return run
 
@@ -207,18 +231,25 @@ def wordpiece(d: Definition) -> Model:
     return run
 
 
-def compiled(d: Definition) -> Model:
-    run = {BPE: byte_bpe, SPM: spm_bpe, UNIGRAM: unigram}.get(d.algorithm, wordpiece)(d)
-    kept: dict[str, list[int]] = {}
+class Memo(dict):
+    """Ids by piece: looked up in one step, made by the model when missing."""
+
+    def __init__(self, run: Model):
+        super().__init__()
+        self.run = run
 
-    def cached(piece: str) -> list[int]:
-        ids = kept.get(piece)
-        if ids is None:
-            ids = run(piece)
-            if len(piece) <= KEPT_LENGTH:
-                if len(kept) >= KEPT_PIECES:
-                    kept.clear()
-                kept[piece] = ids
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.run(piece)
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = ids
         return ids
 
-    return cached
+    def bounded(self) -> Memo:
+        """Starts anew when it holds too much; results do not depend on it."""
+        if len(self) > KEPT_PIECES:
+            self.clear()
+        return self
+
+
+def compiled(d: Definition) -> Memo:
+    return Memo({BPE: byte_bpe, SPM: spm_bpe, UNIGRAM: unigram}.get(d.algorithm, wordpiece)(d))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from itertools import chain
 from typing import Any
 
+import regex
+
 from glyphmill.functions import normalize, pretok
 from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet, is_word
 from glyphmill.operators import decoding, models
@@ -37,6 +40,7 @@ class Tokenizer:
         self._normalize = normalize.compiled(d.normalizers)
         self._split = pretok.compiled(self._alphabet_steps(d))
         self._model = models.compiled(d)
+        self._whole, self._direct = self._direct_split(d)
         self._by_content = {t.content: t for t in d.added}
         self._raw = self._pattern([t for t in d.added if not t.normalized], lambda t: t.content)
         self._normal = self._pattern([t for t in d.added if t.normalized], lambda t: self._normalize(t.content))
@@ -83,6 +87,19 @@ class Tokenizer:
             return [*d.pre_tokenizers, {"type": "ByteLevel", "use_regex": False}]
         return d.pre_tokenizers
 
+    def _direct_split(self, d: Definition) -> tuple[models.Memo | None, Any]:
+        """Where one covering pattern makes all pieces, ids are kept by the plain piece: the byte alphabet is then only
+        written out for pieces that are new."""
+        steps = [s for s in d.pre_tokenizers if not (s["type"] == "ByteLevel" and not s.get("use_regex", True))]
+        if d.algorithm != BPE or len(steps) != 1:
+            return None, None
+        pattern = pretok.GPT2 if steps[0]["type"] == "ByteLevel" else next(iter(steps[0].get("pattern", {"": None}).items()))[1]
+        covers = pattern in pretok.COVERING.values() and steps[0].get("behavior", "Isolated") in ("Isolated", "Removed") and bool(steps[0].get("invert")) == (steps[0].get("behavior") == "Removed")
+        if not covers:
+            return None, None
+        alphabet = byte_alphabet()
+        return models.Memo(lambda p: self._model.run("".join(alphabet[b] for b in p.encode("utf-8", "surrogateescape")))), regex.compile(pattern, regex.V0).findall
+
     @staticmethod
     def _pattern(tokens: list[AddedToken], form) -> tuple[re.Pattern, dict[str, AddedToken]] | None:
         by = {form(t): t for t in tokens if form(t)}
@@ -158,12 +175,16 @@ class Tokenizer:
 
     def _model_ids(self, text: str, mode: str, continuation: bool, limit: int | None = None) -> list[int]:
         ids: list[int] = []
+        split_any = bool(self.definition.pre_tokenizers) or self.definition.algorithm == BPE
+        known, plain = self._model.bounded(), self._whole.bounded() if self._whole is not None else None
         for part, token, first in self.segments(text, mode):
             if token is not None:
                 ids.append(token)
+            elif plain is not None:
+                ids += chain.from_iterable(map(plain.__getitem__, self._direct(part)))
             else:
-                for piece in self._split(part, first and not continuation) if self.definition.pre_tokenizers or self.definition.algorithm == BPE else [part]:
-                    ids += self._model(piece)
+                for piece in self._split(part, first and not continuation) if split_any else [part]:
+                    ids += known[piece]
                     if limit is not None and len(ids) >= limit:
                         return ids
         return ids

@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,15 @@ def _keys(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words.mix(sums(words.mix(grams)) + size).view(np.int64), words.mix(sums(words.mix(grams ^ np.uint64(0x5851F42D4C957F2D))) ^ size).view(np.int64)
 
 
+def _packed(raw: bytes) -> bytes:
+    """Compressed before it is shuffled: small counts and texts take less than half of what the shuffle's own codec leaves."""
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 _PROFILE = "doc_id bigint, n_shingles bigint, key bigint, key2 bigint, block int, counts binary"
 
 
@@ -92,13 +102,13 @@ def _profile(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = np.minimum(counts, 2**32 - 1).astype("<u4").reshape(_BLOCKS, -1)
     keep = [i for i in range(_BLOCKS) if parts[i].any()]
     none = pa.nulls(len(keep), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keep, pa.int32()), pa.array([parts[i].tobytes() for i in keep], pa.binary())], schema=schema)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keep, pa.int32()), pa.array([_packed(parts[i].tobytes()) for i in keep], pa.binary())], schema=schema)
 
 
 def _summed(group: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // _BLOCKS, dtype=np.uint64)
     for x in group.column("counts").to_pylist():
-        total += np.frombuffer(x, dtype="<u4")
+        total += np.frombuffer(_unpacked(x), dtype="<u4")
     return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
 
@@ -150,21 +160,33 @@ def _postings(order):
             if not len(seen):
                 continue
             first = size[seen] - -(-PERCENT * size[seen] // 100) + 1  # where the first common shingle of a link can stand
-            weak = (1_000_000 - np.minimum(1e6, 1000 * np.log1p(strength[seen]))).astype(np.int32)
-            place = np.concatenate([np.arange(f) for f in first]) + np.repeat(size[seen] << 32, first)
+            weak = (_MOST_WEAK - np.minimum(_MOST_WEAK, 1500 * np.log1p(strength[seen]))).astype(np.int64)
+            place = placed(np.repeat(size[seen], first), np.concatenate([np.arange(f) for f in first]), np.repeat(weak, first))
             shingle = np.concatenate([prefixes[i][:f] for i, f in zip(seen, first, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(place), pa.array(np.repeat(weak, first)), pa.array(np.repeat(key[seen], first))], names=["shingle", "place", "weak", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(place), pa.array(np.repeat(key[seen], first))], names=["shingle", "place", "key"])
 
     return run
 
 
-def meetings(shingle: np.ndarray, place: np.ndarray, weak: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Distinct (hub, key) of postings sorted by shingle, place (size << 32 | place in the order) and key."""
+#: Bits of a set's size, of a place in it, and of how weak a document is as a hub: together one long.
+_SIZE_BITS, _WEAK_BITS = 24, 15
+_MOST_SIZE, _MOST_WEAK = (1 << _SIZE_BITS) - 1, (1 << _WEAK_BITS) - 1
+
+
+def placed(size: np.ndarray, place: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """One long that sorts by size, then place.  Sets of more shingles than the bits hold count as equally large, at place 0:
+    they suit one another, so none is passed over."""
+    huge = size > _MOST_SIZE
+    return (np.where(huge, _MOST_SIZE, size) << (_SIZE_BITS + _WEAK_BITS)) | (np.where(huge, 0, place) << _WEAK_BITS) | weak
+
+
+def meetings(shingle: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Distinct (hub, key) of postings sorted by shingle, ``placed`` and key."""
     new = np.ones(len(shingle), dtype=bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (place[1:] != place[:-1]) | (key[1:] != key[:-1])
-    shingle, place, weak, key = (x[new] for x in (shingle, place, weak, key))
-    size = place >> 32
-    most = (size - (place & 0xFFFFFFFF)) * (100 + PERCENT) // PERCENT - size  # the largest partner
+    shingle, place, key = (x[new] for x in (shingle, place, key))
+    size, weak = place >> (_SIZE_BITS + _WEAK_BITS), place & _MOST_WEAK
+    most = (size - ((place >> _WEAK_BITS) & _MOST_SIZE)) * (100 + PERCENT) // PERCENT - size  # the largest partner
     start = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
     length = np.diff(np.append(start, len(shingle)))
     suits = np.zeros(len(shingle), dtype=bool)
@@ -196,7 +218,7 @@ def _meetings(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         rest = int(np.searchsorted(columns[0], long[0], "right")) if long and len(columns[0]) and columns[0][0] == long[0] else 0
         if rest:
-            keys = np.unique(columns[3][:rest])
+            keys = np.unique(columns[2][:rest])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), long[1])), pa.array(keys)], names=["hub", "key"])
         pairs = meetings(*(x[rest:] for x in columns)) if rest < len(columns[0]) else []
         if len(pairs):
@@ -211,7 +233,7 @@ def _meetings(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
         if not cut:
             cut = len(whole[0])
-            long = long if long and long[0] == whole[0][0] else (int(whole[0][0]), int(whole[3][np.argmin(whole[2])]))
+            long = long if long and long[0] == whole[0][0] else (int(whole[0][0]), int(whole[2][np.argmin(whole[1] & _MOST_WEAK)]))
         yield from told(tuple(x[:cut] for x in whole))
         held, n = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
     if n:
@@ -232,7 +254,8 @@ def _picked(wanted):
             elif ids is not None:
                 keep[:] = False
             index = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([pa.array(key).take(index), batch.column(0).take(index), batch.column(1).take(index)], names=["key", "doc_id", "text"])
+            packed = pa.array([_packed(texts[i]) for i in np.flatnonzero(keep).tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key).take(index), batch.column(0).take(index), packed], names=["key", "doc_id", "packed"])
 
     return run
 
@@ -294,7 +317,7 @@ def _verified(order):
 
         for batch in rows:
             edges = []
-            texts = words.text_bytes(batch.column(5))
+            texts = [_unpacked(x) for x in batch.column(5).to_pylist()]
             cells = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             sides, keys = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for x, y in words.chunks(texts):
@@ -382,7 +405,7 @@ def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
         counts[r["block"]] = np.frombuffer(r["counts"], dtype="<u4")
     order = spark.sparkContext.broadcast(counts.tobytes())
 
-    postings = rows.select("text").mapInArrow(_postings(order), "shingle bigint, place bigint, weak int, key bigint")
+    postings = rows.select("text").mapInArrow(_postings(order), "shingle bigint, place bigint, key bigint")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     met = postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "place", "key").mapInArrow(_meetings, "hub bigint, key bigint")
     members = stored(met.distinct(), "members")
@@ -393,13 +416,13 @@ def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
     if len(found) <= MOST_KEYS:
         found = found.sort_by("key")
         ids = spark.sparkContext.broadcast(np.stack([c.to_numpy().astype("<i8") for c in found.columns]).tobytes())
-        texts = rows.mapInArrow(_picked(ids), "key bigint, doc_id bigint, text string")
+        texts = rows.mapInArrow(_picked(ids), "key bigint, doc_id bigint, packed binary")
     else:
-        texts = rows.mapInArrow(_picked(None), "key bigint, doc_id bigint, text string").withColumn("rep", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted, ["key", "rep"], "left_semi")
+        texts = rows.mapInArrow(_picked(None), "key bigint, doc_id bigint, packed binary").withColumn("rep", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted, ["key", "rep"], "left_semi")
     blocks = members.join(members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "hub")
     placed = blocks.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "key")
-    filled = cells.join(texts.select("key", "text"), "key").select("hub", "i", "j", "side", "key", "text")
+    filled = cells.join(texts.select("key", "packed"), "key").select("hub", "i", "j", "side", "key", "packed")
     edges = filled.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_verified(order), "a bigint, b bigint")
     roots = components(edges)
 

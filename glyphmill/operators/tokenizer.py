@@ -50,6 +50,9 @@ class Tokenizer:
         specials = {t.content for t in d.added if t.special}
         self._skipped = {i for i, s in self._strings.items() if s in specials}
         self._ids = self._string_ids(d)
+        self._last = max(self._strings, default=-1)
+        self._byte_level = any(s["type"] == "ByteLevel" for s in self.decoders() or [])
+        self._pieces_of_ids: dict[int, bytes] = {}
 
     # ---- loading
 
@@ -288,10 +291,8 @@ class Tokenizer:
     # ---- decoding
 
     def _known(self, ids: list[int]) -> None:
-        last = self.max_token_value
-        for i in ids:
-            if not 0 <= i <= last:
-                raise IdError(f"id {i}")
+        if ids and not (0 <= min(ids) and max(ids) <= self._last):
+            raise IdError(f"id {next(i for i in ids if not 0 <= i <= self._last)}")
 
     def tokens_of(self, ids: list[int], skip_special_tokens: bool = False) -> list[str]:
         self._known(ids)
@@ -302,8 +303,17 @@ class Tokenizer:
         return [{"type": "ByteLevel"}] if d.ranks or (d.algorithm == BPE and not d.decoders) else d.decoders
 
     def decode(self, ids: list[int], skip_special_tokens: bool = True) -> str:
+        if self._byte_level:
+            self._known(ids)
+            return b"".join(map(self._bytes_of_id, (i for i in ids if i not in self._skipped) if skip_special_tokens else ids)).decode("utf-8", "replace")
         return decoding.text_of(self.tokens_of(ids, skip_special_tokens), self.decoders())
 
+    def _bytes_of_id(self, i: int) -> bytes:
+        """What an id of a byte-level vocabulary adds to a text; a hole adds nothing."""
+        if (found := self._pieces_of_ids.get(i)) is None:
+            found = self._pieces_of_ids[i] = decoding.raw_bytes(self._strings[i]) if i in self._strings else b""
+        return found
+
     def decode_batch(self, batch: list[list[int]], skip_special_tokens: bool = True) -> list[str]:
         return [self.decode(ids, skip_special_tokens) for ids in batch]
 
@@ -379,7 +389,7 @@ class Tokenizer:
 
     @property
     def max_token_value(self) -> int:
-        return max(self._strings, default=-1)
+        return self._last
 
     @property
     def eot_token(self) -> int | None:

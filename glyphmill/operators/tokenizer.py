@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from dataclasses import dataclass
 from itertools import chain
 from typing import Any
 
-import regex
-
 from glyphmill.functions import normalize, pretok
 from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet, is_word
 from glyphmill.operators import decoding, models
@@ -59,6 +58,8 @@ class Tokenizer:
     @classmethod
     def from_file(cls, path: str, *, pattern: str | None = None, specials: dict[str, int] | None = None, tier: Any = None, cache_mib: Any = None) -> Tokenizer:
         """A JSON definition or a rank file (which needs its split ``pattern``).  ``tier`` and ``cache_mib`` say nothing here."""
+        if os.path.isdir(path):
+            return cls(ranks.read_folder(path))
         try:
             with open(path, "rb") as f:
                 raw = f.read()
@@ -97,11 +98,11 @@ class Tokenizer:
         if d.algorithm != BPE or len(steps) != 1:
             return None, None
         pattern = pretok.GPT2 if steps[0]["type"] == "ByteLevel" else next(iter(steps[0].get("pattern", {"": None}).items()))[1]
-        covers = pattern in pretok.COVERING.values() and steps[0].get("behavior", "Isolated") in ("Isolated", "Removed") and bool(steps[0].get("invert")) == (steps[0].get("behavior") == "Removed")
+        covers = pattern in {**pretok.COVERING, **pretok.COVERING_TOO}.values() and steps[0].get("behavior", "Isolated") in ("Isolated", "Removed") and bool(steps[0].get("invert")) == (steps[0].get("behavior") == "Removed")
         if not covers:
             return None, None
         alphabet = byte_alphabet()
-        return models.Memo(lambda p: self._model.run("".join(alphabet[b] for b in p.encode("utf-8", "surrogateescape")))), regex.compile(pattern, regex.V0).findall
+        return models.Memo(lambda p: self._model.run("".join(alphabet[b] for b in p.encode("utf-8", "surrogateescape")))), pretok.compiled_pattern(pattern).findall
 
     @staticmethod
     def _pattern(tokens: list[AddedToken], form) -> tuple[re.Pattern, dict[str, AddedToken]] | None:

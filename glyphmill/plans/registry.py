@@ -114,6 +114,35 @@ def pretok_digits_gpt2_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_exploded(spark, sf_dir, pretok.chained("text", pretok.DIGITS_GPT2)))
 
 
+@query(f"SELECT piece, count(*) AS n FROM ({sql.pieces(pretok.QWEN2, 'documents')}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
+def pretok_llada_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another spelling of the qwen2 pattern: the pieces are the same."""
+    return _top(_exploded(spark, sf_dir, pretok.split_matches("text", pretok.LLADA)))
+
+
+@query(f"SELECT piece, count(*) AS n FROM ({sql.pieces(pretok.MINICPM, sql.DIGITS_BY_THREE)}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
+def pretok_minicpm5_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_exploded(spark, sf_dir, pretok.chained("text", pretok.MINICPM5)))
+
+
+@query(f"SELECT piece, count(*) AS n FROM ({sql.pieces(pretok.QWEN2, sql.LINE_PARTS)}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
+def pretok_laguna_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_exploded(spark, sf_dir, pretok.laguna("text")))
+
+
+@query(f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?[^{sql.SPACES}(|.,!?…。，、।۔،)]+|.+?', 0, 's')) AS piece FROM documents) GROUP BY piece ORDER BY n DESC, piece LIMIT 40")
+def pretok_bloom_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between matches are pieces too; here they are counted by character."""
+    pieces = _exploded(spark, sf_dir, pretok.isolated("text", pretok.BLOOM))
+    single = F.when(F.col("piece").rlike(rf"(?U)^{pretok.BLOOM}$"), F.array("piece")).otherwise(F.split("piece", ""))
+    return _top(pieces.select(F.explode(single).alias("piece")), n=40)
+
+
+@query()
+def pretok_kimi_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(_exploded(spark, sf_dir, pretok.split_matches("text", pretok.KIMI)))
+
+
 @query()
 def pretok_deepseek3_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_exploded(spark, sf_dir, pretok.chained("text", pretok.DEEPSEEK3)))

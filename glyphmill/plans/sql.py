@@ -45,6 +45,8 @@ def placed_pieces(pattern: str) -> str:
     return f"SELECT doc_id, c, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p FROM (SELECT doc_id, c, regexp_extract_all(chunk, {_text(plain)}, 0) AS ps FROM ({inner}))"
 
 
+LINE_PARTS = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\n+[^\\n]*|[^\\n]+', 0)) AS text FROM documents)"
+DIGITS_BY_THREE = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\p{N}{1,3}|\\P{N}+', 0)) AS text FROM documents)"
 DIGIT_PARTS = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\p{N}|\\P{N}+', 0)) AS text FROM documents)"
 
 # Symbols of a text stand between two private characters each; a merge is then a replacement, leftmost first, and merges

@@ -5,11 +5,14 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.sources.definition import BPE, MAX_ID, AddedToken, Definition, FormatError, LimitError
+from glyphmill.sources import definition
+from glyphmill.sources.definition import BPE, MAX_ID, AddedToken, Definition, FormatError, LimitError, OpenError
 
 
 def is_rank_file(raw: bytes) -> bool:
@@ -50,6 +53,39 @@ def reserved_specials(first_id: int, count: int, named: dict[str, int], form: st
     return {by_id.get(i, form.format(i)): i for i in range(first_id, first_id + count)}
 
 
+def read_folder(path: str) -> Definition:
+    """A folder with tokenizer.json, or with a rank file and what its wrapper adds.
+
+    ``tiktoken.model``: 256 reserved ids after the ranks, named in tokenizer_config.json, hard cuts of long runs.
+    ``qwen.tiktoken``: 208 specials after the ranks, found in the NFC text.
+    """
+    from glyphmill.functions import pretok
+
+    def raw(name: str) -> bytes | None:
+        try:
+            with open(os.path.join(path, name), "rb") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    if (found := raw("tokenizer.json")) is not None:
+        return definition.read(found, path)
+    if (found := raw("tiktoken.model")) is not None:
+        config = json.loads(raw("tokenizer_config.json") or b"{}")
+        named = {t["content"]: int(i) for i, t in config.get("added_tokens_decoder", {}).items()}
+        first = sum(1 for line in found.splitlines() if line.strip())
+        out = read(found, pretok.KIMI, reserved_specials(first, 256, named, "<|reserved_token_{}|>"), name=path)
+        out.pre_tokenizers.insert(0, {"type": "RunCuts"})
+        return out
+    if (found := raw("qwen.tiktoken")) is not None:
+        first = sum(1 for line in found.splitlines() if line.strip())
+        names = ["<|endoftext|>", "<|im_start|>", "<|im_end|>", *(f"<|extra_{k}|>" for k in range(205))]
+        out = read(found, pretok.QWEN2, {n: first + k for k, n in enumerate(names)}, nfc=True, name=path)
+        out.added = [AddedToken(t.content, t.id, True, True) for t in out.added]
+        return out
+    raise OpenError(f"no tokenizer in {path}")
+
+
 def frame(spark: SparkSession, path: str) -> DataFrame:
     """(rank, token binary) of a rank file, by built-in functions alone."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)

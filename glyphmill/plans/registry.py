@@ -143,7 +143,7 @@ def pretok_kimi_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_exploded(spark, sf_dir, pretok.split_matches("text", pretok.KIMI)))
 
 
-@query()
+@query(f"SELECT piece, count(*) AS n FROM ({sql.deepseek_pieces()}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
 def pretok_deepseek3_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_exploded(spark, sf_dir, pretok.chained("text", pretok.DEEPSEEK3)))
 
@@ -249,7 +249,7 @@ def spm_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", engine.token_count("text").alias("n_tokens"))
 
 
-@query()
+@query(sql.unigram_counts())
 def unigram_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, samples.unigram())
     return _docs(spark, sf_dir).select("doc_id", engine.token_count("text").alias("n_tokens"))

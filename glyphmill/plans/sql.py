@@ -49,6 +49,15 @@ LINE_PARTS = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\n+[^\\n]*|[^\\n
 DIGITS_BY_THREE = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\p{N}{1,3}|\\P{N}+', 0)) AS text FROM documents)"
 DIGIT_PARTS = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\p{N}|\\P{N}+', 0)) AS text FROM documents)"
 
+def deepseek_pieces() -> str:
+    """Digits in threes, runs of CJK and kana, and what the last pattern makes of the rest; other characters by themselves."""
+    from glyphmill.functions.pretok import DEEPSEEK3
+
+    runs = f"SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{N}}{{1,3}}|[一-龥぀-ゟ゠-ヿ]+|[^\\p{{N}}一-龥぀-ゟ゠-ヿ]+', 0)) AS text FROM documents"
+    whole = "regexp_full_match(text, '\\p{N}+|[一-龥぀-ゟ゠-ヿ]+')"
+    return f"SELECT doc_id, text AS piece FROM ({runs}) WHERE {whole} UNION ALL ({pieces(DEEPSEEK3[2], f'(SELECT * FROM ({runs}) WHERE NOT {whole})')})"
+
+
 # Symbols of a text stand between two private characters each; a merge is then a replacement, leftmost first, and merges
 # in rank order give what the model gives, since a merge makes only symbols that no earlier merge uses.
 _OPEN, _SHUT = chr(57345), chr(57346)
@@ -153,3 +162,27 @@ whole AS (SELECT word FROM walk WHERE pos = length(word) + 1),
 parts AS (SELECT word, k, id::VARCHAR AS id FROM walk WHERE k > 0 AND word IN (SELECT word FROM whole)
   UNION ALL SELECT word, 1, '1' FROM uniq WHERE word NOT IN (SELECT word FROM whole))
 {select}"""
+
+
+def unigram_counts() -> str:
+    """Tokens of each document: the best path of every distinct piece by a recursion over its places, which keeps for each
+    place the best sum, the tokens on the way and whether the last was unknown (unknown neighbours are one token)."""
+    t: Tokenizer = samples.unigram()
+    values = ", ".join(f"({_text(p)}, {s!r}::DOUBLE)" for p, s in t.definition.scores if p != "<unk>")
+    longest = max(len(p) for p, _ in t.definition.scores)
+    unknown = min(s for _, s in t.definition.scores) - 10.0
+    marked = "replace(lower(text), ' ', '▁')"
+    marked = f"CASE WHEN text = '' OR starts_with({marked}, '▁') THEN {marked} ELSE '▁' || {marked} END"
+    return f"""WITH RECURSIVE vocab(token, score) AS (VALUES {values}),
+own AS (SELECT doc_id, unnest(regexp_extract_all({marked}, '▁[^▁]*|[^▁]+', 0)) AS piece FROM documents),
+uniq AS (SELECT DISTINCT piece FROM own),
+walk(piece, pos, sums, counts, unknown) AS (
+  SELECT piece, 0, [0.0::DOUBLE], [0], [false] FROM uniq
+  UNION ALL
+  SELECT piece, pos + 1, list_append(sums, s), list_append(counts, counts[start + 1] + CASE WHEN u AND unknown[start + 1] THEN 0 ELSE 1 END), list_append(unknown, u) FROM (
+    SELECT *, row_number() OVER (PARTITION BY piece ORDER BY s DESC, start) AS r FROM (
+      SELECT w.piece, w.pos, w.sums, w.counts, w.unknown, w.pos + 1 - l.len AS start, v.token IS NULL AS u, coalesce(v.score, {unknown!r}::DOUBLE) + w.sums[w.pos + 2 - l.len] AS s
+      FROM walk w JOIN (SELECT unnest(range(1, {longest + 1})) AS len) l ON l.len <= w.pos + 1 LEFT JOIN vocab v ON v.token = substr(w.piece, w.pos + 2 - l.len, l.len)
+      WHERE w.pos < length(w.piece) AND (v.token IS NOT NULL OR l.len = 1))) WHERE r = 1),
+ends AS (SELECT piece, counts[pos + 1] AS n FROM walk WHERE pos = length(piece))
+SELECT d.doc_id, coalesce(sum(e.n), 0)::BIGINT AS n_tokens FROM documents d LEFT JOIN own USING (doc_id) LEFT JOIN ends e USING (piece) GROUP BY d.doc_id"""

@@ -10,8 +10,10 @@ verified only if it shares the lesser of both l, and if a parity bitmap allows t
 Linked documents meet at their first common shingle.  If it stands at place i of a set of n, at most n - i shingles can
 be shared, so the partner has at most (n - i) (1 + t) / t - n shingles; places with no partner of a size that suits both
 are passed over.  The others meet in the group of the shingle's hub (the document with the most popular prefix among
-them), so that a family of copies has few groups, not one for each shingle.  Large groups are dealt into blocks, and a task sees two blocks.  Pairs are not emitted: a task
-returns a spanning forest of the links it has verified, and components are made from the forests.
+them), so that a family of copies has few groups, not one for each shingle.  There each is compared with the hub, which is
+linear in the group; those that do not link to it are compared with all others, in blocks of which a task sees two.
+Pairs are not emitted: a task returns a spanning forest of the links it has verified, and components are made from the
+forests.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ BLOCK = 384
 _BITS = 1024
 #: Postings of a shingle that are compared one by one with those after them, by size; and how many a task holds.
 _NEAR, _TOGETHER = 16, 1 << 18
-#: Up to so many keys (8 bytes each) are broadcast to pick texts before a shuffle; beyond it a join picks them.
-MOST_KEYS = 4_000_000
+#: Bits of the filter that passes over texts before a join: a fixed number.  What it lets through wrongly the join drops.
+FILTER_BITS = 1 << 26
 #: Stands for a null doc_id where ids are compared.
 _NO_ID = -(2**63) + 1
 
@@ -240,22 +242,52 @@ def _meetings(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _picked(wanted):
+def _filter_places(key: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The filter's bit for each (set key, doc_id)."""
+    return (words.mix(key.view(np.uint64) ^ words.mix(own.view(np.uint64))) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _filter_bits(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for batch in rows:
+        key, own = (np.ascontiguousarray(c.to_numpy()) for c in batch.columns)
+        bits[_filter_places(key, own)] = True
+    packed = np.packbits(bits, bitorder="little").reshape(_BLOCKS, -1)
+    keep = [i for i in range(_BLOCKS) if packed[i].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([_packed(packed[i].tobytes()) for i in keep], pa.binary())], names=["block", "counts"])
+
+
+def _united(group: pa.Table) -> pa.Table:
+    bits = np.zeros(FILTER_BITS // 8 // _BLOCKS, dtype=np.uint8)
+    for x in group.column("counts").to_pylist():
+        bits |= np.frombuffer(_unpacked(x), dtype=np.uint8)
+    return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "counts": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _key_filter(pairs: DataFrame):
+    """A broadcast filter of (key, doc_id) pairs: FILTER_BITS / 8 bytes, however many there are."""
+    bits = np.zeros((_BLOCKS, FILTER_BITS // 8 // _BLOCKS), dtype=np.uint8)
+    for r in pairs.mapInArrow(_filter_bits, "block int, counts binary").groupBy("block").applyInArrow(_united, "block int, counts binary").collect():
+        bits[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return pairs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def _passes(kept: np.ndarray, key: np.ndarray, own: pa.Array) -> np.ndarray:
+    at = _filter_places(key, own.cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False))
+    return (kept[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _picked(kept):
+    """Texts whose (key, doc_id) the filter lets through."""
+
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = None if wanted is None else np.frombuffer(wanted.value, dtype="<i8").reshape(2, -1)
+        bits = np.frombuffer(kept.value, dtype=np.uint8)
         for batch, texts in words.batches(rows):
             grams, offsets = _sets(texts)
             key, _ = _keys(grams, offsets)
-            keep = np.diff(offsets) > 0
-            if ids is not None and ids.shape[1]:
-                at = np.minimum(np.searchsorted(ids[0], key), ids.shape[1] - 1)
-                own = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-                keep &= (ids[0][at] == key) & (ids[1][at] == own)
-            elif ids is not None:
-                keep[:] = False
-            index = pa.array(np.flatnonzero(keep))
-            packed = pa.array([_packed(texts[i]) for i in np.flatnonzero(keep).tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key).take(index), batch.column(0).take(index), packed], names=["key", "doc_id", "packed"])
+            at = np.flatnonzero((np.diff(offsets) > 0) & _passes(bits, key, batch.column(0)))
+            packed = pa.array([_packed(texts[i]) for i in at.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), batch.column(0).take(pa.array(at)).fill_null(_NO_ID), packed], names=["key", "rep", "packed"])
 
     return run
 
@@ -264,18 +296,28 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
-def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarray, side: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of both sides (of all sets, if ``same``).
+def _links(a: tuple, b: tuple) -> bool:
+    """Whether two (set, sorted prefix, matches asked for) share enough of their prefixes, and then of their sets."""
+    if len(np.intersect1d(a[1], b[1], assume_unique=True)) < min(a[2], b[2]):
+        return False
+    shared = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    return 100 * shared >= PERCENT * (len(a[0]) + len(b[0]) - shared)
+
+
+def linked(docs: list[tuple], side: np.ndarray, tight: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links between documents of both sides (of all, if ``same``), the ``tight`` ones being
+    connected already.
 
-    Candidates in order of the overlap that their bitmaps allow; sets that are connected already are not compared.
+    Candidates in order of the overlap that their bitmaps allow; documents that are connected are not compared.
     """
+    sets = [d[0] for d in docs]
     m = len(sets)
     size = np.array([len(s) for s in sets])
-    prefixes = [np.sort(p) for p in prefixes]
     whole = np.concatenate(sets)
     parity = (np.bincount(np.repeat(np.arange(m) * _BITS, size) + (whole & np.uint64(_BITS - 1)).astype(np.int64), minlength=m * _BITS) & 1).astype(bool)
     bits = np.packbits(parity.reshape(m, _BITS), axis=1).view(np.uint64)
     label = np.arange(m)
+    label[tight] = m
     forest = []
     for a in range(m - 1):
         rest = np.arange(a + 1, m)
@@ -289,71 +331,136 @@ def linked(sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarr
         able = 100 * most >= PERCENT * (total - most)
         rest, most = rest[able], most[able]
         for b in rest[np.argsort(-most, kind="stable")].tolist():
-            if label[a] == label[b]:
-                continue
-            if len(np.intersect1d(prefixes[a], prefixes[b], assume_unique=True)) < min(matches[a], matches[b]):
-                continue
-            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if 100 * shared >= PERCENT * (size[a] + size[b] - shared):
+            if label[a] != label[b] and _links(docs[a], docs[b]):
                 forest.append((a, b))
                 label[label == label[b]] = label[a]
     return forest
 
 
+def _read(texts: list[bytes], ranks: Order) -> Iterator[tuple]:
+    """(set, sorted prefix, matches asked for) of each text."""
+    for x, y in words.chunks(texts):
+        grams, offsets = _sets(texts[x:y])
+        prefixes, matches, _ = ranks.prefixes(grams, offsets)
+        for i in range(y - x):
+            yield grams[offsets[i] : offsets[i + 1]].copy(), np.sort(prefixes[i]), int(matches[i])
+
+
+_STAR = "hub bigint, key bigint, linked boolean, packed binary"
+
+
+def _starred(order):
+    """From (hub, part, other, alone, key, packed) sorted so that a part's hub comes first: whether each other key links to it.
+
+    Where the part is the whole group (``alone``), what is left between loose documents and the others is settled here, and
+    edges alone come out.  Of a group with more parts each key comes out with its text, for the cells.
+    """
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = Order(np.frombuffer(order.value, dtype="<u4"))
+        at, hub, alone, have = None, None, False, {}
+
+        def rest() -> list[tuple]:
+            if not alone or len(have) < 2 or all(t for _, t in have.values()):
+                return []
+            keys, docs, tight = list(have), [d for d, _ in have.values()], np.array([t for _, t in have.values()])
+            return [(keys[x], keys[y], True, None) for x, y in linked(docs, np.zeros(len(keys)), tight, True)]
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["hub", "key", "linked", "packed"])
+
+        for batch in rows:
+            hubs, parts, other, single, keys, packed = (c.to_pylist() for c in batch.columns)
+            out = []
+            for i, d in enumerate(_read([_unpacked(x) for x in packed], ranks)):
+                if (hubs[i], parts[i]) != at:
+                    out += rest()
+                    at, hub, alone, have = (hubs[i], parts[i]), None, single[i], {}
+                if not other[i]:
+                    hub = d
+                    continue
+                ties = hub is not None and _links(hub, d)
+                if alone:
+                    have.setdefault(keys[i], (d, ties))
+                    if ties:
+                        out.append((hubs[i], keys[i], True, None))
+                else:
+                    out.append((hubs[i], keys[i], ties, packed[i]))
+            yield told(out)
+        yield told(rest())
+
+    return run
+
+
 def _verified(order):
+    """From (hub, i, j, side, tight, key, packed) sorted by cell (hub, i, j): a forest of each cell's links."""
+
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Order(np.frombuffer(order.value, dtype="<u4"))
         cell, have = None, {}
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def done() -> list[tuple[int, int]]:
             if len(have) < 2:
                 return []
-            keys = list(have)
-            parts = list(have.values())
-            sides = np.array([p[3] for p in parts])
-            found = linked([p[0] for p in parts], [p[1] for p in parts], np.array([p[2] for p in parts]), sides, cell[1] == cell[2])
-            return [(keys[x], keys[y]) for x, y in found]
+            keys, docs = list(have), [d for d, _, _ in have.values()]
+            sides, tight = (np.array([v[k] for v in have.values()]) for k in (1, 2))
+            return [(keys[x], keys[y]) for x, y in linked(docs, sides, tight.astype(bool), cell[1] == cell[2])]
+
+        def told(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in rows:
             edges = []
-            texts = [_unpacked(x) for x in batch.column(5).to_pylist()]
-            cells = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            sides, keys = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for x, y in words.chunks(texts):
-                grams, offsets = _sets(texts[x:y])
-                prefixes, matches, _ = ranks.prefixes(grams, offsets)
-                for i in range(x, y):
-                    if cells[i] != cell:
-                        edges += done()
-                        cell, have = cells[i], {}
-                    if keys[i] not in have:
-                        have[keys[i]] = (grams[offsets[i - x] : offsets[i - x + 1]].copy(), prefixes[i - x].copy(), int(matches[i - x]), sides[i])
+            hubs, first, second, sides, tight, keys, packed = (c.to_pylist() for c in batch.columns)
+            for i, d in enumerate(_read([_unpacked(x) for x in packed], ranks)):
+                if (hubs[i], first[i], second[i]) != cell:
+                    edges += done()
+                    cell, have = (hubs[i], first[i], second[i]), {}
+                have.setdefault(keys[i], (d, sides[i], tight[i]))
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=schema)
+                yield told(edges)
         if edges := done():
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=schema)
+            yield told(edges)
 
     return run
 
 
-def _marked(gone, name: str):
-    """Rows that stay, with their set's key in the column ``name`` (0 for no words)."""
+def _all_edges(members: DataFrame, texts: DataFrame, order, parts: int) -> DataFrame:
+    """Edges that connect all documents of a group (hub, key) that links connect.
+
+    First every document is compared with its hub, which is linear in the group.  Only pairs with a document that is not
+    linked to its hub (a loose one) are left: loose blocks meet each other and the blocks of the others, cell by cell.
+    """
+    counted = members.join(members.groupBy("hub").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("n")), "hub")
+    block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    part = F.when(F.col("key") == F.col("hub"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(block(F.col("n"))))
+    rays = counted.select("hub", F.explode(part).alias("part"), (F.col("key") != F.col("hub")).alias("other"), (F.col("n") == 1).alias("alone"), "key").join(texts, "key")
+    rays = rays.select("hub", "part", "other", "alone", "key", "packed").repartition(parts, "hub", "part").sortWithinPartitions("hub", "part", "other")
+    stars = stored(rays.mapInArrow(_starred(order), _STAR), "stars")
+
+    large = stars.where("packed is not null")
+    sizes = large.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("loose"), F.count("*").alias("all")).where("loose > 0 and all > 1")
+    few = sizes.select("hub", F.ceil(F.col("loose") / BLOCK).cast("int").alias("n_loose"), F.ceil((F.col("all") - F.col("loose")) / BLOCK).cast("int").alias("n_tight"))
+    open_ = large.join(few, "hub").withColumn("side", F.when(F.col("linked"), F.col("n_loose") + block(F.greatest("n_tight", F.lit(1)))).otherwise(block(F.col("n_loose"))))
+    loose_cells, last = F.sequence(F.lit(0), F.col("n_loose") - 1), F.col("n_loose") + F.col("n_tight") - 1
+    met = open_.withColumn("met", F.explode(F.when(F.col("linked"), loose_cells).otherwise(F.sequence(F.lit(0), last))))
+    cells = met.select("hub", F.least("side", "met").alias("i"), F.greatest("side", "met").alias("j"), "side", F.col("linked").alias("tight"), "key", "packed")
+    cells = cells.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return stars.where("linked").select(F.col("hub").alias("a"), F.col("key").alias("b")).unionByName(cells.mapInArrow(_verified(order), "a bigint, b bigint"))
+
+
+def _marked(kept, name: str, inside: bool):
+    """Rows whose (key, doc_id) is (``inside``) or is not in the filter, with the set's key in the column ``name`` (0: no words)."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = None if gone is None else np.frombuffer(gone.value, dtype="<i8").reshape(2, -1)
+        bits = np.frombuffer(kept.value, dtype=np.uint8)
         for batch, texts in words.batches(rows):
             grams, offsets = _sets(texts)
-            key = np.where(np.diff(offsets) > 0, _keys(grams, offsets)[0], 0)
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, name])
-            if ids is not None and ids.shape[1]:
-                own = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-                lo, hi = np.searchsorted(ids[0], own, "left"), np.searchsorted(ids[0], own, "right")
-                stays = np.ones(len(own), dtype=bool)
-                for i in np.flatnonzero(hi > lo).tolist():
-                    stays[i] = key[i] not in ids[1][lo[i] : hi[i]]
-                out = out.take(pa.array(np.flatnonzero(stays)))
-            yield out
+            some = np.diff(offsets) > 0
+            key = np.where(some, _keys(grams, offsets)[0], 0)
+            own = some & _passes(bits, key, batch.column(batch.schema.get_field_index("doc_id")))
+            at = pa.array(np.flatnonzero(own == inside))
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(key).take(at)], names=[*batch.schema.names, name])
 
     return run
 
@@ -362,30 +469,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the least doc_id; all columns as they are.
 
     Of several rows with that id and text one stays.  Rows without words all stay.  A row with a null doc_id stays only if
-    nothing that it reaches has an id.
+    nothing that it reaches has an id.  Rows that a fixed-size filter knows to stay are not shuffled; joins settle the rest.
     """
-    spark = docs.sparkSession
     found = stored(classes(docs, with_key=True), "classes")
-    listed = found.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "key", "component_id")
-    leaving = listed.where("component_id <> id").select("id", "key").distinct()
+    listed = found.where("n_shingles > 0").select("key", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "component_id")
+    counted = listed.groupBy("key", "id", "component_id").count()
+    touched = stored(counted.where("component_id <> id or count > 1").select("key", "id", F.coalesce(F.col("component_id") != F.col("id"), F.lit(False)).alias("leaves")), "touched")
     name = "set_key"
-    while name in [c.lower() for c in docs.columns]:
+    while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
-    few = leaving.limit(MOST_KEYS + 1).toArrow()
     schema = docs.withColumn(name, F.lit(None).cast("bigint")).schema
-    if len(few) <= MOST_KEYS:
-        few = few.sort_by([("id", "ascending"), ("key", "ascending")])
-        gone = spark.sparkContext.broadcast(np.stack([c.to_numpy().astype("<i8") for c in few.columns]).tobytes())
-        kept = docs.mapInArrow(_marked(gone, name), schema)
-    else:
-        kept = docs.mapInArrow(_marked(None, name), schema)
-        kept = kept.join(leaving, (F.coalesce(kept["doc_id"], F.lit(_NO_ID)) == leaving["id"]) & (kept[name] == leaving["key"]), "left_anti")
-    twice = stored(listed.groupBy("id", "key").count().where("count > 1").select(F.col("id").alias(f"{name}id"), F.col("key").alias(f"{name}key")), "twice")
-    if twice.isEmpty():
-        return kept.drop(name)
-    same = (F.coalesce(kept["doc_id"], F.lit(_NO_ID)) == twice[f"{name}id"]) & (kept[name] == twice[f"{name}key"])
-    numbered = kept.join(twice, same, "left_semi").withColumn(f"{name}n", F.row_number().over(Window.partitionBy("doc_id", name).orderBy(F.xxhash64("text"))))
-    return kept.join(twice, same, "left_anti").unionByName(numbered.where(F.col(f"{name}n") == 1).drop(f"{name}n")).drop(name)
+    kept = _key_filter(touched.select("key", "id"))
+    sure = docs.mapInArrow(_marked(kept, name, False), schema)
+    asked = docs.mapInArrow(_marked(kept, name, True), schema)
+    known = touched.select(F.col("key").alias(f"{name}key"), F.col("id").alias(f"{name}id"), F.col("leaves").alias(f"{name}leaves"))
+    joined = asked.join(known, (asked[name] == known[f"{name}key"]) & (F.coalesce(asked["doc_id"], F.lit(_NO_ID)) == known[f"{name}id"]), "left")
+    staying = joined.where(~F.coalesce(F.col(f"{name}leaves"), F.lit(False)))
+    # rows that come more than once: the first of each id and text
+    first = F.row_number().over(Window.partitionBy("doc_id", name).orderBy(F.xxhash64("text")))
+    single = staying.withColumn(f"{name}n", first).where(F.col(f"{name}n") == 1)
+    return sure.select(*docs.columns).unionByName(single.select(*docs.columns))
 
 
 def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
@@ -394,7 +497,8 @@ def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
     Links are between sets of five-word shingles with 100 * shared >= 75 * union; equal sets are linked.  A text of
     fewer words is one shingle; a null text or one without words has none and is linked with nothing.  Repeated rows are
     equal sets.  A null doc_id takes part; its component is the least other id reached, else null.  An empty table gives
-    an empty result; further columns are ignored.  ``with_key`` adds the set's hash.  Nothing is capped: every pair that shares a prefix meets in a task.
+    an empty result; further columns are ignored.  ``with_key`` adds the set's hash.  Nothing is
+    capped: every pair that can link meets in a task.  Only the sketch and the filter, both of a fixed size, are collected.
     """
     spark = tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -412,18 +516,9 @@ def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
 
     least = own.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"))
     wanted = members.select("key").distinct().join(least, "key").select("key", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"))
-    found = wanted.limit(MOST_KEYS + 1).toArrow()
-    if len(found) <= MOST_KEYS:
-        found = found.sort_by("key")
-        ids = spark.sparkContext.broadcast(np.stack([c.to_numpy().astype("<i8") for c in found.columns]).tobytes())
-        texts = rows.mapInArrow(_picked(ids), "key bigint, doc_id bigint, packed binary")
-    else:
-        texts = rows.mapInArrow(_picked(None), "key bigint, doc_id bigint, packed binary").withColumn("rep", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted, ["key", "rep"], "left_semi")
-    blocks = members.join(members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "hub")
-    placed = blocks.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "key")
-    filled = cells.join(texts.select("key", "packed"), "key").select("hub", "i", "j", "side", "key", "packed")
-    edges = filled.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_verified(order), "a bigint, b bigint")
+    # what the filter lets through beside them meets no group, or is a copy there
+    texts = rows.mapInArrow(_picked(_key_filter(wanted)), "key bigint, rep bigint, packed binary").select("key", "packed")
+    edges = _all_edges(members, texts, order, parts)
     roots = components(edges)
 
     smallest = least.groupBy("key").agg(F.min("rep").alias("rep")).join(roots.withColumnRenamed("node", "key"), "key", "left")

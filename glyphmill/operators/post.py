@@ -36,11 +36,10 @@ def pad(ids: Column | str, filler: int, *, fixed: int = 0, multiple: int = 0, lo
 
 def pad_longest(df: DataFrame, ids: str, filler: int, *, batch: str | None = None, multiple: int = 0, left: bool = False) -> DataFrame:
     """Pads to the longest of each batch (a window over a column of batches of bounded size), or of the whole table (one
-    aggregate that is joined back, so no task sees the table)."""
+    aggregate as a scalar subquery, so no task sees the table)."""
     if batch is not None:
         return df.withColumn(ids, pad(ids, filler, multiple=multiple, left=left, longest=F.max(F.size(ids)).over(Window.partitionBy(batch))))
-    most = df.agg(F.coalesce(F.max(F.size(ids)), F.lit(0)).alias("_most"))
-    return df.crossJoin(F.broadcast(most)).withColumn(ids, pad(ids, filler, multiple=multiple, left=left, longest=F.col("_most"))).drop("_most")
+    return df.withColumn(ids, pad(ids, filler, multiple=multiple, left=left, longest=df.agg(F.coalesce(F.max(F.size(ids)), F.lit(0))).scalar()))
 
 
 def attention_mask(ids: Column | str, padding: Column, left: bool = False) -> Column:

@@ -42,6 +42,8 @@ _BOILER = frozenset(
 )
 #: Starts of names that speak of another part, such as no-sidebar.
 _NOT_ITSELF = ("no-", "has-", "with-", "without-", "is-", "js-")
+#: Of these, what an article element itself can be: a reader's remark, an advert, or a pointer to another page.
+_NOT_ARTICLE = frozenset("ad advert advertisement comment comments promo promoted recommended related remark reply replies sponsored teaser".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 _SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select", "datalist"), "optgroup": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 
@@ -55,14 +57,15 @@ def _no_content(tag: str, attributes: str, in_main: bool = False) -> bool:
     """Whether an element is no content by its name, role or class.  A header inside the main part holds its title."""
     if tag in _SKIP and not (in_main and tag == "header"):
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not attributes.strip() or tag in ("html", "body", "main"):
         return False
+    boiler = _NOT_ARTICLE if tag == "article" else _BOILER
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             names = [x for x in value.split() if not x.startswith(_NOT_ITSELF)]
             words = {w for x in names for w in re.split(r"[^a-z0-9]+", x)} | set(names)
-            if words & _BOILER and not (in_main and words & _BOILER <= {"header"}):
+            if words & boiler and not (in_main and words & boiler <= {"header"}):
                 return True
         elif (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True

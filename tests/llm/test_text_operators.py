@@ -245,6 +245,8 @@ def test_parts_inside_the_main_part():
     page = "<body><article><header class='entry-header'><h1>Title</h1></header><p>Text of the article, with enough words in it.</p><div class='ad-slot ad'>Buy now, it is cheap, really.</div>"
     page += "<aside><p>Related, and long enough to be text.</p></aside><p>More text, to the end.</p><div class='share-buttons share'>Share this</div><ol class=commentlist><li>A reader's remark, not short.</li></ol><footer>Tags: a, b</footer></article></body>"
     assert html.main_text(page) == "Title\nText of the article, with enough words in it.\nMore text, to the end."
+    remarks = "<main><article class='post hentry'><h1>A</h1><p>The text, as it was written by its author.</p></article><section><article class='comment depth-1'><p>A remark by a reader, long enough.</p></article></section></main>"
+    assert html.main_text(remarks) == "A\nThe text, as it was written by its author."
     table = "<table><tr><td class=menu><a href=1>A</a><a href=2>B</a></td><td><p>Old pages were laid out in tables, with text like this one.</p><p>Yes.</p></td></tr></table><div class=footer>bye</div>"
     assert html.main_text(table) == "Old pages were laid out in tables, with text like this one.\nYes."
 

@@ -95,11 +95,13 @@ def edited_fingerprints(docs: DataFrame, *, k: int = K, w: int = W, rows_per_ran
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     nulls = not cuts or bool(docs.where("doc_id is null").limit(1).count())
     part = lambda p, extra: F.struct(p.cast("int").alias("part"), F.lit(extra).alias("extra"))
-    # the rows that start a range are also needed at the end of the range before it, and the first of all at the end of the last
-    starts = F.array(*[F.struct(F.lit(c).alias("key"), F.lit((i - 1) % n).alias("part")) for i, c in enumerate(cuts) if i or not nulls])
-    to = [F.array(part(range_of("doc_id", cuts), 0))]
+    own = range_of("doc_id", cuts)
+    to = [F.array(part(own, 0))]
     if len(cuts) > nulls:
-        to.append(F.transform(F.filter(starts, lambda x: x["key"] == F.col("doc_id")), lambda x: part(x["part"], 1)))
+        # a row that starts a range is also needed at the end of the range before it, and the first of all at the end of the last
+        starts = F.element_at(F.array(*[F.lit(c) for c in cuts]), own + 1) == F.col("doc_id")
+        wanted = starts & (own > 0) if nulls else starts
+        to.append(F.filter(F.array(part(F.pmod(own - 1, F.lit(n)), 1)), lambda _: F.coalesce(wanted, F.lit(False))))
     if nulls:
         to.append(F.filter(F.array(part(F.lit(n - 1), 1)), lambda x: F.col("doc_id").isNull()))
     dealt = rows.withColumn("to", F.explode(F.concat(*to))).select("doc_id", "text", "to.part", "to.extra")

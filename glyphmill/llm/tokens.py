@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -19,8 +20,12 @@ from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Words that a worker keeps; beyond it the table starts anew, so memory is bounded and results stay the same.
-TABLE_WORDS = 500_000
+#: Words that a worker keeps in a task, and between tasks (the first ones, which are the most frequent), so that memory is
+#: bounded; results do not depend on it.
+TABLE_WORDS, KEPT_WORDS = 500_000, 150_000
+
+#: Words of letters that are encoded together.
+ROW_WORDS = 256
 
 #: Texts of these characters alone are in NFC already and have the same lower case in Python and in the library.
 _PLAIN = re.compile("[^\x00-įı-ɏ]")
@@ -63,13 +68,21 @@ class Encoder:
         self.count = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
+    def shrink(self, words: int = KEPT_WORDS) -> None:
+        """Keeps the first ``words`` words of the table."""
+        if len(self.code) <= words:
+            return
+        self.code = dict(islice(self.code.items(), words))
+        self.used = int(self.first[words - 1] + self.count[words - 1])
+        self.ids, self.first, self.count = self.ids[: self.used].copy(), self.first[:words].copy(), self.count[:words].copy()
+
     def _library_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64)
 
     def _letters_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters alone: each is one piece, whose last id alone has the end-of-word suffix, so many share a call."""
-        rows = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        rows = [" ".join(words[i : i + ROW_WORDS]) for i in range(0, len(words), ROW_WORDS)]
         ids, _ = self._library_ids(rows)
         last = np.flatnonzero(self.ends_word[ids])
         if len(last) != len(words):
@@ -88,13 +101,16 @@ class Encoder:
         self.used += len(flat)
         self.code.update(zip(words, range(have, have + n), strict=True))
 
-    def _add(self, words: list[str]) -> None:
-        """New words: letters alone, letters with a tail of marks (the ids of both, one after the other), or any other."""
+    def _add(self, words: list[str], plain: bool) -> None:
+        """New words: letters alone, letters with a tail of marks (the ids of both, one after the other), or any other.
+
+        ``plain``: all of them are known to hold plain characters alone.
+        """
         letters, other, joint = [], [], []
         seen: set[str] = set()
         for word in words:
             core = word.rstrip(_TAIL)
-            if not core.isalpha() or _PLAIN.search(core):
+            if not core.isalpha() or not (plain or core.isascii() or not _PLAIN.search(core)):
                 if word not in seen:
                     other.append(word)
                     seen.add(word)
@@ -128,16 +144,19 @@ class Encoder:
             return self._library_ids(texts)
         words: list[str] = []
         sizes = np.zeros(len(texts), dtype=np.int64)
+        plain = True
         for i, text in enumerate(texts):
-            if not _PLAIN.search(text):
+            if text.isascii() or not _PLAIN.search(text):
                 text = text.lower()
+            else:
+                plain = False
             own = re.split("[ \t\n\r]", text) if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
             words += own
             sizes[i] = len(own)
         if len(self.code) > self.table_words:
-            self._clear()
+            self.shrink(min(KEPT_WORDS, self.table_words // 2))
         if new := [w for w in set(words) if w not in self.code]:
-            self._add(new)
+            self._add(new, plain)
         found, ends = self._gather(np.array(list(map(self.code.__getitem__, words)), dtype=np.int64))
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         upto = np.concatenate(([0], ends))
@@ -162,9 +181,9 @@ def _kept(path: str) -> Encoder:
 
 @contextmanager
 def encoder(path: str) -> Iterator[Encoder]:
-    """The worker's encoder for a task; its table goes when the task ends, so that an idle worker holds little."""
+    """The worker's encoder for a task; its table shrinks when the task ends, so that an idle worker holds little."""
     found = _kept(path)
     try:
         yield found
     finally:
-        found._clear()
+        found.shrink()

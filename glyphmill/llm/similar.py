@@ -165,11 +165,14 @@ def _postings(order):
             weak = (_MOST_WEAK - np.minimum(_MOST_WEAK, 1500 * np.log1p(strength[seen]))).astype(np.int64)
             place = placed(np.repeat(size[seen], first), np.concatenate([np.arange(f) for f in first]), np.repeat(weak, first))
             shingle = np.concatenate([prefixes[i][:f] for i, f in zip(seen, first, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(place), pa.array(np.repeat(key[seen], first))], names=["shingle", "place", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array((shingle & _SHORTENED).view(np.int64)), pa.array(place), pa.array(np.repeat(key[seen], first))], names=["shingle", "place", "key"])
 
     return run
 
 
+#: Postings carry 48 bits of a shingle: zeros take no room in the shuffle, and two shingles that look alike only make
+#: documents meet that need not.
+_SHORTENED = np.uint64(2**64 - 2**16)
 #: Bits of a set's size, of a place in it, and of how weak a document is as a hub: together one long.
 _SIZE_BITS, _WEAK_BITS = 24, 15
 _MOST_SIZE, _MOST_WEAK = (1 << _SIZE_BITS) - 1, (1 << _WEAK_BITS) - 1

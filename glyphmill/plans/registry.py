@@ -493,12 +493,12 @@ def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.rollup("lang", "source").agg(F.sum("n").alias("n_tokens"))
 
 
-@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n_rows, sum(len(regexp_extract_all(props, '\\p{N}+|\\P{N}+', 0)))::BIGINT AS n_pieces FROM events GROUP BY 1, 2")
+@query("SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_rows, sum(len(regexp_extract_all(props, '\\p{N}+|\\P{N}+', 0)))::BIGINT AS n_pieces FROM events GROUP BY 1, 2")
 def windowed_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of event properties in windows of event time, as the streaming operator counts them."""
     events = table(spark, sf_dir, "events").withColumn("n", F.size(pretok.digits("props")))
     made = events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n_rows"), F.sum("n").cast("bigint").alias("n_pieces"))
-    return made.select("event_type", F.col("w.start").alias("window_start"), "n_rows", "n_pieces")
+    return made.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_rows", "n_pieces")
 
 
 def queries() -> dict[str, Query]:

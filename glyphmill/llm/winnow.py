@@ -25,7 +25,7 @@ def grams(text: str, k: int = K, shift: Column | None = None) -> Column:
     """A long for each place of the text (see above), from its place plus ``shift``; a shorter text is one gram, an empty one none."""
     shifted = F.lit(0) if shift is None else shift
     whole = F.when(F.length(text) < k, F.when(F.length(text) > 0, F.array(F.col(text))).otherwise(F.array().cast("array<string>")))
-    found = whole.otherwise(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+    found = whole.otherwise(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)))
     return F.transform(found, lambda g, i: F.xxhash64(g).bitwiseAND(F.expr(_HIGH)).bitwiseOR((F.lit(_LAST) - i - shifted).cast("long")))
 
 

@@ -213,6 +213,22 @@ def test_shared_runs_share_a_hash(spark):
     assert a & b
 
 
+def test_reuse_with_characters_beyond_the_first_plane(spark):
+    """Places are code points, and an edited text has the fingerprint of the same text by itself."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("😀𝔘𐍈abc d") for _ in range(n)) for n in (1, 11, 12, 13, 40, 80, 200, 333)] + ["😀" + "abcdefgh" * 20, "no such sign " * 12]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in winnow.edited_fingerprints(df).collect()}
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+    both = spark.createDataFrame([(t,) for t in texts + edited], "t string")
+    alone = {r["t"]: r for r in winnow.with_fingerprint(both, "t", "c").select("t", winnow.digest("c").alias("f"), winnow.places("c").alias("at")).collect()}
+    for k, (text, other) in enumerate(zip(texts, edited, strict=True)):
+        assert rows[k]["edited_sha256"] == hashlib.sha256(other.encode()).hexdigest()
+        assert (rows[k]["fingerprint"], rows[k]["edited_fingerprint"]) == (alone[text]["f"], alone[other]["f"])
+    grams = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(winnow.grams("t")).alias("n")).collect()
+    assert all(r["n"] == max(1, len(r["t"]) - winnow.K + 1) for r in grams)
+
+
 def test_fingerprints_of_few_rows(spark, nothing):
     assert winnow.edited_fingerprints(nothing).count() == 0 and winnow.fingerprints(nothing).count() == 0
     one = spark.createDataFrame([(1, "only this document, which is its own next one")], "doc_id bigint, text string")

@@ -25,20 +25,24 @@ from glyphmill.llm.session import tune
 BUCKETS = 1 << 18
 _PARTS = 64
 #: Words of a block; windows are whole blocks, so many and as far apart (both in blocks).
-STEP = 8
-WINDOWS = ((2, 1), (4, 2), (8, 4))
+STEP = 4
+WINDOWS = ((2, 1), (4, 2), (8, 4), (16, 8))
 #: Words of a benchmark passage; longer items are cut into passages that overlap by half.
 PASSAGE = 64
 #: Latent dimensions, and columns beyond them in the randomised range finder.
 RANK, OVERSAMPLE, POWER_ROUNDS = 128, 16, 2
 #: The least weight of a word, which one in every document has.
 LEAST_WEIGHT = 0.1
-#: A window is a candidate if so much of its squared weight is in words of the benchmark (the square of a bound on its
-#: cosine with any passage), and if the cosine in the latent space is so large.
-LEAST_MASS, LEAST_COSINE = 0.4, 0.5
+#: A window is a candidate if its cosine in the latent space is so large, and if the share of its squared weight in words
+#: of the benchmark, which is the square of a bound on its cosine with any passage, allows as much.
+LEAST_COSINE = 0.5
+LEAST_MASS = LEAST_COSINE**2
+#: Windows of at least so many blocks and so large a share are joined to regions by themselves, and the weaker ones by
+#: themselves: a weak window between two strong regions must not move the place where a long region is cut.
+STRONG_BLOCKS, STRONG_MASS = 4, 0.4
 #: Confirmed: so much of the passage's weight in the common subsequence; or less of it, but with the answer's words.
 LEAST_SHARE, LEAST_SHARE_ANSWERED, LEAST_ANSWER = 0.6, 0.4, 0.8
-#: Items with fewer words cannot be told from chance; they are not searched.
+#: Items with fewer words are found only where all their words stand in a row.
 LEAST_WORDS = 6
 #: Benchmark items that are broadcast at a time; more are searched in turn.
 MOST_ITEMS = 5_000
@@ -101,16 +105,19 @@ class Passages:
     weight: list[np.ndarray]
     answer: list[np.ndarray]
     vocabulary: np.ndarray  # buckets of their weighty words, ascending
+    short: list[tuple[int | None, np.ndarray]]  # items of fewer than LEAST_WORDS words
 
 
 def passages(items: list[tuple[int | None, str | None, str | None]], idf: np.ndarray) -> Passages:
     """From (item_id, text, answer); without an answer, the text's last sentence or third of words stands for it."""
-    out = Passages([], [], [], [], np.zeros(0, dtype=np.int64))
+    out = Passages([], [], [], [], np.zeros(0, dtype=np.int64), [])
     seen: set[int] = set()
     for item, text, answer in items:
         raw = (text or "").encode()
         hashed, first, _, _ = words.word_spans([raw], words.MARKS)
         if len(hashed) < LEAST_WORDS:
+            if len(hashed):
+                out.short.append((item, hashed))
             continue
         if answer:
             wanted = set(words.word_spans([answer.encode()], words.MARKS)[0].tolist())
@@ -131,7 +138,7 @@ def passages(items: list[tuple[int | None, str | None, str | None]], idf: np.nda
                 out.weight.append(weight[span])
                 out.answer.append(is_answer[span])
                 seen.update(_bucket(hashed[span][weight[span] > 0]).tolist())
-    return Passages(out.item, out.hashed, out.weight, out.answer, np.array(sorted(seen), dtype=np.int64))
+    return Passages(out.item, out.hashed, out.weight, out.answer, np.array(sorted(seen), dtype=np.int64), out.short)
 
 
 def _gram_times(columns: int, matrix) -> object:
@@ -204,12 +211,37 @@ class Searcher:
         self.row = np.full(BUCKETS, -1, dtype=np.int32)
         self.row[bench.vocabulary] = np.arange(len(bench.vocabulary))
         self.words = (idf[bench.vocabulary][:, None] * basis).astype(np.float32)
-        latent = np.array([self.words[self.row[b[b >= 0]]].sum(axis=0) for b in (_bucket(h[w > 0]) for h, w in zip(bench.hashed, bench.weight, strict=True))], dtype=np.float32)
+        latent = np.array([self.words[self.row[b[b >= 0]]].sum(axis=0) for b in (_bucket(h[w > 0]) for h, w in zip(bench.hashed, bench.weight, strict=True))], dtype=np.float32).reshape(len(bench.hashed), basis.shape[1])
         self.latent = latent / np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
         self.total = [w.sum() for w in bench.weight]
-
-    def candidates(self, hashed: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, passage, first word, end word, cosine) of windows that are near a benchmark passage."""
+        self.whole = [*bench.short, *zip(bench.item, bench.hashed, strict=True)]
+        # each passage stands under its rarest word: the word, its place, the passage's length, first and last word
+        rarest = [int(np.argmax(idf[_bucket(h)])) for _, h in self.whole]
+        anchor = np.array([h[k] for k, (_, h) in zip(rarest, self.whole, strict=True)], dtype=np.uint64)
+        order = np.argsort(anchor, kind="stable")
+        self.anchor, self.of = anchor[order], order
+        self.back, self.long = np.array(rarest, dtype=np.int64), np.array([len(h) for _, h in self.whole], dtype=np.int64)
+        self.first, self.last = (np.array([h[k] for _, h in self.whole], dtype=np.uint64) for k in (0, -1))
+
+    def verbatim(self, hashed: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, place in ``whole``, first word) wherever all words of a passage stand in a row."""
+        lo = np.searchsorted(self.anchor, hashed)
+        at = np.flatnonzero(self.anchor[np.minimum(lo, len(self.anchor) - 1)] == hashed) if len(self.anchor) else np.zeros(0, dtype=np.int64)
+        for a in range(0, len(at), 4096):
+            x = at[a : a + 4096]
+            n = np.searchsorted(self.anchor, hashed[x], "right") - lo[x]
+            p = self.of[np.repeat(lo[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            begin = np.repeat(x, n) - self.back[p]
+            end = begin + self.long[p]
+            t = np.repeat(np.searchsorted(bounds, x, "right") - 1, n)
+            inside = np.flatnonzero((begin >= bounds[t]) & (end <= bounds[t + 1]))
+            p, begin, end, t = p[inside], begin[inside], end[inside], t[inside]
+            for i in np.flatnonzero((hashed[begin] == self.first[p]) & (hashed[end - 1] == self.last[p])).tolist():
+                if np.array_equal(hashed[begin[i] : end[i]], self.whole[p[i]][1]):
+                    yield int(t[i]), int(p[i]), int(begin[i])
+
+    def candidates(self, hashed: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, bool, int, int, float]]:
+        """(text, passage, strong, first word, end word, cosine) of windows that are near a benchmark passage."""
         bucket = _bucket(hashed)
         count = np.diff(bounds)
         blocks = -(-count // STEP)
@@ -229,6 +261,7 @@ class Searcher:
             end = np.minimum(first + size, begin[of[first] + 1])
             mass = mine[end] - mine[first]
             keep = (mass > 0) & (mass >= LEAST_MASS * (every[end] - every[first]))
+            strong = (mass >= STRONG_MASS * (every[end] - every[first]))[keep] & (size >= STRONG_BLOCKS)
             first, end = first[keep], end[keep]
             for a in range(0, len(first), 2048):
                 x, y = first[a : a + 2048], end[a : a + 2048]
@@ -239,17 +272,17 @@ class Searcher:
                 near = (z / np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))) @ self.latent.T
                 for w, p in np.argwhere(near >= LEAST_COSINE).tolist():
                     t = int(of[x[w]])
-                    yield t, p, int(bounds[t] + (x[w] - begin[t]) * STEP), int(min(bounds[t + 1], bounds[t] + (y[w] - begin[t]) * STEP)), float(near[w, p])
+                    yield t, p, bool(strong[a + w]), int(bounds[t] + (x[w] - begin[t]) * STEP), int(min(bounds[t + 1], bounds[t] + (y[w] - begin[t]) * STEP)), float(near[w, p])
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, int | None, int, int, float, float, float]]:
         """(text, item, first byte, end byte, cosine, share, answer share), the best for each text and item."""
         hashed, begin, end, bounds = words.word_spans(texts, words.MARKS)
-        spans: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-        for t, p, a, b, c in self.candidates(hashed, bounds):
-            spans.setdefault((t, p), []).append((a, b, c))
+        spans: dict[tuple[int, int, bool], list[tuple[int, int, float]]] = {}
+        for t, p, strong, a, b, c in self.candidates(hashed, bounds):
+            spans.setdefault((t, p, strong), []).append((a, b, c))
         offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         best: dict[tuple[int, int | None], tuple] = {}
-        for (t, p), found in spans.items():
+        for (t, p, _), found in spans.items():
             own, weight = self.bench.hashed[p], self.bench.weight[p]
             found.sort()
             regions: list[list] = []
@@ -274,6 +307,10 @@ class Searcher:
                     hit = (t, self.bench.item[p], int(begin[lo + here[0]] - offset[t]), int(end[lo + here[-1]] - offset[t]), c, share, answered)
                     if (t, hit[1]) not in best or best[t, hit[1]][5] < share:
                         best[t, hit[1]] = hit
+        for t, p, a in self.verbatim(hashed, bounds):
+            item, own = self.whole[p]
+            if (t, item) not in best or best[t, item][5] < 1:
+                best[t, item] = (t, item, int(begin[a] - offset[t]), int(end[a + len(own) - 1] - offset[t]), 1.0, 1.0, 1.0)
         return sorted(best.values(), key=lambda h: (h[0], h[1] is not None, h[1] or 0))
 
 
@@ -300,6 +337,8 @@ def _models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Passages, n
     for k in range(max(1, len(cuts))):
         bench = passages(sorted(map(tuple, items.where(range_of("item_id", cuts) == k).collect()), key=repr), idf)
         if not bench.item:
+            if bench.short:
+                yield bench, idf, np.zeros((0, 0))
             continue
         place = {b: i for i, b in enumerate(bench.vocabulary.tolist())}
         rows = []
@@ -319,7 +358,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row for each document and item, the best span.  A row of ``docs`` is searched by itself, so repeated rows and null
     ids stay; null and empty texts have no hits; an empty table or benchmark gives none.  Of a repeated item_id every text
-    is searched.  Items of fewer than LEAST_WORDS words are not searched.  Further columns are ignored (an ``answer``
+    is searched.  Items of fewer than LEAST_WORDS words are found by all their words in a row (so an item of one common word
+    is in many documents), and whatever stands word for word has the scores 1.  Further columns are ignored (an ``answer``
     column of the benchmark is used).
     """
     out = docs.sparkSession.createDataFrame([], _HITS)

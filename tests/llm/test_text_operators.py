@@ -103,6 +103,44 @@ def test_given_answers_are_used(spark):
     assert decontaminate.leaks(docs, item(" ".join(text.split()[:10]))).count() == 0
 
 
+def test_short_items_among_rare_words_and_short_benchmarks(spark):
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(40)]
+    docs = [(k, " ".join(rng.choice(common) for _ in range(60))) for k in range(60)]
+    items = [(n, " ".join(f"q{n}x{i}" for i in range(n))) for n in (1, 3, 5, 6, 7, 9, 12)]
+    often = " ".join(t for _, t in items)
+    docs += [(100 + k, " ".join(rng.sample(often.split(), 30))) for k in range(30)]  # their words are not rare
+    rare = lambda k, n: " ".join(f"r{k}y{i}" for i in range(n))
+    placed = [(1000 + 10 * n + s, n, f"{rare(1000 + 10 * n + s, 30 + s)} {t} {rare(2000 + 10 * n + s, 33)}") for n, t in items for s in range(4)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(docs + [(d, t) for d, _, t in placed], "doc_id bigint, text string")
+    found = decontaminate.leaks(df, bench).where("doc_id >= 1000").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, n) for d, n, _ in placed}
+    texts, wanted = {d: t.encode() for d, _, t in placed}, dict(items)
+    assert all(texts[r["doc_id"]][r["start_byte"] : r["end_byte"]].decode() == wanted[r["item_id"]] for r in found)
+    few = decontaminate.leaks(df, bench.where("item_id in (3, 5)")).where("doc_id >= 1000").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in few} == {(d, n) for d, n, _ in placed if n in (3, 5)}
+
+
+def test_windows_of_which_a_third_is_the_benchmark_s():
+    own = [f"k{i}" for i in range(13)] + [f"v{i}" for i in range(7)]
+    idf = np.full(decontaminate.BUCKETS, 3.0)
+    text = " ".join(own)
+    changed = [f"z{i}" for i in range(7)]
+    hashed = decontaminate.words.word_spans([" ".join(changed).encode()], decontaminate.words.MARKS)[0]
+    idf[decontaminate._bucket(hashed)] = 6.0  # what stands in place of seven words is rarer
+    bench = decontaminate.passages([(1, text, None), (2, " ".join(f"o{i}" for i in range(20)), None)], idf)
+    rows = np.zeros((2, len(bench.vocabulary)))
+    for k, h in enumerate(bench.hashed):
+        rows[k, np.searchsorted(bench.vocabulary, decontaminate._bucket(h))] = 3.0
+    basis = np.linalg.svd(rows, full_matrices=False)[2].T
+    mixed = []
+    for k in range(13):
+        mixed += [own[k], *changed[k // 2 : k // 2 + (k % 2)]]
+    found = decontaminate.Searcher(bench, idf, basis).hits([(" ".join([*mixed, changed[6]])).encode()])
+    assert [h[1] for h in found] == [1] and found[0][5] == pytest.approx(0.65)
+
+
 def test_randomised_svd_is_the_svd(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(size=(40, 6)) @ rng.normal(size=(6, 25))

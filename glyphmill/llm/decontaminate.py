@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.ranges import cut_points, range_of
 from glyphmill.llm.session import tune
 
 #: Buckets of the corpus's document frequencies: a fixed number, whatever the corpus.
@@ -44,8 +43,10 @@ STRONG_BLOCKS, STRONG_MASS = 4, 0.4
 LEAST_SHARE, LEAST_SHARE_ANSWERED, LEAST_ANSWER = 0.6, 0.4, 0.8
 #: Items with fewer words are found only where all their words stand in a row.
 LEAST_WORDS = 6
-#: Benchmark items that are broadcast at a time; more are searched in turn.
-MOST_ITEMS = 5_000
+#: Benchmark items, and characters of them, that make one block: what is on the driver and in a worker at a time.
+MOST_ITEMS, MOST_CHARACTERS = 5_000, 4 << 20
+#: Bytes of text that a worker holds while it searches block after block.
+HELD_BYTES = 32 << 20
 
 
 def _bucket(hashed: np.ndarray) -> np.ndarray:
@@ -317,11 +318,36 @@ class Searcher:
 _HITS = "doc_id bigint, item_id bigint, start_byte bigint, end_byte bigint, cosine double, lcs_share double, answer_share double"
 
 
-def _search(model):
+def _searched(models: list, rows: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches with the hits of their texts.  Every row is read once: where there are more blocks of the benchmark than
+    one, a worker searches all of them in HELD_BYTES of text before it reads on, and holds one block's model at a time."""
+    searcher = Searcher(*models[0].value) if len(models) == 1 else None
+
+    def found(held: list[tuple[pa.RecordBatch, list[bytes]]]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        hits: list[dict] = [{} for _ in held]
+        for model in models:
+            own = searcher or Searcher(*model.value)
+            for best, (_, texts) in zip(hits, held, strict=True):
+                for h in own.hits(texts):
+                    if h[:2] not in best or best[h[:2]][5] < h[5]:
+                        best[h[:2]] = h
+        for best, (batch, _) in zip(hits, held, strict=True):
+            yield batch, sorted(best.values(), key=lambda h: (h[0], h[1] is not None, h[1] or 0))
+
+    held, size = [], 0
+    for batch, texts in words.batches(rows):
+        held.append((batch, texts))
+        size += sum(map(len, texts))
+        if searcher or size >= HELD_BYTES:
+            yield from found(held)
+            held, size = [], 0
+    if held:
+        yield from found(held)
+
+
+def _search(models: list):
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(*model.value)
-        for batch, texts in words.batches(rows):
-            found = searcher.hits(texts)
+        for batch, found in _searched(models, rows):
             ids = batch.column(0).take(pa.array([h[0] for h in found], pa.int64()))
             kinds = [pa.int64()] * 3 + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[k + 1] for h in found], kind) for k, kind in enumerate(kinds))], names=["doc_id", "item_id", "start_byte", "end_byte", "cosine", "lcs_share", "answer_share"])
@@ -329,16 +355,30 @@ def _search(model):
     return run
 
 
-def _models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Passages, np.ndarray, np.ndarray]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The items in blocks of bounded number and length (a longer item is a block alone), as they stream to the driver."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")).alias("answer"))
+    held, size = [], 0
+    for item in items.orderBy("item_id", "text", "answer").toLocalIterator():
+        if held and (len(held) >= MOST_ITEMS or size + len(item["text"] or "") > MOST_CHARACTERS):
+            yield held
+            held, size = [], 0
+        held.append(tuple(item))
+        size += len(item["text"] or "")
+    if held:
+        yield held
+
+
+def _models(docs: DataFrame, benchmark: DataFrame) -> list:
+    """A broadcast model (passages, weights, latent basis) for each block of the benchmark."""
     spark = tune(docs.sparkSession)
     idf = weights(*document_frequencies(docs))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")).alias("answer"))
-    cuts, _ = cut_points(items, "item_id", MOST_ITEMS)
-    for k in range(max(1, len(cuts))):
-        bench = passages(sorted(map(tuple, items.where(range_of("item_id", cuts) == k).collect()), key=repr), idf)
+    out = []
+    for block in _blocks(benchmark):
+        bench = passages(block, idf)
         if not bench.item:
             if bench.short:
-                yield bench, idf, np.zeros((0, 0))
+                out.append(spark.sparkContext.broadcast((bench, idf, np.zeros((0, 0)))))
             continue
         place = {b: i for i, b in enumerate(bench.vocabulary.tolist())}
         rows = []
@@ -350,7 +390,8 @@ def _models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Passages, n
             rows.append((list(sums), list(sums.values())))
         matrix = spark.createDataFrame(rows, "at array<int>, value array<double>").repartition(max(1, math.ceil(len(rows) / 500)))
         rank = min(RANK, len(rows), len(bench.vocabulary))
-        yield bench, idf, randomised_svd(matrix, len(bench.vocabulary), rank)
+        out.append(spark.sparkContext.broadcast((bench, idf, randomised_svd(matrix, len(bench.vocabulary), rank))))
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -362,24 +403,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     is in many documents), and whatever stands word for word has the scores 1.  Further columns are ignored (an ``answer``
     column of the benchmark is used).
     """
-    out = docs.sparkSession.createDataFrame([], _HITS)
+    models = _models(docs, benchmark)
+    if not models:
+        return docs.sparkSession.createDataFrame([], _HITS)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for model in _models(docs, benchmark):
-        out = out.unionByName(rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(model)), _HITS))
-    return out
+    return rows.mapInArrow(_search(models), _HITS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns as they are."""
-    rows = docs
-    for model in _models(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(*shared.value)
-            for batch, texts in words.batches(batches):
-                bad = {h[0] for h in searcher.hits(texts)}
-                yield batch.take(pa.array([i for i in range(len(texts)) if i not in bad], pa.int64())) if bad else batch
-
-        rows = rows.mapInArrow(run, docs.schema)
-    return rows
+    models = _models(docs, benchmark)
+    if not models:
+        return docs
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _searched(models, batches):
+            bad = {h[0] for h in found}
+            yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64())) if bad else batch
+
+    return docs.mapInArrow(run, docs.schema)

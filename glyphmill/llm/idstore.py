@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import tokens, words
-from glyphmill.llm.ranges import cut_points, range_of
+from glyphmill.llm.ranges import ranges
 from glyphmill.llm.session import new_folder, tune
 
 MAGIC = b"GMIX0001"
-DOCUMENTS_PER_SHARD = 8192
+#: Documents and bytes of text of a shard, on average.
+DOCUMENTS_PER_SHARD, BYTES_PER_SHARD = 8192, 16 << 20
+#: Shards at most, each an entry of the manifest (some 100 bytes); beyond them shards grow.  And tasks that write at most.
+MOST_SHARDS, MOST_TASKS = 1 << 16, 1 << 14
 #: Bits of a level for each key that comes to it.
 GAMMA = 2.0
 
@@ -184,10 +187,10 @@ def _writer(folder: str, vocabulary: str, end_id: int):
     return run
 
 
-def write(docs: DataFrame, folder: str | None = None, *, vocabulary: str = tokens.VOCABULARY, end_id: int = tokens.END_ID, documents_per_shard: int = DOCUMENTS_PER_SHARD) -> str:
+def write(docs: DataFrame, folder: str | None = None, *, vocabulary: str = tokens.VOCABULARY, end_id: int = tokens.END_ID, documents_per_shard: int = DOCUMENTS_PER_SHARD, bytes_per_shard: int = BYTES_PER_SHARD) -> str:
     """Encode every text and write shards in ascending doc_id order (null first); returns the folder.
 
-    Texts are shuffled once, by literal ranges of doc_id, and sorted inside a task.  Null and empty texts have
+    Texts are shuffled once, by fixed ranges of doc_id, a shard to a task, and sorted there.  Null and empty texts have
     ``end_id`` alone.  Rows with one doc_id all are kept, in order of their text's hash; the key with its occurrence
     finds each.  An empty table has a manifest without shards.  Further columns are ignored.  The folder must be on a
     file system that pyarrow opens and that all executors share; the default is in ``spark.checkpoint.dir``.
@@ -196,14 +199,16 @@ def write(docs: DataFrame, folder: str | None = None, *, vocabulary: str = token
     folder = folder or new_folder(spark, "ids")
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
-    cuts, _ = cut_points(docs, "doc_id", documents_per_shard)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.withColumn("shard", range_of("doc_id", cuts)).repartition(max(1, len(cuts)), "shard").withColumn("tie", F.xxhash64("text"))
-    ordered = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie").drop("tie")
+    mean = rows.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    cuts = ranges(rows, "doc_id", max(1, min(documents_per_shard, bytes_per_shard / mean)), MOST_SHARDS)
+    # a shard is one task's alone, unless there are more than MOST_TASKS
+    dealt = cuts.numbered(rows, "doc_id", "shard").withColumn("shard", F.col("shard").cast("int")).repartitionById(min(MOST_TASKS, max(1, len(cuts))), "shard")
+    ordered = dealt.withColumn("tie", F.xxhash64("text")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie").select("doc_id", "text", "shard")
     made = ordered.mapInArrow(_writer(folder, vocabulary, end_id), "shard int, name string, documents bigint, ids bigint").collect()
-    shards, before, docs_before = [], 0, 0
-    for r in sorted(made, key=lambda r: r["shard"]):  # one row a shard: at most MOST_RANGES
-        shards.append({"least": cuts[r["shard"]] if cuts else None, "name": r["name"], "documents": r["documents"], "ids": r["ids"], "start": before})
+    shards, before, docs_before, starts = [], 0, 0, cuts.starts
+    for r in sorted(made, key=lambda r: r["shard"]):  # one row a shard
+        shards.append({"least": starts[r["shard"]] if starts else None, "name": r["name"], "documents": r["documents"], "ids": r["ids"], "start": before})
         before, docs_before = before + r["ids"], docs_before + r["documents"]
     with store.open_output_stream(f"{base}/manifest.json") as out:
         out.write(json.dumps({"end_id": end_id, "documents": docs_before, "ids": before, "shards": shards}).encode())
@@ -273,4 +278,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     with store.open_input_file(f"{base}/manifest.json") as f:
         shards = json.loads(f.read())["shards"]
     listed = spark.createDataFrame([(i, s["name"], s["start"]) for i, s in enumerate(shards)], "shard int, name string, start bigint")
-    return listed.repartition(max(1, len(shards)), "shard").mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return listed.repartitionById(min(MOST_TASKS, max(1, len(shards))), "shard").mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -1,36 +1,93 @@
-"""Ranges of a key with about equally many rows each, as literals: every evaluation deals rows out alike."""
+"""Ranges of a key with about equally many rows each, by fixed cuts: every evaluation deals rows out alike."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More ranges than these would make the literal large; ranges grow instead.
-MOST_RANGES = 10_000
+#: Cuts that are written into the plan; beyond them each of so many ranges is cut again, by a small table.
+MOST_COARSE = 1024
+#: Cuts inside each of those.  A table of cuts has MOST_COARSE * MOST_FINE longs at most: 8 MB.
+MOST_FINE = 1024
 
 
-def cut_points(df: DataFrame, key: str, rows_per_range: int) -> tuple[list[int], int]:
-    """Ascending distinct values of ``key`` that start the ranges (the first is the least), and the number of rows.
+def _steps(cuts: list[int]) -> list[list[int]]:
+    """The cuts in about as many groups as a group has cuts, so that a search looks at few of them."""
+    size = max(1, math.ceil(math.sqrt(len(cuts))))
+    return [cuts[i : i + size] for i in range(0, len(cuts), size)]
 
-    One pass over that column alone.  A null key belongs before the first range's start.
+
+@dataclass(frozen=True)
+class Ranges:
+    """Ascending distinct starts of the ranges, in one or more coarse groups; and the rows that were counted.
+
+    The first range also has the null keys and all keys below its start.
     """
-    rows = df.count()
-    n = min(MOST_RANGES, max(1, math.ceil(rows / rows_per_range)))
-    shares = F.array(*[F.lit(i / n) for i in range(n)])
-    row = df.agg(F.min(key).alias("least"), F.percentile_approx(key, shares, max(10_000, 4 * n)).alias("cuts")).first()
-    if row is None or row["least"] is None:
-        return [], rows
-    return sorted({row["least"], *row["cuts"]}), rows
+
+    groups: list[list[int]]
+    rows: int
+
+    @property
+    def starts(self) -> list[int]:
+        return [c for g in self.groups for c in g]
+
+    def __len__(self) -> int:
+        return sum(len(g) for g in self.groups)
+
+    def numbered(self, df: DataFrame, key: str, to: str, start: str | None = None) -> DataFrame:
+        """``df`` with the number of each row's range in ``to`` (and the start of that range in ``start``)."""
+        if not self.groups:
+            return df.withColumn(to, F.lit(0).cast("bigint")).withColumn(start, F.lit(None).cast("bigint")) if start else df.withColumn(to, F.lit(0).cast("bigint"))
+        coarse = [g[0] for g in self.groups] if len(self.groups) > 1 else self.groups[0]
+        found, at = _search(F.array(*[F.array(*[F.lit(c) for c in s]) for s in _steps(coarse)]), key)
+        if len(self.groups) == 1:
+            out = df.withColumn(to, found)
+            return out.withColumn(start, at) if start else out
+        before = 0
+        table = []
+        for i, g in enumerate(self.groups):
+            table.append((i, before, _steps(g)))
+            before += len(g)
+        fine = df.sparkSession.createDataFrame(table, "range_group bigint, range_before bigint, range_cuts array<array<bigint>>")
+        joined = df.withColumn("range_group_of", found).join(F.broadcast(fine), F.col("range_group_of") == F.col("range_group"))
+        inside, at = _search(F.col("range_cuts"), key)
+        out = joined.withColumn(to, F.col("range_before") + inside)
+        out = out.withColumn(start, at) if start else out
+        return out.drop("range_group", "range_group_of", "range_before", "range_cuts")
 
 
-def range_of(key: str, cuts: list[int]) -> Column:
-    """The number of the range with ``key``: 0 for the first range and for null, by a search in two steps."""
-    if len(cuts) < 2:
-        return F.lit(0)
-    step = math.ceil(math.sqrt(len(cuts)))
+def _search(steps: Column, key: str) -> tuple[Column, Column]:
+    """The number of the last cut at or below the key (0 for none), and that cut, in two short steps."""
     at_most = lambda c: c <= F.col(key)
-    coarse = F.greatest(F.size(F.filter(F.array(*[F.lit(c) for c in cuts[::step]]), at_most)) - 1, F.lit(0)) * step
-    fine = F.size(F.filter(F.slice(F.array(*[F.lit(c) for c in cuts]), coarse + 1, F.lit(step)), at_most))
-    return F.greatest(coarse + fine - 1, F.lit(0))
+    step = F.greatest(F.size(F.filter(steps, lambda s: at_most(F.get(s, F.lit(0))))) - 1, F.lit(0))
+    own = F.get(steps, step)
+    place = F.greatest(F.size(F.filter(own, at_most)) - 1, F.lit(0))
+    return (step * F.size(F.get(steps, F.lit(0))) + place).cast("bigint"), F.get(own, place)
+
+
+def _cuts(rows: DataFrame, key: str, n: int, by: list[str]) -> DataFrame:
+    shares = F.array(*[F.lit(i / n) for i in range(n)])
+    return rows.groupBy(*by).agg(F.min(key).alias("least"), F.percentile_approx(key, shares, max(10_000, 4 * n)).alias("cuts"))
+
+
+def ranges(df: DataFrame, key: str, rows_per_range: float, most: int = MOST_COARSE * MOST_FINE) -> Ranges:
+    """Ranges of ``key`` with about ``rows_per_range`` rows; beyond ``most`` of them they grow.
+
+    One pass over that column alone, or two if there are more than MOST_COARSE ranges.  Equal keys stay together.  An
+    empty table, or one of null keys alone, has no cuts.
+    """
+    keys = df.select(F.col(key).cast("bigint").alias("key"))
+    rows = keys.count()
+    n = min(most, max(1, math.ceil(rows / rows_per_range)))
+    coarse = min(n, MOST_COARSE) if n <= MOST_COARSE else math.ceil(math.sqrt(n))
+    row = _cuts(keys, "key", coarse, []).first()
+    if row is None or row["least"] is None:
+        return Ranges([], rows)
+    first = Ranges([sorted({row["least"], *row["cuts"]})], rows)
+    if n <= MOST_COARSE:
+        return first
+    found = _cuts(first.numbered(keys.where("key is not null"), "key", "at"), "key", math.ceil(n / coarse), ["at"]).collect()
+    return Ranges([sorted({r["least"], *r["cuts"]}) for r in sorted(found, key=lambda r: r["at"])], rows)

@@ -19,9 +19,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``.  Where that is unset, a temporary one in local mode alone, in which driver and
+    executors are one process; on a cluster a folder of the driver's own would be another one on each executor."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -1,51 +1,82 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-The text's k-grams of code points are hashed at every place; of each window of ``w`` hashes the least is chosen, the
-rightmost of equal ones, with its place.  Any run of at least ``w + k - 1`` code points that two texts share gives both
-a common hash.  A choice is one long: 32 bits of hash, then the place counted down from 2**31 - 1, so the least value of
-a window is the least hash at the rightmost place.
+A rolling hash (shifted exclusive or) tells the k code points at every place; of each window of ``w`` hashes the least is
+chosen, the rightmost of equal ones, with its place.  Any run of at least ``w + k - 1`` code points that two texts share
+gives both a common hash.  A choice is one long: 32 bits of hash, then the place counted down from 2**31 - 1, so the least
+value of a window is the least hash at the rightmost place.
+
+Carried from place to place the hash is  h' = (h << s) ^ value(next code point), in which a code point is gone after
+64 / s steps.  Array functions see neighbours only, so the hashes of two code points come from those of one, those of four
+from those of two, and so on:  h(a b) = (h(a) << s * |b|) ^ h(b).  Each of these steps, and each step of the windows' least
+values, is one pass over an array that never leaves its expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.ranges import cut_points, range_of
+from glyphmill.llm.ranges import ranges
 
 K, W = 12, 8
-#: Documents that are sorted together to find each one's successor.
-ROWS_PER_RANGE = 2048
+#: Documents and bytes of text that are sorted together, on average, to find each one's successor.
+ROWS_PER_RANGE, BYTES_PER_RANGE = 512, 1 << 22
 
 _HIGH = "-4294967296L"
 _LAST = 2147483647
+_ALL = 1 << 30
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _with_later(a: Column, later: Column, by: int, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of each element and the one ``by`` places later; null or the element's own where there is none."""
+    return F.zip_with(a, F.slice(later, F.lit(by + 1), F.lit(_ALL)), f)
 
 
-def grams(text: str, k: int = K, shift: Column | None = None) -> Column:
+def _rolled(h: Column, k: int, then: Callable[[Column], Column], size: int = 1, kept: tuple[tuple[int, Column], ...] = ()) -> Column:
+    """``then`` of the hashes of ``k`` code points from those of one, by doubling; the last k - 1 are null."""
+    shift = max(1, 64 // k)
+    joined = lambda more: lambda x, y: F.shiftleft(x, shift * more).bitwiseXOR(y)
+    kept = (*kept, (size, h))
+    if 2 * size <= k:
+        return _let(_with_later(h, h, size, joined(size)), lambda x: _rolled(x, k, then, 2 * size, kept))
+    have = size
+    for more, own in reversed(kept[:-1]):
+        if k & more:
+            h, have = _with_later(h, own, have, joined(more)), have + more
+    return then(h)
+
+
+def grams(text: Column, k: int = K, shift: Column | int = 0) -> Column:
     """A long for each place of the text (see above), from its place plus ``shift``; a shorter text is one gram, an empty one none."""
-    shifted = F.lit(0) if shift is None else shift
-    whole = F.when(F.length(text) < k, F.when(F.length(text) > 0, F.array(F.col(text))).otherwise(F.array().cast("array<string>")))
-    found = whole.otherwise(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)))
-    return F.transform(found, lambda g, i: F.xxhash64(g).bitwiseAND(F.expr(_HIGH)).bitwiseOR((F.lit(_LAST) - i - shifted).cast("long")))
+    packed = lambda h, at: F.xxhash64(h).bitwiseAND(F.expr(_HIGH)).bitwiseOR((F.lit(_LAST) - shift - at).cast("long"))
+    each = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+    every = _let(each, lambda h: _rolled(h, k, lambda x: F.transform(F.slice(x, F.lit(1), F.length(text) - (k - 1)), packed)))
+    return F.when(F.length(text) >= k, every).when(F.length(text) > 0, F.array(packed(F.xxhash64(text), F.lit(0)))).otherwise(F.array().cast("array<long>"))
 
 
-def _with_least(df: DataFrame, column: str, w: int) -> DataFrame:
-    """``column`` of grams becomes the least of each window of ``w``, by doubling; fewer than ``w`` are one window."""
+def least(made: Column, w: int = W) -> Column:
+    """The least of each window of ``w`` grams, by doubling; fewer than ``w`` are one window."""
     if w & (w - 1):
         raise ValueError("w must be a power of two")
-    size, width = f"{column}_n", 1
-    df = df.withColumn(size, F.size(column))
-    while width < w:
-        later = F.slice(F.col(column), F.lit(width + 1), F.greatest(F.size(column) - width, F.lit(0)))
-        df = df.withColumn(column, F.zip_with(F.col(column), later, lambda a, b: F.least(a, b)))
-        width *= 2
-    return df.withColumn(column, F.slice(F.col(column), F.lit(1), F.greatest(F.col(size) - (w - 1), F.lit(1)))).drop(size)
+
+    def halved(a: Column, width: int, n: Column) -> Column:
+        if width == w:
+            return F.slice(a, F.lit(1), F.greatest(n - (w - 1), F.lit(1)))
+        return _let(_with_later(a, a, width, lambda x, y: F.least(x, y)), lambda x: halved(x, 2 * width, n))
+
+    return _let(made, lambda a: halved(a, 1, F.size(a)))
 
 
 def with_fingerprint(df: DataFrame, text: str, to: str, *, k: int = K, w: int = W) -> DataFrame:
     """``df`` with the column ``to``: the chosen (hash, place) longs of ``text`` in order of place; empty for null."""
-    df = df.withColumn(to, grams(text, k))
-    return _with_least(df, to, w).withColumn(to, F.coalesce(F.array_distinct(F.col(to)), F.array().cast("array<long>")))
+    return df.withColumn(to, F.coalesce(F.array_distinct(least(grams(F.col(text), k), w)), F.array().cast("array<long>")))
 
 
 def hashes(chosen: str) -> Column:
@@ -80,44 +111,54 @@ def fingerprints(docs: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
     return made.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.arrays_zip(F.transform("chosen", lambda x: F.shiftright(x, 32)).alias("hash"), F.col("at").alias("place")).alias("chosen"))
 
 
-def edited_fingerprints(docs: DataFrame, *, k: int = K, w: int = W, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, *, k: int = K, w: int = W, rows_per_range: int = ROWS_PER_RANGE, bytes_per_range: int = BYTES_PER_RANGE) -> DataFrame:
     """Each text's fingerprint beside that of its edited text and of the next document.
 
     The edited text ends in the start of the next document (ascending doc_id, null first, equal ids by their texts'
     hashes; after the last comes the first) in place of its own last floor(n/2) code points.  Rows are dealt out once,
-    by literal ranges of doc_id; each range also gets the first document of the one after it, so that none needs rows
-    of another.  A single document is its own next.  Only the windows that reach past the kept half are computed anew.
+    by fixed ranges of doc_id; each range also gets the first document of the one after it, so that none needs rows
+    of another.  A single document is its own next.  Windows that lie inside the kept half, or inside what follows it,
+    are those of the two documents; only the few between them are made anew.  Null texts count as empty; an empty text has
+    no choices; texts may be of any length (a row must fit a task).  An empty table gives an empty result; further columns
+    are ignored.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
     """
-    cuts, _ = cut_points(docs, "doc_id", rows_per_range)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    mean = rows.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    cuts = ranges(rows, "doc_id", max(1, min(rows_per_range, bytes_per_range / mean)))
     n = max(1, len(cuts))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    nulls = not cuts or bool(docs.where("doc_id is null").limit(1).count())
-    part = lambda p, extra: F.struct(p.cast("int").alias("part"), F.lit(extra).alias("extra"))
-    own = range_of("doc_id", cuts)
-    to = [F.array(part(own, 0))]
+    nulls = not len(cuts) or bool(rows.where("doc_id is null").limit(1).count())
+    numbered = cuts.numbered(rows, "doc_id", "own", "starts_at")
+    part = lambda p, extra: F.struct(p.cast("bigint").alias("part"), F.lit(extra).alias("extra"))
+    to = [F.array(part(F.col("own"), 0))]
     if len(cuts) > nulls:
         # a row that starts a range is also needed at the end of the range before it, and the first of all at the end of the last
-        starts = F.element_at(F.array(*[F.lit(c) for c in cuts]), own + 1) == F.col("doc_id")
-        wanted = starts & (own > 0) if nulls else starts
-        to.append(F.filter(F.array(part(F.pmod(own - 1, F.lit(n)), 1)), lambda _: F.coalesce(wanted, F.lit(False))))
+        starts = F.col("starts_at") == F.col("doc_id")
+        wanted = starts & (F.col("own") > 0) if nulls else starts
+        to.append(F.filter(F.array(part(F.pmod(F.col("own") - 1, F.lit(n)), 1)), lambda _: F.coalesce(wanted, F.lit(False))))
     if nulls:
         to.append(F.filter(F.array(part(F.lit(n - 1), 1)), lambda x: F.col("doc_id").isNull()))
-    dealt = rows.withColumn("to", F.explode(F.concat(*to))).select("doc_id", "text", "to.part", "to.extra")
+    dealt = numbered.withColumn("to", F.explode(F.concat(*to))).select("doc_id", "text", "to.part", "to.extra")
     order = Window.partitionBy("part").orderBy("extra", F.asc_nulls_first("doc_id"), "tie")
-    df = dealt.withColumn("tie", F.xxhash64("text")).withColumn("next", F.lead("text").over(order))
-    df = _with_least(df.withColumn("least", grams("text", k)), "least", w)
-    df = df.withColumn("chosen", F.array_distinct("least")).withColumn("hashes", hashes("chosen")).withColumn("next_hashes", F.lead("hashes").over(order))
-    df = df.where("extra = 0")
+    # the rows are sorted here, with nothing but their texts
+    df = dealt.withColumn("tie", F.xxhash64("text")).withColumn("next_text", F.lead("text").over(order))
+    df = df.withColumn("least", least(grams(F.col("text"), k), w))
+    df = df.withColumn("chosen", F.array_distinct("least")).withColumn("hashes", hashes("chosen"))
+    df = df.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("least", "hashes")}).where("extra = 0")
     df = df.withColumns({"n": F.length("text"), "keep": F.length("text") - F.floor(F.length("text") / 2).cast("int")})
-    df = df.withColumn("edited", F.concat(F.expr("left(text, keep)"), F.expr("left(next, n - keep)")))
-    # windows that lie inside the kept half are those of the text; the others lie in its last k + w - 2 code points and what follows
-    df = df.withColumn("same", F.when((F.col("keep") >= k + w - 1) & (F.length("edited") >= k + w - 1), F.col("keep") - (k + w - 2)).otherwise(F.lit(0)))
-    df = df.withColumn("tail", F.expr("substring(edited, same + 1)"))
-    df = _with_least(df.withColumn("rest", grams("tail", k, F.col("same"))), "rest", w)
-    fresh = F.when((F.col("same") > 0) & (F.length("tail") < k + w - 1), F.array().cast("array<long>")).otherwise(F.col("rest"))
-    df = df.withColumn("edited_chosen", F.array_distinct(F.concat(F.slice("least", F.lit(1), F.col("same")), fresh)))
+    df = df.withColumn("used", F.least(F.col("n") - F.col("keep"), F.length("next_text")))
+    df = df.withColumn("edited", F.concat(F.expr("left(text, keep)"), F.expr("left(next_text, used)")))
+    # a window spans k + w - 1 code points: those across the place where the texts meet lie in so many less one on either side
+    beside = k + w - 2
+    total = F.col("keep") + F.col("used")
+    df = df.withColumn("from", F.greatest(F.col("keep") - beside, F.lit(0)))
+    df = df.withColumn("middle", F.substring(F.col("edited"), F.col("from") + 1, F.least(total, F.col("keep") + beside) - F.col("from")))
+    df = df.withColumn("across", least(grams(F.col("middle"), k, F.col("from")), w))
+    across = F.when((total > beside) & (F.length("middle") <= beside), F.array().cast("array<long>")).otherwise(F.col("across"))
+    kept = F.slice("least", F.lit(1), F.greatest(F.col("keep") - beside, F.lit(0)))
+    moved = F.transform(F.slice("next_least", F.lit(1), F.greatest(F.col("used") - beside, F.lit(0))), lambda x: x - F.col("keep"))
+    df = df.withColumn("edited_chosen", F.array_distinct(F.concat(kept, across, moved)))
     df = df.withColumn("edited_hashes", hashes("edited_chosen"))
     return df.select(
         "doc_id",

@@ -219,16 +219,34 @@ def windows(text, hashed, k=winnow.K, w=winnow.W):
     return list(dict.fromkeys(min(marks[i : i + w]) for i in range(max(1, len(marks) - w + 1)))) if marks else []
 
 
+def gram_hashes(spark, texts, k=winnow.K):
+    """The hash of each gram, rolled code point by code point in Python; the values of code points are Spark's."""
+    mixed = lambda values: {r["x"]: r["h"] for r in spark.createDataFrame([(v,) for v in values], "x bigint").select("x", F.shiftright(F.xxhash64("x"), 32).alias("h")).collect()}
+    told = lambda strings: {r["x"]: r["h"] for r in spark.createDataFrame([(v,) for v in strings], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
+    value, raw = told(sorted({c for t in texts for c in t})), {}
+    short = told(sorted({t for t in texts if 0 < len(t) < k}))
+    for t in texts:
+        h = 0
+        for i, c in enumerate(t):
+            h = ((h << (64 // k)) ^ (value[c] & (1 << 64) - 1)) & (1 << 64) - 1
+            if i >= k:
+                h ^= ((value[t[i - k]] & (1 << 64) - 1) << (64 // k * k)) & (1 << 64) - 1
+            if i >= k - 1:
+                raw[t[i - k + 1 : i + 1]] = h - (1 << 64) if h >> 63 else h
+    raw |= short
+    final = mixed(sorted(set(raw.values())))
+    return {g: final[h] for g, h in raw.items()}
+
+
 def test_fingerprints_against_brute_force(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(70)
-    odd_rows = [(900, "abc"), (901, None), (902, ""), (903, "x" * 30), (904, "x" * 30), (None, "no id one two three four five"), (50000, "é日本" * 9), (903, "an id of two rows, with enough text for windows")]
+    odd_rows = [(900, "abc"), (901, None), (902, ""), (903, "x" * 30), (904, "x" * 30), (None, "no id one two three four five"), (50000, "é日本" * 9), (903, "an id of two rows, with enough text for windows"), (905, "so many code points"), (906, "s" * 18), (907, "😀 and more 𝔘 than that" * 4), (908, "long " * 40_000)]
     d = d.unionByName(spark.createDataFrame(odd_rows, d.schema)).withColumn("next", F.lit(1)).withColumn("part", F.lit("x"))
     rows = sorted(((r[0], r[1] or "", r[2]) for r in d.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     n = len(rows)
     edited = [t[: len(t) - len(t) // 2] + rows[(i + 1) % n][1][: len(t) // 2] for i, (_, t, _) in enumerate(rows)]
     every = [t for _, t, _ in rows] + edited
-    grams = sorted({g for t in every for g in ([t[i : i + winnow.K] for i in range(len(t) - winnow.K + 1)] if len(t) >= winnow.K else [t] * bool(t))})
-    hashed = {r["g"]: r["h"] for r in spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.shiftright(F.xxhash64("g"), 32).alias("h")).collect()}
+    hashed = gram_hashes(spark, every)
     near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     expected = []
     for i, (key, t, _) in enumerate(rows):
@@ -240,8 +258,35 @@ def test_fingerprints_against_brute_force(spark, data):
     again = {(r["t"]): r["f"] for r in winnow.with_fingerprint(spark.createDataFrame([(t,) for t in every], "t string"), "t", "c").select("t", winnow.digest("c").alias("f")).collect()}
     by_edit = {r["edited_sha256"]: r["edited_fingerprint"] for r in found}
     assert all(by_edit[hashlib.sha256(e.encode()).hexdigest()] == again[e] for e in edited)
-    plain = winnow.fingerprints(d).where("doc_id = 50000").first()
-    assert [(c["hash"], -c["place"]) for c in plain["chosen"]] == windows("é日本" * 9, hashed)
+    plain = winnow.fingerprints(d).where("doc_id in (50000, 907)").collect()
+    for r, text in zip(sorted(plain, key=lambda r: r["doc_id"]), (odd_rows[10][1], odd_rows[6][1]), strict=True):
+        assert [(c["hash"], -c["place"]) for c in r["chosen"]] == windows(text, hashed)
+
+
+def test_a_document_equal_to_another_s_edited_text(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("😀𝔘abcdef gh") for _ in range(n))
+    texts = [make(n) for n in (100, 90, 31, 200, 19, 18, 17, 5)]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:], strict=False)]
+    rows = {r["doc_id"]: r for r in winnow.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(edited)], "doc_id bigint, text string")).collect()}
+    assert all(rows[i]["edited_fingerprint"] == rows[100 + i]["fingerprint"] for i in range(len(edited)))
+
+
+def test_ranges_in_two_levels(spark, monkeypatch):
+    from glyphmill.llm import ranges as module
+
+    df = spark.range(0, 6000, 3).select(F.when(F.col("id") % 999 != 0, F.col("id")).alias("key"))
+    one = module.ranges(df, "key", 20)
+    monkeypatch.setattr(module, "MOST_COARSE", 10)
+    two = module.ranges(df, "key", 20)
+    assert len(one.groups) == 1 and len(two.groups) > 1 and abs(len(two) - 100) < 15
+    for cuts in (one, two):
+        starts = cuts.starts
+        assert starts == sorted(set(starts))
+        for r in cuts.numbered(df, "key", "at", "start").collect():
+            k = max(0, sum(s <= (r["key"] if r["key"] is not None else -1) for s in starts) - 1)
+            assert r["at"] == k and (r["key"] is None or r["start"] == starts[k])
+    assert len(module.ranges(df.where("key is null"), "key", 5)) == 0 and module.ranges(df, "key", 20, 4).starts[0] == 3
 
 
 def test_shared_runs_share_a_hash(spark):
@@ -263,7 +308,7 @@ def test_reuse_with_characters_beyond_the_first_plane(spark):
     for k, (text, other) in enumerate(zip(texts, edited, strict=True)):
         assert rows[k]["edited_sha256"] == hashlib.sha256(other.encode()).hexdigest()
         assert (rows[k]["fingerprint"], rows[k]["edited_fingerprint"]) == (alone[text]["f"], alone[other]["f"])
-    grams = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(winnow.grams("t")).alias("n")).collect()
+    grams = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(winnow.grams(F.col("t"))).alias("n")).collect()
     assert all(r["n"] == max(1, len(r["t"]) - winnow.K + 1) for r in grams)
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ CAPACITY = 2048
 #: Documents of a group, on average; a group's waste is about one sequence.
 GROUP_DOCUMENTS = 2048
 
-_PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+_PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, piece bigint"
 
 
 class FirstFit:
@@ -65,6 +66,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 
 def _pieces(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40  # of the next piece: copies of a row are told apart by it alone
         with tokens.encoder(vocabulary) as encoder:
             for batch, raw in words.batches(rows):
                 ids, offsets = encoder.encode_ended([x.decode("utf-8", "replace") for x in raw], end_id)
@@ -76,8 +78,9 @@ def _pieces(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
                 at = offsets[:-1][doc] + start
                 data = memoryview(ids.astype("<u4").tobytes())
                 spans = [data[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-                out = [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in spans], pa.int64()), pa.array(sizes[doc])]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                out = [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in spans], pa.int64()), pa.array(sizes[doc]), pa.array(np.arange(number, number + len(doc)))]
+                number += len(doc)
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"]
                 if with_ids:
                     out.append(pa.array([np.frombuffer(x, dtype="<i4") for x in spans], pa.list_(pa.int32())))
                     names.append("ids")
@@ -92,7 +95,7 @@ def _placed(capacity: int):
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
         group["sequence_id"] = (group["pack_group"].to_numpy().astype(np.int64) << 32) + bins
         group["offset"] = offsets
-        return group.drop(columns="pack_group")
+        return group.drop(columns=["pack_group", "piece"])
 
     return run
 
@@ -101,8 +104,10 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = tokens.END_
     """Pieces of tokenized documents, placed in sequences of at most ``capacity`` ids.
 
     Each text becomes its ids and then ``end_id``, is cut at multiples of ``capacity``, and its pieces are placed by
-    first-fit decreasing inside one of ``rows / group_documents`` random groups (by a hash of the piece).  A group is a
-    bounded number of small rows, so it fits one task at any size of the input.
+    first-fit decreasing inside one of ``rows / group_documents`` random groups, by a hash of the piece and its number in
+    its task, so that copies of one row go to different groups too.  A group is a bounded number of small rows and fits one
+    task at any size of the input.  (The number is the same each time a task reads a table; ``docs`` should be one, and not
+    the result of a shuffle whose rows come in any order.)
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if ``with_ids``), a row for each
     piece.  Null and empty texts are one piece of ``end_id`` alone.  A null doc_id is kept.  Repeated rows are packed as
@@ -113,5 +118,5 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = tokens.END_
     groups = max(1, math.ceil(docs.count() / group_documents))
     schema = _PIECE + (", ids array<int>" if with_ids else "")
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(vocabulary, capacity, end_id, with_ids), schema)
-    grouped = made.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups)))
-    return grouped.groupBy("pack_group").applyInPandas(_placed(capacity), f"{schema}, sequence_id bigint, offset bigint")
+    grouped = made.withColumn("pack_group", F.pmod(F.xxhash64("piece", "ids_crc32"), F.lit(groups)))
+    return grouped.groupBy("pack_group").applyInPandas(_placed(capacity), f"{schema}, sequence_id bigint, offset bigint".replace(", piece bigint", ""))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm import words
 from glyphmill.llm.session import tune
 
-#: The model is fitted on about so many trusted positives and unlabelled rows, taken by a hash of doc_id.
+#: The model is fitted on so many trusted positives and unlabelled rows at most, taken by a hash of the row.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8192, 16384
 #: Score from which a document counts as good.
 GOOD = 0.7
@@ -27,17 +27,23 @@ FOLDS, HELD_OUT = 4, 2
 FEW_WORDS = 10
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CLASSES = 6 + len(_PUNCTUATION)
+#: Bytes of UTF-8 that begin a sign more often than a letter: Latin-1 signs, general marks and symbols, CJK marks and wide forms, emoji.
+_SIGNS = (0xC2, 0xE2, 0xE3, 0xEF, 0xF0)
+_CLASSES = 6 + len(_PUNCTUATION) + len(_SIGNS)
 _CLASS = np.zeros(256, dtype=np.int64)  # 0: control
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[32], _CLASS[[9, 10, 13]] = 1, 2, 3, 4, 5
 _CLASS[128:] = 1  # letters of other scripts count as letters
-for _k, _b in enumerate(_PUNCTUATION):
+for _k, _b in enumerate((*_PUNCTUATION, *_SIGNS)):
     _CLASS[_b] = 6 + _k
-N_FEATURES = _CLASSES + 8
+#: Hashed shapes: runs of three classes, letters of any case being one.
+GRAMS = 64
+_COARSE = np.where(_CLASS == 2, 1, _CLASS)
+N_FEATURES = _CLASSES + 8 + GRAMS
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """One row for each text: shares of kinds of characters, word lengths, and how often words and shingles repeat.
+    """One row for each text: shares of kinds of characters and of hashed runs of three kinds, word lengths, and how often
+    words and shingles repeat.
 
     All are numbers of the text alone.  A text without words has zeros.
     """
@@ -47,8 +53,15 @@ def features(texts: list[bytes]) -> np.ndarray:
         return out
     sizes = np.array([len(t) for t in texts])
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    kinds = np.bincount(np.repeat(np.arange(n) * _CLASSES, sizes) + _CLASS[raw], minlength=n * _CLASSES).reshape(n, _CLASSES)
+    owner = np.repeat(np.arange(n), sizes)
+    kinds = np.bincount(owner * _CLASSES + _CLASS[raw], minlength=n * _CLASSES).reshape(n, _CLASSES)
     out[:, :_CLASSES] = np.sqrt(kinds / np.maximum(1, sizes)[:, None])
+    if len(raw) > 2:
+        kind = _COARSE[raw]
+        run = ((kind[:-2] * _CLASSES + kind[1:-1]) * _CLASSES + kind[2:]).astype(np.uint32) * np.uint32(2654435761)
+        inside = owner[:-2] == owner[2:]
+        told = np.bincount((owner[:-2] * GRAMS + (run >> np.uint32(26)).astype(np.int64))[inside], minlength=n * GRAMS).reshape(n, GRAMS)
+        out[:, _CLASSES + 8 :] = np.sqrt(told / np.maximum(1, sizes - 2)[:, None])
     hashed, first, end, bounds = words.word_spans(texts)
     count = np.diff(bounds)
     some = np.maximum(1, count)
@@ -57,7 +70,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     grams, offsets = words.shingle_hashes(hashed, bounds)
     tri, tri_offsets = words.shingle_hashes(hashed, bounds, 2)
     same = (hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1]) if len(of) else np.zeros(0, dtype=bool)
-    rest = out[:, _CLASSES:]
+    rest = out[:, _CLASSES : _CLASSES + 8]
     rest[:, 0] = np.log1p(count)
     rest[:, 1] = np.bincount(of, length, n) / some
     rest[:, 2] = np.bincount(of, length > 12, n) / some
@@ -66,7 +79,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     rest[:, 5] = 1 - _distinct(np.repeat(np.arange(n), np.diff(offsets)), grams, n) / np.maximum(1, np.diff(offsets))
     rest[:, 6] = 1 - _distinct(np.repeat(np.arange(n), np.diff(tri_offsets)), tri, n) / np.maximum(1, np.diff(tri_offsets))
     rest[:, 7] = 1 - _distinct(of, hashed, n) / some
-    rest[count == 0, :] = 0
+    out[count == 0, :] = 0
     return out
 
 
@@ -158,29 +171,39 @@ def fold(key: Column) -> Column:
 
 def _features_of(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in words.batches(rows):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(texts)), pa.list_(pa.float32())), batch.column(2)], names=["positive", "features", "unlabelled"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(texts)), pa.list_(pa.float32()))], names=["drawn", "features"])
+
+
+def _sample(rows: DataFrame, n: int, most: int) -> np.ndarray:
+    """Features of at most ``most`` of the ``n`` rows (doc_id, text): those with the least hashes of id and text.
+
+    Copies of a row have one hash and count once.  Rows that cannot be among the least are left out before anything is
+    shuffled, and features take their texts' place before the least are taken, so what comes to the driver is ``most``
+    short arrays, however often an id comes (null included) and however long the texts are.
+    """
+    hashed = rows.withColumn("drawn", F.xxhash64("doc_id", "text"))
+    least = -(2**63) + int(min(1.0, 1.25 * most / max(1, n)) * 2**63) * 2 - 1
+    one = hashed.where(F.col("drawn") <= F.lit(least)).groupBy("drawn").agg(F.first("text").alias("text"))
+    made = one.mapInArrow(_features_of, "drawn bigint, features array<float>").orderBy("drawn").limit(most).collect()
+    return np.array([r["features"] for r in made], dtype=np.float64).reshape(len(made), N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_positive: int = SAMPLE_POSITIVE, sample_unlabelled: int = SAMPLE_UNLABELLED) -> Model:
     """A model from documents outside the held-out fold.
 
     Positives are rows whose label is quality 1 (all their labels, if an id has several); labels of 0 are not read as
-    negatives.  Unlabelled rows are drawn from all documents of the folds.  Both samples are bounded by the parameters,
-    give or take chance, and chosen by a hash of doc_id.
+    negatives.  Unlabelled rows are drawn from all documents of the folds.  Both samples are bounded by the parameters
+    (smaller by chance, or where rows repeat), and chosen by a hash of doc_id and text.
     """
     tune(docs.sparkSession)
-    own = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != HELD_OUT)
-    trusted = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id", F.lit(True).alias("trusted"))
-    n_docs, n_trusted = docs.count(), trusted.count()
-    draw = lambda salt: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1_000_000))
-    part_p = int(min(1.0, sample_positive / max(1, n_trusted)) * 1_000_000)
-    part_u = int(min(1.0, sample_unlabelled / max(1, n_docs * (FOLDS - 1) / FOLDS)) * 1_000_000)
-    drawn = own.where((draw("p") < part_p) | (draw("u") < part_u)).withColumns({"p": draw("p") < part_p, "u": draw("u") < part_u})
-    joined = drawn.join(trusted.where((draw("p") < part_p) | (draw("u") < part_u)), "doc_id", "left")
-    rows = joined.select((F.col("p") & F.col("trusted").isNotNull()).alias("positive"), "text", F.col("u").alias("unlabelled"))
-    table = rows.mapInArrow(_features_of, "positive boolean, features array<float>, unlabelled boolean").where("positive or unlabelled").orderBy("features").toPandas()
-    x = np.array(table["features"].tolist(), dtype=np.float64).reshape(len(table), N_FEATURES)
-    return fit(x[table["positive"].to_numpy(dtype=bool)], x[table["unlabelled"].to_numpy(dtype=bool)])
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(fold(F.col("doc_id")) != HELD_OUT)
+    trusted = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    n_docs, n_trusted = own.count(), trusted.count()
+    # of many trusted ids, those with the least hashes: their documents alone are joined
+    part = int(min(1.0, 1.25 * sample_positive / max(1, n_trusted)) * 1_000_000)
+    few = lambda df: df.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1_000_000)) < part)
+    positive = few(own).join(few(trusted), "doc_id", "left_semi")
+    return fit(_sample(positive, min(n_trusted, sample_positive), sample_positive), _sample(own, n_docs, sample_unlabelled))
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

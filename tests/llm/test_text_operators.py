@@ -49,6 +49,58 @@ def test_quality_of_odd_rows(odd, nothing, spark):
     assert scored.columns == ["doc_id", "text", "key", "score"] and scored.schema["score"].dataType.simpleString() == "double"
 
 
+def plain_features(text):
+    """What ``features`` says of one text, step by step."""
+    kind = lambda b: int(quality._CLASS[b])
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text))
+    out = np.zeros(quality.N_FEATURES)
+    if not w:
+        return out
+    c = quality._CLASSES
+    for b in text:
+        out[kind(b)] += 1 / len(text)
+    for k in range(len(text) - 2):
+        x, y, z = (1 if kind(b) == 2 else kind(b) for b in text[k : k + 3])
+        out[c + 8 + ((((x * c + y) * c + z) * 2654435761) % 2**32 >> 26)] += 1 / (len(text) - 2)
+    out[:c], out[c + 8 :] = np.sqrt(out[:c]), np.sqrt(out[c + 8 :])
+    five = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+    two = [tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))]
+    n = len(w)
+    out[c : c + 8] = np.log1p(n), sum(map(len, w)) / n, sum(len(x) > 12 for x in w) / n, len(set(w)) / np.sqrt(n), sum(x == y for x, y in zip(w, w[1:], strict=False)) / n, 1 - len(set(five)) / len(five), 1 - len(set(two)) / len(two), 1 - len(set(w)) / n
+    return out
+
+
+def test_features_against_a_plain_version():
+    rng = random.Random(17)
+    texts = [t.encode() for t in ("", " \n", "one", "Ab ab AB", "é日本 😀☆☆ £5!", "x" * 40, *(prose(rng, rng.randrange(1, 90)) + " again again" for _ in range(30)))]
+    assert np.allclose(quality.features(texts), [plain_features(t) for t in texts], atol=1e-5)
+
+
+def test_the_fit_lessens_the_non_negative_risk():
+    rng = np.random.default_rng(4)
+    pos, unl = rng.normal(1, 1, (300, 3)), np.vstack([rng.normal(1, 1, (280, 3)), rng.normal(-1, 1, (120, 3))])
+
+    def risk(w, b, prior):
+        """Sums over single rows, as the formula stands."""
+        loss = lambda x, y: np.log1p(np.exp(-y * (float(x @ w) + b)))
+        plus = prior * sum(loss(x, 1) for x in pos) / len(pos)
+        return plus + max(0.0, sum(loss(x, -1) for x in unl) / len(unl) - prior * sum(loss(x, -1) for x in pos) / len(pos))
+
+    weight, bias = quality._fit(pos, unl, 0.7, decay=0.0)
+    here = risk(weight, bias, 0.7)
+    assert here < risk(np.zeros(3), 0.0, 0.7)
+    assert all(here <= risk(weight + d, bias + e, 0.7) + 2e-3 for d, e in ((rng.normal(0, 0.2, 3), rng.normal(0, 0.2)) for _ in range(25)))
+
+
+def test_the_sample_is_bounded_when_one_id_has_most_rows(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") % 3 > 0, F.lit(77)).otherwise(F.when(F.col("id") % 9 > 0, F.col("id"))).alias("doc_id"), F.concat(F.lit("some words of row "), F.when(F.col("id") % 2 == 0, F.lit("one")).otherwise(F.col("id").cast("string"))).alias("text"))
+    got = quality._sample(rows, 100_000, 500)
+    assert 300 < len(got) <= 500 and got.shape[1] == quality.N_FEATURES
+    labels = spark.createDataFrame([(77, 1)], "doc_id bigint, quality int")
+    model = quality.train(rows, labels, sample_positive=200, sample_unlabelled=300)
+    assert 0 < model.prior < 1
+
+
 def test_prior_of_a_known_mixture():
     rng = np.random.default_rng(0)
     pos = rng.normal(2, 1, 4000)

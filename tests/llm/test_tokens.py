@@ -79,6 +79,13 @@ def test_packing_of_odd_rows(spark, odd, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_copies_of_a_row_are_spread_over_groups(spark):
+    copies = spark.range(3000).selectExpr("7L as doc_id", "'the same words in every row' as text").unionByName(spark.range(100).selectExpr("id as doc_id", "concat('row ', id) as text"))
+    frame = packing.pack(copies, group_documents=100).toPandas()
+    size = frame.groupby(frame["sequence_id"] // 2**32).size()
+    assert len(frame) == 3100 and len(size) == 31 and size.max() < 200
+
+
 def test_files_of_whole_tables(spark, data):
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
     got = [tuple(r) for r in catalog.op10_token_files(spark, data).orderBy("doc_id").collect()]

@@ -3,7 +3,8 @@
 Text nodes are grouped by the path of block tags from the root.  A path's ratio is its text per node, weighed by its
 share of punctuation and lessened by its share of link text; ratios are smoothed along the page, fused over neighbouring
 paths of one container, and thresholded.  A container (the path without its last tag) whose paths hold most of the
-selected text is content as a whole, so short paragraphs and headings in it are kept.
+selected text is content as a whole, so short paragraphs, headings and lists in it are kept.  Elements that are no content by
+their name, role or class are left out before; an article or main element only weighs in a path's score.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from glyphmill.llm.session import tune
 
 #: Share of the standard deviation of smoothed ratios that a path must reach.
 THRESHOLD = 1.0
+#: What the score of a path is multiplied by inside an article or main element.
+MAIN_WEIGHT = 2.0
 #: Weights of the smoothing over neighbouring nodes.
 _KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 
 # HTML's element names by what they do to text.
+_KEEPS_P = ("td", "th", "button", "caption", "table", "object")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -74,14 +78,51 @@ def _no_content(tag: str, attributes: str, in_main: bool = False) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path of block tags, text, characters inside links, skipped) of each block of text, in page order.
+class Open:
+    """The open block elements.  A path is a number that stands for (path above, tag), so it costs the same at any depth;
+    where a tag is open last is known without a look at the others."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.skipped: list[bool] = []
+        self.paths: list[int] = []
+        self.last: dict[str, list[int]] = {}
+        self.known: dict[tuple[int, str], int] = {}
+        self.above: list[tuple[int, str]] = [(-1, "")]  # by path: the path above it and its tag; 0 is the root
+
+    def path(self) -> int:
+        return self.paths[-1] if self.paths else 0
+
+    def push(self, tag: str, skipped: bool) -> None:
+        key = (self.path(), tag)
+        if key not in self.known:
+            self.known[key] = len(self.above)
+            self.above.append(key)
+        self.last.setdefault(tag, []).append(len(self.tags))
+        self.paths.append(self.known[key])
+        self.tags.append(tag)
+        self.skipped.append(skipped)
+
+    def place(self, tags: Iterable[str]) -> int:
+        """Where the innermost of these tags is open; -1 if none is."""
+        return max((self.last[t][-1] for t in tags if self.last.get(t)), default=-1)
+
+    def cut(self, k: int) -> None:
+        for tag in self.tags[k:]:
+            self.last[tag].pop()
+        del self.tags[k:], self.skipped[k:], self.paths[k:]
+
+
+def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int, str]]]:
+    """(path of block tags, text, characters inside links, skipped) of each block of text, in page order; and by path the
+    path above it with its tag.
 
     White space inside a block is one space; character references are decoded.  Tags that HTML leaves out are closed.
     """
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # block tags and whether each or one above it is no content
+    out: list[tuple[int, str, int, bool]] = []
+    stack = Open()
     inline: list[tuple[str, bool]] = []  # open elements inside a block that hide their text
+    hidden = 0
     text: list[str] = []
     link = links = 0
 
@@ -90,17 +131,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if text:
             whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
-                out.append((tuple(t for t, _ in stack), whole, links, bool(stack) and stack[-1][1]))
+                out.append((stack.path(), whole, links, bool(stack.tags) and stack.skipped[-1]))
             text.clear()
         links = 0
 
     def pop(k: int) -> None:
         flush()
-        del stack[k:]
+        stack.cut(k)
 
     def add(raw: str) -> None:
         nonlocal links
-        if raw and not any(h for _, h in inline):
+        if raw and not hidden:
             piece = html.unescape(raw) if "&" in raw else raw
             text.append(piece)
             if link:
@@ -131,27 +172,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             if closing:
                 if tag == "a":
                     link = max(0, link - 1)
-                for k in range(len(inline) - 1, -1, -1):
-                    if inline[k][0] == tag:
-                        del inline[k:]
-                        break
+                if any(t == tag for t, _ in inline):
+                    while True:
+                        t, h = inline.pop()
+                        hidden -= h
+                        if t == tag:
+                            break
             else:
                 if tag == "a":
                     link += 1
                 if attributes.strip() and _no_content(tag, attributes):
                     inline.append((tag, True))
+                    hidden += 1
                 elif inline:
                     inline.append((tag, False))
             continue
         inline.clear()
+        hidden = 0
         if tag in _VOID:
             flush()
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if (k := stack.place((tag,))) >= 0:
+                pop(k)
             else:
                 flush()
             link = 0
@@ -159,27 +202,27 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         flush()
         link = 0
         if tag in _P_ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in ("td", "th", "button", "caption", "table", "object"):
-                    break
-            if tag in _HEADINGS and stack and stack[-1][0] in _HEADINGS:
-                pop(len(stack) - 1)
+            if (k := stack.place(("p",))) > stack.place(_KEEPS_P):
+                pop(k)
+            if tag in _HEADINGS and stack.tags and stack.tags[-1] in _HEADINGS:
+                pop(len(stack.tags) - 1)
         elif tag in _CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _SCOPES[tag]:
-                    break
-                if stack[k][0] in _CLOSES[tag]:
-                    pop(k)
-        if tag == "body" and stack and stack[-1][0] == "head":
-            pop(len(stack) - 1)
-        above = bool(stack) and stack[-1][1]
+            scope = stack.place(_SCOPES[tag])
+            outermost = -1
+            for t in _CLOSES[tag]:
+                for k in reversed(stack.last.get(t, ())):
+                    if k <= scope:
+                        break
+                    outermost = k if outermost < 0 else min(outermost, k)
+            if outermost >= 0:
+                pop(outermost)
+        if tag == "body" and stack.tags and stack.tags[-1] == "head":
+            pop(len(stack.tags) - 1)
+        above = bool(stack.tags) and stack.skipped[-1]
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path", "math"):
-            stack.append((tag, above or _no_content(tag, attributes, any(t in _MAIN for t, _ in stack))))
+            stack.push(tag, above or _no_content(tag, attributes, stack.place(_MAIN) >= 0))
     flush()
-    return out
+    return out, stack.above
 
 
 def _smoothed(x: np.ndarray) -> np.ndarray:
@@ -189,41 +232,54 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
 
 
 def main_text(page: str, threshold: float = THRESHOLD) -> str:
-    found = [b for b in blocks(page) if not b[3]]
+    """Text of the chosen blocks, one to a line (see the head of this module)."""
+    found, above = blocks(page)
+    found = [b for b in found if not b[3]]
     if not found:
         return ""
-    paths: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for path, text, links, _ in found:
-        sums = paths.setdefault(path, [0, 0, 0, 0])
-        sums[0] += 1
-        sums[1] += len(text)
-        sums[2] += len(_PUNCTUATION.findall(text))
-        sums[3] += min(links, len(text))
-    ratio = {p: (s[1] / s[0]) * (0.2 + min(1.0, 12 * s[2] / max(1, s[1]))) * (1 - s[3] / max(1, s[1])) for p, s in paths.items()}
+        own = sums.setdefault(path, [0, 0, 0, 0])
+        own[0] += 1
+        own[1] += len(text)
+        own[2] += len(_PUNCTUATION.findall(text))
+        own[3] += min(links, len(text))
+    ratio = {p: (s[1] / s[0]) * (0.2 + min(1.0, 12 * s[2] / max(1, s[1]))) * (1 - s[3] / max(1, s[1])) for p, s in sums.items()}
     smooth = _smoothed(np.array([ratio[p] for p, _, _, _ in found]))
-    fused: dict[tuple[str, ...], list[float]] = {}  # what a path's own nodes have after smoothing, with the path's own ratio
+    fused: dict[int, list[float]] = {}  # what a path's own nodes have after smoothing, with the path's own ratio
     for (path, _, _, _), v in zip(found, smooth, strict=True):
         f = fused.setdefault(path, [0.0, 0])
         f[0] += v
         f[1] += 1
     score = {p: 0.5 * ratio[p] + 0.5 * f[0] / f[1] for p, f in fused.items()}
-    least = threshold * float(np.std(smooth)) if len(paths) > 1 else 0.0
-    chosen = {p for p, v in score.items() if v >= least and v > 0}
-    if marked := {p for p in paths if _MAIN & set(p)}:
-        # where a page names its main part, chosen paths outside it are no content, unless the part is almost empty
-        if 4 * sum(paths[p][1] for p in marked) >= sum(paths[p][1] for p in chosen):
-            return "\n".join(text for path, text, links, _ in found if path in marked and not _menu(paths[path]))
-    if not chosen:
-        chosen = {max(score, key=lambda p: (score[p], p))}
-    weight: dict[tuple[str, ...], float] = {}
+    named = _within(above, {p for p, (_, tag) in enumerate(above) if tag in _MAIN})
+    for p in score:
+        if p in named:
+            score[p] *= MAIN_WEIGHT
+    least = threshold * float(np.std(smooth)) if len(sums) > 1 else 0.0
+    chosen = {p for p, v in score.items() if v >= least and v > 0} or {max(score, key=lambda p: (score[p], p))}
+    weight: dict[int, float] = {}
     for p in chosen:
-        weight[p[:-1]] = weight.get(p[:-1], 0) + paths[p][1]
+        weight[above[p][0]] = weight.get(above[p][0], 0) + sums[p][1] * (MAIN_WEIGHT if p in named else 1)
     best = max(weight.values())
     containers = {c for c, w in weight.items() if 4 * w >= best}
-    keep = {p for p in paths if (p in chosen and p[:-1] in containers) or (any(c and p[: len(c)] == c for c in containers) and not _menu(paths[p]))}
+    body = {p for p in containers if p <= 0 or above[p][1] in ("html", "body")}
+    inside = _within(above, containers - body)
+    # right below the body stand the page's other parts too: of lists that are links almost alone none is kept there
+    loose = _within(above, body) if body else set()
+    keep = {p for p in sums if (p in chosen and above[p][0] in containers) or p in inside or (p in loose and not _menu(sums[p]))}
     return "\n".join(text for path, text, _, _ in found if path in keep or not path)
 
 
+def _within(above: list[tuple[int, str]], roots: set[int]) -> set[int]:
+    """The paths at or below some paths; a path's number is greater than that of the path above it."""
+    out = set(roots)
+    for p, (up, _) in enumerate(above):
+        if up in out:
+            out.add(p)
+    return out
+
+
 def _menu(sums: list[float]) -> bool:
     """A path of more than one node that is links almost alone."""
     return sums[0] > 2 and sums[3] > 0.8 * sums[1]
@@ -239,7 +295,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page (page_id, url, html).
 
     Pages are read one by one, so repeated rows, ties and null ids stay as they are.  A null or empty page, and one
-    without text, has an empty text.  Markup that is cut off or not closed is read to its end.  An empty table gives an
+    without text, has an empty text.  Time and memory grow with a page's length, whatever the depth of its elements; nothing
+    is cut from a long one.  Markup that is cut off or not closed is read to its end.  An empty table gives an
     empty result; further columns are ignored.
     """
     tune(pages.sparkSession)

@@ -402,6 +402,29 @@ def test_parts_inside_the_main_part():
     assert html.main_text(table) == "Old pages were laid out in tables, with text like this one.\nYes."
 
 
+def test_scores_decide_where_article_elements_are_small_boxes():
+    story = "".join(f"<p>Part {i} of the story, told at some length, with marks; it goes on, and on.</p>" for i in range(12))
+    cards = "".join(f"<article class=card><h3>Card {i}</h3><p>A short text</p></article>" for i in range(4))
+    got = html.main_text(f"<body><div class=story><h1>Story</h1>{story}</div><section>{cards}</section></body>").split("\n")
+    assert [x for x in got if x.startswith("Part")] == [f"Part {i} of the story, told at some length, with marks; it goes on, and on." for i in range(12)] and "Story" in got
+
+
+def test_linked_sources_of_an_article_are_kept_and_a_menu_is_not():
+    text = "<h1>T</h1><p>The text of it, as long as text is, in whole sentences.</p><p>More text, with marks, of course.</p>"
+    links = "".join(f"<li><a href=/{i}>Source {i}</a>" for i in range(5))
+    for tag in ("article", "main", "div"):
+        assert html.main_text(f"<body><{tag}>{text}<ul>{links}</ul></{tag}></body>").endswith("Source 3\nSource 4")
+    assert html.main_text(f"<body>{text}<ul>{links}</ul></body>").endswith("of course.")
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    page = "<div>" * 8000 + "".join(f"<p>Text node {i}, of some length.<i>x</i>" for i in range(8000))
+    began = time.perf_counter()
+    assert html.main_text(page).count("\n") == 7999 and time.perf_counter() - began < 5
+
+
 def test_pages_of_the_table(spark, data):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     rows = catalog.op6_main_text(spark, data).collect()

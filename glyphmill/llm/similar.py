@@ -3,17 +3,24 @@
 A document is its set of distinct word shingles, as 64-bit hashes.  All sets are put in one global order, rare shingles
 first (by a count sketch over the whole corpus, then by hash).  If two sets of sizes n and m have a Jaccard coefficient
 of at least t, they share at least T = ceil(t * max(n, m)) shingles, so for every l up to T the first n - ceil(t n) + l
-shingles of one and the first m - ceil(t m) + l of the other have l in common.  Each document picks its own l: a longer
-prefix costs more postings, but partners must then share l of them, so crowded documents take a larger l.  A pair is
-verified only if it shares the lesser of both l, and if a parity bitmap allows the overlap.
+shingles of one and the first m - ceil(t m) + l of the other have l in common.
+
+The index.  A document whose prefix ends in crowded shingles lengthens it, if its own share of the candidates that these
+would bring costs more than the longer prefix's postings; partners must then share two of its shingles.  Let s be the
+first shingle that two linked documents have in common.  If s is not crowded, both stand in the list of s.  If it is, and
+both are lengthened, they have a second one, t, behind it, and both stand in the list of the pair (s, t); in the list of s
+itself a lengthened document is a guest, which meets those that are not lengthened and no other guest.  So a passage that
+many documents share brings them together only where a second shingle does, and this is decided by lists of keys, before
+any text moves.
 
 Linked documents meet at their first common shingle.  If it stands at place i of a set of n, at most n - i shingles can
 be shared, so the partner has at most (n - i) (1 + t) / t - n shingles; places with no partner of a size that suits both
-are passed over.  The others meet in the group of the shingle's hub (the document with the most popular prefix among
+are passed over.  The others meet in the group of the list's hub (the document with the most popular prefix among
 them), so that a family of copies has few groups, not one for each shingle.  There each is compared with the hub, which is
 linear in the group; those that do not link to it are compared with all others, in blocks of which a task sees two.
-Pairs are not emitted: a task returns a spanning forest of the links it has verified, and components are made from the
-forests.
+A pair is verified only if it shares as many shingles of its prefixes as both ask for (up to MOST_MATCHES), and if a parity
+bitmap allows the overlap.  Pairs are not emitted: a task returns a spanning forest of the links it has verified, and
+components are made from the forests.
 """
 
 from __future__ import annotations
@@ -32,10 +39,15 @@ from glyphmill.llm.session import stored, tune
 
 #: Links need 100 * shared >= PERCENT * union.
 PERCENT = 75
-#: Counters of the sketch: a fixed number, so what is broadcast (4 bytes each) does not grow with the corpus.
-COUNTERS = 1 << 20
+#: Counters of the sketch (4 bytes each are broadcast) and bits of the filter that passes over texts before a join: as many
+#: as the corpus has use for, between the two numbers, so that what is broadcast is bounded by 32 MB each.  Results do not
+#: depend on either: what the filter lets through wrongly the join drops.
+COUNTERS = (1 << 20, 1 << 23)
+FILTER_BITS = (1 << 26, 1 << 28)
 _BLOCKS = 128
-#: The longest prefix extension that a document may pick.
+#: A shingle in so many documents, beyond what the sketch's noise explains, is crowded.
+CROWDED = 32
+#: The most matches that a document asks for in a task.
 MOST_MATCHES = 8
 #: What verifying a candidate costs, in postings.
 VERIFY_COST = 4.0
@@ -44,12 +56,20 @@ BLOCK = 384
 _BITS = 1024
 #: Postings of a shingle that are compared one by one with those after them, by size; and how many a task holds.
 _NEAR, _TOGETHER = 16, 1 << 18
-#: Bits of the filter that passes over texts before a join: a fixed number.  What it lets through wrongly the join drops.
-FILTER_BITS = 1 << 26
 #: Stands for a null doc_id where ids are compared.
 _NO_ID = -(2**63) + 1
 
 
+def _sized(rows: int, bounds: tuple[int, int]) -> int:
+    """The power of two next above the number of rows times 16, inside the bounds."""
+    return min(bounds[1], max(bounds[0], 1 << (16 * rows).bit_length()))
+
+
+def _shift(n: int) -> np.uint64:
+    """How far a 64-bit hash is shifted to be a place of ``n``, a power of two."""
+    return np.uint64(64 - n.bit_length() + 1)
+
+
 def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all texts (by text, ascending) and their n+1 offsets."""
     hashed, _, _, bounds = words.word_spans(texts)
@@ -83,34 +103,45 @@ def _unpacked(raw: bytes) -> bytes:
 _PROFILE = "doc_id bigint, n_shingles bigint, key bigint, key2 bigint, block int, counts binary"
 
 
-def _profile(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile(counters: int):
     """A row for each document with its set's size and keys; then the task's part of the sketch, in blocks."""
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    shift = np.uint64(64 - COUNTERS.bit_length() + 1)
-    waiting, held = [], 0
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
-    for batch, texts in words.batches(rows):
-        grams, offsets = _sets(texts)
-        a, b = _keys(grams, offsets)
-        waiting.append((grams >> shift).astype(np.int64))
-        held += len(grams)
-        if held > 1 << 21:
-            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-            waiting, held = [], 0
-        n = len(texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-    if waiting:
-        counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-    parts = np.minimum(counts, 2**32 - 1).astype("<u4").reshape(_BLOCKS, -1)
-    keep = [i for i in range(_BLOCKS) if parts[i].any()]
-    none = pa.nulls(len(keep), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keep, pa.int32()), pa.array([_packed(parts[i].tobytes()) for i in keep], pa.binary())], schema=schema)
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(counters, dtype=np.uint32)
+        shift = _shift(counters)
+        waiting, held = [], 0
+
+        def count() -> None:
+            """Counts end at the largest value of 32 bits."""
+            at, n = np.unique(np.concatenate(waiting), return_counts=True)
+            counts[at] = np.minimum(counts[at].astype(np.int64) + n, 2**32 - 1)
+
+        for batch, texts in words.batches(rows):
+            grams, offsets = _sets(texts)
+            a, b = _keys(grams, offsets)
+            waiting.append((grams >> shift).astype(np.int64))
+            held += len(grams)
+            if held > 1 << 21:
+                count()
+                waiting, held = [], 0
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        if waiting:
+            count()
+        parts = counts.astype("<u4", copy=False).reshape(_BLOCKS, -1)
+        keep = [i for i in range(_BLOCKS) if parts[i].any()]
+        none = pa.nulls(len(keep), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keep, pa.int32()), pa.array([_packed(parts[i].tobytes()) for i in keep], pa.binary())], schema=schema)
+
+    return run
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // _BLOCKS, dtype=np.uint64)
+    total = None
     for x in group.column("counts").to_pylist():
-        total += np.frombuffer(_unpacked(x), dtype="<u4")
+        own = np.frombuffer(_unpacked(x), dtype="<u4").astype(np.uint64)
+        total = own if total is None else total + own
     return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
 
@@ -119,16 +150,21 @@ class Order:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-        self.shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+        self.shift = _shift(len(counts))
         mean = float(counts.mean())
         self.noise = mean + 4 * np.sqrt(mean)
 
-    def prefixes(self, grams: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """For each set: its prefix, the matches it asks for, and how popular the prefix is."""
+    def ranked(self, grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each set's shingles in the global order, and how popular they are beyond the noise."""
         often = self.counts[(grams >> self.shift).astype(np.int64)]
         size = np.diff(offsets)
         order = np.lexsort((grams, often, np.repeat(np.arange(len(size)), size)))
-        ranked, popular = grams[order], np.maximum(0.0, often[order] - self.noise)
+        return grams[order], np.maximum(0.0, often[order] - self.noise)
+
+    def prefixes(self, grams: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """For each set: its prefix, the matches it asks for, and how popular the prefix is."""
+        ranked, popular = self.ranked(grams, offsets)
+        size = np.diff(offsets)
         summed = np.concatenate(([0.0], np.cumsum(popular)))
         out, matches, strength = [], np.ones(len(size), dtype=np.int64), np.zeros(len(size))
         for i in np.flatnonzero(size):
@@ -149,23 +185,47 @@ class Order:
         return out, matches, strength
 
 
+def postings(ranks: Order, grams: np.ndarray, offsets: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, ``placed``, set) of the sets numbered ``of``, none of them empty: see the head of this module."""
+    ranked, popular = ranks.ranked(grams, offsets)
+    size, start = np.diff(offsets)[of], offsets[:-1][of]
+    least = -(-PERCENT * size // 100)
+    first = size - least + 1  # where the first common shingle of a link can stand
+    own = np.repeat(np.arange(len(of)), first)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(first) - first, first)
+    at = start[own] + place
+    crowded = popular[at] > CROWDED
+    n_crowded = np.bincount(own[crowded], minlength=len(of))
+    candidates = VERIFY_COST * np.bincount(own[crowded], popular[at[crowded]], len(of))
+    pairs = n_crowded * (n_crowded + 1) // 2  # postings of the longer prefix; no more than those of the plain one
+    longer = (n_crowded > 0) & (least >= 2) & (pairs <= first) & (pairs < candidates)
+    strength = np.bincount(own, popular[at], len(of)) / first
+    weak = (_GUEST - 1 - np.minimum(_GUEST - 1, 1500 * np.log1p(strength))).astype(np.int64)
+    guest = crowded & longer[own]
+    lists, told, whose = [ranked[at]], [placed(size[own], place, np.where(guest, _GUEST, weak[own]))], [own]
+    for i in np.flatnonzero(longer).tolist():  # the crowded shingles are the last of the prefix
+        m = int(n_crowded[i])
+        a, b = np.triu_indices(m + 1, 1)
+        begin = int(first[i]) - m
+        shingles = ranked[start[i] + begin : start[i] + begin + m + 1]
+        lists.append(words.mix(shingles[a] + words.mix(shingles[b])))
+        told.append(placed(np.full(len(a), size[i]), begin + a, np.full(len(a), weak[i])))
+        whose.append(np.full(len(a), i))
+    return np.concatenate(lists), np.concatenate(told), np.concatenate(whose)
+
+
 def _postings(order):
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Order(np.frombuffer(order.value, dtype="<u4"))
         for _, texts in words.batches(rows):
             grams, offsets = _sets(texts)
             key, _ = _keys(grams, offsets)
-            prefixes, _, strength = ranks.prefixes(grams, offsets)
-            size = np.diff(offsets)
             seen = np.unique(key, return_index=True)[1]  # copies of one batch have one set of postings
-            seen = seen[size[seen] > 0]
+            seen = seen[np.diff(offsets)[seen] > 0]
             if not len(seen):
                 continue
-            first = size[seen] - -(-PERCENT * size[seen] // 100) + 1  # where the first common shingle of a link can stand
-            weak = (_MOST_WEAK - np.minimum(_MOST_WEAK, 1500 * np.log1p(strength[seen]))).astype(np.int64)
-            place = placed(np.repeat(size[seen], first), np.concatenate([np.arange(f) for f in first]), np.repeat(weak, first))
-            shingle = np.concatenate([prefixes[i][:f] for i, f in zip(seen, first, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array((shingle & _SHORTENED).view(np.int64)), pa.array(place), pa.array(np.repeat(key[seen], first))], names=["shingle", "place", "key"])
+            shingle, place, own = postings(ranks, grams, offsets, seen)
+            yield pa.RecordBatch.from_arrays([pa.array((shingle & _SHORTENED).view(np.int64)), pa.array(place), pa.array(key[seen][own])], names=["shingle", "place", "key"])
 
     return run
 
@@ -176,6 +236,8 @@ _SHORTENED = np.uint64(2**64 - 2**16)
 #: Bits of a set's size, of a place in it, and of how weak a document is as a hub: together one long.
 _SIZE_BITS, _WEAK_BITS = 24, 15
 _MOST_SIZE, _MOST_WEAK = (1 << _SIZE_BITS) - 1, (1 << _WEAK_BITS) - 1
+#: The weakest: a document that meets no other of this kind in the list.
+_GUEST = _MOST_WEAK
 
 
 def placed(size: np.ndarray, place: np.ndarray, weak: np.ndarray) -> np.ndarray:
@@ -191,6 +253,7 @@ def meetings(shingle: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndar
     new[1:] = (shingle[1:] != shingle[:-1]) | (place[1:] != place[:-1]) | (key[1:] != key[:-1])
     shingle, place, key = (x[new] for x in (shingle, place, key))
     size, weak = place >> (_SIZE_BITS + _WEAK_BITS), place & _MOST_WEAK
+    guest = weak == _GUEST
     most = (size - ((place >> _WEAK_BITS) & _MOST_SIZE)) * (100 + PERCENT) // PERCENT - size  # the largest partner
     start = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
     length = np.diff(np.append(start, len(shingle)))
@@ -199,11 +262,13 @@ def meetings(shingle: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndar
         both = np.flatnonzero(shingle[apart:] == shingle[:-apart])
         if not len(both):
             break
-        both = both[(size[both + apart] <= most[both]) & (size[both] <= most[both + apart])]
+        both = both[(size[both + apart] <= most[both]) & (size[both] <= most[both + apart]) & ~(guest[both] & guest[both + apart])]
         suits[both] = suits[both + apart] = True
     if (length > _NEAR + 1).any():  # in long lists: those that suit the least size, and that some other can suit
         far = np.repeat(length > _NEAR + 1, length)
-        suits |= far & (most >= np.repeat(size[start], length)) & (size <= np.repeat(np.maximum.reduceat(most, start), length))
+        over = lambda x: np.repeat(x, length)
+        suits |= far & ~guest & (most >= over(size[start])) & (size <= over(np.maximum.reduceat(most, start)))
+        suits |= far & guest & (most >= over(np.minimum.reduceat(np.where(guest, _MOST_SIZE + 1, size), start))) & (size <= over(np.maximum.reduceat(np.where(guest, -1, most), start)))
     at = np.flatnonzero(suits)
     if not len(at):
         return np.zeros((0, 2), dtype=np.int64)
@@ -245,38 +310,42 @@ def _meetings(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _filter_places(key: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The filter's bit for each (set key, doc_id)."""
-    return (words.mix(key.view(np.uint64) ^ words.mix(own.view(np.uint64))) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+def _filter_places(key: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """The filter's bit, of ``n``, for each (set key, doc_id)."""
+    return (words.mix(key.view(np.uint64) ^ words.mix(own.view(np.uint64))) >> _shift(n)).astype(np.int64)
 
 
-def _filter_bits(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    for batch in rows:
-        key, own = (np.ascontiguousarray(c.to_numpy()) for c in batch.columns)
-        bits[_filter_places(key, own)] = True
-    packed = np.packbits(bits, bitorder="little").reshape(_BLOCKS, -1)
-    keep = [i for i in range(_BLOCKS) if packed[i].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([_packed(packed[i].tobytes()) for i in keep], pa.binary())], names=["block", "counts"])
+def _filter_bits(n: int):
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.zeros(n // 8, dtype=np.uint8)
+        for batch in rows:
+            at = _filter_places(*(np.ascontiguousarray(c.to_numpy()) for c in batch.columns), n)
+            np.bitwise_or.at(packed, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        packed = packed.reshape(_BLOCKS, -1)
+        keep = [i for i in range(_BLOCKS) if packed[i].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([_packed(packed[i].tobytes()) for i in keep], pa.binary())], names=["block", "counts"])
+
+    return run
 
 
 def _united(group: pa.Table) -> pa.Table:
-    bits = np.zeros(FILTER_BITS // 8 // _BLOCKS, dtype=np.uint8)
+    bits = None
     for x in group.column("counts").to_pylist():
-        bits |= np.frombuffer(_unpacked(x), dtype=np.uint8)
+        own = np.frombuffer(_unpacked(x), dtype=np.uint8)
+        bits = own if bits is None else bits | own
     return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "counts": pa.array([bits.tobytes()], pa.binary())})
 
 
-def _key_filter(pairs: DataFrame):
-    """A broadcast filter of (key, doc_id) pairs: FILTER_BITS / 8 bytes, however many there are."""
-    bits = np.zeros((_BLOCKS, FILTER_BITS // 8 // _BLOCKS), dtype=np.uint8)
-    for r in pairs.mapInArrow(_filter_bits, "block int, counts binary").groupBy("block").applyInArrow(_united, "block int, counts binary").collect():
+def _key_filter(pairs: DataFrame, n: int):
+    """A broadcast filter of (key, doc_id) pairs: ``n`` / 8 bytes, however many there are."""
+    bits = np.zeros((_BLOCKS, n // 8 // _BLOCKS), dtype=np.uint8)
+    for r in pairs.mapInArrow(_filter_bits(n), "block int, counts binary").groupBy("block").applyInArrow(_united, "block int, counts binary").collect():
         bits[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint8)
     return pairs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
 def _passes(kept: np.ndarray, key: np.ndarray, own: pa.Array) -> np.ndarray:
-    at = _filter_places(key, own.cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False))
+    at = _filter_places(key, own.cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False), 8 * len(kept))
     return (kept[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -429,7 +498,7 @@ def _verified(order):
 
 
 def _all_edges(members: DataFrame, texts: DataFrame, order, parts: int) -> DataFrame:
-    """Edges that connect all documents of a group (hub, key) that links connect.
+    """Edges that connect all documents of a group (hub, key, rep) that links connect.
 
     First every document is compared with its hub, which is linear in the group.  Only pairs with a document that is not
     linked to its hub (a loose one) are left: loose blocks meet each other and the blocks of the others, cell by cell.
@@ -437,7 +506,7 @@ def _all_edges(members: DataFrame, texts: DataFrame, order, parts: int) -> DataF
     counted = members.join(members.groupBy("hub").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("n")), "hub")
     block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     part = F.when(F.col("key") == F.col("hub"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(block(F.col("n"))))
-    rays = counted.select("hub", F.explode(part).alias("part"), (F.col("key") != F.col("hub")).alias("other"), (F.col("n") == 1).alias("alone"), "key").join(texts, "key")
+    rays = counted.select("hub", F.explode(part).alias("part"), (F.col("key") != F.col("hub")).alias("other"), (F.col("n") == 1).alias("alone"), "key", "rep").join(texts, ["key", "rep"])
     rays = rays.select("hub", "part", "other", "alone", "key", "packed").repartition(parts, "hub", "part").sortWithinPartitions("hub", "part", "other")
     stars = stored(rays.mapInArrow(_starred(order), _STAR), "stars")
 
@@ -482,7 +551,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
     schema = docs.withColumn(name, F.lit(None).cast("bigint")).schema
-    kept = _key_filter(touched.select("key", "id"))
+    kept = _key_filter(touched.select("key", "id"), _sized(found.count(), FILTER_BITS))
     sure = docs.mapInArrow(_marked(kept, name, False), schema)
     asked = docs.mapInArrow(_marked(kept, name, True), schema)
     known = touched.select(F.col("key").alias(f"{name}key"), F.col("id").alias(f"{name}id"), F.col("leaves").alias(f"{name}leaves"))
@@ -501,26 +570,28 @@ def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
     fewer words is one shingle; a null text or one without words has none and is linked with nothing.  Repeated rows are
     equal sets.  A null doc_id takes part; its component is the least other id reached, else null.  An empty table gives
     an empty result; further columns are ignored.  ``with_key`` adds the set's hash.  Nothing is
-    capped: every pair that can link meets in a task.  Only the sketch and the filter, both of a fixed size, are collected.
+    capped: every pair that can link meets in a task.  Only the sketch and the filter, both of a bounded size, are collected.
     """
     spark = tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(rows.mapInArrow(_profile, _PROFILE), "profile")
+    n_rows = docs.count()
+    counters = _sized(n_rows, COUNTERS)
+    profile = stored(rows.mapInArrow(_profile(counters), _PROFILE), "profile")
     own = profile.where("block is null").drop("block", "counts")
-    counts = np.zeros((_BLOCKS, COUNTERS // _BLOCKS), dtype="<u4")
+    counts = np.zeros((_BLOCKS, counters // _BLOCKS), dtype="<u4")
     for r in profile.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_summed, "block int, counts binary").collect():
         counts[r["block"]] = np.frombuffer(r["counts"], dtype="<u4")
     order = spark.sparkContext.broadcast(counts.tobytes())
 
-    postings = rows.select("text").mapInArrow(_postings(order), "shingle bigint, place bigint, key bigint")
+    posted = rows.select("text").mapInArrow(_postings(order), "shingle bigint, place bigint, key bigint")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "place", "key").mapInArrow(_meetings, "hub bigint, key bigint")
-    members = stored(met.distinct(), "members")
-
+    met = posted.repartition(parts, "shingle").sortWithinPartitions("shingle", "place", "key").mapInArrow(_meetings, "hub bigint, key bigint")
     least = own.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"))
-    wanted = members.select("key").distinct().join(least, "key").select("key", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"))
-    # what the filter lets through beside them meets no group, or is a copy there
-    texts = rows.mapInArrow(_picked(_key_filter(wanted)), "key bigint, rep bigint, packed binary").select("key", "packed")
+    members = stored(met.distinct().join(least.select("key", F.coalesce("rep", F.lit(_NO_ID)).alias("rep")), "key"), "members")
+
+    # one text of each set: that of its least id, and of copies with one id (or with none) any one, as they are equal
+    picked = rows.mapInArrow(_picked(_key_filter(members.select("key", "rep").distinct(), _sized(n_rows, FILTER_BITS))), "key bigint, rep bigint, packed binary")
+    texts = picked.groupBy("key", "rep").agg(F.first("packed").alias("packed"))
     edges = _all_edges(members, texts, order, parts)
     roots = components(edges)
 

@@ -94,6 +94,49 @@ def test_postings_that_outgrow_a_task():
     assert len({h for h, _ in found}) == 1 and {k for _, k in found} == set(range(1, 61))
 
 
+def index(texts):
+    """(hub, key) pairs of some texts by the index alone, and how many postings it has."""
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    grams, offsets = similar._sets(raw)
+    counts = np.bincount((grams >> similar._shift(1 << 20)).astype(np.int64), minlength=1 << 20)
+    shingle, place, own = similar.postings(similar.Order(counts.astype("<u4")), grams, offsets, np.arange(len(texts)))
+    shingle = (shingle & similar._SHORTENED).view(np.int64)
+    order = np.lexsort((own, place, shingle))
+    return similar.meetings(shingle[order], place[order], own[order]), len(shingle)
+
+
+def test_a_common_passage_brings_nobody_together(spark, monkeypatch):
+    """Documents whose prefix ends in the same crowded shingle meet only where they share a second one."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(13)]
+    texts = [" ".join(passage + [word() for _ in range(3)]) for _ in range(150)]  # 9 crowded shingles of 12, one in the prefix
+    texts += [texts[3] + " " + word(), texts[8] + " " + word()]
+    short = [" ".join(passage[:6] + [word()]) for _ in range(100)]
+    met, n = index(texts + short)
+    monkeypatch.setattr(similar, "CROWDED", 10**9)
+    plain, n_plain = index(texts + short)
+    assert len(met) < len(plain) / 4 and n <= 2 * n_plain and {3, 150} <= set(met[:, 1].tolist())
+    monkeypatch.undo()
+    compare(spark, [(i, t) for i, t in enumerate(texts + short)])
+
+
+@pytest.mark.parametrize("crowded", [0, 3])
+def test_any_threshold_of_crowds_gives_the_same(spark, monkeypatch, crowded):
+    """Lengthened documents, guests and plain ones in all mixtures."""
+    rows = family(5, 40, 30, 9)
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    met, _ = index([t for _, t in rows])
+    groups = defaultdict(set)
+    for hub, key in met.tolist():
+        groups[hub].add(key)
+    sets = [shingles(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert linked and all(any(i in g and j in g for g in groups.values()) for i, j in linked)
+
+
 def test_odd_rows(spark, odd, nothing):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = sorted((tuple(r) for r in similar.classes(odd).collect()), key=repr)

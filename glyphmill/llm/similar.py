@@ -51,8 +51,8 @@ CROWDED = 32
 MOST_MATCHES = 8
 #: What verifying a candidate costs, in postings.
 VERIFY_COST = 4.0
-#: Documents of a block; a task holds two blocks.
-BLOCK = 384
+#: Documents of a block; a task holds two blocks.  And those that are compared with their hub together.
+BLOCK, RAYS = 384, 256
 _BITS = 1024
 #: Postings of a shingle that are compared one by one with those after them, by size; and how many a task holds.
 _NEAR, _TOGETHER = 16, 1 << 18
@@ -61,8 +61,8 @@ _NO_ID = -(2**63) + 1
 
 
 def _sized(rows: int, bounds: tuple[int, int]) -> int:
-    """The power of two next above the number of rows times 16, inside the bounds."""
-    return min(bounds[1], max(bounds[0], 1 << (16 * rows).bit_length()))
+    """The power of two next above the number of rows times 4, inside the bounds."""
+    return min(bounds[1], max(bounds[0], 1 << (4 * rows).bit_length()))
 
 
 def _shift(n: int) -> np.uint64:
@@ -503,7 +503,7 @@ def _all_edges(members: DataFrame, texts: DataFrame, order, parts: int) -> DataF
     First every document is compared with its hub, which is linear in the group.  Only pairs with a document that is not
     linked to its hub (a loose one) are left: loose blocks meet each other and the blocks of the others, cell by cell.
     """
-    counted = members.join(members.groupBy("hub").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("n")), "hub")
+    counted = members.join(members.groupBy("hub").agg(F.ceil(F.count("*") / RAYS).cast("int").alias("n")), "hub")
     block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     part = F.when(F.col("key") == F.col("hub"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(block(F.col("n"))))
     rays = counted.select("hub", F.explode(part).alias("part"), (F.col("key") != F.col("hub")).alias("other"), (F.col("n") == 1).alias("alone"), "key", "rep").join(texts, ["key", "rep"])
@@ -551,7 +551,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
     schema = docs.withColumn(name, F.lit(None).cast("bigint")).schema
-    kept = _key_filter(touched.select("key", "id"), _sized(found.count(), FILTER_BITS))
+    kept = _key_filter(touched.select("key", "id"), _sized(64 * found.count(), FILTER_BITS))
     sure = docs.mapInArrow(_marked(kept, name, False), schema)
     asked = docs.mapInArrow(_marked(kept, name, True), schema)
     known = touched.select(F.col("key").alias(f"{name}key"), F.col("id").alias(f"{name}id"), F.col("leaves").alias(f"{name}leaves"))
@@ -590,7 +590,7 @@ def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
     members = stored(met.distinct().join(least.select("key", F.coalesce("rep", F.lit(_NO_ID)).alias("rep")), "key"), "members")
 
     # one text of each set: that of its least id, and of copies with one id (or with none) any one, as they are equal
-    picked = rows.mapInArrow(_picked(_key_filter(members.select("key", "rep").distinct(), _sized(n_rows, FILTER_BITS))), "key bigint, rep bigint, packed binary")
+    picked = rows.mapInArrow(_picked(_key_filter(members.select("key", "rep").distinct(), _sized(64 * n_rows, FILTER_BITS))), "key bigint, rep bigint, packed binary")
     texts = picked.groupBy("key", "rep").agg(F.first("packed").alias("packed"))
     edges = _all_edges(members, texts, order, parts)
     roots = components(edges)

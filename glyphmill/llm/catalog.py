@@ -53,7 +53,8 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages, URL_RULES, urls.mine(urls.labelled_pages(pages, table(spark, sf_dir, "labels"))))
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return urls.judge(pages, URL_RULES, urls.mine(urls.labelled_pages(pages, model)))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""URL filtering: given host and path rules first, then association rules that FP-growth mines from labelled pages."""
+"""URL filtering: given host and path rules first, then association rules that FP-growth mines from labelled pages.
+
+Whole URLs are read: every host suffix, path part and query name is a token.  Tokens that too few bad pages have can be in
+no frequent combination and are left out before FP-growth; of tokens that the same labelled pages have, one stands for all.
+What is left is mined to any length.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +11,19 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.session import tune
+from glyphmill.llm import html, quality
+from glyphmill.llm.session import stored, tune
 
-#: Of the pages labelled bad, the share that a token combination must hold.
-MIN_SUPPORT = 0.01
-#: Of the labelled pages with a combination, the share that must be bad; and how many bad ones there must be.
-MIN_CONFIDENCE, MIN_COUNT = 0.6, 20
-#: Tokens of a combination at most.  With MIN_SUPPORT this bounds the rules at any size of the input: a page of t tokens
-#: has at most t + t(t-1)/2 + t(t-1)(t-2)/6 combinations, so no more than that over MIN_SUPPORT are frequent.
-MOST_TOKENS = 3
-#: Distinct tokens that a page's transaction keeps; longer URLs keep their host and first path tokens first.
-PAGE_TOKENS = 16
+#: Of the pages labelled bad, the share that a token combination must hold, and how many there must be.
+MIN_SUPPORT, MIN_COUNT = 0.01, 3
+#: Of the labelled pages with a combination, the share that must be bad.
+MIN_CONFIDENCE = 0.6
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _RULE = "verdict string, host string, path string"
@@ -39,18 +39,27 @@ def parts(url: str | None) -> tuple[str, str]:
 
 
 def url_tokens(url: str | None) -> list[str]:
-    """Distinct tokens of a URL, digits as one sign: scheme, each host suffix, path parts with their place, query names."""
+    """Distinct tokens of a whole URL, digits as one sign: scheme, host suffixes, words of the host, path parts with their
+    place, the path's last ending, query names and whether there is a fragment."""
     host, path = parts(url)
     if not url:
         return []
-    out = [f"scheme={url.partition('://')[0][:20].translate(_UPPER)}"] if "://" in url else []
+    out = [f"scheme={url.partition('://')[0].translate(_UPPER)}"] if "://" in url else []
     labels = re.sub(r"\d+", "0", host).split(".") if host else []
-    out += [f"host={'.'.join(labels[-k:])}" for k in range(1, min(len(labels), 5) + 1)]
+    suffix = ""
+    for label in reversed(labels):
+        suffix = f"{label}.{suffix}" if suffix else label
+        out.append(f"host={suffix}")
     out += [f"word={w}" for label in labels[:-2] for w in label.split("-") if w]
-    out += [f"path{k}={p[:60]}" for k, p in enumerate(re.sub(r"\d+", "0", path).strip("/").split("/")[:4]) if p]
+    ways = re.sub(r"\d+", "0", path).strip("/").split("/")
+    out += [f"path{k}={p}" for k, p in enumerate(ways) if p]
+    if "." in ways[-1]:
+        out.append(f"ending={ways[-1].rpartition('.')[2]}")
     query = url.partition("?")[2].partition("#")[0]
-    out += [f"query={q.partition('=')[0][:40]}" for q in query.split("&")[:6] if q]
-    return list(dict.fromkeys(out))[:PAGE_TOKENS]
+    out += [f"query={q.partition('=')[0]}" for q in query.split("&") if q]
+    if "#" in url:
+        out.append("fragment")
+    return list(dict.fromkeys(out))
 
 
 class GivenRules:
@@ -96,21 +105,28 @@ def _tokens(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(url_tokens, batch.column(0).to_pylist()), pa.list_(pa.string())), batch.column(1)], names=["items", "bad"])
 
 
-def _combinations(wanted: set[tuple[str, ...]]):
+def _counted(wanted: list[tuple[str, ...]]):
+    """A task's pages and bad pages with each wanted combination, found by an inverted index on one of its tokens."""
+
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, ...], list[int]] = {}
-        singles = {t for c in wanted for t in c}
+        often: dict[str, int] = defaultdict(int)
+        for c in wanted:
+            for t in c:
+                often[t] += 1
+        index: dict[str, list[int]] = defaultdict(list)
+        for k, c in enumerate(wanted):
+            index[min(c, key=lambda t: (often[t], t))].append(k)
+        pages, bad = [0] * len(wanted), [0] * len(wanted)
         for batch in rows:
-            for items, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = sorted(t for t in items if t in singles)
-                for k in range(1, MOST_TOKENS + 1):
-                    for c in combinations(own, k):
-                        if c in wanted:
-                            n = total.setdefault(c, [0, 0])
-                            n[0] += 1
-                            n[1] += bad
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.string())), pa.array([total[k][0] for k in keys], pa.int64()), pa.array([total[k][1] for k in keys], pa.int64())], names=["items", "pages", "bad"])
+            for items, is_bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                have = set(items)
+                for t in items:
+                    for k in index.get(t, ()):
+                        if have.issuperset(wanted[k]):
+                            pages[k] += 1
+                            bad[k] += is_bad
+        seen = [k for k, n in enumerate(pages) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([pages[k] for k in seen], pa.int64()), pa.array([bad[k] for k in seen], pa.int64())], names=["k", "pages", "bad"])
 
     return run
 
@@ -118,21 +134,37 @@ def _combinations(wanted: set[tuple[str, ...]]):
 def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> list[tuple[tuple[str, ...], float, int]]:
     """Rules (tokens, confidence, bad pages) from rows of (url, bad 0/1).
 
-    FP-growth finds the token combinations that are frequent among bad pages; their counts over all labelled pages give
-    each one's confidence.  A rule is dropped if a shorter one inside it is as confident.  Their number is bounded (see
-    MOST_TOKENS), so they are small enough for the driver.  No labelled or no bad pages: no rules.
+    FP-growth finds the token combinations, of any length, that are frequent among bad pages; their counts over all labelled
+    pages give each one's confidence.  A rule is dropped if a shorter one inside it is as confident.  What comes to the
+    driver are tokens and combinations that a share MIN_SUPPORT of the bad pages have, so their number is bounded by the
+    length of URLs, not by the number of pages.  No labelled or no bad pages: no rules.
     """
     tune(labelled.sparkSession)
     items = labelled.select(F.col("url").cast("string").alias("url"), F.col("bad").cast("int").alias("bad")).where("bad is not null").mapInArrow(_tokens, "items array<string>, bad int")
-    n_bad = items.where("bad = 1").count()
-    if n_bad < min_count:
+    items = stored(items, "tokens")
+    bad = items.where("bad = 1")
+    n_bad = bad.count()
+    least = max(min_count, math.ceil(min_support * n_bad))
+    # which pages have a token is told by their number and the sum of their transactions' hashes
+    told = items.select("bad", F.explode("items").alias("token"), F.xxhash64("items").cast("decimal(20,0)").alias("page"))
+    tokens = told.groupBy("token").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"), F.sum("page").alias("pages")).where(F.col("bad") >= least)
+    kept = tokens.groupBy("bad", "n", "pages").agg(F.max(F.struct(F.length("token"), "token"))["token"].alias("token")).select("token")
+    names = {r["token"] for r in kept.toLocalIterator()}
+    if not names:
         return []
-    least = max(min_support, min_count / n_bad)
-    frequent = FPGrowth(itemsCol="items", minSupport=least).fit(items.where("bad = 1").select("items")).freqItemsets
-    wanted = {tuple(sorted(r["items"])) for r in frequent.where(F.size("items") <= MOST_TOKENS).toLocalIterator()}
-    counted = items.mapInArrow(_combinations(wanted), "items array<string>, pages bigint, bad bigint").groupBy("items").agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad"))
-    good = {tuple(r["items"]): (r["bad"] / r["pages"], r["bad"]) for r in counted.where((F.col("bad") >= math.ceil(least * n_bad)) & (F.col("bad") >= min_confidence * F.col("pages"))).collect()}
-    return sorted((c, *good[c]) for c in good if not any(good.get(s, (-1,))[0] >= good[c][0] for k in range(1, len(c)) for s in combinations(c, k)))
+    frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_bad)).fit(bad.select(F.array_intersect("items", F.lit(sorted(names))).alias("items")).where(F.size("items") > 0)).freqItemsets
+    wanted = sorted(tuple(sorted(r["items"])) for r in frequent.toLocalIterator())
+    counted = items.mapInArrow(_counted(wanted), "k int, pages bigint, bad bigint").groupBy("k").agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad"))
+    good = {wanted[r["k"]]: (r["bad"] / r["pages"], r["bad"]) for r in counted.where((F.col("bad") >= least) & (F.col("bad") >= min_confidence * F.col("pages"))).collect()}
+    best: list[tuple[tuple[str, ...], float, int]] = []
+    index: dict[str, list[tuple[frozenset[str], float]]] = defaultdict(list)
+    for c in sorted(good, key=lambda c: (len(c), c)):  # shorter rules first; each stands under its first token
+        have = set(c)
+        if any(sure >= good[c][0] and have > inside for t in c for inside, sure in index.get(t, ())):
+            continue
+        index[c[0]].append((frozenset(c), good[c][0]))
+        best.append((c, *good[c]))
+    return sorted(best)
 
 
 def _judge(given: list[tuple[str, str, str]], mined: list[tuple[tuple[str, ...], float, int]]):
@@ -166,7 +198,10 @@ def judge(pages: DataFrame, given: Iterable[tuple[str, str, str]], mined: list[t
     return rows.mapInArrow(_judge(list(given), mined), "page_id bigint, host string, path string, rule string, verdict string, mined_rule string, confidence double")
 
 
-def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pages with the label of their id: bad if its quality is 0.  Of several labels of an id, the worst counts."""
-    worst = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((1 - F.min("quality")).alias("bad"))
-    return pages.select("page_id", "url").join(worst, "page_id").select("url", "bad")
+def labelled_pages(pages: DataFrame, model: quality.Model, *, good: float = quality.GOOD) -> DataFrame:
+    """(page_id, url, bad) of every page: bad if the main text of its own html is none that the quality model calls good.
+
+    A page with a null or empty html, or without main text, is scored as an empty text.  Repeated rows and null ids stay.
+    """
+    texts = html.extract(pages).select("page_id", "url", "text")
+    return quality.score(texts, model, "quality").select("page_id", "url", (F.col("quality") < good).cast("int").alias("bad"))

@@ -1,11 +1,13 @@
 """Chat formatting, URL filters and the pipeline."""
 
 import json
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from glyphmill.llm import catalog, chat, urls
@@ -114,18 +116,27 @@ def test_mined_rules_against_brute_force(spark):
         host = rng.choice(["win-pills.example.org", "news.example.org", "blog.example.org"] if spam else ["news.example.org", "shop.example.org"])
         path = rng.choice(["deal", "story"]) if spam else rng.choice(["story", "item"])
         rows.append((f"http://{host}/{path}/{i}", int(spam) if rng.random() < 0.95 else int(not spam)))
-    mined = urls.mine(spark.createDataFrame(rows, "url string, bad int"), min_support=0.05)
+    df = spark.createDataFrame([(u, b, i, "x") for i, (u, b) in enumerate(rows)], "url string, bad int, items int, page_id string")
+    mined = urls.mine(df, min_support=0.05)
     n_bad = sum(b for _, b in rows)
-    counts, bad = Counter(), Counter()
-    for url, b in rows:
-        own = sorted(urls.url_tokens(url))
-        for k in (1, 2, 3):
-            for c in combinations(own, k):
-                counts[c] += 1
-                bad[c] += b
-    least = max(0.05, urls.MIN_COUNT / n_bad)
-    good = {c: bad[c] / counts[c] for c in counts if bad[c] >= least * n_bad and bad[c] / counts[c] >= urls.MIN_CONFIDENCE}
-    assert {m[0] for m in mined} == {c for c in good if not any(good.get(s, -1) >= good[c] for k in (1, 2) if k < len(c) for s in combinations(c, k))} and mined
+    least = max(urls.MIN_COUNT, math.ceil(0.05 * n_bad))
+    have, where = [set(urls.url_tokens(u)) for u, _ in rows], {}
+    for i, h in enumerate(have):
+        for t in h:
+            where.setdefault(t, set()).add(i)
+    same = {}
+    for t, pages in where.items():
+        if sum(rows[i][1] for i in pages) >= least:
+            same.setdefault(frozenset(pages), []).append(t)
+    tokens = sorted(max(ts, key=lambda t: (len(t), t)) for ts in same.values())
+    good = {}
+    for k in range(1, len(tokens) + 1):
+        for c in combinations(tokens, k):
+            every = [rows[i][1] for i in set.intersection(*(where[t] for t in c))]
+            if sum(every) >= least:
+                if sum(every) >= urls.MIN_CONFIDENCE * len(every):
+                    good[c] = sum(every) / len(every)
+    assert {m[0] for m in mined} == {c for c in good if not any(good.get(s, -1) >= good[c] for k in range(1, len(c)) for s in combinations(c, k))} and mined
     found = urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string"), [], mined).collect()
     for r in found:
         assert (r["verdict"] == "block") == any(set(m[0]) <= set(urls.url_tokens(rows[r["page_id"]][0])) for m in mined)
@@ -134,6 +145,32 @@ def test_mined_rules_against_brute_force(spark):
     assert urls.mine(spark.createDataFrame([], "url string, bad int")) == []
 
 
+def test_long_urls_and_long_combinations_count(spark):
+    """A page is told by a part far down its path, by its 20th query name, or by four tokens together."""
+    deep = lambda x: "http://a.b.c.d.e.f.example.org/" + "/".join(f"p{'x' * 80}{i}" for i in range(9)) + f"/{x}?" + "&".join(f"q{i}=1" for i in "abcdefghijklmnopqrs")
+    rows = [(deep("good") + f"&{t}=2", int(t == "bad")) for t in ("bad", "fine") for _ in range(30)]
+    names = ["u", "v", "w", "x"]
+    for mask in range(16):
+        rows += [("http://other.example.com/s?" + "&".join(n for k, n in enumerate(names) if mask >> k & 1), int(mask == 15))] * 12
+    mined = urls.mine(spark.createDataFrame(rows, "url string, bad int"))
+    combos = {m[0] for m in mined}
+    assert any("query=bad" in c for c in combos) and any({f"query={n}" for n in names} <= set(c) for c in combos)
+    pages = spark.createDataFrame([(None if i % 5 == 0 else i, u, "rule", i, 0) for i, (u, _) in enumerate(rows)] + [(None, None, None, None, None)], "page_id bigint, url string, host string, rule int, verdict int")
+    found = urls.judge(pages, [], mined).collect()
+    assert len(found) == len(rows) + 1 and Counter(r["verdict"] for r in found)["block"] == sum(b for _, b in rows) and all(r["rule"] is None for r in found)
+
+
+def test_labels_speak_of_the_page_s_own_text(spark, data):
+    from glyphmill.llm import html, quality
+
+    docs, labels, pages = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels", "pages"))
+    model = quality.train(docs, labels)
+    odd = pages.select("page_id", "url", "html").union(spark.createDataFrame([(None, "u", None), (7, None, "")], "page_id bigint, url string, html string")).withColumn("bad", F.lit("x")).withColumn("text", F.lit(3))
+    got = Counter((r["page_id"], r["bad"]) for r in urls.labelled_pages(odd, model).collect())
+    expected = Counter((r["page_id"], int(model.scores(quality.features([html.main_text(r["html"] or "").encode()]))[0] < quality.GOOD)) for r in odd.collect())
+    assert got == expected and len({b for _, b in got}) == 2
+
+
 # ---- the pipeline
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.session import stored
 
-#: Rounds of ordering: the longest chain of dependencies.  More raises, so nothing is left out silently.
-MOST_LEVELS = 200
+#: Where calls in or behind a cycle are ordered: after all others.
+_LAST = 2**31 - 1
 
 
 def _get(of: str, path: str, kind: str) -> Column:
@@ -31,7 +31,7 @@ def _read(conversations: DataFrame) -> DataFrame:
     """Messages with their JSON and a hash that stands for the message; repeated rows share it."""
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("kind", F.lower(F.coalesce("role", F.lit(""))))
-    told = F.when(F.col("kind").isin("system", "assistant", "tool") & F.col("text").startswith("{"), F.expr("try_parse_json(text)"))
+    told = F.when(F.col("kind").isin("system", "assistant", "tool") & F.ltrim("text", F.lit(" \t\n\r")).startswith("{"), F.expr("try_parse_json(text)"))
     return rows.withColumn("message", F.xxhash64("conv_id", "turn", "role", "text", F.length("text"))).withColumn("json", told)
 
 
@@ -57,31 +57,63 @@ def _tools(messages: DataFrame) -> DataFrame:
     return found.select("conv_id", "name", F.lit(True).alias("known"), F.expr("try_parse_json(first.schema)").alias("schema"))
 
 
-#: What a schema's type name allows of a value's own type.
-_FITS = """case s when 'string' then k = 'STRING' when 'integer' then k = 'BIGINT' or (k rlike '^(DECIMAL|DOUBLE)' and try_variant_get(v, '$', 'double') = floor(try_variant_get(v, '$', 'double')))
+#: What a schema's type name allows of a value's own type (``k``).
+_FITS = """case t when 'string' then k = 'STRING' when 'integer' then k = 'BIGINT' or (k rlike '^(DECIMAL|DOUBLE)' and number = floor(number))
  when 'number' then k = 'BIGINT' or k rlike '^(DECIMAL|DOUBLE|FLOAT)' when 'boolean' then k = 'BOOLEAN' when 'object' then k rlike '^OBJECT' when 'array' then k rlike '^ARRAY' when 'null' then k = 'VOID' else true end"""
 
 
-def _problems() -> Column:
-    """The faults of ``arguments`` by ``schema``: an array of short texts in the order of keys.
+def _of(value: str) -> Column:
+    return F.expr(f"try_parse_json({value})")
+
+
+def _faults(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (message, place, path, value, schema), value and schema as JSON: the faults of each value by itself, and the
+    values inside it that a schema speaks of."""
+    at = nodes.withColumns({"v": _of("value"), "s": _of("schema")})
+    at = at.withColumns({
+        "k": F.expr("schema_of_variant(v)"), "types": F.expr("coalesce(try_variant_get(s, '$.type', 'array<string>'), array(try_variant_get(s, '$.type', 'string')))"),
+        "has": F.expr("try_variant_get(v, '$', 'map<string,variant>')"), "items": F.expr("try_variant_get(v, '$', 'array<variant>')"),
+        "known": F.expr("coalesce(try_variant_get(s, '$.properties', 'map<string,variant>'), map())"),
+        "others": F.expr("try_variant_get(s, '$.additionalProperties', 'variant')"), "listed": F.expr("try_variant_get(s, '$.enum', 'array<variant>')"),
+    })
+    at = at.withColumns({"has": F.expr("if(k rlike '^OBJECT', has, null)"), "items": F.expr("if(k rlike '^ARRAY', items, null)"), "number": F.expr("if(k rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)', try_variant_get(v, '$', 'double'), null)")})
+    at = at.withColumns({"long": F.expr("if(k = 'STRING', length(variant_get(v, '$', 'string')), null)"), "shown": F.expr("if(path = '', 'arguments', path)"), "before": F.expr("if(path = '', '', concat(path, '.'))")})
+    limit = lambda name: f"try_variant_get(s, '$.{name}', 'double')"
+    one = lambda test, says: f"if(coalesce({test}, false), array(concat(shown, ': {says}')), array())"
+    found = F.expr(
+        f"""concat({one(f"not exists(types, t -> {_FITS})", "wrong type")},
+        {one("not exists(listed, e -> to_json(e) = to_json(v))", "not in the list")}, {one("to_json(try_variant_get(s, '$.const', 'variant')) <> to_json(v)", "not the constant")},
+        {one(f"number < {limit('minimum')} or number > {limit('maximum')} or number <= {limit('exclusiveMinimum')} or number >= {limit('exclusiveMaximum')}", "out of range")},
+        {one(f"coalesce(long < {limit('minLength')}, false) or coalesce(long > {limit('maxLength')}, false)", "wrong length")},
+        {one(f"coalesce(size(items) < {limit('minItems')}, false) or coalesce(size(items) > {limit('maxItems')}, false)", "wrong number of items")},
+        if(has is null, array(), transform(filter(array_distinct(coalesce(try_variant_get(s, '$.required', 'array<string>'), array())), n -> not map_contains_key(has, n)), n -> concat(before, n, ': missing'))),
+        if(has is null or coalesce(try_variant_get(others, '$', 'boolean'), true), array(), transform(filter(map_keys(has), n -> not map_contains_key(known, n)), n -> concat(before, n, ': not in the schema'))))"""
+    )
+    problems = at.select("message", "place", F.explode(found).alias("problem"))
+    rule = "coalesce(known[n], if(schema_of_variant(others) rlike '^OBJECT', others, null))"
+    members = F.expr(f"transform(filter(map_keys(has), n -> {rule} is not null), n -> named_struct('path', concat(before, n), 'value', to_json(has[n]), 'schema', to_json({rule})))")
+    entries = F.expr("if(try_variant_get(s, '$.items', 'map<string,variant>') is null, null, transform(items, (x, i) -> named_struct('path', concat(path, '[', i, ']'), 'value', to_json(x), 'schema', to_json(try_variant_get(s, '$.items', 'variant')))))")
+    inner = at.select("message", "place", F.explode(F.coalesce(members, entries)).alias("x")).select("message", "place", "x.path", "x.value", "x.schema")
+    return problems, inner
+
 
-    Checked: that it is an object, ``required``, ``additionalProperties: false``, and of each property its ``type`` (one
-    name or several), ``enum``, ``minimum`` and ``maximum``.  Other keywords are not read.
+def _problems(calls: DataFrame) -> DataFrame:
+    """(message, place, problems) of the calls (message, place, arguments, schema) with faults: short texts, in order.
+
+    Values are followed into objects (``properties``, ``additionalProperties``) and arrays (``items``) level by level, as
+    rows, to any depth.  Checked of each: ``type`` (one name or several), ``enum``, ``const``, ``minimum``, ``maximum`` and
+    the exclusive ones, ``minLength``, ``maxLength``, ``minItems``, ``maxItems``, ``required`` and
+    ``additionalProperties``.  Other keywords (patterns, references, combinations of schemas) are not read.
     """
-    fits = _FITS.replace("k ", "schema_of_variant(v) ").replace("(k", "(schema_of_variant(v)")
-    return F.expr(
-        f"""case when arguments is null or schema_of_variant(arguments) not rlike '^OBJECT' then array('arguments are not an object')
-        when schema is null then array() else
-        transform(array(named_struct('a', try_variant_get(arguments, '$', 'map<string,variant>'), 'p', coalesce(try_variant_get(schema, '$.properties', 'map<string,variant>'), map()),
-          'r', coalesce(try_variant_get(schema, '$.required', 'array<string>'), array()), 'open', coalesce(try_variant_get(schema, '$.additionalProperties', 'boolean'), true))), x ->
-          array_sort(concat(
-            transform(filter(array_distinct(x.r), n -> not map_contains_key(x.a, n)), n -> concat(n, ': missing')),
-            transform(filter(map_keys(x.a), n -> not x.open and not map_contains_key(x.p, n)), n -> concat(n, ': not in the schema')),
-            transform(filter(map_keys(x.p), n -> map_contains_key(x.a, n) and not exists(array(named_struct('v', x.a[n], 't', coalesce(try_variant_get(x.p[n], '$.type', 'array<string>'), array(try_variant_get(x.p[n], '$.type', 'string'))))), y -> exists(y.t, s -> {fits.replace("(v", "(y.v")}))), n -> concat(n, ': wrong type')),
-            transform(filter(map_keys(x.p), n -> map_contains_key(x.a, n) and try_variant_get(x.p[n], '$.enum', 'array<variant>') is not null and not exists(try_variant_get(x.p[n], '$.enum', 'array<variant>'), e -> to_json(e) = to_json(x.a[n]))), n -> concat(n, ': not in the list')),
-            transform(filter(map_keys(x.p), n -> map_contains_key(x.a, n) and (try_variant_get(x.a[n], '$', 'double') < try_variant_get(x.p[n], '$.minimum', 'double') or try_variant_get(x.a[n], '$', 'double') > try_variant_get(x.p[n], '$.maximum', 'double'))), n -> concat(n, ': out of range'))
-          )))[0] end"""
-    )
+    no_object = calls.where("arguments is null or schema_of_variant(arguments) not rlike '^OBJECT'").select("message", "place", F.lit("arguments are not an object").alias("problem"))
+    nodes = calls.where("schema is not null and schema_of_variant(arguments) rlike '^OBJECT'").select("message", "place", F.lit("").alias("path"), F.expr("to_json(arguments)").alias("value"), F.expr("to_json(schema)").alias("schema"))
+    nodes = stored(nodes, "nodes")
+    every = no_object
+    while not nodes.isEmpty():
+        problems, inner = _faults(nodes)
+        every = every.unionByName(problems)
+        nodes = stored(inner, "nodes")
+    return every.groupBy("message", "place").agg(F.array_sort(F.collect_set("problem")).alias("problems"))
 
 
 def _levels(calls: DataFrame) -> DataFrame:
@@ -93,14 +125,12 @@ def _levels(calls: DataFrame) -> DataFrame:
         return edges.select("conv_id", "id", F.lit(0).alias("level")).limit(0)
     later = edges.select("conv_id", "id").distinct()
     known = stored(nodes.join(later, ["conv_id", "id"], "left_anti").join(edges.select("conv_id", F.col("need").alias("id")).distinct(), ["conv_id", "id"], "left_semi").withColumn("level", F.lit(0)), "levels")
-    for _ in range(MOST_LEVELS):
+    while True:  # each round settles a level, so there are as many as the longest chain has calls
         of = edges.join(known.withColumnRenamed("id", "need"), ["conv_id", "need"], "left").groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.count("level").alias("ready"), (F.max("level") + 1).alias("level"))
         fresh = stored(of.where("n = ready").select("conv_id", "id", "level").join(known, ["conv_id", "id"], "left_anti"), "levels")
         if fresh.isEmpty():
             break
         known = stored(known.unionByName(fresh), "levels")
-    else:
-        raise ValueError(f"a chain of more than {MOST_LEVELS} dependent calls")
     return later.join(known, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
@@ -125,7 +155,8 @@ def linked_calls(conversations: DataFrame) -> DataFrame:
     df = keyed(df, any_tools, "left", ("conv_id",)).drop("conv_id_r")
     df = keyed(df, _levels(calls), "left").drop("conv_id_r", "id_r")
     own = (F.struct("turn", "message", "place") == F.col("first_call")) & F.col("id").isNotNull()
-    df = df.withColumn("problems", _problems()).withColumn("level", F.coalesce("level", F.lit(0)))
+    df = df.join(_problems(df.select("message", "place", "arguments", "schema")), ["message", "place"], "left")
+    df = df.withColumn("problems", F.coalesce("problems", F.array().cast("array<string>"))).withColumn("level", F.coalesce("level", F.lit(0)))
     status = (
         F.when(F.col("id").isNull(), "no_id").when(~own, "duplicate_id").when(F.col("level") < 0, "cycle")
         .when(F.col("lists_tools") & F.col("known").isNull(), "unknown_tool").when(F.size("problems") > 0, "invalid_arguments")
@@ -147,7 +178,9 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     the order of their dependencies; no task needs a whole conversation for that.  status is ok, or the statuses of the
     message's calls or of its result that are not ok, joined by commas.  Repeated rows come out as often; a null role or
     text counts as empty; text that is no JSON object is plain content; a null conv_id or turn is kept (ids link inside the
-    null conversation too).  An empty table gives an empty result; further columns are ignored.
+    null conversation too).  Texts may be of any length; chains of calls and nested arguments too.  Messages are joined by a
+    64-bit hash of the row: were two of a table's to clash, both would show the calls of both.  An empty table gives an empty
+    result; further columns are ignored.
     """
     messages = _read(conversations)
     calls = _calls(messages)
@@ -156,7 +189,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     parts = calls.select("message", "place", F.to_json(F.struct(F.col("arguments"), F.col("id"), F.col("name"))).alias("text")).join(sent, ["message", "place"])
     # the calls of one message alone come together
     of_calls = parts.groupBy("message").agg(
-        F.array_sort(F.collect_list(F.struct(F.when(F.col("level") < 0, MOST_LEVELS + 1).otherwise(F.col("level")).alias("level"), "place", "text"))).alias("list"),
+        F.array_sort(F.collect_list(F.struct(F.when(F.col("level") < 0, _LAST).otherwise(F.col("level")).alias("level"), "place", "text"))).alias("list"),
         F.count("*").alias("n_calls"), F.count_if("answered").alias("n_linked"),
         F.array_sort(F.collect_set(F.when(F.col("status") != "ok", F.col("status")))).alias("states"), F.array_sort(F.collect_set(F.when(F.col("problems") != "", F.concat_ws(": ", F.col("place").cast("string"), "problems")))).alias("faults"),
     )

@@ -70,6 +70,52 @@ def test_wrong_types_and_lists(spark):
     assert got == {f"{k}{v}": "" if (k, v) in fits else "v: wrong type" for k in kinds for v in values}
 
 
+def test_nested_schemas(spark):
+    """Against a plain recursive check."""
+    schema = {
+        "properties": {
+            "tags": {"type": "array", "items": {"type": "integer", "minimum": 1}, "minItems": 1, "maxItems": 3},
+            "who": {"type": "object", "required": ["name"], "additionalProperties": False, "properties": {"name": {"type": "string", "minLength": 2, "maxLength": 4}, "deep": {"properties": {"er": {"items": {"const": {"a": [1]}}}}}}},
+            "n": {"exclusiveMinimum": 0, "exclusiveMaximum": 1.5},
+        },
+        "additionalProperties": {"enum": ["p", 2, None]},
+    }
+    given = [
+        {"tags": [1, 2]}, {"tags": []}, {"tags": [0, "a", 2.0, 3]}, {"tags": "no"}, {"who": {}}, {"who": {"name": "a", "other": 1}}, {"who": {"name": "abcde"}}, {"who": {"name": "abc", "deep": {"er": [{"a": [1]}, {"a": [2]}, 1]}}},
+        {"n": 0}, {"n": 1.5}, {"n": 1}, {"n": "5"}, {"x": "p", "y": 2, "z": None, "w": "q"}, {}, {"who": None, "tags": None},
+    ]
+    kinds = {"array": list, "object": dict, "string": str, "integer": int}
+
+    def faults(v, s, path):
+        shown, before, out = path or "arguments", path + "." if path else "", []
+        if "type" in s and not (isinstance(v, kinds[s["type"]]) or (s["type"] == "integer" and isinstance(v, float) and v == int(v))):
+            out.append(f"{shown}: wrong type")
+        if "enum" in s and v not in s["enum"]:
+            out.append(f"{shown}: not in the list")
+        if "const" in s and v != s["const"]:
+            out.append(f"{shown}: not the constant")
+        if isinstance(v, (int, float)) and not (v >= s.get("minimum", v) and v > s.get("exclusiveMinimum", v - 1) and v < s.get("exclusiveMaximum", v + 1)):
+            out.append(f"{shown}: out of range")
+        if isinstance(v, str) and not s.get("minLength", 0) <= len(v) <= s.get("maxLength", 99):
+            out.append(f"{shown}: wrong length")
+        if isinstance(v, list):
+            if not s.get("minItems", 0) <= len(v) <= s.get("maxItems", 99):
+                out.append(f"{shown}: wrong number of items")
+            for i, x in enumerate(v):
+                out += faults(x, s.get("items", {}), f"{path}[{i}]")
+        if isinstance(v, dict):
+            out += [f"{before}{n}: missing" for n in s.get("required", []) if n not in v]
+            for n, x in v.items():
+                rule = s.get("properties", {}).get(n, s.get("additionalProperties", {}))
+                out += [f"{before}{n}: not in the schema"] if rule is False else faults(x, rule, before + n)
+        return out
+
+    calls = [call(str(i), "g", **args) for i, args in enumerate(given)]
+    df = spark.createDataFrame([(1, 0, "system", json.dumps({"tools": [{"name": "g", "parameters": schema}]})), (1, 1, "assistant", "\n " + json.dumps({"tool_calls": calls}))], "conv_id bigint, turn bigint, role string, text string")
+    got = {int(r["id"]): r["problems"] for r in chat.linked_calls(df).collect()}
+    assert got == {i: "; ".join(sorted(faults(v, schema, ""))) for i, v in enumerate(given)} and sum(map(bool, got.values())) > 8
+
+
 def test_chat_of_the_table_uses_no_python(spark, data):
     made = catalog.op8_chat_format(spark, data)
     assert not re.search("Python|Arrow|Pandas", made._jdf.queryExecution().toString())

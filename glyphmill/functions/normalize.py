@@ -94,6 +94,10 @@ def _bert(s: dict[str, Any]) -> Step:
     return run
 
 
+#: Keys that a worker keeps the replacements of.
+MOST_KNOWN = 100_000
+
+
 class Charsmap:
     """A precompiled map of strings: a double array of keys and their replacements, walked by grapheme clusters."""
 
@@ -111,6 +115,8 @@ class Charsmap:
     def find(self, key: str) -> str | None:
         """The replacement for the shortest key that starts ``key``."""
         if key not in self.known:
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
             self.known[key] = self._walk(key.encode())
         return self.known[key]
 

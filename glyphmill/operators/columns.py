@@ -27,6 +27,10 @@ class Engine:
         self.tokenizer = tokenizer if isinstance(tokenizer, Tokenizer) else Tokenizer(d)
         self._shared = spark.sparkContext.broadcast(d)
 
+    def unload(self) -> None:
+        """Takes the definition off the executors; a later use sends it again."""
+        self._shared.unpersist()
+
     def _function(self, kind: str, body: Callable[[Tokenizer, Any], Any]) -> Callable[[Column | str], Column]:
         shared = self._shared
 
@@ -51,7 +55,7 @@ class Engine:
         return self._function("bigint", lambda t, v: len(t.encode(v, add_special_tokens=add_special_tokens, added_tokens=mode)))(text)
 
     def encoding(self, text: Column | str, *, add_special_tokens: bool = True) -> Column:
-        """ids, type_ids, tokens and both masks as one struct."""
+        """ids, type_ids, tokens and both masks as one struct; null stays null."""
 
         def body(t: Tokenizer, v: str) -> dict[str, list]:
             e = t.encode_ex(v, add_special_tokens=add_special_tokens)
@@ -63,7 +67,8 @@ class Engine:
             t = _tokenizer(shared)
             return pd.DataFrame([body(t, v or "") for v in values], columns=["ids", "type_ids", "tokens", "attention_mask", "special_tokens_mask"])
 
-        return F.pandas_udf(run, _ENCODING)(text)
+        column = F.col(text) if isinstance(text, str) else text
+        return F.when(column.isNotNull(), F.pandas_udf(run, _ENCODING)(column))
 
     def normalized(self, text: Column | str) -> Column:
         return self._function("string", lambda t, v: t._normalize(v))(text)

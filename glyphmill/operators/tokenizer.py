@@ -49,6 +49,7 @@ class Tokenizer:
         specials = {t.content for t in d.added if t.special}
         self._skipped = {i for i, s in self._strings.items() if s in specials}
         self._ids = self._string_ids(d)
+        self._by_bytes: dict[bytes, int] | None = None
         self._last = max(self._strings, default=-1)
         self._byte_level = any(s["type"] == "ByteLevel" for s in self.decoders() or [])
         self._pieces_of_ids: dict[int, bytes] = {}
@@ -350,11 +351,11 @@ class Tokenizer:
             return self._ids.get(token)
         if not token:
             return None
-        added = next((t.id for t in self.definition.added if t.content.encode() == token), None)
-        if added is not None:
-            return added
-        written = next((i for i, s in self._strings.items() if s.encode() == token), None)
-        return written if written is not None else max((i for i in self._strings if self.token_bytes(i) == token), default=None)
+        if self._by_bytes is None:  # made on the first call
+            decoded = {self.token_bytes(i): i for i in sorted(self._strings)}
+            written = {s.encode(): i for i, s in reversed(self._strings.items())}
+            self._by_bytes = decoded | written | {t.content.encode(): t.id for t in reversed(self.definition.added)}
+        return self._by_bytes.get(token)
 
     def id_flags(self, i: int) -> int:
         """Bits: 1 added, 2 special, 4 a byte token."""

@@ -42,6 +42,14 @@ def lookup_ids(df: DataFrame, column: str, vocab: DataFrame, rows: int) -> DataF
     return df.join(_hinted(vocab.select(F.col("id").alias(column), "token", "flags"), rows), column, "left")
 
 
+def lookup_tokens(df: DataFrame, column: str, vocab: DataFrame, rows: int) -> DataFrame:
+    """Adds the id of a binary column of token bytes; null where no token has them, or they are empty.  Of several ids with
+    the same bytes an added token's is taken, then one that is written so, then the latest."""
+    rank = F.struct((F.col("flags").bitwiseAND(F.lit(1)) == 1).alias("added"), (F.encode("token", "UTF-8") == F.col("bytes")).alias("written"), "id")
+    best = vocab.where("length(bytes) > 0").groupBy(F.col("bytes").alias(column)).agg(F.max(rank)["id"].alias("id"))
+    return df.join(_hinted(best, rows), column, "left")
+
+
 def unknown_ids(df: DataFrame, column: str, vocab: DataFrame, rows: int) -> DataFrame:
     return df.join(_hinted(vocab.select(F.col("id").alias(column)), rows), column, "left_anti")
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from glyphmill.functions import normalize, pretok
 from glyphmill.operators import added, post, vocabulary
 from glyphmill.operators.columns import Engine
-from glyphmill.operators.tokenizer import NONE, NONSPECIAL
-from glyphmill.plans import samples, sql
+from glyphmill.operators.tokenizer import ALL, NONE, NONSPECIAL, Tokenizer
+from glyphmill.plans import cases, samples, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,10 +110,11 @@ def metaspace_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_exploded(spark, sf_dir, pretok.metaspace("text")))
 
 
-@query("SELECT doc_id, count(*) AS n_pieces FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{N}|\\P{N}+', 0)) AS part FROM documents) GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) AS n_pieces FROM ({sql.pieces(pretok.GPT2, sql.DIGIT_PARTS)}) GROUP BY doc_id")
 def split_chain_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first step of a chain alone; the chain with its second step is ``pretok_digits_gpt2_top``."""
-    return _exploded(spark, sf_dir, pretok.chained("text", (r"\p{N}",))).groupBy("doc_id").agg(F.count("*").alias("n_pieces"))
+    """Pieces of a chain of two steps, counted inside each text's array."""
+    made = _docs(spark, sf_dir).select("doc_id", _n(F.size(pretok.chained("text", pretok.DIGITS_GPT2))).alias("n_pieces"))
+    return made.where("n_pieces > 0")
 
 
 @query(f"SELECT piece, count(*) AS n FROM ({sql.pieces(pretok.GPT2, sql.DIGIT_PARTS)}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
@@ -145,7 +146,7 @@ def pretok_bloom_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(pieces.select(F.explode(single).alias("piece")), n=40)
 
 
-@query()
+@query(f"SELECT piece, count(*) AS n FROM ({sql.kimi_pieces()}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
 def pretok_kimi_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_exploded(spark, sf_dir, pretok.split_matches("text", pretok.KIMI)))
 
@@ -189,9 +190,10 @@ def norm_prepend_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(normalize.prepend(normalize.replace("text", " ", "▁"), "▁")).alias("h"))
 
 
-@query("SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g'), '[\\x00-\\x1F\\x7F]', '', 'g'))) AS h FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def norm_bert_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where(normalize.is_ascii("text")).select("doc_id", F.md5(normalize.bert_ascii("text")).alias("h"))
+@query(f"SELECT doc_id, md5({sql.BERT}) AS h FROM documents")
+def norm_bert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.wordpiece())
+    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.normalized("text")).alias("h"))
 
 
 @query("SELECT doc_id, md5(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS h FROM documents")
@@ -224,28 +226,27 @@ def bpe_tokens_per_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.bpe_top())
 def bpe_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids of tokens of ASCII text, by how often they come."""
+    """The ids of all texts' tokens, by how often they come."""
     engine = Engine(spark, samples.byte_level())
-    ascii_docs = _docs(spark, sf_dir).where(normalize.is_ascii("text"))
-    return ascii_docs.select(F.explode(engine.encode("text")).alias("id")).groupBy(_n("id").alias("id")).agg(F.count("*").alias("n"))
+    return _docs(spark, sf_dir).select(F.explode(engine.encode("text")).alias("id")).groupBy(_n("id").alias("id")).agg(F.count("*").alias("n"))
 
 
 @query(sql.wordpiece("SELECT word, string_agg(id, ' ' ORDER BY k) AS ids FROM parts GROUP BY word"))
 def wordpiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every distinct word of the ASCII texts."""
+    """Ids of every distinct word of all texts."""
     engine = Engine(spark, samples.wordpiece())
-    return _ascii_words(spark, sf_dir).select("word").distinct().select("word", _joined(engine.encode("word", add_special_tokens=False)).alias("ids"))
+    return _bert_words(spark, sf_dir).select("word").distinct().select("word", _joined(engine.encode("word", add_special_tokens=False)).alias("ids"))
 
 
-def _ascii_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _docs(spark, sf_dir).where(normalize.is_ascii("text"))
-    return texts.select("doc_id", F.explode(pretok.bert(normalize.bert_ascii("text"))).alias("word"))
+def _bert_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal = _docs(spark, sf_dir).select("doc_id", Engine(spark, samples.wordpiece()).normalized("text").alias("normal"))
+    return normal.select("doc_id", F.explode(pretok.bert("normal")).alias("word"))
 
 
 @query(sql.wordpiece("SELECT doc_id, count(*) AS n_words, count(*) FILTER (ids = '1') AS n_unknown FROM words JOIN (SELECT word, string_agg(id, ' ' ORDER BY k) AS ids FROM parts GROUP BY word) USING (word) GROUP BY doc_id"))
 def wordpiece_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, samples.wordpiece())
-    words = _ascii_words(spark, sf_dir)
+    words = _bert_words(spark, sf_dir)
     known = words.select("word").distinct().withColumn("unknown", _joined(engine.encode("word", add_special_tokens=False)) == "1")
     return words.join(known, "word").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if("unknown").alias("n_unknown"))
 
@@ -285,12 +286,12 @@ def added_token_split_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.col("s.text").alias("segment")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT conv_id, turn, 1::BIGINT AS n_all, 1::BIGINT AS n_nonspecial FROM conversations WHERE contains({_MARKED}, '<s>')")
+@query(f"SELECT conv_id, turn, 3 + {sql.bpe_count('role_only')} + {sql.bpe_count('own')} AS n_all, 1 + {sql.bpe_count('plain')} AS n_nonspecial, {sql.bpe_count('marked')} AS n_none FROM ({sql.bpe_modes()})")
 def added_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With all tokens matched the marks are one id each (the first id is that of <s>); without, the marks are plain text."""
-    engine = Engine(spark, samples.byte_level())
-    made = _marked(spark, sf_dir).select("conv_id", "turn", engine.encode("marked").alias("every"), engine.encode("marked", mode=NONSPECIAL).alias("plain"), engine.encode("marked", mode=NONE).alias("none"))
-    return made.select("conv_id", "turn", _n((F.get("every", F.lit(0)) == 0).cast("int")).alias("n_all"), _n(((F.col("plain") == F.col("none")) & (F.get("plain", F.lit(0)) != 0)).cast("int")).alias("n_nonspecial"))
+    """Tokens with all added tokens matched, with those alone that are not special (here <pad>), and with none."""
+    engine = Engine(spark, samples.byte_level(added_tokens=samples._added(samples.SPECIALS[:2]) + [samples._added(samples.SPECIALS)[2] | {"special": False}]))
+    count = lambda mode: engine.token_count("marked", mode=mode)
+    return _marked(spark, sf_dir).select("conv_id", "turn", count(ALL).alias("n_all"), count(NONSPECIAL).alias("n_nonspecial"), count(NONE).alias("n_none"))
 
 
 @query(f"SELECT role, sum(n)::BIGINT AS n_tokens, count(*) AS n_turns FROM (SELECT role, 3 + {sql.bpe_count('role_spaced')} + {sql.bpe_count('text')} AS n FROM ({sql.bpe_turns()})) GROUP BY role")
@@ -302,50 +303,50 @@ def chat_template_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- post-processing
 
-_CODES = "[ord(c) for c in string_split(source, '')]"
+_IDS = sql.source_ids()
 
 
-def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small id arrays that both engines can make: the character codes of ``source``."""
-    return _docs(spark, sf_dir).select("doc_id", F.transform(F.split("source", ""), lambda c: F.ascii(c)).alias("ids"))
+def _source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts encoded: the column ``source``."""
+    return _docs(spark, sf_dir).select("doc_id", Engine(spark, samples.byte_level()).encode("source").alias("ids"))
 
 
-@query(f"SELECT doc_id, array_to_string([1] || {_CODES} || [2, 3], ' ') AS ids FROM documents")
+@query(f"SELECT doc_id, array_to_string([1] || ids || [2, 3], ' ') AS ids FROM ({_IDS})")
 def template_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("doc_id", _joined(post.template("ids", [1], [2, 3])).alias("ids"))
+    return _source_ids(spark, sf_dir).select("doc_id", _joined(post.template("ids", [1], [2, 3])).alias("ids"))
 
 
-@query(f"SELECT doc_id, array_to_string([1] || ({_CODES})[1:3] || [2], ' ') AS ids FROM documents")
+@query(f"SELECT doc_id, array_to_string([1] || ids[1:2] || [2], ' ') AS ids FROM ({_IDS})")
 def truncate_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("doc_id", _joined(post.template(post.truncate("ids", 5, 2), [1], [2])).alias("ids"))
+    return _source_ids(spark, sf_dir).select("doc_id", _joined(post.template(post.truncate("ids", 4, 2), [1], [2])).alias("ids"))
 
 
-@query(f"SELECT doc_id, array_to_string({_CODES} || [0 for x in range(greatest(0, 8 - length(source)))], ' ') AS ids FROM documents")
+@query(f"SELECT doc_id, array_to_string(ids || [0 for x in range(greatest(0, 8 - len(ids)))], ' ') AS ids FROM ({_IDS})")
 def pad_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("doc_id", _joined(post.pad("ids", 0, fixed=8)).alias("ids"))
+    return _source_ids(spark, sf_dir).select("doc_id", _joined(post.pad("ids", 0, fixed=8)).alias("ids"))
 
 
-@query(f"SELECT doc_id, array_to_string([0 for x in range((ceil(length(source) / 4.0) * 4)::BIGINT - length(source))] || {_CODES}, ' ') AS ids FROM documents")
+@query(f"SELECT doc_id, array_to_string([0 for x in range((ceil(len(ids) / 4.0) * 4)::BIGINT - len(ids))] || ids, ' ') AS ids FROM ({_IDS})")
 def pad_multiple_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("doc_id", _joined(post.pad("ids", 0, multiple=4, left=True)).alias("ids"))
+    return _source_ids(spark, sf_dir).select("doc_id", _joined(post.pad("ids", 0, multiple=4, left=True)).alias("ids"))
 
 
-@query(f"SELECT doc_id, array_to_string({_CODES} || [9 for x in range(most - length(source))], ' ') AS ids FROM (SELECT *, max(length(source)) OVER () AS most FROM documents)")
+@query(f"SELECT doc_id, array_to_string(ids || [9 for x in range(most - len(ids))], ' ') AS ids FROM (SELECT *, max(len(ids)) OVER () AS most FROM ({_IDS}))")
 def pad_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return post.pad_longest(_codes(spark, sf_dir), "ids", 9).select("doc_id", _joined("ids").alias("ids"))
+    return post.pad_longest(_source_ids(spark, sf_dir), "ids", 9).select("doc_id", _joined("ids").alias("ids"))
 
 
-@query(f"SELECT doc_id, array_to_string({_CODES} || [9 for x in range(most - length(source))], ' ') AS ids FROM (SELECT *, max(length(source)) OVER (PARTITION BY doc_id // 8) AS most FROM documents)")
+@query(f"SELECT doc_id, array_to_string(ids || [9 for x in range(most - len(ids))], ' ') AS ids FROM (SELECT *, max(len(ids)) OVER (PARTITION BY doc_id // 8) AS most FROM ({_IDS}))")
 def pad_longest_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batched = _codes(spark, sf_dir).withColumn("batch", F.floor(F.col("doc_id") / 8))
+    batched = _source_ids(spark, sf_dir).withColumn("batch", F.floor(F.col("doc_id") / 8))
     return post.pad_longest(batched, "ids", 9, batch="batch").select("doc_id", _joined("ids").alias("ids"))
 
 
-@query("SELECT doc_id, repeat('1', length(source)) || repeat('0', greatest(0, 8 - length(source))) AS attention, '1' || repeat('0', length(source) - 2) || '1' AS special FROM documents")
+@query(f"SELECT doc_id, repeat('1', len(ids) + 2) || repeat('0', greatest(0, 6 - len(ids))) AS attention, '1' || repeat('0', len(ids)) || '1' AS special FROM ({_IDS})")
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    padding = F.greatest(F.lit(0), 8 - F.size("ids"))
-    made = _codes(spark, sf_dir).withColumn("padded", post.pad("ids", 0, fixed=8))
-    return made.select("doc_id", F.array_join(post.attention_mask("padded", padding), "").alias("attention"), F.array_join(post.special_tokens_mask("ids", 1, 1), "").alias("special"))
+    made = _source_ids(spark, sf_dir).withColumn("ids", post.template("ids", [1], [2]))
+    padded = made.withColumn("padded", post.pad("ids", 0, fixed=8)).withColumn("more", F.greatest(F.lit(0), 8 - F.size("ids")))
+    return padded.select("doc_id", F.array_join(post.attention_mask("padded", F.col("more")), "").alias("attention"), F.array_join(post.special_tokens_mask("ids", 1, 1), "").alias("special"))
 
 
 @query(f"SELECT doc_id, n + 2 AS n_ids, n + 2 AS n_mask, 2::BIGINT AS n_special FROM (SELECT doc_id, {sql.bpe_count('text')} AS n FROM ({sql.bpe_texts()}))")
@@ -401,10 +402,10 @@ def merges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.merges(spark, samples.byte_level()).select(_n("rank").alias("rank"), "left", "right")
 
 
-@query(f"SELECT 'byte_bpe' AS algorithm, {len(samples.byte_vocab())}::BIGINT AS n_ids, 3::BIGINT AS n_added, false AS control_isolation")
+@query(f"SELECT 'byte_bpe' AS algorithm, {len(samples.byte_vocab())}::BIGINT AS n_ids, 3::BIGINT AS n_added, {sql.isolation()} AS control_isolation")
 def tokenizer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vocabulary.info(spark, samples.byte_level())
-    return found.select("algorithm", _n("n_ids").alias("n_ids"), _n("n_added").alias("n_added"), F.lit(False).alias("control_isolation"))
+    return found.select("algorithm", _n("n_ids").alias("n_ids"), _n("n_added").alias("n_added"), "control_isolation")
 
 
 # ---- decoding
@@ -432,22 +433,18 @@ def decode_skip_special(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("conv_id", "turn", F.md5(engine.decode("ids")).alias("skipped"), F.md5(engine.decode("ids", skip_special_tokens=False)).alias("kept"))
 
 
-@query("SELECT doc_id, md5(text) AS h FROM documents WHERE text <> '' AND NOT starts_with(text, ' ')")
+@query("SELECT doc_id, md5(CASE WHEN starts_with(text, ' ') THEN substr(text, 2) ELSE text END) AS h FROM documents")
 def decode_spm_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replace, byte fallback, fuse and strip bring back the text."""
+    """Replace, byte fallback, fuse and strip bring back the text; a space that it starts with is taken for the mark."""
     engine = Engine(spark, samples.sentencepiece())
-    kept = _docs(spark, sf_dir).where("text <> '' and not startswith(text, ' ')")
-    return kept.select("doc_id", F.md5(engine.decode(engine.encode("text"))).alias("h"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.decode(engine.encode("text"))).alias("h"))
 
 
-@query("SELECT doc_id, replace(replace(string_agg(w, ' ' ORDER BY k), ' .', '.'), ' ,', ',') AS text FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT doc_id, ([w for w in regexp_extract_all(lower(text), '[.,]|[a-z]+', 0) if length(w) <= 12])[1:20] AS ws FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND NOT regexp_matches(text, '[^A-Za-z., \\n]'))) GROUP BY doc_id")
+@query()
 def decode_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts are joined, other tokens spaced, and spaces before marks taken out again."""
+    """Whole texts to ids and back: parts are joined, other tokens spaced, and spaces before marks taken out again."""
     engine = Engine(spark, samples.wordpiece())
-    plain = _docs(spark, sf_dir).where(normalize.is_ascii("text") & ~F.col("text").rlike(r"[^A-Za-z., \n]"))
-    words = F.slice(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[.,]|[a-z]+"), F.lit(0)), lambda w: F.length(w) <= 12), 1, 20)
-    made = plain.select("doc_id", words.alias("words")).where(F.size("words") > 0)
-    return made.select("doc_id", engine.decode(engine.encode(F.array_join("words", " "), add_special_tokens=False)).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", engine.decode(engine.encode("text", add_special_tokens=False)).alias("text"))
 
 
 # ---- bounds and cuts
@@ -460,18 +457,93 @@ def encode_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "bound", (F.col("n") <= F.col("bound")).alias("holds"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query(f"SELECT doc_id, {sql.bpe_count('text')} AS n_tokens, true AS same FROM ({sql.bpe_texts()})")
 def split_parts_equal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut at certified places and encoded in parts have the ids of the whole."""
     engine = Engine(spark, samples.byte_level())
     docs = _docs(spark, sf_dir)
     parts = engine.encode_parts(docs, "doc_id", "text", 500).withColumnRenamed("ids", "of_parts")
-    return docs.select("doc_id", engine.encode("text").alias("whole")).join(parts, "doc_id").select("doc_id", (F.col("whole") == F.col("of_parts")).alias("same"))
+    both = docs.select("doc_id", engine.encode("text").alias("whole")).join(parts, "doc_id")
+    return both.select("doc_id", _n(F.size("of_parts")).alias("n_tokens"), (F.col("whole") == F.col("of_parts")).alias("same"))
 
 
-@query("SELECT doc_id, sha256(text) AS h FROM documents")
+@query(f"SELECT name, sha256(source) AS h FROM (VALUES {sql._values(list(samples.sources().items()))}) v(name, source)")
 def source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
+    """The SHA-256 of each definition's source, as the loaded tokenizer tells it."""
+    return spark.createDataFrame([(name, Tokenizer.from_str(text).info()["sha256"]) for name, text in samples.sources().items()], "name string, h string")
+
+
+# ---- small definitions and texts with what documents do not hold: options of added tokens, unknown characters, byte runs
+
+
+def _case_encode(name: str) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = spark.createDataFrame(list(enumerate(cases.TEXTS[name])), "item bigint, text string")
+        engine = Engine(spark, Tokenizer.from_str(cases.DEFINITIONS[name]))
+        return texts.select("item", _joined(engine.encode("text")).alias("ids"), engine.token_count("text").alias("n"))
+
+    f.__name__ = f"encode_{name}"
+    return f
+
+
+def _case_decode(name: str) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = [[int(i) for i in ids.split()] for ids in cases.ENCODED[name]] + [list(ids) for ids in cases.IDS.get(name, ())]
+        ids = spark.createDataFrame(list(enumerate(given)), "item bigint, ids array<int>")
+        return ids.select("item", Engine(spark, Tokenizer.from_str(cases.DEFINITIONS[name])).decode("ids").alias("text"))
+
+    f.__name__ = f"decode_{name}"
+    return f
+
+
+for _name in cases.DEFINITIONS:
+    _rows = [(i, ids, len(ids.split())) for i, ids in enumerate(cases.ENCODED[_name])]
+    query(f"SELECT item::BIGINT AS item, ids, n::BIGINT AS n FROM (VALUES {sql._values(_rows)}) v(item, ids, n)")(_case_encode(_name))
+    query(f"SELECT item::BIGINT AS item, text FROM (VALUES {sql._values(list(enumerate(cases.DECODED[_name])))}) v(item, text)")(_case_decode(_name))
+
+
+_RANKS = samples.rank_lines()
+
+
+@query(f"SELECT rank::BIGINT AS id, hex(from_base64(token)) AS code FROM (SELECT split_part(line, ' ', 1) AS token, split_part(line, ' ', 2) AS rank FROM (VALUES {sql._values([(x,) for x in _RANKS])}) v(line))")
+def rank_file_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of a rank file's tokens, by id."""
+    return vocabulary.vocabulary(spark, samples.ranked()).select(_n("id").alias("id"), F.hex("bytes").alias("code"))
+
+
+@query(f"SELECT doc_id, {sql.bpe_count('text')} AS n_tokens FROM ({sql.bpe_texts()})")
+def rank_file_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by a rank file whose ranks are those of the byte-level sample's merges: as many as by merges."""
+    return _docs(spark, sf_dir).select("doc_id", Engine(spark, samples.ranked()).token_count("text").alias("n_tokens"))
+
+
+@query("SELECT doc_id, md5(text) AS h, strlen(text)::BIGINT AS n_bytes FROM documents")
+def decode_to_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, samples.byte_level())
+    made = _docs(spark, sf_dir).select("doc_id", engine.decode_bytes(engine.encode_ordinary("text")).alias("raw"))
+    return made.select("doc_id", F.md5("raw").alias("h"), _n(F.length("raw")).alias("n_bytes"))
+
+
+@query(f"SELECT conv_id, turn, 3 + {sql.bpe_count('role_only')} + {sql.bpe_count('own')} AS n_allowed, {sql.bpe_count('marked')} AS n_ordinary FROM ({sql.bpe_modes()})")
+def allowed_special(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Special tokens all allowed, and all taken for plain text."""
+    engine = Engine(spark, samples.byte_level())
+    return _marked(spark, sf_dir).select("conv_id", "turn", _n(F.size(engine.encode_allowed("marked", "all"))).alias("n_allowed"), _n(F.size(engine.encode_ordinary("marked"))).alias("n_ordinary"))
+
+
+@query(f"SELECT word, max(v.id) AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+', 0)) AS word FROM documents) d LEFT JOIN (VALUES {sql.vocab_values()}) v(id, token, flags) ON v.token = d.word GROUP BY word")
+def vocab_token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of words by their bytes; null for those that are no token."""
+    vocab, n = _vocab(spark)
+    words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return vocabulary.lookup_tokens(words.withColumn("raw", F.encode("word", "UTF-8")), "raw", vocab, n).select("word", _n("id").alias("id"))
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, '(?s).', 0)) END AS n_characters FROM documents")
+def no_split_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A definition without a split takes each text as one piece; its characters alone are told here."""
+    engine = Engine(spark, samples.sentencepiece(pre_tokenizer=None))
+    return _docs(spark, sf_dir).select("doc_id", F.coalesce(F.aggregate(engine.pieces("text"), F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)), F.lit(0)).alias("n_characters"))
 
 
 # ---- relational work around tokens

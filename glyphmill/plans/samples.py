@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import json
 from typing import Any
 
 from glyphmill.functions.characters import byte_alphabet
+from glyphmill.functions.pretok import GPT2
 from glyphmill.operators.tokenizer import Tokenizer
+from glyphmill.sources import ranks
 
 #: Merges of the byte-level sample in rank order; "_" stands for the space.
 MERGES = "t h|h e|i n|e r|o n|a n|r e|th e|_ t|_ a|_ th|_ o|e n|s t|_the|in g|e s|a t|_ w|n d|o u|_i|er e|i on|t ion|d e|_ de|u e|q ue|c h|e i|l e"
@@ -32,8 +35,19 @@ def byte_merges() -> list[tuple[str, str]]:
 
 
 def _file(model: dict[str, Any], **parts: Any) -> Tokenizer:
+    return Tokenizer.from_str(_source(model, **parts))
+
+
+def _source(model: dict[str, Any], **parts: Any) -> str:
     top = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": model}
-    return Tokenizer.from_str(json.dumps(top | parts))
+    return json.dumps(top | parts)
+
+
+def sources() -> dict[str, str]:
+    """The text of one small definition of each model."""
+    word = {"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 9, "vocab": {"[UNK]": 0, "it's": 1, "é": 2}}
+    score = {"type": "Unigram", "unk_id": 0, "vocab": [["<unk>", 0.0], ["▁", -1.0], ["no", -2.5]], "byte_fallback": False}
+    return {"wordpiece": _source(word, pre_tokenizer={"type": "BertPreTokenizer"}), "unigram": _source(score, pre_tokenizer={"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always", "split": True})}
 
 
 def _added(contents: tuple[str, ...], **flags: Any) -> list[dict[str, Any]]:
@@ -54,6 +68,17 @@ def byte_level(**parts: Any) -> Tokenizer:
     return _file(model, **{"pre_tokenizer": level, "decoder": level, "added_tokens": _added(SPECIALS)} | parts)
 
 
+def rank_lines() -> list[str]:
+    """The byte-level sample as a rank file: the 256 bytes, then what the merges make."""
+    back = {c: bytes([b]) for b, c in byte_alphabet().items()}
+    made = [*back.values(), *dict.fromkeys(b"".join(back[c] for c in a + b) for a, b in byte_merges())]
+    return [f"{base64.b64encode(t).decode()} {i}" for i, t in enumerate(made)]
+
+
+def ranked() -> Tokenizer:
+    return Tokenizer(ranks.read("\n".join(rank_lines()).encode(), GPT2, {}))
+
+
 def word_vocab() -> list[str]:
     letters = "abcdefghijklmnopqrstuvwxyz"
     out = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{c}" for c in letters), *WORDS.split(), *(f"##{p}" for p in PARTS.split()), *".,!?"]
@@ -61,9 +86,13 @@ def word_vocab() -> list[str]:
 
 
 def wordpiece(**parts: Any) -> Tokenizer:
+    return Tokenizer.from_str(wordpiece_source(**parts))
+
+
+def wordpiece_source(**parts: Any) -> str:
     model = {"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 12, "vocab": {w: i for i, w in enumerate(word_vocab())}}
     normal = {"type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "strip_accents": False, "lowercase": True}
-    return _file(model, **{"normalizer": normal, "pre_tokenizer": {"type": "BertPreTokenizer"}, "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True}, "added_tokens": _added(("[PAD]", "[UNK]", "[CLS]", "[SEP]"))} | parts)
+    return _source(model, **{"normalizer": normal, "pre_tokenizer": {"type": "BertPreTokenizer"}, "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True}, "added_tokens": _added(("[PAD]", "[UNK]", "[CLS]", "[SEP]"))} | parts)
 
 
 SPM_MERGES = "t h|h e|i n|e r|o n|a n|r e|th e|▁ t|▁ a|▁t he|▁ o|e n|s t"

@@ -49,6 +49,15 @@ LINE_PARTS = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\n+[^\\n]*|[^\\n
 DIGITS_BY_THREE = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\p{N}{1,3}|\\P{N}+', 0)) AS text FROM documents)"
 DIGIT_PARTS = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\p{N}|\\P{N}+', 0)) AS text FROM documents)"
 
+
+def kimi_pieces() -> str:
+    """Runs of Han apart; in the rest no letter is Han, so the pattern needs no intersection of classes."""
+    from glyphmill.functions.pretok import KIMI
+
+    han = "(SELECT doc_id, unnest(regexp_extract_all(text, '\\p{Han}+|\\P{Han}+', 0)) AS text FROM documents)"
+    return pieces(KIMI.replace(r"&&[^\p{Han}]", ""), han)
+
+
 def deepseek_pieces() -> str:
     """Digits in threes, runs of CJK and kana, and what the last pattern makes of the rest; other characters by themselves."""
     from glyphmill.functions.pretok import DEEPSEEK3
@@ -104,16 +113,41 @@ def bpe_count(text: str) -> str:
     return f"(({symbols}) - ({marks}) + (strlen({text}) - length({text})))"
 
 
-def bpe_top() -> str:
+def _byte_ids() -> str:
+    """(id, token) of the vocabulary as plain ASCII text, and (id, hex) of single bytes."""
     vocab = samples.byte_vocab()
     back = {c: chr(b) for b, c in byte_alphabet().items()}
-    values = ", ".join(f"({i}, {_text(''.join(back[c] for c in s))})" for s, i in vocab.items() if s not in samples.SPECIALS and all(ord(back[c]) < 128 and back[c] != chr(0) for c in s))
+    return ", ".join(f"({i}, {_text(''.join(back[c] for c in s))})" for s, i in vocab.items() if s not in samples.SPECIALS and all(ord(back[c]) < 128 and back[c] != chr(0) for c in s))
+
+
+def bpe_top() -> str:
+    """Ids of symbols; a character of more bytes has no merges, and an id for each byte."""
+    single = ", ".join(f"({samples.byte_vocab()[c]}, '{b:02X}')" for b, c in byte_alphabet().items() if b > 127)
     return (
-        f"SELECT id::BIGINT AS id, count(*) AS n FROM (SELECT unnest(regexp_extract_all(merged_text, '{_OPEN}([^{_SHUT}]*){_SHUT}', 1)) AS token FROM ({bpe_texts()}) WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) "
-        f"JOIN (VALUES {values}) v(id, token) USING (token) GROUP BY id"
+        f"WITH symbols AS (SELECT unnest(regexp_extract_all(merged_text, '{_OPEN}([^{_SHUT}]*){_SHUT}', 1)) AS token FROM ({bpe_texts()})), "
+        "bytes AS (SELECT unnest(regexp_extract_all(hex(encode(token)), '..', 0)) AS code FROM symbols WHERE regexp_full_match(token, '[^\\x00-\\x7F]') AND token <> chr(57347)) "
+        f"SELECT id::BIGINT AS id, count(*) AS n FROM (SELECT id FROM symbols JOIN (VALUES {_byte_ids()}) v(id, token) USING (token) UNION ALL SELECT id FROM bytes JOIN (VALUES {single}) w(id, code) USING (code)) GROUP BY id"
     )
 
 
+def source_ids() -> str:
+    """(doc_id, ids) of the ASCII column ``source``: its symbols after the merges, looked up one by one."""
+    table = "MAP {" + ", ".join(f"{_text(''.join(chr(b) for x in s for b, c in byte_alphabet().items() if c == x))}: {i}" for s, i in samples.byte_vocab().items() if s.isascii() and s.isalnum()) + "}"
+    return f"SELECT doc_id, [{table}[t] FOR t IN regexp_extract_all({_merged_column('source')}, '{_OPEN}([a-z0-9]*){_SHUT}', 1)] AS ids FROM documents"
+
+
+def bpe_modes() -> str:
+    marked, plain = "'<s>' || role || '</s>' || text || '<pad>'", "'<s>' || role || '</s>' || text"
+    columns = ", ".join(f"({e}) AS {n}, {_merged_column(f'({e})')} AS merged_{n}" for n, e in (("marked", marked), ("plain", plain), ("role_only", "role"), ("own", "text")))
+    return f"SELECT conv_id, turn, {columns} FROM conversations"
+
+
+def isolation() -> str:
+    """Whether an added token's string can come from the model: a byte by itself, or a merge of two."""
+    added = ", ".join(f"({_text(s)})" for s in samples.SPECIALS)
+    return f"NOT EXISTS (SELECT 1 FROM (VALUES {added}) a(token) WHERE length(token) = 1 OR token IN (SELECT \"left\" || \"right\" FROM (VALUES {merge_values()}) m(rank, \"left\", \"right\")))"
+
+
 def spm_count() -> str:
     pairs = [tuple(m.split(" ")) for m in samples.SPM_MERGES.split("|")]
     known = {"▁", *"abcdefghijklmnopqrstuvwxyz.,", *(a + b for a, b in pairs)}
@@ -143,13 +177,17 @@ def words_values() -> str:
     return _values([(w,) for w in dict.fromkeys(samples.WORDS.split())])
 
 
+#: White space to spaces, control and format characters out, lower case.
+BERT = f"lower(regexp_replace(regexp_replace(text, '[{SPACES}]', ' ', 'g'), '[\\p{{Cc}}\\p{{Cf}}\\p{{Co}}]', '', 'g'))"
+
+
 def wordpiece(select: str) -> str:
     """``words`` (doc_id, word) and ``parts`` (word, k, id): greedy longest match by recursion over the distinct words."""
     values = _values([(i, w) for i, w in enumerate(samples.word_vocab())])
     longest = max(map(len, samples.word_vocab()))
-    normal = "lower(regexp_replace(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g'), '[\\x00-\\x1F\\x7F]', '', 'g'))"
+    normal = BERT
     return f"""WITH RECURSIVE vocab(id, token) AS (VALUES {values}),
-words AS (SELECT doc_id, unnest(regexp_extract_all({normal}, '[{PUNCT}]|[^{SPACES}{PUNCT}]+', 0)) AS word FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')),
+words AS (SELECT doc_id, unnest(regexp_extract_all({normal}, '[{PUNCT}]|[^{SPACES}{PUNCT}]+', 0)) AS word FROM documents),
 uniq AS (SELECT DISTINCT word FROM words),
 walk(word, k, pos, id) AS (
   SELECT word, 0, 1, NULL::INTEGER FROM uniq WHERE length(word) <= 12

@@ -26,6 +26,9 @@ _PARTS = 64
 #: Words of a block; windows are whole blocks, so many and as far apart (both in blocks).
 STEP = 4
 WINDOWS = ((2, 1), (4, 2), (8, 4), (16, 8))
+#: A passage is looked for in windows of half to twice its words (the longest windows: whatever is longer still).  In much
+#: longer ones it is lost among other words, and much shorter ones hold too little of it to be confirmed.
+FITTING = 2
 #: Words of a benchmark passage; longer items are cut into passages that overlap by half.
 PASSAGE = 64
 #: Latent dimensions, and columns beyond them in the randomised range finder.
@@ -215,6 +218,15 @@ class Searcher:
         latent = np.array([self.words[self.row[b[b >= 0]]].sum(axis=0) for b in (_bucket(h[w > 0]) for h, w in zip(bench.hashed, bench.weight, strict=True))], dtype=np.float32).reshape(len(bench.hashed), basis.shape[1])
         self.latent = latent / np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
         self.total = [w.sum() for w in bench.weight]
+        length = np.array([len(h) for h in bench.hashed], dtype=np.int64)
+        self.served = {}  # by blocks of a window: the passages that fit, and whether each row of the vocabulary is of one
+        for size, _ in WINDOWS:
+            fits = (length <= FITTING * STEP * size) & ((FITTING * length >= STEP * size) | (size == WINDOWS[0][0]))
+            own = np.zeros(len(bench.vocabulary) + 1, dtype=bool)
+            for p in np.flatnonzero(fits).tolist():
+                own[self.row[_bucket(bench.hashed[p])]] = True
+            own[-1] = False  # the place of words that are not in the vocabulary
+            self.served[size] = np.flatnonzero(fits), own
         self.whole = [*bench.short, *zip(bench.item, bench.hashed, strict=True)]
         # each passage stands under its rarest word: the word, its place, the passage's length, first and last word
         rarest = [int(np.argmax(idf[_bucket(h)])) for _, h in self.whole]
@@ -253,11 +265,16 @@ class Searcher:
         row = self.row[bucket]
         known = np.flatnonzero((row >= 0) & (squared > 0))
         every = np.concatenate(([0.0], np.cumsum(np.bincount(block, squared, begin[-1]))))
-        mine = np.concatenate(([0.0], np.cumsum(np.bincount(block[known], squared[known], begin[-1]))))
         of = np.repeat(np.arange(len(count)), blocks)
         place = np.arange(begin[-1]) - begin[of]
         at, row = block[known], row[known]
         for size, apart in WINDOWS:
+            fitting, own = self.served[size]
+            if not len(fitting):
+                continue
+            of_fitting = known[own[row]]
+            mine = np.concatenate(([0.0], np.cumsum(np.bincount(block[of_fitting], squared[of_fitting], begin[-1]))))
+            latent = self.latent[fitting]
             first = np.flatnonzero(place % apart == 0)
             end = np.minimum(first + size, begin[of[first] + 1])
             mass = mine[end] - mine[first]
@@ -270,10 +287,10 @@ class Searcher:
                 n = hi - lo
                 flat = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 z = np.add.reduceat(self.words[row[flat]], np.cumsum(n) - n, axis=0)
-                near = (z / np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))) @ self.latent.T
-                for w, p in np.argwhere(near >= LEAST_COSINE).tolist():
-                    t = int(of[x[w]])
-                    yield t, p, bool(strong[a + w]), int(bounds[t] + (x[w] - begin[t]) * STEP), int(min(bounds[t + 1], bounds[t] + (y[w] - begin[t]) * STEP)), float(near[w, p])
+                near = (z / np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))) @ latent.T
+                for w, q in np.argwhere(near >= LEAST_COSINE).tolist():
+                    t, p = int(of[x[w]]), int(fitting[q])
+                    yield t, p, bool(strong[a + w]), int(bounds[t] + (x[w] - begin[t]) * STEP), int(min(bounds[t + 1], bounds[t] + (y[w] - begin[t]) * STEP)), float(near[w, q])
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, int | None, int, int, float, float, float]]:
         """(text, item, first byte, end byte, cosine, share, answer share), the best for each text and item."""

@@ -174,6 +174,22 @@ def test_short_items_among_rare_words_and_short_benchmarks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in few} == {(d, n) for d, n, _ in placed if n in (3, 5)}
 
 
+@pytest.mark.parametrize("changed", [0.0, 0.2, 0.35])
+def test_recall_of_paraphrases(spark, changed):
+    """Words replaced at random in passages of 8 to 90 words."""
+    rng = random.Random(int(100 * changed))
+    items = [(i, prose(rng, rng.randrange(8, 90))) for i in range(60)]
+    docs = [(1000 + k, prose(rng, rng.randrange(40, 300))) for k in range(100)]
+    for i, text in items:
+        own = text.split()
+        for k in rng.sample(range(len(own)), int(changed * len(own))):
+            own[k] = rng.choice(WORDS)
+        docs.append((i, prose(rng, rng.randrange(5, 80)) + " " + " ".join(own) + " " + prose(rng, rng.randrange(5, 80))))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in found}
+    assert sum((i, i) in pairs for i, _ in items) >= (60 if changed < 0.3 else 48) and not any(d >= 1000 for d, _ in pairs)
+
+
 def test_windows_of_which_a_third_is_the_benchmark_s():
     own = [f"k{i}" for i in range(13)] + [f"v{i}" for i in range(7)]
     idf = np.full(decontaminate.BUCKETS, 3.0)

@@ -11,8 +11,13 @@ from glyphmill.functions.pretok import GPT2
 from glyphmill.operators.tokenizer import Tokenizer
 from glyphmill.sources import ranks
 
-#: Merges of the byte-level sample in rank order; "_" stands for the space.
-MERGES = "t h|h e|i n|e r|o n|a n|r e|th e|_ t|_ a|_ th|_ o|e n|s t|_the|in g|e s|a t|_ w|n d|o u|_i|er e|i on|t ion|d e|_ de|u e|q ue|c h|e i|l e"
+#: Merges of the byte-level sample in rank order.
+MERGES = [
+    ("t", "h"), ("h", "e"), ("i", "n"), ("e", "r"), ("o", "n"), ("a", "n"), ("r", "e"), ("th", "e"), (" ", "t"), (" ", "a"),
+    (" ", "th"), (" ", "o"), ("e", "n"), ("s", "t"), (" ", "the"), ("in", "g"), ("e", "s"), ("a", "t"), (" ", "w"), ("n", "d"),
+    ("o", "u"), (" ", "i"), ("er", "e"), ("i", "on"), ("t", "ion"), ("d", "e"), (" ", "de"), ("u", "e"), ("q", "ue"), ("c", "h"),
+    ("e", "i"), ("l", "e"),
+]
 #: Whole words and parts of the WordPiece sample.
 WORDS = "the of and in to is that it for was on are as with be this have from or had by not de la le les un en et que des der die das und in el los se no"
 PARTS = "th he in er on an re ed nd ha at en es st ti ou or nt hi ing ea ve co me de ra ro li ri io le ne se te ar as al it et is ma la el ic ch ng ion tion able ly sh wh"
@@ -23,11 +28,8 @@ def byte_merges() -> list[tuple[str, str]]:
     """Pairs in the byte alphabet (the space is a character of its own there), each part made by an earlier merge or one byte."""
     space = byte_alphabet()[32]
     out, known = [], set(byte_alphabet().values())
-    for text in MERGES.split("|"):
-        text = text.replace("_", space)
-        if " " not in text:  # the space's mark, then the rest
-            text = f"{text[0]} {text[1:]}"
-        a, b = text.split(" ")
+    for pair in MERGES:
+        a, b = (part.replace(" ", space) for part in pair)
         if a in known and b in known and (a, b) not in out:
             out.append((a, b))
             known.add(a + b)
@@ -95,12 +97,12 @@ def wordpiece_source(**parts: Any) -> str:
     return _source(model, **{"normalizer": normal, "pre_tokenizer": {"type": "BertPreTokenizer"}, "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True}, "added_tokens": _added(("[PAD]", "[UNK]", "[CLS]", "[SEP]"))} | parts)
 
 
-SPM_MERGES = "t h|h e|i n|e r|o n|a n|r e|th e|▁ t|▁ a|▁t he|▁ o|e n|s t"
+SPM_MERGES = [("t", "h"), ("h", "e"), ("i", "n"), ("e", "r"), ("o", "n"), ("a", "n"), ("r", "e"), ("th", "e"), ("▁", "t"), ("▁", "a"), ("▁t", "he"), ("▁", "o"), ("e", "n"), ("s", "t")]
 
 
 def sentencepiece(**parts: Any) -> Tokenizer:
     """Characters of the merges and some more, byte fallback, a mark before every word."""
-    pairs = [tuple(m.split(" ")) for m in SPM_MERGES.split("|")]
+    pairs = SPM_MERGES
     vocab: dict[str, int] = {}
     for s in ("<unk>", "<s>", "</s>", *(f"<0x{b:02X}>" for b in range(256)), "▁", *"abcdefghijklmnopqrstuvwxyz.,", *(a + b for a, b in pairs)):
         vocab.setdefault(s, len(vocab))

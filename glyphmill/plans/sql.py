@@ -149,7 +149,7 @@ def isolation() -> str:
 
 
 def spm_count() -> str:
-    pairs = [tuple(m.split(" ")) for m in samples.SPM_MERGES.split("|")]
+    pairs = samples.SPM_MERGES
     known = {"▁", *"abcdefghijklmnopqrstuvwxyz.,", *(a + b for a, b in pairs)}
     merges = [p for p in pairs if p[0] in known and p[1] in known]
     marked = "CASE WHEN text = '' OR starts_with(replace(text, ' ', '▁'), '▁') THEN replace(text, ' ', '▁') ELSE '▁' || replace(text, ' ', '▁') END"

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +22,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Words that a worker keeps in a task, and between tasks (the first ones, which are the most frequent), so that memory is
 #: bounded; results do not depend on it.
-TABLE_WORDS, KEPT_WORDS = 500_000, 150_000
+TABLE_WORDS, KEPT_WORDS = 500_000, 250_000
 
 #: Words of letters that are encoded together.
 ROW_WORDS = 256
@@ -45,6 +45,19 @@ def cuts_at_white_space(definition: dict) -> bool:
     return bool(split and byte_level and added and (definition.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and not definition.get("truncation"))
 
 
+class Codes(dict):
+    """Numbers of words in the order in which they come; ``new`` lists those that have no ids yet."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
+
+
 class Encoder:
     """Encodes lists of texts to one flat array of ids and each text's number of ids."""
 
@@ -62,7 +75,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[str, int] = {"": 0}
+        self.code = Codes([""])
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         self.first = np.zeros(1 << 14, dtype=np.int64)
         self.count = np.zeros(1 << 14, dtype=np.int64)
@@ -72,13 +85,15 @@ class Encoder:
         """Keeps the first ``words`` words of the table."""
         if len(self.code) <= words:
             return
-        self.code = dict(islice(self.code.items(), words))
-        self.used = int(self.first[words - 1] + self.count[words - 1])
-        self.ids, self.first, self.count = self.ids[: self.used].copy(), self.first[:words].copy(), self.count[:words].copy()
+        self.code = Codes(list(islice(self.code, words)))
+        self.ids, ends = self._gather(np.arange(words))
+        self.count = self.count[:words].copy()
+        self.first = ends - self.count
+        self.used = len(self.ids)
 
     def _library_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64)
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
     def _letters_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters alone: each is one piece, whose last id alone has the end-of-word suffix, so many share a call."""
@@ -89,48 +104,44 @@ class Encoder:
             raise ValueError("the vocabulary has no end-of-word suffix on every piece")
         return ids, np.diff(last, prepend=-1)
 
-    def _append(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n, have = len(words), len(self.code)
-        while have + n > len(self.first):
-            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
+    def _put(self, codes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of words by code."""
         while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            self.ids = np.concatenate((self.ids, np.zeros(max(1 << 16, len(self.ids)), dtype=np.int32)))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.first[have : have + n] = self.used + np.cumsum(sizes) - sizes
-        self.count[have : have + n] = sizes
+        self.first[codes] = self.used + np.cumsum(sizes) - sizes
+        self.count[codes] = sizes
         self.used += len(flat)
-        self.code.update(zip(words, range(have, have + n), strict=True))
 
-    def _add(self, words: list[str], plain: bool) -> None:
-        """New words: letters alone, letters with a tail of marks (the ids of both, one after the other), or any other.
+    def _add(self, plain: bool) -> None:
+        """Ids of new words: letters alone, letters with a tail of marks (the ids of both, one after the other), or any other.
 
         ``plain``: all of them are known to hold plain characters alone.
         """
-        letters, other, joint = [], [], []
-        seen: set[str] = set()
-        for word in words:
+        code, new = self.code, self.code.new
+        letters, letters_at, other, other_at, joint, joint_at = [], [], [], [], [], []
+        for at, word in enumerate(new, len(code) - len(new)):  # letters and tails that are new themselves join the list
             core = word.rstrip(_TAIL)
             if not core.isalpha() or not (plain or core.isascii() or not _PLAIN.search(core)):
-                if word not in seen:
-                    other.append(word)
-                    seen.add(word)
-                continue
-            if core not in self.code and core not in seen:
-                letters.append(core)
-                seen.add(core)
-            if len(core) < len(word):
-                tail = word[len(core) :]
-                joint.append((word, core, tail))
-                if tail not in self.code and tail not in seen:
-                    other.append(tail)
-                    seen.add(tail)
+                other.append(word)
+                other_at.append(at)
+            elif len(core) == len(word):
+                letters.append(word)
+                letters_at.append(at)
+            else:
+                joint.append((code[core], code[word[len(core) :]]))
+                joint_at.append(at)
+        code.new = []
+        if (more := len(code) - len(self.first)) > 0:
+            more = np.zeros(max(more, len(self.first)), dtype=np.int64)
+            self.first, self.count = np.concatenate((self.first, more)), np.concatenate((self.count, more))
         if letters:
-            self._append(letters, *self._letters_ids(letters))
+            self._put(letters_at, *self._letters_ids(letters))
         if other:
-            self._append(other, *self._library_ids(other))
-        if joint := [x for x in joint if x[0] not in seen]:
-            parts = np.array([(self.code[core], self.code[tail]) for _, core, tail in joint], dtype=np.int64)
-            self._append([x[0] for x in joint], self._gather(parts.ravel())[0], self.count[parts].sum(axis=1))
+            self._put(other_at, *self._library_ids(other))
+        if joint:
+            parts = np.array(joint, dtype=np.int64)
+            self._put(joint_at, self._gather(parts.ravel())[0], self.count[parts].sum(axis=1))
 
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words by code, and how many ids there are up to the end of each."""
@@ -155,9 +166,14 @@ class Encoder:
             sizes[i] = len(own)
         if len(self.code) > self.table_words:
             self.shrink(min(KEPT_WORDS, self.table_words // 2))
-        if new := [w for w in set(words) if w not in self.code]:
-            self._add(new, plain)
-        found, ends = self._gather(np.array(list(map(self.code.__getitem__, words)), dtype=np.int64))
+        try:
+            codes = np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
+            if self.code.new:
+                self._add(plain)
+        except BaseException:
+            self._clear()  # else words would stay without ids
+            raise
+        found, ends = self._gather(codes)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         upto = np.concatenate(([0], ends))
         return found, upto[bounds[1:]] - upto[bounds[:-1]]

@@ -9,10 +9,15 @@ Carried from place to place the hash is  h' = (h << s) ^ value(next code point),
 64 / s steps.  Array functions see neighbours only, so the hashes of two code points come from those of one, those of four
 from those of two, and so on:  h(a b) = (h(a) << s * |b|) ^ h(b).  Each of these steps, and each step of the windows' least
 values, is one pass over an array that never leaves its expression.
+
+Functions over array elements are interpreted, which costs microseconds a code point.  ``edited_fingerprints`` cuts texts
+into pieces of STEP windows, a row each, and takes the same steps over columns, one for each place of a piece: Spark compiles
+those.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +28,9 @@ from glyphmill.llm.ranges import ranges
 K, W = 12, 8
 #: Documents and bytes of text that are sorted together, on average, to find each one's successor.
 ROWS_PER_RANGE, BYTES_PER_RANGE = 512, 1 << 22
+#: Windows of a piece.  A row has k + w - 2 more columns, and those beside them: beyond 100 Spark makes many small methods of a
+#: step, but below that one for all steps, which would be too large for the JVM to compile.
+STEP = 96
 
 _HIGH = "-4294967296L"
 _LAST = 2147483647
@@ -74,6 +82,43 @@ def least(made: Column, w: int = W) -> Column:
     return _let(made, lambda a: halved(a, 1, F.size(a)))
 
 
+def _picked(pieces: DataFrame, k: int, w: int, step: int) -> DataFrame:
+    """``pieces`` with ``picks`` instead of ``piece``: the choices of its first ``valid`` windows (at most ``step``), places from ``at``.
+
+    The same values as those of ``grams`` and ``least``, with one column for each place.
+    """
+    if w & (w - 1):
+        raise ValueError("w must be a power of two")
+    beside = [F.col(c) for c in pieces.columns if c != "piece"]
+    df = pieces
+
+    def columns(made: list[Column]) -> list[Column]:
+        nonlocal df
+        df = df.select(*beside, *[c.alias(f"c{i}") for i, c in enumerate(made)])
+        return [F.col(f"c{i}") for i in range(len(made))]
+
+    def rolled(h: list[Column], have: int, to: int) -> list[Column]:
+        by = max(1, 64 // k) * have
+        return [functools.reduce(lambda x, y: F.shiftleft(x, by).bitwiseXOR(y), h[i : i + to : have]) for i in range(len(h) - to + have)]
+
+    h = columns([F.xxhash64(F.get(F.split("piece", ""), F.lit(i))) for i in range(step + k + w - 2)])
+    some = next(n for n in (4, 3, 2, 1) if k % n == 0)
+    h = rolled(columns(rolled(h, 1, some)), some, k)
+    m = columns([F.xxhash64(x).bitwiseAND(F.expr(_HIGH)).bitwiseOR((F.lit(_LAST - i) - F.col("at")).cast("long")) for i, x in enumerate(h)])
+    m = columns([F.least(*m[i : i + w]) if w > 1 else m[i] for i in range(step)])
+    # a choice stays that of windows in a row; no choice has the bit that marks those after the first
+    again = F.lit(_LAST + 1)
+    first = [m[0], *[F.when(x == y, again).otherwise(y) for x, y in zip(m, m[1:])]]
+    return df.select(*beside, F.array_remove(F.slice(F.array(*first), F.lit(1), F.col("valid")), again).alias("picks"))
+
+
+def _before(picks: str, to: str, step: int) -> Column:
+    """The choices at places before ``to``, in order, from those of each piece."""
+    whole = F.floor(F.col(to) / step).cast("int")
+    rest = F.filter(F.coalesce(F.get(picks, whole), F.array().cast("array<long>")), lambda x: F.lit(_LAST) - x.bitwiseAND(F.lit(_LAST).cast("long")) < F.col(to))
+    return F.concat(F.flatten(F.slice(picks, F.lit(1), whole)), rest)
+
+
 def with_fingerprint(df: DataFrame, text: str, to: str, *, k: int = K, w: int = W) -> DataFrame:
     """``df`` with the column ``to``: the chosen (hash, place) longs of ``text`` in order of place; empty for null."""
     return df.withColumn(to, F.coalesce(F.array_distinct(least(grams(F.col(text), k), w)), F.array().cast("array<long>")))
@@ -94,11 +139,10 @@ def digest(chosen: str) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.col(chosen), F.lit(s))), 16, "0") for s in (1, 2)]))
 
 
-def likeness(a: str, b: str) -> Column:
-    """The Jaccard coefficient of two arrays of distinct hashes; 1 if both are empty."""
-    both = F.size(F.array_intersect(F.col(a), F.col(b)))
-    every = F.size(a) + F.size(b) - both
-    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
+def likeness(a: str, b: str, both: str) -> Column:
+    """The Jaccard coefficient of two arrays of distinct hashes, of which ``both`` are shared; 1 if both arrays are empty."""
+    every = F.size(a) + F.size(b) - F.col(both)
+    return F.when(every == 0, F.lit(1.0)).otherwise(F.col(both) / every)
 
 
 def fingerprints(docs: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
@@ -142,30 +186,51 @@ def edited_fingerprints(docs: DataFrame, *, k: int = K, w: int = W, rows_per_ran
     dealt = numbered.withColumn("to", F.explode(F.concat(*to))).select("doc_id", "text", "to.part", "to.extra")
     order = Window.partitionBy("part").orderBy("extra", F.asc_nulls_first("doc_id"), "tie")
     # the rows are sorted here, with nothing but their texts
-    df = dealt.withColumn("tie", F.xxhash64("text")).withColumn("next_text", F.lead("text").over(order))
-    df = df.withColumn("least", least(grams(F.col("text"), k), w))
-    df = df.withColumn("chosen", F.array_distinct("least")).withColumn("hashes", hashes("chosen"))
-    df = df.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("least", "hashes")}).where("extra = 0")
+    df = dealt.withColumn("tie", F.xxhash64("text")).withColumns({"next_text": F.lead("text").over(order), "row": F.row_number().over(order)})
     df = df.withColumns({"n": F.length("text"), "keep": F.length("text") - F.floor(F.length("text") / 2).cast("int")})
-    df = df.withColumn("used", F.least(F.col("n") - F.col("keep"), F.length("next_text")))
-    df = df.withColumn("edited", F.concat(F.expr("left(text, keep)"), F.expr("left(next_text, used)")))
-    # a window spans k + w - 1 code points: those across the place where the texts meet lie in so many less one on either side
-    beside = k + w - 2
+    df = df.withColumn("used", F.least(F.col("n") - F.col("keep"), F.coalesce(F.length("next_text"), F.lit(0))))
+    df = df.withColumn("edited", F.concat(F.expr("left(text, keep)"), F.expr("left(coalesce(next_text, ''), used)")))
+    # a window spans k + w - 1 code points; shorter texts are one window, and have no pieces
+    span = k + w - 1
     total = F.col("keep") + F.col("used")
-    df = df.withColumn("from", F.greatest(F.col("keep") - beside, F.lit(0)))
-    df = df.withColumn("middle", F.substring(F.col("edited"), F.col("from") + 1, F.least(total, F.col("keep") + beside) - F.col("from")))
-    df = df.withColumn("across", least(grams(F.col("middle"), k, F.col("from")), w))
-    across = F.when((total > beside) & (F.length("middle") <= beside), F.array().cast("array<long>")).otherwise(F.col("across"))
-    kept = F.slice("least", F.lit(1), F.greatest(F.col("keep") - beside, F.lit(0)))
-    moved = F.transform(F.slice("next_least", F.lit(1), F.greatest(F.col("used") - beside, F.lit(0))), lambda x: x - F.col("keep"))
-    df = df.withColumn("edited_chosen", F.array_distinct(F.concat(kept, across, moved)))
+    # Choices at places before ``own_to`` and ``next_to`` are those of windows inside the kept half and inside what follows it.
+    # Choices beyond them are found anew, from the w - 1 windows that reach beyond those places, and from all windows between.
+    df = df.withColumns({"own_to": F.greatest(F.col("keep") - (span - 1), F.lit(0)), "next_to": F.greatest(F.col("used") - (span - 1), F.lit(0))})
+    df = df.withColumns({"across": F.greatest(F.col("own_to") - (w - 1), F.lit(0)), "end": F.col("keep") + F.greatest(F.col("next_to") - (w - 1), F.lit(0))})
+    step = max(STEP, span + w)
+    cut = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{span},{step + span - 1}}})).{{1,{step}}}"), F.lit(1))
+    between = F.when(total >= span, F.substring(F.col("edited"), F.col("across") + 1, F.least(total, F.col("keep") + span - 1) - F.col("across"))).otherwise("")
+    last = F.when(F.col("next_to") > 0, F.substring(F.col("edited"), F.col("end") + 1, total - F.col("end"))).otherwise("")
+    df = df.withColumns({"cut": cut, "between": between, "last": last, "edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256)})
+    df = df.withColumns({"short": F.when(F.col("n") < span, F.col("text")), "edited_short": F.when(total < span, F.col("edited"))})
+    at = lambda i: F.when(i < F.size("cut"), i * step).when(i == F.size("cut"), F.col("across")).otherwise(F.col("end"))
+    pieces = F.transform(F.concat("cut", F.array("between", "last")), lambda x, i: F.struct((i - F.size("cut")).alias("of"), at(i).alias("at"), x.alias("piece")))
+    df = df.withColumn("doc", F.struct("extra", "doc_id", "n", "keep", "own_to", "next_to", "edited_sha256", "short", "edited_short"))
+    df = df.select("part", "row", "doc", F.explode(pieces).alias("of"))
+    df = df.select("part", "row", F.when(F.col("of.of") == 0, F.col("doc")).alias("doc"), "of.of", "of.at", F.greatest(F.length("of.piece") - (span - 1), F.lit(0)).alias("valid"), "of.piece")
+    df = _picked(df, k, w, step).groupBy("part", "row").agg(
+        F.first("doc", ignorenulls=True).alias("doc"),
+        F.sort_array(F.collect_list(F.when(F.col("of") < 0, F.struct("of", "picks")))).getField("picks").alias("own"),
+        *[F.max(F.when(F.col("of") == i, F.col("picks"))).alias(c) for i, c in enumerate(("between", "last"))],
+    )
+    df = df.select("part", "row", "doc.*", "own", "between", "last")
+    alone = lambda c: least(grams(F.col(c), k), w)
+    df = df.withColumn("chosen", F.array_distinct(F.when(F.col("short").isNull(), F.flatten("own")).otherwise(alone("short"))))
+    df = df.withColumn("hashes", hashes("chosen"))
+    rows_of_part = Window.partitionBy("part").orderBy("row")
+    df = df.withColumns({f"next_{c}": F.lead(c).over(rows_of_part) for c in ("own", "hashes")}).where("extra = 0")
+    moved = F.transform(_before("next_own", "next_to", step), lambda x: x - F.col("keep"))
+    joint = F.concat(_before("own", "own_to", step), "between", moved, "last")
+    df = df.withColumn("edited_chosen", F.array_distinct(F.when(F.col("edited_short").isNull(), joint).otherwise(alone("edited_short"))))
     df = df.withColumn("edited_hashes", hashes("edited_chosen"))
+    # columns of their own, so that each is found once
+    df = df.withColumns({f"both_{c}": F.size(F.array_intersect("hashes", f"{c}_hashes")) for c in ("edited", "next")})
     return df.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "edited_sha256",
         digest("chosen").alias("fingerprint"),
         digest("edited_chosen").alias("edited_fingerprint"),
-        likeness("hashes", "edited_hashes").alias("near_edited"),
-        likeness("hashes", "next_hashes").alias("near_next"),
+        likeness("hashes", "edited_hashes", "both_edited").alias("near_edited"),
+        likeness("hashes", "next_hashes", "both_next").alias("near_next"),
     )

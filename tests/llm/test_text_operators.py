@@ -389,6 +389,26 @@ def test_fingerprints_of_few_rows(spark, nothing):
     assert winnow.edited_fingerprints(none).count() == 2
 
 
+def test_pieces_of_texts_meet(spark):
+    """Texts that end around the borders of pieces, for other grams and windows too: as one text in one go."""
+    rng = random.Random(13)
+    for k, w in ((winnow.K, winnow.W), (5, 4), (16, 16)):
+        step = max(winnow.STEP, k + 2 * w - 1)
+        sizes = [n + d for n in (k, k + w - 1, step, step + k + w - 2, 2 * step, 2 * step + k + w - 2, 2 * (step + k + w)) for d in (-1, 0, 1)]
+        texts = ["".join(rng.choice("😀é日abab \n") for _ in range(n)) for n in rng.sample(sizes, len(sizes))] + ["ab" * 300, "", "c" * 500]
+        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+        rows = winnow.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), k=k, w=w).collect()
+        whole = winnow.with_fingerprint(spark.createDataFrame([(t,) for t in {*texts, *edited}], "t string"), "t", "c", k=k, w=w)
+        alone = {r["t"]: r["f"] for r in whole.select("t", winnow.digest("c").alias("f")).collect()}
+        assert {r["doc_id"]: (r["fingerprint"], r["edited_fingerprint"]) for r in rows} == {i: (alone[t], alone[e]) for i, (t, e) in enumerate(zip(texts, edited, strict=True))}
+
+
+def test_code_points_of_long_texts_are_not_interpreted(spark, data):
+    """Functions over array elements read the code points of texts below one window alone: interpreted ones are too slow for tables of some GB."""
+    plan = catalog.op7_fingerprints(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"transform\(split\((?:doc#\d+\.)?(\w+)", plan)) <= {"short", "edited_short"}
+
+
 def test_fingerprints_use_no_python(spark, data):
     plan = catalog.op7_fingerprints(spark, data)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

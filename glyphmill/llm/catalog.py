@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, decontaminate, html, idstore, licenses, packing, quality, similar, urls, winnow
+from glyphmill.llm import chat, decontaminate, html, idstore, licenses, negatives, neighbours, packing, quality, similar, urls, whiten, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read(spark, idstore.write(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(neighbours.build(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -73,6 +86,9 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": op8_chat_format,
         "op9_url_filter": op9_url_filter,
         "op10_token_files": op10_token_files,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_whitening": op12_whitening,
+        "op13_nearest": op13_nearest,
     }
 
 
@@ -87,6 +103,17 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.b AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
 
+#: Every anchor with every row, as whole numbers.
+_NEGATIVES = """WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, list_inner_product(a.x, r.x)::BIGINT AS score FROM r a, r WHERE a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries are tested against brute-force versions: SQL has no tokenizer, classifier, SVD, or hash of theirs."""
-    return {"op3_jaccard_join": _JACCARD}
+    return {"op3_jaccard_join": _JACCARD, "op11_hard_negatives": _NEGATIVES}

@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions import cuts
+from glyphmill.operators import cutting
 from glyphmill.operators.tokenizer import ALL, Tokenizer
-from glyphmill.sources.definition import Definition
+from glyphmill.sources.definition import Definition, UnsupportedError
 
 _ENCODING = "struct<ids:array<int>,type_ids:array<int>,tokens:array<string>,attention_mask:array<int>,special_tokens_mask:array<int>>"
 
@@ -127,6 +129,18 @@ class Engine:
         d = self.tokenizer.definition
         return whole.select(key, F.concat(*[F.array(*[F.lit(i) for i in d.prefix]).cast("array<int>")] * bool(d.prefix), F.col("ids"), *[F.array(*[F.lit(i) for i in d.suffix]).cast("array<int>")] * bool(d.suffix)).alias("ids"))
 
+    def encode_cut(self, df: DataFrame, key: str, text: str, part_chars: int) -> DataFrame:
+        """``encode_parts`` with the cuts made by the JVM, without added tokens and template: for definitions with a split
+        whose sure places are known and no normalizer.  A part has ``part_chars`` characters and those up to the next sure
+        place; a text without any is one part.  ``key`` must be unique; a null text has no ids."""
+        name = cutting.family(self.tokenizer.definition)
+        if name is None or self.tokenizer.definition.normalizers:
+            raise UnsupportedError("no sure places are known for this definition")
+        parts = df.select(F.col(key), F.posexplode_outer(cuts.parts(text, name, part_chars)).alias("place", "part"))
+        made = parts.repartition(F.col(key), F.col("place")).select(key, "place", self.encode_ordinary("part").alias("ids"))
+        ordered = F.array_sort(F.collect_list(F.struct("place", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
+        return made.groupBy(key).agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+
     def encode_by_dictionary(self, df: DataFrame, key: str, pieces: Column) -> DataFrame:
         """(key, ids) where the model runs once for each distinct piece of the whole table: explode, distinct, model, join
         back, and the ids of each text in order.  ``pieces`` are a built-in split; ``key`` must be unique."""

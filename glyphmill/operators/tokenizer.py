@@ -11,9 +11,9 @@ from typing import Any
 
 from glyphmill.functions import normalize, pretok
 from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet, is_word
-from glyphmill.operators import decoding, models
+from glyphmill.operators import cutting, decoding, models
 from glyphmill.sources import definition, ranks
-from glyphmill.sources.definition import BPE, SPM, UNIGRAM, WORDPIECE, AddedToken, ArgumentError, Definition, FormatError, IdError, LimitError, OpenError, UnsupportedError
+from glyphmill.sources.definition import BPE, SPM, UNIGRAM, AddedToken, ArgumentError, Definition, FormatError, IdError, LimitError, OpenError, UnsupportedError
 
 ALL, NONSPECIAL, NONE = "all", "nonspecial", "none"
 MODES = (ALL, NONSPECIAL, NONE)
@@ -40,6 +40,8 @@ class Tokenizer:
         self._split = pretok.compiled(self._alphabet_steps(d))
         self._model = models.compiled(d)
         self._whole, self._direct = self._direct_split(d)
+        self._joins = cutting.joins(d)
+        self._cutter = cutting.Cutter(d, self._joins)
         self._by_content = {t.content: t for t in d.added}
         self._raw = self._pattern([t for t in d.added if not t.normalized], lambda t: t.content)
         self._normal = self._pattern([t for t in d.added if t.normalized], lambda t: self._normalize(t.content))
@@ -189,11 +191,31 @@ class Tokenizer:
                 ids += chain.from_iterable(map(plain.__getitem__, self._direct(part)))
             else:
                 for piece in self._split(part, first and not continuation) if split_any else [part]:
-                    ids += known[piece]
-                    if limit is not None and len(ids) >= limit:
-                        return ids
+                    for word in self._words(piece):
+                        ids += known[word]
+                        if limit is not None and len(ids) >= limit:
+                            return ids
         return ids
 
+    def _words(self, piece: str) -> list[str]:
+        """A piece in parts that the model may take one by one."""
+        return [piece] if self._joins is None else self._joins.words(piece)
+
+    def model_words(self, text: str | bytes, mode: str = ALL, continuation: bool = False) -> list[tuple[str, int | None]]:
+        """What the model would see, word by word, and added tokens with their ids: a text's ids are those of its words."""
+        out: list[tuple[str, int | None]] = []
+        split_any = bool(self.definition.pre_tokenizers) or self.definition.algorithm == BPE
+        for part, token, first in self.segments(self._text(text), mode):
+            if token is not None:
+                out.append((part, token))
+            else:
+                out += [(w, None) for p in (self._split(part, first and not continuation) if split_any else [part]) for w in self._words(p)]
+        return out
+
+    def word_ids(self, word: str) -> list[int]:
+        """The model's ids of one word of ``model_words``."""
+        return self._model.bounded()[word]
+
     def encode(self, text: str | bytes, *, add_special_tokens: bool = True, added_tokens: str | None = None, continuation: bool = False, truncate: bool = True, pad: bool = True) -> list[int]:
         """Ids of a text.  ``added_tokens`` is all, nonspecial or none; a continuation is neither cut nor padded."""
         d, mode = self.definition, added_tokens or (NONSPECIAL if self.encode_special_tokens else ALL)
@@ -429,47 +451,8 @@ class Tokenizer:
 
     def split_points(self, text: str, n_parts: int) -> list[int]:
         """Places (in characters) where a text may be cut, near equal parts: the ids of the parts, each after the first
-        encoded as a continuation, are those of the whole.
-
-        Certified places alone: a single space between two ASCII letters.  No added token may have such a place, or white
-        space at its edges taken in.  No cuts: where truncation or padding is on, where a normalizer step looks past one
-        character or sets a mark before every gap, and where the split is none of the known patterns.
-        """
-        if n_parts < 2 or not self._cuttable():
-            return []
-        out: list[int] = []
-        reach = max(1, min(4096, len(text) // (4 * n_parts)))
-        for k in range(1, n_parts):
-            want = len(text) * k // n_parts
-            for off in range(reach + 1):
-                hit = next((p for p in ((want - off, want + off) if off else (want,)) if 0 < p < len(text) - 1 and (not out or p > out[-1]) and self._cut_at(text, p)), None)
-                if hit is not None:
-                    out.append(hit)
-                    break
-        return out
-
-    @staticmethod
-    def _cut_at(text: str, p: int) -> bool:
-        a, b = text[p - 1], text[p + 1]
-        return text[p] == " " and a.isascii() and a.isalpha() and b.isascii() and b.isalpha()
-
-    def _cuttable(self) -> bool:
-        d = self.definition
-        if d.truncation or d.padding or any(t.lstrip or t.rstrip or re.search(r"[A-Za-z] [A-Za-z]", t.content) or t.content[0] == " " or t.content[-1] == " " for t in d.added):
-            return False
-        if d.algorithm == WORDPIECE:
-            return True
-        kinds = [s["type"] for s in d.pre_tokenizers]
-        if d.algorithm == BPE:
-            known = set(pretok.COVERING.values())
-            split = [next(iter(s["pattern"].values())) for s in d.pre_tokenizers if s["type"] == "Split"]
-            byte = [s for s in d.pre_tokenizers if s["type"] == "ByteLevel"]
-            ok = (split and all(p in known for p in split) and len(split) == 1) or (not split and byte and byte[0].get("use_regex", True))
-            return bool(ok) and set(kinds) <= {"Split", "ByteLevel"} and not any(t.normalized for t in d.added if d.normalizers)
-        # steps that take characters one by one, or compose them, but never with a space
-        if any(s["type"] not in ("Lowercase", "StripAccents", "NFC", "NFD", "NFKC", "NFKD") for s in d.normalizers) or (d.normalizers and any(t.normalized for t in d.added)):
-            return False
-        return kinds == ["Metaspace"] and d.pre_tokenizers[0].get("split", True)
+        encoded as a continuation, are those of the whole.  What places are sure says ``operators.cutting``."""
+        return self._cutter.points(text, n_parts)
 
     def encode_parts(self, text: str, n_parts: int) -> list[int]:
         """The same ids as ``encode``, from parts that can be encoded apart."""

@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions import normalize, pretok
-from glyphmill.operators import added, post, vocabulary
+from glyphmill.functions import cuts, normalize, pretok
+from glyphmill.operators import added, dictionary, post, vocabulary
 from glyphmill.operators.columns import Engine
 from glyphmill.operators.tokenizer import ALL, NONE, NONSPECIAL, Tokenizer
 from glyphmill.plans import cases, samples, sql
+from glyphmill.sources import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -467,6 +468,88 @@ def split_parts_equal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", _n(F.size("of_parts")).alias("n_tokens"), (F.col("whole") == F.col("of_parts")).alias("same"))
 
 
+# ---- sure cuts by family, pieces of parts, and dictionaries of words
+
+_ORDERS = {"cl100k": sql.covering_order(pretok.CL100K), "o200k": sql.covering_order(pretok.O200K), "deepseek3": sql.deepseek_order()}
+_SPLITS = {"cl100k": lambda x: pretok.split_matches(x, pretok.CL100K), "o200k": lambda x: pretok.split_matches(x, pretok.O200K), "deepseek3": lambda x: pretok.chained(x, pretok.DEEPSEEK3)}
+
+
+def _places(name: str) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Sure places of each text."""
+        return _docs(spark, sf_dir).where("text <> ''").select("doc_id", _n(cuts.places("text", name)).alias("n_places"))
+
+    f.__name__ = f"sure_places_{name}"
+    return f
+
+
+def _part_pieces(name: str) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Texts in parts of 200 characters and more, each part split by itself; the SQL splits the whole texts."""
+        pieces = cuts.split_by_parts("text", name, 200, _SPLITS[name])
+        made = _docs(spark, sf_dir).where("text <> ''").select("doc_id", pieces.alias("p"))
+        return made.select("doc_id", _n(F.size("p")).alias("n_pieces"), F.md5(F.array_join("p", chr(57347))).alias("h"))
+
+    f.__name__ = f"part_pieces_{name}"
+    return f
+
+
+for _name in _SPLITS:
+    query(sql.sure_places(_name))(_places(_name))
+    query(sql.piece_digest(_ORDERS[_name]))(_part_pieces(_name))
+
+if samples.published():
+    _tokens = "SELECT doc_id, o, unnest(symbols) AS token, generate_subscripts(symbols, 1) AS k FROM own JOIN made USING (piece)"
+
+    @query(sql.byte_pairs(samples.published(), pretok.GPT2, "SELECT doc_id, sum(len(symbols))::BIGINT AS n_tokens FROM own JOIN made USING (piece) GROUP BY doc_id"))
+    def real_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Tokens by a published vocabulary, the model running once for each distinct piece of the table."""
+        engine = Engine(spark, samples.real())
+        return dictionary.count_by_words(engine, _docs(spark, sf_dir).where("text <> ''"), "doc_id", "text", mode=NONE)
+
+    @query(sql.byte_pairs(samples.published(), pretok.GPT2, f"SELECT doc_id, md5(string_agg(id::VARCHAR, ' ' ORDER BY o, k)) AS h, count(*) AS n_tokens FROM ({_tokens}) JOIN vocab USING (token) GROUP BY doc_id"))
+    def real_ids_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All ids by a published vocabulary, of texts that are cut into rows at sure places and put together again."""
+        made = Engine(spark, samples.real()).encode_cut(_docs(spark, sf_dir).where("text <> ''"), "doc_id", "text", 2000)
+        return made.select("doc_id", F.md5(_joined("ids")).alias("h"), _n(F.size("ids")).alias("n_tokens"))
+
+    @query(sql.byte_pairs(samples.published(), pretok.GPT2, f"SELECT id, count(*) AS n FROM ({_tokens}) JOIN vocab USING (token) GROUP BY id"))
+    def real_id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """How often each id comes: pieces are counted first, so that each is encoded and unfolded once."""
+        engine = Engine(spark, samples.real())
+        counted = _exploded(spark, sf_dir, pretok.gpt2("text")).groupBy("piece").agg(F.count("*").alias("n"))
+        return counted.select(F.explode(engine.encode_ordinary("piece")).alias("id"), "n").groupBy(_n("id").alias("id")).agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT doc_id, {sql.whole_text_count()} AS n_tokens FROM documents WHERE text <> ''")
+def whole_text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A definition without a split: each text is one piece, cut where no merge joins its characters, by dictionary."""
+    engine = Engine(spark, samples.whole_texts())
+    return dictionary.count_by_words(engine, _docs(spark, sf_dir).where("text <> ''"), "doc_id", "text", mode=NONE)
+
+
+@query(
+    f"""WITH own AS (SELECT doc_id % 3 AS batch, piece FROM ({sql.pieces(pretok.GPT2, 'documents')})), firsts AS (SELECT piece, min(batch) AS batch FROM own GROUP BY piece),
+seen AS (SELECT batch, count(DISTINCT piece) AS n_distinct FROM own GROUP BY batch), fresh AS (SELECT batch, count(*) AS n_modelled FROM firsts GROUP BY batch),
+tokens AS (SELECT doc_id % 3 AS batch, sum({sql.bpe_count('text')})::BIGINT AS n_tokens FROM ({sql.bpe_texts()}) GROUP BY 1)
+SELECT batch, n_distinct, coalesce(n_modelled, 0) AS n_modelled, n_tokens FROM seen LEFT JOIN fresh USING (batch) JOIN tokens USING (batch)"""
+)
+def dictionary_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of documents into one kept dictionary: the model sees a piece in the first batch that has it only."""
+    engine = Engine(spark, samples.byte_level())
+    path = shared.folder(spark, "dictionary")
+    kept = dictionary.PieceDictionary(engine, spark, "words_" + path[-12:], path, buckets=8)
+    docs = _docs(spark, sf_dir)
+    for batch in range(3):
+        found = dictionary.words(engine, docs.where(F.col("doc_id") % 3 == batch), "doc_id", "text")
+        fresh = kept.extend(found)
+        tokens = dictionary.counted(engine, found, kept.table(), "doc_id").agg(F.sum("n_tokens").alias("n_tokens"))
+        seen = found.agg(F.count_distinct("word").alias("n_distinct"))
+        # written before the table grows again: one plan over several of its states would read one of them for all
+        tokens.join(seen).select(F.lit(batch).cast("bigint").alias("batch"), "n_distinct", F.lit(fresh).cast("bigint").alias("n_modelled"), "n_tokens").write.mode("append").parquet(f"{path}-report")
+    return spark.read.parquet(f"{path}-report")
+
+
 @query(f"SELECT name, sha256(source) AS h FROM (VALUES {sql._values(list(samples.sources().items()))}) v(name, source)")
 def source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SHA-256 of each definition's source, as the loaded tokenizer tells it."""

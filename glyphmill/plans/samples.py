@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import importlib.util
 import json
+from functools import cache
 from typing import Any
 
 from glyphmill.functions.characters import byte_alphabet
@@ -97,6 +99,21 @@ def wordpiece_source(**parts: Any) -> str:
     return _source(model, **{"normalizer": normal, "pre_tokenizer": {"type": "BertPreTokenizer"}, "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True}, "added_tokens": _added(("[PAD]", "[UNK]", "[CLS]", "[SEP]"))} | parts)
 
 
+def published(name: str = "byte_bpe_50k.json") -> str | None:
+    """The path of a published vocabulary, where the package that has them is installed."""
+    if importlib.util.find_spec("public_tokenizers") is None:
+        return None
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@cache
+def real() -> Tokenizer:
+    """A published byte-level vocabulary of some 50,000 tokens."""
+    return Tokenizer.from_file(published())
+
+
 SPM_MERGES = [("t", "h"), ("h", "e"), ("i", "n"), ("e", "r"), ("o", "n"), ("a", "n"), ("r", "e"), ("th", "e"), ("▁", "t"), ("▁", "a"), ("▁t", "he"), ("▁", "o"), ("e", "n"), ("s", "t")]
 
 
@@ -113,6 +130,15 @@ def sentencepiece(**parts: Any) -> Tokenizer:
     return _file(model, **{"pre_tokenizer": meta, "decoder": {"type": "Sequence", "decoders": chain}} | parts)
 
 
+#: Spaces become marks and every text starts with one; no split, so a whole text is one piece to the model.
+MARKED = {"type": "Sequence", "normalizers": [{"type": "Prepend", "prepend": "▁"}, {"type": "Replace", "pattern": {"String": " "}, "content": "▁"}]}
+
+
+def whole_texts() -> Tokenizer:
+    """The SentencePiece-style sample in the form that normalizes instead of splitting."""
+    return sentencepiece(normalizer=MARKED, pre_tokenizer=None)
+
+
 def unigram(**parts: Any) -> Tokenizer:
     """Scores by a rule: longer pieces cost less for each character."""
     pieces = ["<unk>", "▁", *"abcdefghijklmnopqrstuvwxyz.,", *(f"▁{w}" for w in dict.fromkeys(WORDS.split())), *dict.fromkeys(PARTS.split())]

@@ -224,3 +224,93 @@ walk(piece, pos, sums, counts, unknown) AS (
       WHERE w.pos < length(w.piece) AND (v.token IS NOT NULL OR l.len = 1))) WHERE r = 1),
 ends AS (SELECT piece, counts[pos + 1] AS n FROM walk WHERE pos = length(piece))
 SELECT d.doc_id, coalesce(sum(e.n), 0)::BIGINT AS n_tokens FROM documents d LEFT JOIN own USING (doc_id) LEFT JOIN ends e USING (piece) GROUP BY d.doc_id"""
+
+
+# ---- cuts, stated over single characters: the classes of three neighbours
+
+
+def _kind(family: str) -> str:
+    """The class of a character ``ch``, written out by hand."""
+    if family == "deepseek3":
+        own, rest = [("C", "[一-龥぀-ゟ゠-ヿ]"), ("L", r"[\p{L}\p{M}]"), ("N", r"\p{N}"), ("P", r"[\p{P}\p{S}]")], "X"
+        plain = ""
+    else:
+        own, rest = [("L", r"\p{L}"), ("M", r"\p{M}"), ("N", r"\p{N}")], "P"
+        plain = "WHEN ch = chr(39) THEN 'A' " + ("WHEN ch = '/' THEN 'D' " if family == "o200k" else "")
+    sets = " ".join(f"WHEN regexp_full_match(ch, '{p}') THEN '{c}'" for c, p in own)
+    return f"CASE WHEN ch = ' ' THEN 'S' WHEN ch IN (chr(10), chr(13)) THEN 'E' {plain}WHEN regexp_full_match(ch, '[{SPACES}]') THEN 'W' {sets} ELSE '{rest}' END"
+
+
+#: The neighbours (a, b) with a sure cut between: after a class, the classes that may follow.  White space by itself alone.
+SURE = {
+    "cl100k": {"L": "MNSWEAP", "M": "NSW", "N": "LMSWEAP", "A": "NSW", "P": "NSW", "E": "LMNAP", "S": "N", "W": "MNAP"},
+    "o200k": {"L": "NSWEPD", "M": "NSW", "N": "LMSWEAPD", "A": "NSW", "P": "NSW", "D": "NSW", "E": "LMNAP", "S": "N", "W": "N"},
+    "deepseek3": {"C": "LNPSWEX", "L": "CNPSWEX", "N": "CLPSWEX", "P": "CNSWX", "X": "CNPSWE", "E": "CLNPX", "S": "CNX", "W": "CNPX"},
+}
+
+
+def sure_places(family: str) -> str:
+    """How many places each document has."""
+    pairs = ", ".join(f"'{a}{b}'" for a, after in SURE[family].items() for b in after)
+    return (
+        f"SELECT doc_id, count(*) FILTER (a || b IN ({pairs}) AND NOT (a IN ('S', 'W') AND z IN ('S', 'W', 'E'))) AS n_places FROM ("
+        "SELECT doc_id, k AS a, lead(k) OVER w AS b, coalesce(lag(k) OVER w, '') AS z FROM ("
+        f"SELECT doc_id, i, {_kind(family)} AS k FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '')"
+        ") WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id"
+    )
+
+
+def piece_digest(ordered: str) -> str:
+    """Pieces of each document, and a digest of them in order, from rows (doc_id, piece, o)."""
+    return f"SELECT doc_id, count(*) AS n_pieces, md5(string_agg(piece, chr(57347) ORDER BY o)) AS h FROM ({ordered}) GROUP BY doc_id"
+
+
+def covering_order(pattern: str) -> str:
+    return f"SELECT doc_id, piece, (c::BIGINT << 32) + p AS o FROM ({placed_pieces(pattern)})"
+
+
+def deepseek_order() -> str:
+    """The pieces of ``deepseek_pieces`` in order: runs, then the last pattern's stretches and pieces in each."""
+    from glyphmill.functions.pretok import DEEPSEEK3
+
+    plain, _ = _ahead(DEEPSEEK3[2])
+    split = r"regexp_extract_all(text, '\p{N}{1,3}|[一-龥぀-ゟ゠-ヿ]+|[^\p{N}一-龥぀-ゟ゠-ヿ]+', 0)"
+    runs = f"SELECT doc_id, unnest({split}) AS text, generate_subscripts({split}, 1) AS r FROM documents"
+    whole = r"regexp_full_match(text, '\p{N}+|[一-龥぀-ゟ゠-ヿ]+')"
+    stretches = f"SELECT doc_id, r, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS c FROM (SELECT doc_id, r, {chunks(DEEPSEEK3[2])} AS cs FROM ({runs}) WHERE NOT {whole})"
+    inner = f"SELECT doc_id, r, c, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p FROM (SELECT doc_id, r, c, regexp_extract_all(chunk, {_text(plain)}, 0) AS ps FROM ({stretches}))"
+    return f"SELECT doc_id, text AS piece, (r, 0, 0) AS o FROM ({runs}) WHERE {whole} UNION ALL SELECT doc_id, piece, (r, c, p) AS o FROM ({inner})"
+
+
+# ---- a published vocabulary, read from its file: merges by recursion over the distinct pieces of all texts
+
+
+def byte_pairs(path: str, pattern: str, select: str) -> str:
+    """``own`` (doc_id, piece, o), ``made`` (piece, symbols) and ``vocab`` (token, id), then the query ``select``."""
+    table = "MAP {" + ", ".join(f"'{b:02X}': {_text(c)}" for b, c in byte_alphabet().items()) + "}"
+    file = f"(SELECT content FROM read_text({_text(path)}))"
+    return f"""WITH RECURSIVE pairs AS (SELECT unnest(x) AS p, generate_subscripts(x, 1) AS rank FROM (SELECT CAST(json_extract(content, '$.model.merges') AS VARCHAR[][]) AS x FROM {file})),
+merges AS (SELECT p[1] AS l, p[2] AS r, max(rank) AS rank FROM pairs GROUP BY 1, 2),
+entries AS (SELECT unnest(map_entries(CAST(json_extract(content, '$.model.vocab') AS MAP(VARCHAR, BIGINT)))) AS e FROM {file}),
+vocab AS (SELECT e.key AS token, e.value AS id FROM entries),
+own AS ({covering_order(pattern)}),
+uniq AS (SELECT DISTINCT piece FROM own),
+walk(piece, symbols) AS (
+  SELECT piece, list_transform(regexp_extract_all(hex(encode(piece)), '..', 0), lambda h: {table}[h]) FROM uniq
+  UNION ALL
+  SELECT piece, symbols[1:i - 1] || [symbols[i] || symbols[i + 1]] || symbols[i + 2:] FROM (
+    SELECT w.piece, w.symbols, w.i, row_number() OVER (PARTITION BY w.piece ORDER BY m.rank, w.i) AS n
+    FROM (SELECT piece, symbols, unnest(range(1, len(symbols))) AS i FROM walk) w JOIN merges m ON m.l = w.symbols[w.i] AND m.r = w.symbols[w.i + 1]) WHERE n = 1),
+made AS (SELECT piece, arg_min(symbols, len(symbols)) AS symbols FROM walk GROUP BY piece)
+{select}"""
+
+
+def whole_text_count() -> str:
+    """Tokens of texts that are one piece each: marks for spaces and one before, merges over the whole, bytes for what the
+    vocabulary lacks."""
+    pairs = samples.SPM_MERGES
+    known = {"▁", *"abcdefghijklmnopqrstuvwxyz.,", *(a + b for a, b in pairs)}
+    marked = "CASE WHEN text = '' THEN '' ELSE '▁' || replace(text, ' ', '▁') END"
+    merged = _merged(_symbols(marked), [p for p in pairs if p[0] in known and p[1] in known])
+    other = f"regexp_replace({marked}, '[a-z.,▁]', '', 'g')"
+    return f"((length({merged}) - length(replace({merged}, '{_OPEN}', ''))) + strlen({other}) - length({other}))"

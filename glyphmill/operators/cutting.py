@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import cache
 
@@ -98,9 +97,11 @@ class Cutter:
 
     def __init__(self, d: Definition, table: Joins | None):
         self.rule, self._composes = self._find(d, table)
-        contents = sorted({t.content for t in d.added if t.content}, key=lambda c: (-len(c), c))
-        self._added = re.compile("(?=(" + "|".join(map(re.escape, contents)) + "))") if contents and self.rule else None
-        self._longest = max(map(len, contents), default=0)
+        self._added: dict[str, list[int]] = {}  # lengths of added tokens by their first character
+        for content in {t.content for t in d.added if t.content}:
+            self._added.setdefault(content[0], []).append(len(content))
+        self._contents = {t.content for t in d.added}
+        self._longest = max(map(len, self._contents), default=0)
 
     @staticmethod
     def _find(d: Definition, table: Joins | None) -> tuple[regex.Pattern | None, bool]:
@@ -128,9 +129,9 @@ class Cutter:
         return None, False
 
     def _clear(self, text: str, p: int) -> bool:
-        if self._added is None:
-            return True
-        return all(m.start() + len(m[1]) < p for m in self._added.finditer(text, max(0, p - self._longest - 1), min(len(text), p + self._longest + 1)) if m.start() <= p)
+        """Whether no added token ends at the place, starts there, or reaches over it."""
+        starts = range(max(0, p - self._longest), min(len(text), p + 1))
+        return not any(s + n >= p and text[s : s + n] in self._contents for s in starts for n in self._added.get(text[s], ()))
 
     def nearest(self, text: str, want: int, reach: int, after: int) -> int | None:
         """The sure place nearest to ``want``, within ``reach`` of it and beyond ``after``; of two as near, the earlier."""

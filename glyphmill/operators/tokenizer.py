@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import chain
 from typing import Any
 
 from glyphmill.functions import normalize, pretok
+from glyphmill.functions.automaton import Automaton
 from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet, is_word
 from glyphmill.operators import cutting, decoding, models
 from glyphmill.sources import definition, ranks
@@ -19,6 +21,8 @@ ALL, NONSPECIAL, NONE = "all", "nonspecial", "none"
 MODES = (ALL, NONSPECIAL, NONE)
 #: Bytes of a text at most.
 MAX_TEXT = 1 << 29
+#: Added tokens up to which an alternation is tried at each place; its cost grows with their number.
+FEW_TOKENS = 64
 
 
 @dataclass
@@ -108,9 +112,15 @@ class Tokenizer:
         return models.Memo(lambda p: self._model.run("".join(alphabet[b] for b in p.encode("utf-8", "surrogateescape")))), pretok.compiled_pattern(pattern).findall
 
     @staticmethod
-    def _pattern(tokens: list[AddedToken], form) -> tuple[re.Pattern, dict[str, AddedToken]] | None:
+    def _pattern(tokens: list[AddedToken], form) -> tuple[Callable[[str], Iterable[tuple[int, int]]], dict[str, AddedToken]] | None:
+        """Spans of the leftmost-longest matches: by an alternation for some strings, by an automaton for many."""
         by = {form(t): t for t in tokens if form(t)}
-        return (re.compile("|".join(re.escape(c) for c in sorted(by, key=lambda c: (-len(c), c)))), by) if by else None
+        if not by:
+            return None
+        if len(by) > FEW_TOKENS:
+            return Automaton(by).spans, by
+        found = re.compile("|".join(re.escape(c) for c in sorted(by, key=lambda c: (-len(c), c))))
+        return lambda text: (m.span() for m in found.finditer(text)), by
 
     def _token_strings(self, d: Definition) -> dict[int, str]:
         out = {i: s for s, i in d.vocab.items()}
@@ -142,15 +152,15 @@ class Tokenizer:
         return out
 
     @staticmethod
-    def _scan(text: str, known: tuple[re.Pattern, dict[str, AddedToken]] | None, mode: str) -> list[tuple[str, AddedToken | None, int]]:
+    def _scan(text: str, known: tuple[Callable[[str], Iterable[tuple[int, int]]], dict[str, AddedToken]] | None, mode: str) -> list[tuple[str, AddedToken | None, int]]:
         """Leftmost-longest matches that do not overlap.  A match that is dropped (special in NONSPECIAL, single_word inside
         a word) still moves the search on; rstrip moves the token's end, but not the place where the search goes on."""
         if known is None or mode == NONE:
             return [(text, None, 0)] if text else []
         out: list[tuple[str, AddedToken | None, int]] = []
         done = 0
-        for m in known[0].finditer(text):
-            token, start, end = known[1][m[0]], m.start(), m.end()
+        for start, end in known[0](text):
+            token = known[1][text[start:end]]
             if mode == NONSPECIAL and token.special:
                 continue
             if token.single_word and ((start and is_word(text[start - 1])) or (end < len(text) and is_word(text[end]))):

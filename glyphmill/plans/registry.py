@@ -287,6 +287,22 @@ def added_token_split_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.col("s.text").alias("segment")).agg(F.count("*").alias("n"))
 
 
+MANY_TOKENS = 20_000
+
+
+@query(f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+', 0)) AS w FROM documents),
+known AS (SELECT w FROM words GROUP BY w ORDER BY count(*) DESC, w LIMIT {MANY_TOKENS})
+SELECT doc_id, count(*) AS n_tokens, sum(CASE WHEN known.w IS NULL THEN 1 ELSE length(words.w) + 2 END)::BIGINT AS n_characters FROM words LEFT JOIN known USING (w) GROUP BY doc_id""")
+def many_added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 20,000 words as added tokens, and their opening mark alone as one more: the longest that fits is taken."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "([a-z]+)", "<$1>").alias("text"))
+    known = _top(docs.select(F.explode(F.regexp_extract_all("text", F.lit("<[a-z]+>"), F.lit(0))).alias("piece")), n=MANY_TOKENS)
+    contents = [r["piece"] for r in known.collect()]
+    engine = Engine(spark, samples.byte_level(added_tokens=[t | {"id": 1000 + t["id"]} for t in samples._added(("<", *contents))]))
+    found = docs.select("doc_id", F.explode(engine.segments("text")).alias("s")).where("s.id is not null")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(_n(F.length("s.text"))).alias("n_characters"))
+
+
 @query(f"SELECT conv_id, turn, 3 + {sql.bpe_count('role_only')} + {sql.bpe_count('own')} AS n_all, 1 + {sql.bpe_count('plain')} AS n_nonspecial, {sql.bpe_count('marked')} AS n_none FROM ({sql.bpe_modes()})")
 def added_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens with all added tokens matched, with those alone that are not special (here <pad>), and with none."""

@@ -6,6 +6,7 @@ import codecs
 from typing import Any
 
 from glyphmill.functions.characters import byte_alphabet
+from glyphmill.sources.definition import LimitError
 
 # What the WordPiece clean-up replaces in each string, in this order.
 CLEAN_UP = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"))
@@ -35,11 +36,28 @@ def run_text(run: bytes) -> str:
         return "�" * len(run)
 
 
+#: Bytes of an undecided run that a stream holds where it is given a limit and no other number.
+HELD_BYTES = 44
+
+
+def _may_be_text(run: bytes) -> bool:
+    """Whether some bytes after it make it valid, if that is so without its last byte: the character before decides."""
+    at = max(0, len(run) - 2)
+    while at > 0 and len(run) - at < 5 and run[at] & 0xC0 == 0x80:
+        at -= 1
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(run[at:])
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Decoder:
     """Decodes token strings one by one; ``push`` gives all text that no later token can change, ``flush`` the rest.
 
-    State is three plain values (held bytes, characters still to strip, whether no token came yet), so a stream can keep
-    it between batches.
+    A run of byte tokens is held while its bytes may still be text; once they cannot, each is one replacement character at
+    once.  State is four plain values (held bytes, characters still to strip, whether no token came yet, whether the run
+    is no text), so a stream can keep it between batches.
     """
 
     def __init__(self, decoders: list[dict[str, Any]] | None, raw: bool = False):
@@ -51,14 +69,25 @@ class Decoder:
         self.per_token = [s for s in decoders or [] if s["type"] in ("Replace", "Metaspace")]
         self.strip = next((s for s in decoders or [] if s["type"] == "Strip"), None)
         self.raw = raw
-        self.restore(b"", self.strip["start"] if self.strip else 0, True)
+        self.restore(b"", self.strip["start"] if self.strip else 0, True, False)
 
-    def restore(self, held: bytes, to_strip: int, first: bool) -> Decoder:
-        self.held, self.to_strip, self.first = held, to_strip, first
+    def restore(self, held: bytes, to_strip: int, first: bool, broken: bool) -> Decoder:
+        self.held, self.to_strip, self.first, self.broken = held, to_strip, first, broken
         return self
 
-    def state(self) -> tuple[bytes, int, bool]:
-        return self.held, self.to_strip, self.first
+    def state(self) -> tuple[bytes, int, bool, bool]:
+        return self.held, self.to_strip, self.first, self.broken
+
+    def push_all(self, tokens: list[str], hold: int | None = None) -> str:
+        """All pushes or none: where one would hold more than ``hold`` bytes, LimitError, and the state is as it was."""
+        before, out = self.state(), []
+        for token in tokens:
+            out.append(self.push(token))
+            if hold is not None and len(self.held) > hold:
+                held = len(self.held)
+                self.restore(*before)
+                raise LimitError(f"a run of {held} bytes is longer than the hold of {hold}")
+        return "".join(out)
 
     def push(self, token: str) -> str:
         if self.byte_level:
@@ -75,8 +104,12 @@ class Decoder:
     def flush(self) -> str:
         if self.byte_level:
             return self._utf8(True)
-        out, self.held = run_text(self.held), b""
-        return self._stripped(out)
+        return self._stripped(self._ended())
+
+    def _ended(self) -> str:
+        """What an ending run of byte tokens leaves to give."""
+        out, self.held, self.broken = run_text(self.held), b"", False
+        return out
 
     def _utf8(self, final: bool) -> str:
         reader = codecs.getincrementaldecoder("utf-8")("replace")
@@ -97,9 +130,14 @@ class Decoder:
     def _chained(self, token: str) -> str:
         b = byte_of(token) if self.fallback else None
         if b is not None:
-            self.held += bytes([b])
             self.first = False
-            return ""
+            if not self.broken:
+                self.held += bytes([b])
+                if _may_be_text(self.held):
+                    return ""
+                self.broken, run, self.held = True, len(self.held), b""
+                return "�" * run
+            return "�"
         for s in self.per_token:
             if s["type"] == "Replace":
                 token = token.replace(next(iter(s["pattern"].values())), s["content"])
@@ -107,8 +145,7 @@ class Decoder:
                 scheme = s.get("prepend_scheme", "always" if s.get("add_prefix_space", True) else "never")
                 token = token.replace(s.get("replacement", "▁"), "" if self.first and scheme != "never" else " ")
         self.first = False
-        out, self.held = run_text(self.held), b""
-        return out + token
+        return self._ended() + token
 
     def _stripped(self, text: str) -> str:
         content = self.strip["content"] if self.strip else ""

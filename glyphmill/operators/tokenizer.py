@@ -357,8 +357,11 @@ class Tokenizer:
     def decode_bytes_batch(self, batch: list[list[int]]) -> list[bytes]:
         return [self.decode_bytes(ids) for ids in batch]
 
-    def decode_stream(self, skip_special_tokens: bool = False) -> DecodeStream:
-        return DecodeStream(self, skip_special_tokens)
+    def decode_stream(self, skip_special_tokens: bool = False, hold: int | None = None) -> DecodeStream:
+        return DecodeStream(self, skip_special_tokens, hold)
+
+    def encode_stream(self, mode: str = ALL, add_special_tokens: bool = True) -> EncodeStream:
+        return EncodeStream(self, mode, add_special_tokens)
 
     # ---- vocabulary
 
@@ -473,15 +476,61 @@ class Tokenizer:
 
 
 class DecodeStream:
-    """Incremental decoding: all pushes and the flush together are what ``decode`` gives."""
+    """Incremental decoding: all pushes and the flush together are what ``decode`` gives.
+
+    ``hold`` is the most bytes of an undecided run of byte tokens; a push that would need more raises LimitError and
+    changes nothing, so the same ids may be pushed again after ``hold`` was raised.  None holds any run.
+    """
 
-    def __init__(self, tokenizer: Tokenizer, skip_special_tokens: bool):
-        self.tokenizer, self.skip = tokenizer, skip_special_tokens
+    def __init__(self, tokenizer: Tokenizer, skip_special_tokens: bool, hold: int | None = None):
+        self.tokenizer, self.skip, self.hold = tokenizer, skip_special_tokens, hold
         self.decoder = decoding.Decoder(tokenizer.decoders())
 
     def push(self, ids: int | list[int]) -> str:
         tokens = self.tokenizer.tokens_of([ids] if isinstance(ids, int) else ids, self.skip)  # a bad id leaves the state as it was
-        return "".join(map(self.decoder.push, tokens))
+        return self.decoder.push_all(tokens, self.hold)
 
     def flush(self) -> str:
         return self.decoder.flush()
+
+
+class EncodeStream:
+    """Incremental encoding: all pushes and the flush together are the ids of the whole text.
+
+    A push gives the ids up to the last sure place that no later text can change, and keeps the text behind it (and as much
+    as the longest added token has).  State is the kept text and whether ids were given.  Definitions without sure places
+    keep everything.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, mode: str = ALL, add_special_tokens: bool = True):
+        self.tokenizer, self.mode, self.special = tokenizer, mode, add_special_tokens
+        self.restore("", False)
+
+    def restore(self, kept: str, started: bool) -> EncodeStream:
+        self.kept, self.started = kept, started
+        return self
+
+    def state(self) -> tuple[str, bool]:
+        return self.kept, self.started
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False, added_tokens=self.mode, continuation=self.started, truncate=not self.started, pad=False)
+
+    def push(self, text: str) -> list[int]:
+        self.kept += text
+        at = self.tokenizer._cutter.last(self.kept)
+        if at is None:
+            return []
+        before = self.tokenizer.definition.prefix if self.special and not self.started else []
+        ids = [*before, *self._ids(self.kept[:at])]
+        self.kept, self.started = self.kept[at:], True
+        return ids
+
+    def flush(self) -> list[int]:
+        d = self.tokenizer.definition
+        if not self.started:
+            ids = self.tokenizer.encode(self.kept, add_special_tokens=self.special, added_tokens=self.mode)
+        else:
+            ids = [*self._ids(self.kept), *(d.suffix if self.special else [])]
+        self.restore("", False)
+        return ids

@@ -16,6 +16,7 @@ from glyphmill.operators.columns import Engine
 from glyphmill.operators.tokenizer import ALL, NONE, NONSPECIAL, Tokenizer
 from glyphmill.plans import cases, samples, sql
 from glyphmill.sources import shared
+from glyphmill.streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -529,6 +530,16 @@ if samples.published():
         made = Engine(spark, samples.real()).encode_cut(_docs(spark, sf_dir).where("text <> ''"), "doc_id", "text", 2000)
         return made.select("doc_id", F.md5(_joined("ids")).alias("h"), _n(F.size("ids")).alias("n_tokens"))
 
+    @query(sql.byte_pairs(samples.published(), pretok.GPT2, f"SELECT doc_id, md5(string_agg(id::VARCHAR, ' ' ORDER BY o, k)) AS h, count(*) AS n_tokens FROM ({_tokens}) JOIN vocab USING (token) GROUP BY doc_id"))
+    def appended_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Texts that come in rows of 300 characters, in any place of a word, encoded as the stream does: what stands
+        behind the last sure place waits for the next row."""
+        docs = _docs(spark, sf_dir).where("text <> ''")
+        starts = F.sequence(F.lit(0), F.ceil(F.length("text") / 300).cast("int") - 1)
+        given = docs.select("doc_id", "text", F.explode(starts).alias("seq")).select("doc_id", "seq", F.col("text").substr(F.col("seq") * 300 + 1, F.lit(300)).alias("text"))
+        made = keyed.encoded_batch(given, "doc_id", Engine(spark, samples.real()), mode=NONE)
+        return made.select("doc_id", F.md5(_joined("ids")).alias("h"), _n(F.size("ids")).alias("n_tokens"))
+
     @query(sql.byte_pairs(samples.published(), pretok.GPT2, f"SELECT id, count(*) AS n FROM ({_tokens}) JOIN vocab USING (token) GROUP BY id"))
     def real_id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         """How often each id comes: pieces are counted first, so that each is encoded and unfolded once."""

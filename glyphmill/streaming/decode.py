@@ -18,7 +18,7 @@ def decoded(ids: DataFrame, key: str, engine: Engine, *, skip_special_tokens: bo
     """(key, seq, text) for a stream of (key, seq, id, done): the text that each micro-batch settles for each key.
 
     ``seq`` orders a key's ids; a row with ``done`` ends the key's text and gives what was held.  State is the held bytes,
-    the characters still to strip and whether a token came yet; all pushes together give what decoding at once gives.
+    the characters still to strip, whether a token came yet and whether the open run is text; all pushes together give what decoding at once gives.
     """
     shared = engine._shared
 
@@ -26,8 +26,8 @@ def decoded(ids: DataFrame, key: str, engine: Engine, *, skip_special_tokens: bo
         t = _tokenizer(shared)
         d = Decoder(t.decoders())
         if state.exists:
-            held, strip, first = state.get
-            d.restore(bytes(held), strip, first)
+            held, strip, first, broken = state.get
+            d.restore(bytes(held), strip, first, broken)
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         text, ended = "", False
         for i, done in zip(rows["id"].tolist(), rows["done"].tolist(), strict=True):
@@ -43,7 +43,7 @@ def decoded(ids: DataFrame, key: str, engine: Engine, *, skip_special_tokens: bo
         yield pd.DataFrame({key: [group[0]], "seq": [int(rows["seq"].max())], "text": [text]})
 
     kind = ids.schema[key].dataType.simpleString()
-    return ids.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq bigint, text string", "held binary, strip int, first boolean", "append", GroupStateTimeout.NoTimeout)
+    return ids.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq bigint, text string", "held binary, strip int, first boolean, broken boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_usage(rows: DataFrame, time: str, count: Column, window: str = "10 minutes", lateness: str = "30 minutes", by: str | None = None) -> DataFrame:

@@ -98,36 +98,11 @@ class Engine:
     def encode_bound(self, text: Column | str) -> Column:
         """The most ids that a text of this many bytes can have, by arithmetic alone."""
         t = self.tokenizer
-        base, step = t.encode_bound(0), t.encode_bound(2) - t.encode_bound(1)
-        first = t.encode_bound(1) - step
-        size = F.octet_length(F.col(text) if isinstance(text, str) else text)
+        size = F.octet_length(F.col(text) if isinstance(text, str) else text).cast("bigint")
         if t.definition.padding:
             return self._function("bigint", lambda t, v: t.encode_bound(len(v.encode() if isinstance(v, str) else v)))(text)
-        return F.when(size == 0, F.lit(base)).otherwise(size * step + first).cast("bigint")
-
-    def encode_parts(self, df: DataFrame, key: str, text: str, part_chars: int) -> DataFrame:
-        """(key, ids) of texts that are cut at certified places into parts of about ``part_chars``, encoded as rows of their
-        own and put together in order: one giant text spreads over many tasks.  ``key`` must be unique."""
-        n = F.greatest(F.lit(1), F.ceil(F.length(text) / part_chars).cast("int"))
-        shared = self._shared
-
-        def cut(texts: pd.Series, parts: pd.Series) -> pd.Series:
-            t = _tokenizer(shared)
-            out = []
-            for v, k in zip(texts, parts, strict=True):
-                at = [0, *t.split_points(v or "", int(k)), len(v or "")]
-                out.append([(v or "")[a:b] for a, b in zip(at, at[1:], strict=False)])
-            return pd.Series(out, dtype=object)
-
-        def encoded(texts: pd.Series, places: pd.Series) -> pd.Series:
-            t = _tokenizer(shared)
-            return pd.Series([t.encode(v, add_special_tokens=False, continuation=bool(p), truncate=False, pad=False) for v, p in zip(texts, places, strict=True)], dtype=object)
-
-        parts = df.select(F.col(key), F.posexplode(F.pandas_udf(cut, "array<string>")(F.coalesce(F.col(text), F.lit("")), n)).alias("place", "part"))
-        made = parts.repartition(F.col(key), F.col("place")).select(key, "place", F.pandas_udf(encoded, "array<int>")("part", "place").alias("ids"))
-        whole = made.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])).alias("ids"))
-        d = self.tokenizer.definition
-        return whole.select(key, F.concat(*[F.array(*[F.lit(i) for i in d.prefix]).cast("array<int>")] * bool(d.prefix), F.col("ids"), *[F.array(*[F.lit(i) for i in d.suffix]).cast("array<int>")] * bool(d.suffix)).alias("ids"))
+        up = F.ceil(size * t.bound.rate.numerator / t.bound.rate.denominator)
+        return (F.when(size == 0, F.lit(0)).otherwise(up + t.bound.before) + t.bound.template).cast("bigint")
 
     def encode_cut(self, df: DataFrame, key: str, text: str, part_chars: int) -> DataFrame:
         """``encode_parts`` with the cuts made by the JVM, without added tokens and template: for definitions with a split

@@ -7,15 +7,16 @@ import os
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 from typing import Any
 
 from glyphmill.functions import normalize, pretok
 from glyphmill.functions.automaton import Automaton
 from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet, is_word
-from glyphmill.operators import cutting, decoding, models
+from glyphmill.operators import bounds, cutting, decoding, models
 from glyphmill.sources import definition, ranks
-from glyphmill.sources.definition import BPE, SPM, UNIGRAM, AddedToken, ArgumentError, Definition, FormatError, IdError, LimitError, OpenError, UnsupportedError
+from glyphmill.sources.definition import BPE, AddedToken, ArgumentError, Definition, FormatError, IdError, LimitError, OpenError, UnsupportedError
 
 ALL, NONSPECIAL, NONE = "all", "nonspecial", "none"
 MODES = (ALL, NONSPECIAL, NONE)
@@ -47,6 +48,7 @@ class Tokenizer:
         self._joins = cutting.joins(d)
         self._cutter = cutting.Cutter(d, self._joins)
         self._by_content = {t.content: t for t in d.added}
+        self._added_by_id = {t.id: t for t in reversed(d.added)}
         self._raw = self._pattern([t for t in d.added if not t.normalized], lambda t: t.content)
         self._normal = self._pattern([t for t in d.added if t.normalized], lambda t: self._normalize(t.content))
         if d.algorithm == BPE and any(t.normalized and self._normalize(t.content) != t.content for t in d.added):
@@ -311,16 +313,13 @@ class Tokenizer:
         return [*d.prefix, *d.suffix], [*d.prefix_types, *d.suffix_types], len(d.prefix)
 
     def encode_bound(self, n_bytes: int) -> int:
-        """No text of so many bytes has more ids."""
-        d = self.definition
-        growth = 1
-        for s in d.normalizers:
-            growth *= {"NFKC": 11, "NFKD": 11, "NFC": 3, "NFD": 3, "Precompiled": 11, "BertNormalizer": 3, "Lowercase": 2}.get(s["type"], 1)
-            if s["type"] == "Replace":
-                growth *= max(1, len(s["content"].encode()))
-        marks = 1 + (d.algorithm in (SPM, UNIGRAM)) * 3 * (1 + len(d.added))
-        bound = growth * n_bytes + (marks if n_bytes else 0) + len(d.prefix) + len(d.suffix)
-        return len(self._padded([0] * bound, 0)) if d.padding else bound
+        """No text of so many bytes has more ids: ``operators.bounds`` says why."""
+        bound = self.bound.of(n_bytes)
+        return len(self._padded([0] * bound, 0)) if self.definition.padding else bound
+
+    @cached_property
+    def bound(self) -> bounds.Bound:
+        return bounds.Bound(self.definition)
 
     # ---- decoding
 
@@ -394,7 +393,7 @@ class Tokenizer:
 
     def id_flags(self, i: int) -> int:
         """Bits: 1 added, 2 special, 4 a byte token."""
-        t = next((t for t in self.definition.added if t.id == i), None)
+        t = self._added_by_id.get(i)
         byte = t is None and i in self._strings and (decoding.byte_of(self._strings[i]) is not None if self.definition.byte_fallback else self.definition.algorithm == BPE and len(decoding.raw_bytes(self._strings[i])) == 1)
         return (1 if t else 0) | (2 if t and t.special else 0) | (4 if byte else 0)
 
@@ -446,16 +445,8 @@ class Tokenizer:
         }
 
     def control_isolation(self) -> bool:
-        """Whether no text gives an added token's id when added tokens are not matched: no id of one can come from the model."""
-        if self.definition.ranks:
-            return not {t.id for t in self.definition.added} & set(self.definition.ranks.values())
-        made = set(self.definition.vocab.values())
-        if self.definition.algorithm in (BPE, SPM):
-            one = {self.definition.vocab[s] for s in self.definition.vocab if len(s) == 1 or decoding.byte_of(s) is not None}
-            made = one | {self.definition.vocab[a + b] for a, b in self.definition.merges} | ({self.definition.unk_id} if self.definition.unk_id is not None else set())
-            if self.definition.ignore_merges:
-                made = set(self.definition.vocab.values())
-        return not {t.id for t in self.definition.added} & made
+        """Whether it is proved that no text gives an added token's id when added tokens are not matched."""
+        return bounds.isolated(self.definition)
 
     def to_summary(self) -> str:
         return json.dumps(self.info(), sort_keys=True)

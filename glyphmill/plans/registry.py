@@ -5,6 +5,7 @@ Results have scalar columns: numbers are BIGINT, arrays of ids are joined by spa
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -468,13 +469,23 @@ def decode_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- bounds and cuts
 
 
-@query("SELECT doc_id, strlen(text) + CASE WHEN text = '' THEN 0 ELSE 1 END AS bound, true AS holds FROM documents")
+@query("SELECT doc_id, strlen(text) AS bound, true AS holds FROM documents")
 def encode_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, samples.byte_level())
     made = _docs(spark, sf_dir).select("doc_id", engine.encode_bound("text").alias("bound"), engine.token_count("text").alias("n"))
     return made.select("doc_id", "bound", (F.col("n") <= F.col("bound")).alias("holds"))
 
 
+@query("SELECT doc_id, strlen(text) AS byte_level, strlen(text) + CASE WHEN text = '' THEN 0 ELSE 1 END AS whole_texts, strlen(text) + CASE WHEN text = '' THEN 0 ELSE 1 END AS unigram, strlen(text) AS wordpiece, 3 * strlen(text) AS composed, true AS hold FROM documents")
+def encode_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proved bounds of four models, and of one that composes characters first; each holds for every text."""
+    engines = {"byte_level": samples.byte_level(), "whole_texts": samples.whole_texts(), "unigram": samples.unigram(), "wordpiece": samples.wordpiece(), "composed": samples.byte_level(normalizer={"type": "NFC"})}
+    engines = {n: Engine(spark, t) for n, t in engines.items()}
+    made = _docs(spark, sf_dir).select("doc_id", *[e.encode_bound("text").alias(n) for n, e in engines.items()], *[e.token_count("text").alias(f"n_{n}") for n, e in engines.items()])
+    hold = functools.reduce(lambda a, b: a & b, [F.col(f"n_{n}") <= F.col(n) for n in engines])
+    return made.select("doc_id", *engines, hold.alias("hold"))
+
+
 @query(f"SELECT doc_id, {sql.bpe_count('text')} AS n_tokens, true AS same FROM ({sql.bpe_texts()})")
 def split_parts_equal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut at certified places and encoded in parts have the ids of the whole."""

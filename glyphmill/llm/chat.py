@@ -23,6 +23,53 @@ from glyphmill.llm.session import stored
 _LAST = 2**31 - 1
 
 
+#: JSON is read without the parser's bounds of strings and digits.  Values are nested 1,000 deep at most: variants are made
+#: by calls inside calls, which a thread has no more room for.
+_BOUNDS = "map('maxStringLen', '2147483647', 'maxNumLen', '2147483647', 'maxNestingDepth', '1000')"
+#: Whether a text is JSON at all is asked without any bound; nothing is made of it.
+_NO_BOUNDS = "map('maxStringLen', '2147483647', 'maxNumLen', '2147483647', 'maxNestingDepth', '2147483647', 'columnNameOfCorruptRecord', 'broken')"
+#: Stand for an escaped backslash and an escaped quote while strings are told from what is between them, and before
+#: numbers that are kept as they are written: no JSON has noncharacters in it for a reason.
+_BACKSLASH, _QUOTE, _DIGITS = "\ufdd0", "\ufdd1", "\ufdd2"
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+#: Digits that a number may have before it is kept as written: what a decimal holds.
+_EXACT = 38
+
+
+def _parsed(json: str) -> Column:
+    """A variant of JSON of any length and depth; of equal keys in one object the last counts.  Null for what is no JSON."""
+    return F.expr(f"from_json({json}, 'variant', {_BOUNDS})")
+
+
+def _plain_number(token: Column) -> Column:
+    """One spelling for equal numbers.  Exponents are written out from 1e-6 up to below 1e21, and else as the shortest
+    digits with a sign and an exponent; numbers of more digits than a decimal holds stay as they are written."""
+    value = token.cast("double")
+    whole = F.abs(value) < 1e21
+    written = F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(value.cast("decimal(38,17)").cast("string"), "0+$", ""), "[.]$", ""))
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(value.cast("string"), "[.]0E", "E"), "E-", "e-"), "E", "e+")
+    kept = lambda of: F.concat(F.lit(f'"{_DIGITS}'), of, F.lit('"'))
+    exponent = F.when(F.abs(value) == float("inf"), kept(F.lower(token))).when(value == 0, F.lit("0")).when(whole & (F.abs(value) >= 1e-6), written).otherwise(kept(short))
+    return F.when(token.rlike("[eE]"), exponent).when(F.length(F.regexp_replace(token, "[^0-9]", "")) >= _EXACT, kept(token)).otherwise(token)
+
+
+def _with_plain_numbers(text: Column) -> Column:
+    """JSON whose numbers a variant holds as they are, or which are strings that begin with a sign of their own.
+
+    Only texts with an exponent or a long number outside of strings can need it, so the others are not taken apart."""
+    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    between = lambda part: F.array_join(F.transform(F.regexp_extract_all(part, F.lit(f"{_NUMBER}|[^0-9-]+|-"), F.lit(0)), lambda t: F.when(t.rlike(f"^{_NUMBER}$"), _plain_number(t)).otherwise(t)), "")
+    parts = F.transform(F.regexp_extract_all(hidden, F.lit('"[^"]*"|[^"]+'), F.lit(0)), lambda p: F.when(p.startswith('"'), p).otherwise(between(p)))
+    made = F.replace(F.replace(F.array_join(parts, ""), F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    needed = text.rlike(f"[0-9][eE][+-]?[0-9]|[0-9.]{{{_EXACT},}}") & ~text.rlike(f"[{_BACKSLASH}{_QUOTE}{_DIGITS}]")
+    return F.when(needed, made).otherwise(text)
+
+
+def _json(of: str) -> str:
+    """A variant as JSON, with its kept numbers."""
+    return f"regexp_replace(to_json({of}), '\"{_DIGITS}([^\"]*)\"', '$1')"
+
+
 def _get(of: str, path: str, kind: str) -> Column:
     return F.expr(f"try_variant_get({of}, '{path}', '{kind}')")
 
@@ -31,8 +78,13 @@ def _read(conversations: DataFrame) -> DataFrame:
     """Messages with their JSON and a hash that stands for the message; repeated rows share it."""
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("kind", F.lower(F.coalesce("role", F.lit(""))))
-    told = F.when(F.col("kind").isin("system", "assistant", "tool") & F.ltrim("text", F.lit(" \t\n\r")).startswith("{"), F.expr("try_parse_json(text)"))
-    return rows.withColumn("message", F.xxhash64("conv_id", "turn", "role", "text", F.length("text"))).withColumn("json", told)
+    conversations.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spoken = F.col("kind").isin("system", "assistant", "tool") & F.ltrim("text", F.lit(" \t\n\r")).startswith("{")
+    rows = rows.withColumn("message", F.xxhash64("conv_id", "turn", "role", "text", F.length("text"))).withColumn("plain", F.when(spoken, _with_plain_numbers(F.col("text"))))
+    rows = rows.withColumn("json", _parsed("plain"))
+    # JSON without fault that no variant holds
+    lost = F.col("plain").isNotNull() & F.col("json").isNull() & F.expr(f"from_json(plain, 'broken string', {_NO_BOUNDS}).broken is null")
+    return rows.withColumn("unreadable", F.coalesce(lost, F.lit(False))).drop("plain")
 
 
 def _calls(messages: DataFrame) -> DataFrame:
@@ -44,9 +96,10 @@ def _calls(messages: DataFrame) -> DataFrame:
         "name": F.coalesce(_get("call", "$.name", "string"), _get("call", "$.function.name", "string")),
         "given": F.coalesce(_get("call", "$.arguments", "variant"), _get("call", "$.function.arguments", "variant")),
     })
-    each = each.withColumn("arguments", F.when(F.expr("schema_of_variant(given) = 'STRING'"), F.expr("try_parse_json(variant_get(given, '$', 'string'))")).otherwise(F.col("given")))
+    each = each.withColumn("string_arguments", _with_plain_numbers(F.expr("try_variant_get(given, '$', 'string')")))
+    each = each.withColumn("arguments", F.when(F.expr("schema_of_variant(given) = 'STRING'"), _parsed("string_arguments")).otherwise(F.col("given")))
     needs = F.array_union(F.coalesce(_get("call", "$.depends_on", "array<string>"), F.array().cast("array<string>")), F.coalesce(F.regexp_extract_all(F.expr("to_json(arguments)"), F.lit(r'"\$result:([^"]*)"'), F.lit(1)), F.array().cast("array<string>")))
-    return each.withColumn("needs", F.array_except(needs, F.array(F.lit(None).cast("string")))).drop("given", "call")
+    return each.withColumn("needs", F.array_except(needs, F.array(F.lit(None).cast("string")))).drop("given", "call", "string_arguments")
 
 
 def _tools(messages: DataFrame) -> DataFrame:
@@ -54,16 +107,24 @@ def _tools(messages: DataFrame) -> DataFrame:
     listed = messages.where("kind = 'system' and json is not null").select("conv_id", "turn", "message", F.explode(_get("json", "$.tools", "array<variant>")).alias("tool"))
     each = listed.select("conv_id", F.coalesce(_get("tool", "$.name", "string"), _get("tool", "$.function.name", "string")).alias("name"), F.struct("turn", "message", F.expr("to_json(coalesce(try_variant_get(tool, '$.parameters', 'variant'), try_variant_get(tool, '$.function.parameters', 'variant')))").alias("schema")).alias("first"))
     found = each.where("name is not null").groupBy("conv_id", "name").agg(F.min("first").alias("first"))
-    return found.select("conv_id", "name", F.lit(True).alias("known"), F.expr("try_parse_json(first.schema)").alias("schema"))
+    return found.select("conv_id", "name", F.lit(True).alias("known"), _parsed("first.schema").alias("schema"))
 
 
 #: What a schema's type name allows of a value's own type (``k``).
-_FITS = """case t when 'string' then k = 'STRING' when 'integer' then k = 'BIGINT' or (k rlike '^(DECIMAL|DOUBLE)' and number = floor(number))
+_FITS = """case t when 'string' then k = 'STRING' when 'integer' then k = 'BIGINT' or (k rlike '^(DECIMAL|DOUBLE)' and number = rint(number))
  when 'number' then k = 'BIGINT' or k rlike '^(DECIMAL|DOUBLE|FLOAT)' when 'boolean' then k = 'BOOLEAN' when 'object' then k rlike '^OBJECT' when 'array' then k rlike '^ARRAY' when 'null' then k = 'VOID' else true end"""
 
 
 def _of(value: str) -> Column:
-    return F.expr(f"try_parse_json({value})")
+    return _parsed(value)
+
+
+#: What is read of a schema, and what only describes.
+_READ = ("type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "minItems", "maxItems", "uniqueItems", "items", "required", "properties", "additionalProperties")
+_TELLS = ("title", "description", "default", "examples", "format", "$schema", "$id", "$comment", "deprecated", "readOnly", "writeOnly", "strict", "name")
+#: Patterns that mean the same here as where schemas are written and cannot be malformed: single characters, plain
+#: classes, and counts.
+_SAFE_PATTERN = r"^\\^?(?:(?:[A-Za-z0-9 _@:/,;#%&=<>~.-]|\\\\[dwsDWS.+*?/-]|\\[\\^?(?:a-z|A-Z|0-9|[A-Za-z0-9_ @.])+-?\\])(?:[+*?]|\\{[0-9]{1,3},?\\})?)*\\$?$"
 
 
 def _faults(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,9 +135,12 @@ def _faults(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         "k": F.expr("schema_of_variant(v)"), "types": F.expr("coalesce(try_variant_get(s, '$.type', 'array<string>'), array(try_variant_get(s, '$.type', 'string')))"),
         "has": F.expr("try_variant_get(v, '$', 'map<string,variant>')"), "items": F.expr("try_variant_get(v, '$', 'array<variant>')"),
         "known": F.expr("coalesce(try_variant_get(s, '$.properties', 'map<string,variant>'), map())"),
+        "pattern": F.expr("try_variant_get(s, '$.pattern', 'string')"), "rules": F.expr("map_keys(try_variant_get(s, '$', 'map<string,variant>'))"),
         "others": F.expr("try_variant_get(s, '$.additionalProperties', 'variant')"), "listed": F.expr("try_variant_get(s, '$.enum', 'array<variant>')"),
     })
-    at = at.withColumns({"has": F.expr("if(k rlike '^OBJECT', has, null)"), "items": F.expr("if(k rlike '^ARRAY', items, null)"), "number": F.expr("if(k rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)', try_variant_get(v, '$', 'double'), null)")})
+    kept = f"startswith(try_variant_get(v, '$', 'string'), '{_DIGITS}')"  # a number that is kept as written
+    at = at.withColumn("kept", F.expr(f"if(k = 'STRING' and {kept}, cast(substr(try_variant_get(v, '$', 'string'), 2) as double), null)")).withColumn("k", F.expr("if(kept is null, k, 'DOUBLE')"))
+    at = at.withColumns({"has": F.expr("if(k rlike '^OBJECT', has, null)"), "items": F.expr("if(k rlike '^ARRAY', items, null)"), "number": F.expr("coalesce(kept, if(k rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)', try_variant_get(v, '$', 'double'), null))")})
     at = at.withColumns({"long": F.expr("if(k = 'STRING', length(variant_get(v, '$', 'string')), null)"), "shown": F.expr("if(path = '', 'arguments', path)"), "before": F.expr("if(path = '', '', concat(path, '.'))")})
     limit = lambda name: f"try_variant_get(s, '$.{name}', 'double')"
     one = lambda test, says: f"if(coalesce({test}, false), array(concat(shown, ': {says}')), array())"
@@ -85,11 +149,18 @@ def _faults(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         {one("not exists(listed, e -> to_json(e) = to_json(v))", "not in the list")}, {one("to_json(try_variant_get(s, '$.const', 'variant')) <> to_json(v)", "not the constant")},
         {one(f"number < {limit('minimum')} or number > {limit('maximum')} or number <= {limit('exclusiveMinimum')} or number >= {limit('exclusiveMaximum')}", "out of range")},
         {one(f"coalesce(long < {limit('minLength')}, false) or coalesce(long > {limit('maxLength')}, false)", "wrong length")},
+        {one(f"abs(number / {limit('multipleOf')} - round(number / {limit('multipleOf')})) > 1e-9 * greatest(1, abs(number / {limit('multipleOf')}))", "not a multiple")},
+        {one(f"if(pattern rlike '{_SAFE_PATTERN}', not if(pattern rlike '{_SAFE_PATTERN}', variant_get(if(k = 'STRING', v, null), '$', 'string') rlike if(pattern rlike '{_SAFE_PATTERN}', pattern, ''), true), false)", "not of the pattern")},
+        {one("try_variant_get(s, '$.uniqueItems', 'boolean') and size(array_distinct(transform(items, x -> to_json(x)))) < size(items)", "items repeat")},
         {one(f"coalesce(size(items) < {limit('minItems')}, false) or coalesce(size(items) > {limit('maxItems')}, false)", "wrong number of items")},
         if(has is null, array(), transform(filter(array_distinct(coalesce(try_variant_get(s, '$.required', 'array<string>'), array())), n -> not map_contains_key(has, n)), n -> concat(before, n, ': missing'))),
         if(has is null or coalesce(try_variant_get(others, '$', 'boolean'), true), array(), transform(filter(map_keys(has), n -> not map_contains_key(known, n)), n -> concat(before, n, ': not in the schema'))))"""
     )
-    problems = at.select("message", "place", F.explode(found).alias("problem"))
+    names = ", ".join(f"'{n}'" for n in (*_READ, *_TELLS))
+    more = F.expr(f"""concat(array_except(rules, array({names})), if(pattern is not null and not pattern rlike '{_SAFE_PATTERN}', array('pattern'), array()),
+        if(array_contains(rules, 'items') and try_variant_get(s, '$.items', 'map<string,variant>') is null, array('items'), array()))""")
+    unread = at.select("message", "place", F.explode(more).alias("rule"), "shown").select("message", "place", F.concat("shown", F.lit(": not checked: "), "rule").alias("problem"), F.lit(True).alias("unread"))
+    problems = at.select("message", "place", F.explode(found).alias("problem"), F.lit(False).alias("unread")).unionByName(unread)
     rule = "coalesce(known[n], if(schema_of_variant(others) rlike '^OBJECT', others, null))"
     members = F.expr(f"transform(filter(map_keys(has), n -> {rule} is not null), n -> named_struct('path', concat(before, n), 'value', to_json(has[n]), 'schema', to_json({rule})))")
     entries = F.expr("if(try_variant_get(s, '$.items', 'map<string,variant>') is null, null, transform(items, (x, i) -> named_struct('path', concat(path, '[', i, ']'), 'value', to_json(x), 'schema', to_json(try_variant_get(s, '$.items', 'variant')))))")
@@ -102,10 +173,12 @@ def _problems(calls: DataFrame) -> DataFrame:
 
     Values are followed into objects (``properties``, ``additionalProperties``) and arrays (``items``) level by level, as
     rows, to any depth.  Checked of each: ``type`` (one name or several), ``enum``, ``const``, ``minimum``, ``maximum`` and
-    the exclusive ones, ``minLength``, ``maxLength``, ``minItems``, ``maxItems``, ``required`` and
-    ``additionalProperties``.  Other keywords (patterns, references, combinations of schemas) are not read.
+    the exclusive ones, ``multipleOf``, ``minLength``, ``maxLength``, ``minItems``, ``maxItems``, ``uniqueItems``,
+    ``required``, ``additionalProperties``, and ``pattern`` where it is of single characters, plain classes and counts.
+    What else a schema says of a value that is given (other patterns, references, combinations of schemas, lists of item
+    schemas) is told as ``not checked``; ``unread`` where there are no other problems.
     """
-    no_object = calls.where("arguments is null or schema_of_variant(arguments) not rlike '^OBJECT'").select("message", "place", F.lit("arguments are not an object").alias("problem"))
+    no_object = calls.where("arguments is null or schema_of_variant(arguments) not rlike '^OBJECT'").select("message", "place", F.lit("arguments are not an object").alias("problem"), F.lit(False).alias("unread"))
     nodes = calls.where("schema is not null and schema_of_variant(arguments) rlike '^OBJECT'").select("message", "place", F.lit("").alias("path"), F.expr("to_json(arguments)").alias("value"), F.expr("to_json(schema)").alias("schema"))
     nodes = stored(nodes, "nodes")
     every = no_object
@@ -113,25 +186,50 @@ def _problems(calls: DataFrame) -> DataFrame:
         problems, inner = _faults(nodes)
         every = every.unionByName(problems)
         nodes = stored(inner, "nodes")
-    return every.groupBy("message", "place").agg(F.array_sort(F.collect_set("problem")).alias("problems"))
+    return every.groupBy("message", "place").agg(F.array_sort(F.collect_set("problem")).alias("problems"), F.bool_and("unread").alias("unread"))
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level) of calls that depend on others; level -1 for those in or behind a cycle."""
-    nodes = calls.where("id is not null").select("conv_id", "id").distinct()
-    edges = calls.where("id is not null").select("conv_id", "id", F.explode("needs").alias("need")).distinct()
+    """(conv_id, id, level) of calls that depend on others; level -1 for those in or behind a cycle.
+
+    Calls with one need are chains: each learns the end of its chain and how far it is by doubling, so a chain of n calls
+    takes log2 n rounds.  Then levels go from call to call that has several needs, over chains at one step; of these there
+    are as many rounds as the longest such path has calls with several needs.
+    """
+    key = ["conv_id", "id"]
+    nodes = calls.where("id is not null").select(*key).distinct()
+    edges = calls.where("id is not null").select(*key, F.explode("needs").alias("need")).distinct()
     edges = stored(edges.join(nodes.withColumnRenamed("id", "need"), ["conv_id", "need"], "left_semi"), "needs")
     if edges.isEmpty():
-        return edges.select("conv_id", "id", F.lit(0).alias("level")).limit(0)
-    later = edges.select("conv_id", "id").distinct()
-    known = stored(nodes.join(later, ["conv_id", "id"], "left_anti").join(edges.select("conv_id", F.col("need").alias("id")).distinct(), ["conv_id", "id"], "left_semi").withColumn("level", F.lit(0)), "levels")
-    while True:  # each round settles a level, so there are as many as the longest chain has calls
-        of = edges.join(known.withColumnRenamed("id", "need"), ["conv_id", "need"], "left").groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.count("level").alias("ready"), (F.max("level") + 1).alias("level"))
-        fresh = stored(of.where("n = ready").select("conv_id", "id", "level").join(known, ["conv_id", "id"], "left_anti"), "levels")
+        return edges.select(*key, F.lit(0).alias("level")).limit(0)
+    many = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("end"))
+    one = many.where("n = 1").select(*key, "end", F.lit(1).alias("steps"))
+    at = lambda df, name: df.withColumnRenamed("id", name)
+    chains = stored(one.join(at(one.select(*key), "end").withColumn("open", F.lit(True)), ["conv_id", "end"], "left").select(*key, "end", "steps", F.coalesce("open", F.lit(False)).alias("open")), "chains")
+    waiting = chains.where("open").count()
+    while waiting:
+        on = at(chains.select(*key, F.col("end").alias("next"), F.col("steps").alias("more"), F.col("open").alias("still")), "end")
+        jumped = chains.where("open").join(on, ["conv_id", "end"]).select(*key, F.col("next").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"))
+        chains = stored(chains.where("not open").unionByName(jumped), "chains")
+        left = chains.where("open").count()
+        if left == waiting:  # no chain came to its end: these run into cycles
+            break
+        waiting = left
+    ends = chains.where("not open").select(*key, "end", "steps")
+    several = many.where("n > 1").select(*key)
+    arms = edges.join(several, key, "left_semi").join(at(ends, "need"), ["conv_id", "need"], "left").select(*key, F.coalesce("end", "need").alias("need"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    arms = stored(arms, "arms")
+    known = stored(nodes.join(edges.select(*key).distinct(), key, "left_anti").join(edges.select("conv_id", F.col("need").alias("id")).distinct(), key, "left_semi").withColumn("level", F.lit(0)), "levels")
+    while not arms.isEmpty():
+        of = arms.join(at(known, "need"), ["conv_id", "need"], "left").groupBy(*key).agg(F.count("*").alias("n"), F.count("level").alias("ready"), F.max(F.col("level") + F.col("steps")).alias("level"))
+        fresh = stored(of.where("n = ready").select(*key, "level"), "levels")
         if fresh.isEmpty():
             break
-        known = stored(known.unionByName(fresh), "levels")
-    return later.join(known, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("level", F.lit(-1)).alias("level"))
+        known = known.unionByName(fresh)
+        arms = stored(arms.join(fresh, key, "left_anti"), "arms")
+    of_chains = ends.join(at(known, "end"), ["conv_id", "end"], "left").select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    found = known.unionByName(of_chains)
+    return edges.select(*key).distinct().join(found, key, "left").select(*key, F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 def linked_calls(conversations: DataFrame) -> DataFrame:
@@ -139,8 +237,8 @@ def linked_calls(conversations: DataFrame) -> DataFrame:
 
     conv_id, id, name, call_turn, call_message, place, level, result_turn, result_message, status, problems.  status is ok,
     no_id, duplicate_id (of equal ids the first by turn and place is linked), no_result, early_result (it stands before
-    its call), unknown_tool (the conversation lists tools, but not this), invalid_arguments, cycle, orphan_result or
-    duplicate_result (of several the first by turn is linked).
+    its call), unknown_tool (the conversation lists tools, but not this), invalid_arguments, unchecked (the schema says
+    something that is not read here), cycle, orphan_result or duplicate_result (of several the first by turn is linked).
     """
     messages = _read(conversations)
     calls = _calls(messages)
@@ -159,8 +257,8 @@ def linked_calls(conversations: DataFrame) -> DataFrame:
     df = df.withColumn("problems", F.coalesce("problems", F.array().cast("array<string>"))).withColumn("level", F.coalesce("level", F.lit(0)))
     status = (
         F.when(F.col("id").isNull(), "no_id").when(~own, "duplicate_id").when(F.col("level") < 0, "cycle")
-        .when(F.col("lists_tools") & F.col("known").isNull(), "unknown_tool").when(F.size("problems") > 0, "invalid_arguments")
-        .when(F.col("first_result").isNull(), "no_result").when(F.col("first_result.turn") < F.col("turn"), "early_result").otherwise("ok")
+        .when(F.col("lists_tools") & F.col("known").isNull(), "unknown_tool").when(~F.col("unread"), "invalid_arguments")
+        .when(F.col("first_result").isNull(), "no_result").when(F.col("first_result.turn") < F.col("turn"), "early_result").when(F.col("unread"), "unchecked").otherwise("ok")
     )
     linked = F.col("first_result").isNotNull() & own
     made = df.select("conv_id", "id", "name", F.col("turn").alias("call_turn"), F.col("message").alias("call_message"), "place", "level", F.when(linked, F.col("first_result.turn")).alias("result_turn"), F.when(linked, F.col("first_result.message")).alias("result_message"), status.alias("status"), F.array_join("problems", "; ").alias("problems"))
@@ -178,15 +276,19 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     the order of their dependencies; no task needs a whole conversation for that.  status is ok, or the statuses of the
     message's calls or of its result that are not ok, joined by commas.  Repeated rows come out as often; a null role or
     text counts as empty; text that is no JSON object is plain content; a null conv_id or turn is kept (ids link inside the
-    null conversation too).  Texts may be of any length; chains of calls and nested arguments too.  Messages are joined by a
-    64-bit hash of the row: were two of a table's to clash, both would show the calls of both.  An empty table gives an empty
+    null conversation too).  Of equal keys in one object the last counts.  Strings and digits have no bound of their
+    own; JSON that is nested over 1,000 deep, or beyond a variant's size (128 MiB), stays plain content, and the message has
+    the status ``unreadable``.  Equal
+    numbers have one spelling (RFC 8785's for what a double holds); numbers of more digits than a decimal keep theirs, and
+    numbers beyond a double theirs in small letters.  A text that has U+FDD0, U+FDD1 or U+FDD2 keeps a double's spelling.
+    Messages are joined by a 64-bit hash of the row: were two of a table's to clash, both would show the calls of both.  An empty table gives an empty
     result; further columns are ignored.
     """
     messages = _read(conversations)
     calls = _calls(messages)
     links = stored(linked_calls(conversations), "links")
     sent = links.where("call_message is not null").select(F.col("call_message").alias("message"), "place", "level", "status", "problems", F.col("result_turn").isNotNull().alias("answered"))
-    parts = calls.select("message", "place", F.to_json(F.struct(F.col("arguments"), F.col("id"), F.col("name"))).alias("text")).join(sent, ["message", "place"])
+    parts = calls.select("message", "place", F.expr(_json("struct(arguments, id, name)")).alias("text")).join(sent, ["message", "place"])
     # the calls of one message alone come together
     of_calls = parts.groupBy("message").agg(
         F.array_sort(F.collect_list(F.struct(F.when(F.col("level") < 0, _LAST).otherwise(F.col("level")).alias("level"), "place", "text"))).alias("list"),
@@ -196,11 +298,12 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     got = links.where("result_message is not null").groupBy(F.col("result_message").alias("message")).agg(F.min(F.struct(F.when(F.col("call_message").isNull(), 1).otherwise(0).alias("alone"), "call_turn", "level", "place", "status", "result_turn", "id")).alias("call"))
     df = messages.join(of_calls, "message", "left").join(got, "message", "left")
     is_result = F.col("call").isNotNull()
-    content = F.coalesce(_get("json", "$.content", "variant"), F.expr("cast(null as variant)"))
+    df = df.withColumn("content", _get("json", "$.content", "variant"))
+    content = F.col("content")
     plain = F.to_json(F.struct(F.col("text").alias("content"), F.coalesce("role", F.lit("")).alias("role")))
-    as_calls = F.concat(F.lit("{"), F.when(content.isNotNull(), F.concat(F.lit('"content":'), F.to_json(content), F.lit(","))).otherwise(""), F.lit('"role":'), F.expr("to_json(cast(role as variant))"), F.lit(',"tool_calls":['), F.array_join(F.transform("list", lambda x: x["text"]), ","), F.lit("]}"))
-    as_result = F.concat(F.lit("{"), F.when(content.isNotNull(), F.concat(F.lit('"content":'), F.to_json(content), F.lit(","))).otherwise(""), F.lit('"role":'), F.expr("to_json(cast(role as variant))"), F.lit(',"tool_call_id":'), F.expr("to_json(cast(call.id as variant))"), F.lit("}"))
-    tools = F.when((F.col("kind") == "system") & _get("json", "$.tools", "array<variant>").isNotNull(), F.concat(F.lit('{"content":'), F.to_json(F.col("json")), F.lit(',"role":'), F.expr("to_json(cast(role as variant))"), F.lit("}")))
+    as_calls = F.concat(F.lit("{"), F.when(content.isNotNull(), F.concat(F.lit('"content":'), F.expr(_json("content")), F.lit(","))).otherwise(""), F.lit('"role":'), F.expr("to_json(cast(role as variant))"), F.lit(',"tool_calls":['), F.array_join(F.transform("list", lambda x: x["text"]), ","), F.lit("]}"))
+    as_result = F.concat(F.lit("{"), F.when(content.isNotNull(), F.concat(F.lit('"content":'), F.expr(_json("content")), F.lit(","))).otherwise(""), F.lit('"role":'), F.expr("to_json(cast(role as variant))"), F.lit(',"tool_call_id":'), F.expr("to_json(cast(call.id as variant))"), F.lit("}"))
+    tools = F.when((F.col("kind") == "system") & _get("json", "$.tools", "array<variant>").isNotNull(), F.concat(F.lit('{"content":'), F.expr(_json("json")), F.lit(',"role":'), F.expr("to_json(cast(role as variant))"), F.lit("}")))
     return df.select(
         "conv_id", "turn", "role",
         F.when(is_result, F.greatest("turn", "call.call_turn")).otherwise(F.col("turn")).alias("order_turn"),
@@ -208,7 +311,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
         F.when(is_result, F.coalesce("call.place", F.lit(0))).otherwise(F.lit(0)).alias("order_place"),
         F.coalesce("n_calls", F.lit(0)).cast("bigint").alias("n_calls"),
         F.coalesce("n_linked", F.when(is_result & (F.col("call.alone") == 0), F.lit(1)), F.lit(0)).cast("bigint").alias("n_linked"),
-        F.when(F.size("states") > 0, F.array_join("states", ",")).when(is_result & (F.col("call.alone") == 1), F.col("call.status")).when(is_result & (F.col("call.status") == "early_result"), F.lit("early_result")).otherwise(F.lit("ok")).alias("status"),
+        F.when(F.size("states") > 0, F.array_join("states", ",")).when(is_result & (F.col("call.alone") == 1), F.col("call.status")).when(is_result & (F.col("call.status") == "early_result"), F.lit("early_result")).when(F.col("unreadable"), F.lit("unreadable")).otherwise(F.lit("ok")).alias("status"),
         F.coalesce(F.array_join("faults", "; "), F.lit("")).alias("problems"),
         F.coalesce(F.when(F.col("list").isNotNull(), as_calls), F.when(is_result, as_result), tools, plain).alias("json"),
     )

@@ -238,3 +238,89 @@ def test_pipeline_keeps_columns_and_does_each_stage(spark, data):
     assert clean.columns == docs.columns and left == ids - leaked and leaked
     packed = corpus_pipeline.run(spark, data).toPandas()
     assert set(packed["doc_id"]) == left
+
+
+# ---- chat: JSON of any size, numbers, and long chains
+
+
+def say(spark, *texts, schema=None):
+    rows = [(1, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": schema or {}}]}))] + [(1, k, "assistant" if '"tool_calls"' in t[:60_000] or '"tool_calls"' in t[-60_000:] else "tool", t) for k, t in enumerate(texts, 1)]
+    return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+
+
+def test_calls_beside_long_strings_are_linked(spark, tmp_path):
+    text = F.concat(F.lit('{"content":"'), F.repeat(F.lit("y"), F.lit(21 << 20)), F.lit('","tool_calls":[{"id":"a","name":"f","arguments":{"x":1}}]}'))
+    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(1).alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
+    rows.union(spark.createDataFrame([(1, 2, "tool", '{"tool_call_id":"a","content":2}'), (1, 3, "assistant", '{"broken": ')])).write.parquet(str(tmp_path / "in"))
+    got = {r["turn"]: r for r in chat.format_chat(spark.read.parquet(str(tmp_path / "in"))).select("turn", "n_calls", "n_linked", "status", F.length("json").alias("n")).collect()}
+    assert (got[1]["n_calls"], got[1]["n_linked"], got[1]["status"]) == (1, 1, "ok") and got[1]["n"] > 21 << 20
+    assert (got[2]["n_linked"], got[2]["status"]) == (1, "ok") and got[3]["status"] == "ok"
+
+
+def test_repeated_keys_and_deep_values(spark):
+    deep, deeper = ("[" * n + "]" * n for n in (900, 5000))
+    df = say(spark, '{"content":"a","tool_calls":[{"id":"x","id":"y","name":"f","arguments":{"a":1,"a":2}}]}', f'{{"tool_call_id":"y","content":{deep}}}', f'{{"tool_call_id":"y","content":{deeper}}}')
+    rows = {r["turn"]: r for r in chat.format_chat(df).collect()}
+    assert rows[1]["status"] == "ok" and rows[1]["n_linked"] == 1
+    assert json.loads(rows[1]["json"])["tool_calls"] == [{"arguments": {"a": 2}, "id": "y", "name": "f"}]
+    assert rows[2]["json"] == f'{{"content":{deep},"role":"tool","tool_call_id":"y"}}'
+    assert rows[3]["status"] == "unreadable" and json.loads(rows[3]["json"])["content"] == f'{{"tool_call_id":"y","content":{deeper}}}'
+
+
+def test_equal_numbers_have_one_spelling_and_none_is_changed(spark):
+    long = "1234567890" * 5
+    same = {"1": ["1", "1.0", "1.00", "1e0", "10E-1", "0.1e+1"], "1500": ["1500", "1.5e3", "1500.0"], "0.0015": ["0.0015", "1.5e-3"], "1e+21": ["1e21", "10e20"], "1e-7": ["1e-7", "0.1e-6"], "0": ["0", "0.0", "0e5"], long: [long], f"-{long}.5": [f"-{long}.5"], "1e999": ["1e999", "1E999"], "-2.5e+300": ["-2.5e300"], "123456789012345678901234567890": ["123456789012345678901234567890"]}
+    given = [(k, x) for k, xs in same.items() for x in xs]
+    texts = [f'{{"tool_call_id":"{k}","content":[{x},"{x} and \\"{x}\\" \\\\",{{"n":{x}}}]}}' for k, (_, x) in enumerate(given)]
+    texts.append(json.dumps({"tool_calls": [{"id": str(k), "name": "f", "arguments": {"v": 0}} for k in range(len(given))]}))
+    rows = {r["turn"]: r["json"] for r in chat.format_chat(say(spark, *texts)).collect()}
+    for k, (want, x) in enumerate(given):
+        assert rows[k + 1] == f'{{"content":[{want},"{x} and \\"{x}\\" \\\\",{{"n":{want}}}],"role":"tool","tool_call_id":"{k}"}}'
+
+
+def test_what_a_schema_says_is_checked_or_told(spark):
+    cases = [
+        ({"multipleOf": 2}, 3, "v: not a multiple"), ({"multipleOf": 0.1}, 0.3, ""), ({"uniqueItems": True}, [1, 1.0], "v: items repeat"), ({"uniqueItems": True}, [1, 2], ""),
+        ({"pattern": "^[a-z]+[0-9]{2}$"}, "ab1", "v: not of the pattern"), ({"pattern": "^[a-z]+[0-9]{2}$"}, "ab12", ""), ({"pattern": "^ab"}, 5, ""), ({"pattern": "(a|b"}, "a", "v: not checked: pattern"),
+        ({"anyOf": [{"type": "integer"}]}, "s", "v: not checked: anyOf"), ({"$ref": "#/x"}, 1, "v: not checked: $ref"), ({"description": "d", "format": "date"}, "x", ""), ({"items": [{"type": "integer"}]}, ["a"], "v: not checked: items"),
+        ({"type": "integer", "not": {}}, "s", "v: not checked: not; v: wrong type"), ({"type": "number", "minimum": 10}, 10**60, ""), ({"type": "integer", "maximum": 10}, 10**60, "v: out of range"), ({"type": "string"}, 10**60, "v: wrong type"),
+    ]
+    tools = {"tools": [{"name": f"t{k}", "parameters": {"properties": {"v": s}}} for k, (s, _, _) in enumerate(cases)]}
+    calls = {"tool_calls": [{"id": str(k), "name": f"t{k}", "arguments": json.dumps({"v": v}) if k % 2 else {"v": v}} for k, (_, v, _) in enumerate(cases)]}
+    results = [(1, 2 + k, "tool", json.dumps({"tool_call_id": str(k), "content": None})) for k in range(len(cases))]
+    df = spark.createDataFrame([(1, 0, "system", json.dumps(tools)), (1, 1, "assistant", json.dumps(calls)), *results], "conv_id bigint, turn bigint, role string, text string")
+    got = {int(r["id"]): (r["problems"], r["status"]) for r in chat.linked_calls(df).collect()}
+    for k, (_, _, says) in enumerate(cases):
+        assert got[k] == (says, "ok" if not says else "invalid_arguments" if "not checked" not in says or ";" in says else "unchecked"), cases[k]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n, rng = 2000, random.Random(3)
+    needs = {f"c{k}": [f"c{k - 1}"] for k in range(1, n)} | {"c0": []}
+    needs |= {"m1": ["c7", "c1999"], "m2": ["m1", "c3"], "tail": ["m2"], "loop1": ["loop2"], "loop2": ["loop1"], "behind": ["loop1"], "both": ["behind", "c2"], "after": ["both"], "self": ["self"]}
+    order = list(needs)
+    rng.shuffle(order)
+    calls = [{"id": i, "name": "f", "arguments": {}, "depends_on": [*needs[i], "not there"]} for i in order]
+    texts = [json.dumps({"tool_calls": calls[a : a + 100]}) for a in range(0, len(calls), 100)]
+    written = []
+    kept = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, name: written.append(name) or kept(df, name))
+    got = {r["id"]: r["level"] for r in chat._levels(chat._calls(chat._read(say(spark, *texts)))).collect()}
+    assert len(written) < 30
+    want = {f"c{k}": k for k in range(1, n)} | {"m1": 2000, "m2": 2001, "tail": 2002} | dict.fromkeys(("loop1", "loop2", "behind", "both", "after", "self"), -1)
+    assert got == want
+
+
+def test_levels_of_random_calls(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for conv in range(12):
+        ids = [f"i{k}" for k in range(25)]
+        needs = {i: [j for j in rng.sample(ids, rng.choice([0, 1, 1, 1, 2, 3])) if rng.random() < 0.1 or ids.index(j) < ids.index(i)] for i in ids}
+        level = {}
+        for _ in ids:
+            level |= {i: 1 + max((level[j] for j in needs[i]), default=-1) for i in ids if all(j in level for j in needs[i])}
+        want |= {(conv, i): level.get(i, -1) for i in ids if needs[i]}
+        rows.append((conv, 0, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {}, "depends_on": needs[i]} for i in ids]})))
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert {(r["conv_id"], r["id"]): r["level"] for r in chat._levels(chat._calls(chat._read(df))).collect()} == want

@@ -1,8 +1,9 @@
 """URL filtering: given host and path rules first, then association rules that FP-growth mines from labelled pages.
 
 Whole URLs are read: every host suffix, path part and query name is a token.  Tokens that too few bad pages have can be in
-no frequent combination and are left out before FP-growth; of tokens that the same labelled pages have, one stands for all.
-What is left is mined to any length.
+no frequent combination and are left out before FP-growth; of tokens that the same labelled pages have, one stands for all;
+and a token that bad pages alone have is a rule that none with it can better, so it is left out too.  What is left is mined
+to any length.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import html, quality
@@ -22,8 +23,9 @@ from glyphmill.llm.session import stored, tune
 
 #: Of the pages labelled bad, the share that a token combination must hold, and how many there must be.
 MIN_SUPPORT, MIN_COUNT = 0.01, 3
-#: Of the labelled pages with a combination, the share that must be bad.
-MIN_CONFIDENCE = 0.6
+#: Of the pages with a combination, the share that must be bad: not only of the labelled ones, but as far as their number
+#: tells (Wilson's lower bound, one in twenty beyond it).
+MIN_CONFIDENCE, SPREAD = 0.6, 1.645
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _RULE = "verdict string, host string, path string"
@@ -105,57 +107,54 @@ def _tokens(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(url_tokens, batch.column(0).to_pylist()), pa.list_(pa.string())), batch.column(1)], names=["items", "bad"])
 
 
-def _counted(wanted: list[tuple[str, ...]]):
-    """A task's pages and bad pages with each wanted combination, found by an inverted index on one of its tokens."""
+def lower_bound(bad: int, pages: int, z: float = SPREAD) -> float:
+    """The share of bad pages that ``bad`` of ``pages`` speak for, at least."""
+    p = bad / pages
+    return (p + z * z / (2 * pages) - z * math.sqrt(p * (1 - p) / pages + z * z / (4 * pages * pages))) / (1 + z * z / pages)
 
-    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often: dict[str, int] = defaultdict(int)
-        for c in wanted:
-            for t in c:
-                often[t] += 1
-        index: dict[str, list[int]] = defaultdict(list)
-        for k, c in enumerate(wanted):
-            index[min(c, key=lambda t: (often[t], t))].append(k)
-        pages, bad = [0] * len(wanted), [0] * len(wanted)
-        for batch in rows:
-            for items, is_bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                have = set(items)
-                for t in items:
-                    for k in index.get(t, ()):
-                        if have.issuperset(wanted[k]):
-                            pages[k] += 1
-                            bad[k] += is_bad
-        seen = [k for k, n in enumerate(pages) if n]
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([pages[k] for k in seen], pa.int64()), pa.array([bad[k] for k in seen], pa.int64())], names=["k", "pages", "bad"])
 
-    return run
+def _lower_bound(z: float = SPREAD) -> Column:
+    p, n = F.col("bad") / F.col("pages"), F.col("pages")
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> list[tuple[tuple[str, ...], float, int]]:
     """Rules (tokens, confidence, bad pages) from rows of (url, bad 0/1).
 
-    FP-growth finds the token combinations, of any length, that are frequent among bad pages; their counts over all labelled
-    pages give each one's confidence.  A rule is dropped if a shorter one inside it is as confident.  What comes to the
-    driver are tokens and combinations that a share MIN_SUPPORT of the bad pages have, so their number is bounded by the
-    length of URLs, not by the number of pages.  No labelled or no bad pages: no rules.
+    FP-growth finds the token combinations, of any length, that are frequent among bad pages; a join with all labelled
+    pages, by each combination's rarest token, counts the pages that have it, and those whose lower bound of confidence is
+    too low are dropped before anything comes to the driver.  A rule is dropped if a shorter one inside it is as sure.
+    Pages of equal tokens are counted together first, so repeated pages cost nothing more.
+
+    The number of combinations, and so the time, can double with each token that a third of the same bad pages have beside
+    good ones; no combination is left out for that.  No labelled or no bad pages: no rules.
     """
     tune(labelled.sparkSession)
     items = labelled.select(F.col("url").cast("string").alias("url"), F.col("bad").cast("int").alias("bad")).where("bad is not null").mapInArrow(_tokens, "items array<string>, bad int")
-    items = stored(items, "tokens")
-    bad = items.where("bad = 1")
-    n_bad = bad.count()
+    items = stored(items.groupBy("items").agg(F.count("*").alias("pages"), F.sum("bad").alias("bad")), "tokens")
+    n_bad = items.agg(F.sum("bad").alias("n")).first()["n"] or 0
     least = max(min_count, math.ceil(min_support * n_bad))
     # which pages have a token is told by their number and the sum of their transactions' hashes
-    told = items.select("bad", F.explode("items").alias("token"), F.xxhash64("items").cast("decimal(20,0)").alias("page"))
-    tokens = told.groupBy("token").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"), F.sum("page").alias("pages")).where(F.col("bad") >= least)
-    kept = tokens.groupBy("bad", "n", "pages").agg(F.max(F.struct(F.length("token"), "token"))["token"].alias("token")).select("token")
-    names = {r["token"] for r in kept.toLocalIterator()}
-    if not names:
-        return []
-    frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_bad)).fit(bad.select(F.array_intersect("items", F.lit(sorted(names))).alias("items")).where(F.size("items") > 0)).freqItemsets
-    wanted = sorted(tuple(sorted(r["items"])) for r in frequent.toLocalIterator())
-    counted = items.mapInArrow(_counted(wanted), "k int, pages bigint, bad bigint").groupBy("k").agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad"))
-    good = {wanted[r["k"]]: (r["bad"] / r["pages"], r["bad"]) for r in counted.where((F.col("bad") >= least) & (F.col("bad") >= min_confidence * F.col("pages"))).collect()}
+    told = items.select("bad", "pages", F.explode("items").alias("token"), (F.xxhash64("items").cast("decimal(20,0)") * F.col("pages")).alias("page"))
+    tokens = told.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("pages").alias("pages"), F.sum("page").alias("page")).where(F.col("bad") >= least)
+    kept = tokens.groupBy("bad", "pages", "page").agg(F.max(F.struct(F.length("token"), "token"))["token"].alias("token"))
+    kept = stored(kept.select("token", "bad", "pages"), "kept")
+    sure = kept.where((F.col("bad") == F.col("pages")) & (_lower_bound() >= min_confidence))
+    good = {(r["token"],): (r["sure"], r["bad"]) for r in sure.withColumn("sure", _lower_bound()).collect()}
+    open_ = kept.where("bad < pages")
+    names = [r["token"] for r in open_.select("token").collect()]
+    if names:
+        fewer = items.select(F.array_intersect("items", F.lit(sorted(names))).alias("items"), "pages", "bad").where(F.size("items") > 0)
+        fewer = stored(fewer.groupBy("items").agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad")), "fewer")
+        each = fewer.where("bad > 0").select("items", F.explode(F.array_repeat(F.lit(0), F.col("bad").cast("int")))).select("items")
+        frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / each.count())).fit(each).freqItemsets
+        # a combination whose pages were all bad would still not be sure enough: it is not counted
+        frequent = frequent.withColumns({"bad": F.col("freq"), "pages": F.col("freq")}).where((_lower_bound() >= min_confidence) & (F.col("bad") >= least)).select(F.array_sort("items").alias("wanted"), "freq")
+        often = open_.select(F.col("token").alias("t"), F.col("pages").alias("often"))
+        rarest = frequent.select("wanted", "freq", F.explode("wanted").alias("t")).join(F.broadcast(often), "t").groupBy("wanted").agg(F.min(F.struct("often", "t"))["t"].alias("token"), F.first("freq").alias("bad"))
+        found = rarest.join(fewer.select(F.explode("items").alias("token"), "items", F.col("pages").alias("own")), "token").where(F.size(F.array_except("wanted", "items")) == 0)
+        counted = found.groupBy("wanted").agg(F.first("bad").alias("bad"), F.sum("own").alias("pages")).withColumn("sure", _lower_bound()).where(F.col("sure") >= min_confidence)
+        good |= {tuple(r["wanted"]): (r["sure"], r["bad"]) for r in counted.collect()}
     best: list[tuple[tuple[str, ...], float, int]] = []
     index: dict[str, list[tuple[frozenset[str], float]]] = defaultdict(list)
     for c in sorted(good, key=lambda c: (len(c), c)):  # shorter rules first; each stands under its first token

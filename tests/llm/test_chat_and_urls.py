@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -180,8 +181,8 @@ def test_mined_rules_against_brute_force(spark):
         for c in combinations(tokens, k):
             every = [rows[i][1] for i in set.intersection(*(where[t] for t in c))]
             if sum(every) >= least:
-                if sum(every) >= urls.MIN_CONFIDENCE * len(every):
-                    good[c] = sum(every) / len(every)
+                if urls.lower_bound(sum(every), len(every)) >= urls.MIN_CONFIDENCE:
+                    good[c] = urls.lower_bound(sum(every), len(every))
     assert {m[0] for m in mined} == {c for c in good if not any(good.get(s, -1) >= good[c] for k in range(1, len(c)) for s in combinations(c, k))} and mined
     found = urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string"), [], mined).collect()
     for r in found:
@@ -191,6 +192,23 @@ def test_mined_rules_against_brute_force(spark):
     assert urls.mine(spark.createDataFrame([], "url string, bad int")) == []
 
 
+def test_many_tokens_of_the_same_bad_pages(spark):
+    """Each bad page lacks another of 30 names: a thousand million combinations are frequent, and 30 rules say as much."""
+    names = [f"n{k}" for k in range(30)]
+    rows = [("http://a.example.org/?" + "&".join(n for n in names if n != names[i % 30]), 1) for i in range(120)] + [(f"http://a.example.org/?x{i % 7}", 0) for i in range(300)]
+    began = time.time()
+    mined = urls.mine(spark.createDataFrame(rows, "url string, bad int"))
+    assert {m[0] for m in mined} == {(f"query={n}",) for n in names} and all(m[2] == 116 for m in mined)
+    assert time.time() - began < 60
+
+
+def test_few_pages_prove_nothing(spark):
+    assert urls.lower_bound(3, 3) < urls.MIN_CONFIDENCE < urls.lower_bound(5, 5) < urls.lower_bound(50, 50) < 1
+    rows = [("http://a.org/seldom", 1)] * 3 + [("http://a.org/often", 1)] * 30 + [("http://b.org/often", 0)] * 30
+    mined = {m[0] for m in urls.mine(spark.createDataFrame(rows, "url string, bad int"))}
+    assert not any("path0=seldom" in m for m in mined) and any(m == ("host=a.org",) for m in mined)
+
+
 def test_long_urls_and_long_combinations_count(spark):
     """A page is told by a part far down its path, by its 20th query name, or by four tokens together."""
     deep = lambda x: "http://a.b.c.d.e.f.example.org/" + "/".join(f"p{'x' * 80}{i}" for i in range(9)) + f"/{x}?" + "&".join(f"q{i}=1" for i in "abcdefghijklmnopqrs")

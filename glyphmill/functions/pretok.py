@@ -130,6 +130,23 @@ def metaspace(text: Column | str, mark: str = "▁", prepend: bool = True, split
     return F.regexp_extract_all(marked, F.lit(rf"(?s){mark}[^{mark}]*|[^{mark}]+"), F.lit(0))
 
 
+def hard_cuts(text: Column | str, chunk_chars: int = CHUNK_CHARS, run_chars: int = RUN_CHARS) -> Column:
+    """``run_cuts`` as a column: a mark goes behind every ``run_chars`` characters of a run that goes on, and the text is
+    split there.  A text must not have the mark, U+FDD3, which is no character."""
+    mark, space = "\ufdd3", r"[\s\x1C-\x1F]"
+    other = r"[^\s\x1C-\x1F]"
+    # a match starts where a run starts, or where the last one ended
+    long = "|".join(rf"(?:(?<!{c})|\G){c}{{{run_chars}}}(?={c})" for c in (space, other))
+    chunks = F.regexp_extract_all(_column(text), F.lit(rf"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    return F.flatten(F.transform(chunks, lambda c: F.split(F.regexp_replace(c, F.lit(f"(?U){long}"), F.lit(f"$0{mark}")), mark)))
+
+
+def kimi(text: Column | str) -> Column:
+    """The pattern inside hard cuts.  A text that is short enough has none."""
+    whole = _column(text)
+    return F.when(F.length(whole) <= RUN_CHARS, split_matches(whole, KIMI)).otherwise(F.flatten(F.transform(hard_cuts(whole), lambda p: split_matches(p, KIMI))))
+
+
 def compiled_pattern(pattern: str) -> regex.Pattern:
     """Sets inside sets and intersections need the newer reading of the regular expression library."""
     return regex.compile(pattern, regex.V1 if "&&" in pattern or pattern == BLOOM else regex.V0)

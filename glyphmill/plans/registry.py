@@ -8,14 +8,15 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import cuts, normalize, pretok
-from glyphmill.operators import added, dictionary, post, vocabulary
+from glyphmill.operators import added, dictionary, post, tables, vocabulary
 from glyphmill.operators.columns import Engine
 from glyphmill.operators.tokenizer import ALL, NONE, NONSPECIAL, Tokenizer
-from glyphmill.plans import cases, samples, sql
+from glyphmill.plans import case_sql, cases, samples, sql
 from glyphmill.sources import shared
 from glyphmill.streaming import keyed
 
@@ -151,7 +152,7 @@ def pretok_bloom_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT piece, count(*) AS n FROM ({sql.kimi_pieces()}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
 def pretok_kimi_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(_exploded(spark, sf_dir, pretok.split_matches("text", pretok.KIMI)))
+    return _top(_exploded(spark, sf_dir, pretok.kimi("text")))
 
 
 @query(f"SELECT piece, count(*) AS n FROM ({sql.deepseek_pieces()}) GROUP BY piece ORDER BY n DESC, piece LIMIT 100")
@@ -385,9 +386,12 @@ def _vocab(spark: SparkSession) -> tuple[DataFrame, int]:
     return vocabulary.vocabulary(spark, t), t.n_vocab
 
 
-@query(f"SELECT id, token, flags FROM (VALUES {sql.vocab_values()}) v(id, token, flags)")
+@query(f"SELECT v.id, v.token, v.flags, coalesce(n, 0) AS n_uses FROM (VALUES {sql.vocab_values()}) v(id, token, flags) LEFT JOIN ({sql.bpe_top()}) u USING (id)")
 def vocab_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vocab(spark)[0].select(_n("id").alias("id"), "token", _n("flags").alias("flags"))
+    """Every token with its flags, and how often the documents have it."""
+    used = bpe_top_tokens(spark, sf_dir).withColumnRenamed("n", "n_uses")
+    listed = _vocab(spark)[0].select(_n("id").alias("id"), "token", _n("flags").alias("flags"))
+    return listed.join(used, "id", "left").select("id", "token", "flags", F.coalesce("n_uses", F.lit(0)).alias("n_uses"))
 
 
 @query(f"SELECT part_id, token FROM (SELECT p_partkey AS part_id, p_partkey % 400 AS id FROM part) LEFT JOIN (VALUES {sql.vocab_values()}) v(id, token, flags) USING (id)")
@@ -411,20 +415,28 @@ def vocab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(F.broadcast(known), F.col("word") == F.col("known"), "left").groupBy("lang").agg(F.count("*").alias("n_words"), F.count("known").alias("n_known"))
 
 
-@query("SELECT id::BIGINT AS id, content, true AS special FROM (VALUES (0, '<s>'), (1, '</s>'), (2, '<pad>')) v(id, content)")
+@query(f"SELECT id::BIGINT AS id, content, true AS special, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all({_MARKED}, '</s>|<pad>|<s>', 0)) AS x FROM conversations) WHERE x = content) AS n_uses FROM (VALUES (0, '<s>'), (1, '</s>'), (2, '<pad>')) v(id, content)")
 def added_tokens_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.added_tokens(spark, samples.byte_level()).select(_n("id").alias("id"), "content", "special")
+    """The added tokens, and how often the marked conversations have them."""
+    t = samples.byte_level()
+    found = _marked(spark, sf_dir).select(F.explode(Engine(spark, t).segments("marked")).alias("s")).where("s.id is not null").groupBy(F.col("s.id").alias("id")).agg(F.count("*").alias("n_uses"))
+    return vocabulary.added_tokens(spark, t).join(found, "id", "left").select(_n("id").alias("id"), "content", "special", F.coalesce("n_uses", F.lit(0)).alias("n_uses"))
 
 
-@query(f"SELECT rank, \"left\", \"right\" FROM (VALUES {sql.merge_values()}) v(rank, \"left\", \"right\")")
+@query(f"""SELECT m.rank, m."left", m."right", coalesce(u.n, 0) AS n_uses FROM (VALUES {sql.merge_values()}) m(rank, "left", "right") JOIN (VALUES {sql.vocab_values()}) v(id, token, flags) ON v.token = m."left" || m."right" LEFT JOIN ({sql.bpe_top()}) u ON u.id = v.id""")
 def merges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.merges(spark, samples.byte_level()).select(_n("rank").alias("rank"), "left", "right")
+    """The merges by rank, and how often what they make is a token of the documents."""
+    ids = _vocab(spark)[0].select(_n("id").alias("id"), F.col("token").alias("out"))
+    made = vocabulary.merges(spark, samples.byte_level()).join(ids, "out").join(bpe_top_tokens(spark, sf_dir), "id", "left")
+    return made.select(_n("rank").alias("rank"), "left", "right", F.coalesce("n", F.lit(0)).alias("n_uses"))
 
 
-@query(f"SELECT 'byte_bpe' AS algorithm, {len(samples.byte_vocab())}::BIGINT AS n_ids, 3::BIGINT AS n_added, {sql.isolation()} AS control_isolation")
+@query(f"SELECT 'byte_bpe' AS algorithm, {len(samples.byte_vocab())}::BIGINT AS n_ids, 3::BIGINT AS n_added, {sql.isolation()} AS control_isolation, count(*) AS n_used, max(id) AS last_used FROM ({sql.bpe_top()})")
 def tokenizer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vocabulary.info(spark, samples.byte_level())
-    return found.select("algorithm", _n("n_ids").alias("n_ids"), _n("n_added").alias("n_added"), "control_isolation")
+    """What a tokenizer tells of itself, and how many of its ids the documents have."""
+    used = bpe_top_tokens(spark, sf_dir).agg(F.count("*").alias("n_used"), F.max("id").alias("last_used"))
+    found = vocabulary.info(spark, samples.byte_level()).crossJoin(used)  # one row with one row
+    return found.select("algorithm", _n("n_ids").alias("n_ids"), _n("n_added").alias("n_added"), "control_isolation", "n_used", "last_used")
 
 
 # ---- decoding
@@ -588,20 +600,38 @@ def dictionary_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}-report")
 
 
-@query(f"SELECT name, sha256(source) AS h FROM (VALUES {sql._values(list(samples.sources().items()))}) v(name, source)")
+_WORD_FILE = samples.word_file([("{}", 7)])
+
+
+@query(f"""WITH words AS (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r FROM (SELECT lang, unnest(regexp_extract_all(text, '[a-z]+', 0)) AS w FROM documents) GROUP BY lang, w)
+SELECT lang, sha256({sql._text(_WORD_FILE.partition('"{}": 7')[0])} || string_agg('"' || w || '": ' || r, ', ' ORDER BY r) || {sql._text(_WORD_FILE.partition('"{}": 7')[2])}) AS h, count(*) AS n_words FROM words WHERE r <= {samples.MOST_WORDS} GROUP BY lang""")
 def source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SHA-256 of each definition's source, as the loaded tokenizer tells it."""
-    return spark.createDataFrame([(name, Tokenizer.from_str(text).info()["sha256"]) for name, text in samples.sources().items()], "name string, h string")
+    """The SHA-256 of a definition for each language, made of its most frequent words, as the loaded tokenizer tells it."""
+    words = _docs(spark, sf_dir).select("lang", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= samples.MOST_WORDS)
+
+    def told(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values("r")
+        t = Tokenizer.from_str(samples.word_file(list(zip(own["w"], own["r"], strict=True))))
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "h": [t.info()["sha256"]], "n_words": [t.get_vocab_size()]})
+
+    return ranked.select("lang", "w", "r").groupBy("lang").applyInPandas(told, "lang string, h string, n_words bigint")
 
 
-# ---- small definitions and texts with what documents do not hold: options of added tokens, unknown characters, byte runs
+# ---- small definitions with options of added tokens, unknown characters, byte runs and best paths, over all documents
+
+
+def _case_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in case_sql.MARKED_TEXTS:
+        return _docs(spark, sf_dir).select("doc_id", F.expr(case_sql.MARKED_TEXTS[name][0].replace("chr(769)", "'\u0301'")).alias("text"))
+    return _docs(spark, sf_dir).where("text <> ''").select("doc_id", "text")
 
 
 def _case_encode(name: str) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        texts = spark.createDataFrame(list(enumerate(cases.TEXTS[name])), "item bigint, text string")
         engine = Engine(spark, Tokenizer.from_str(cases.DEFINITIONS[name]))
-        return texts.select("item", _joined(engine.encode("text")).alias("ids"), engine.token_count("text").alias("n"))
+        made = _case_texts(spark, sf_dir, name).select("doc_id", engine.encode("text").alias("ids"))
+        return made.where(F.size("ids") > 0).select("doc_id", F.md5(_joined("ids")).alias("h"), _n(F.size("ids")).alias("n_tokens"))
 
     f.__name__ = f"encode_{name}"
     return f
@@ -609,27 +639,29 @@ def _case_encode(name: str) -> Query:
 
 def _case_decode(name: str) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        given = [[int(i) for i in ids.split()] for ids in cases.ENCODED[name]] + [list(ids) for ids in cases.IDS.get(name, ())]
-        ids = spark.createDataFrame(list(enumerate(given)), "item bigint, ids array<int>")
-        return ids.select("item", Engine(spark, Tokenizer.from_str(cases.DEFINITIONS[name])).decode("ids").alias("text"))
+        engine = Engine(spark, Tokenizer.from_str(cases.DEFINITIONS[name]))
+        made = _case_texts(spark, sf_dir, name).select("doc_id", engine.encode("text").alias("ids")).where(F.size("ids") > 0)
+        return made.select("doc_id", F.md5(engine.decode("ids")).alias("h"))
 
     f.__name__ = f"decode_{name}"
     return f
 
 
 for _name in cases.DEFINITIONS:
-    _rows = [(i, ids, len(ids.split())) for i, ids in enumerate(cases.ENCODED[_name])]
-    query(f"SELECT item::BIGINT AS item, ids, n::BIGINT AS n FROM (VALUES {sql._values(_rows)}) v(item, ids, n)")(_case_encode(_name))
-    query(f"SELECT item::BIGINT AS item, text FROM (VALUES {sql._values(list(enumerate(cases.DECODED[_name])))}) v(item, text)")(_case_decode(_name))
+    query(case_sql.ENCODE[_name])(_case_encode(_name))
+    query(case_sql.DECODE[_name])(_case_decode(_name))
 
 
 _RANKS = samples.rank_lines()
 
 
-@query(f"SELECT rank::BIGINT AS id, hex(from_base64(token)) AS code FROM (SELECT split_part(line, ' ', 1) AS token, split_part(line, ' ', 2) AS rank FROM (VALUES {sql._values([(x,) for x in _RANKS])}) v(line))")
+@query(f"SELECT line.rank::BIGINT AS id, hex(from_base64(line.token)) AS code, coalesce(u.n, 0) AS n_uses FROM (SELECT split_part(line, ' ', 1) AS token, split_part(line, ' ', 2) AS rank FROM (VALUES {sql._values([(x,) for x in _RANKS])}) v(line)) line LEFT JOIN (SELECT hex(from_base64(b.x)) AS code, t.n FROM ({sql.bpe_top()}) t JOIN (VALUES {sql.token_bytes()}) b(id, x) USING (id)) u ON u.code = hex(from_base64(line.token))")
 def rank_file_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of a rank file's tokens, by id."""
-    return vocabulary.vocabulary(spark, samples.ranked()).select(_n("id").alias("id"), F.hex("bytes").alias("code"))
+    """The bytes of a rank file's tokens, by id, and how often the documents have them."""
+    t = samples.ranked()
+    used = _docs(spark, sf_dir).select(F.explode(Engine(spark, t).encode_ordinary("text")).alias("id")).groupBy("id").agg(F.count("*").alias("n_uses"))
+    listed = vocabulary.vocabulary(spark, t).join(used, "id", "left")
+    return listed.select(_n("id").alias("id"), F.hex("bytes").alias("code"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"))
 
 
 @query(f"SELECT doc_id, {sql.bpe_count('text')} AS n_tokens FROM ({sql.bpe_texts()})")
@@ -667,6 +699,16 @@ def no_split_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.coalesce(F.aggregate(engine.pieces("text"), F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)), F.lit(0)).alias("n_characters"))
 
 
+@query(f"SELECT doc_id, count(*) AS n_pieces, sum(stop)::BIGINT AS sum_ends, md5(string_agg(piece, chr(57347) ORDER BY o)) AS h FROM (SELECT doc_id, piece, o, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY o)::BIGINT AS stop FROM ({sql.covering_order(pretok.GPT2)})) GROUP BY doc_id")
+def lateral_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces with their places and ends by a table function in SQL text."""
+    tables.register(spark, "explode_pieces", Engine(spark, samples.byte_level()))
+    return spark.sql(
+        "SELECT doc_id, count(*) AS n_pieces, sum(p.`end`) AS sum_ends, md5(array_join(transform(array_sort(collect_list(struct(p.place, p.piece))), x -> x.piece), {mark})) AS h "
+        "FROM {docs}, LATERAL explode_pieces(text) p GROUP BY doc_id", docs=_docs(spark, sf_dir), mark=chr(57347),
+    )
+
+
 # ---- relational work around tokens
 
 

@@ -47,11 +47,13 @@ def _source(model: dict[str, Any], **parts: Any) -> str:
     return json.dumps(top | parts)
 
 
-def sources() -> dict[str, str]:
-    """The text of one small definition of each model."""
-    word = {"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 9, "vocab": {"[UNK]": 0, "it's": 1, "é": 2}}
-    score = {"type": "Unigram", "unk_id": 0, "vocab": [["<unk>", 0.0], ["▁", -1.0], ["no", -2.5]], "byte_fallback": False}
-    return {"wordpiece": _source(word, pre_tokenizer={"type": "BertPreTokenizer"}), "unigram": _source(score, pre_tokenizer={"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always", "split": True})}
+#: Words of a language that make a definition.
+MOST_WORDS = 200
+
+
+def word_file(words: list[tuple[str, int]]) -> str:
+    """A definition whose vocabulary is the given words with their numbers."""
+    return _source({"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 100, "vocab": dict(words)}, pre_tokenizer={"type": "BertPreTokenizer"})
 
 
 def _added(contents: tuple[str, ...], **flags: Any) -> list[dict[str, Any]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet
 from glyphmill.operators.tokenizer import Tokenizer
 from glyphmill.plans import samples
@@ -130,6 +132,12 @@ def bpe_top() -> str:
     )
 
 
+def token_bytes() -> str:
+    """(id, bytes in base64) of the byte-level vocabulary."""
+    back = {c: bytes([b]) for b, c in byte_alphabet().items()}
+    return _values([(i, base64.b64encode(b"".join(back[c] for c in s)).decode()) for s, i in samples.byte_vocab().items() if s not in samples.SPECIALS])
+
+
 def source_ids() -> str:
     """(doc_id, ids) of the ASCII column ``source``: its symbols after the merges, looked up one by one."""
     table = "MAP {" + ", ".join(f"{_text(''.join(chr(b) for x in s for b, c in byte_alphabet().items() if c == x))}: {i}" for s, i in samples.byte_vocab().items() if s.isascii() and s.isalnum()) + "}"

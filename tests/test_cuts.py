@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shapes import PARTS, SHAPES, file, spm
 
 from glyphmill.functions import cuts, pretok
-from glyphmill.operators import cutting, dictionary, models
+from glyphmill.operators import cutting, dictionary, models, tables
 from glyphmill.operators.columns import Engine
 from glyphmill.operators.tokenizer import Tokenizer
 from glyphmill.plans import samples
@@ -194,3 +194,30 @@ def test_a_published_vocabulary(spark):
 def test_null_rows_have_no_places(spark):
     df = spark.createDataFrame([(None,), ("",)], "text string")
     assert [(r["n"], r["p"]) for r in df.select(cuts.places("text", "gpt2").alias("n"), F.size(cuts.parts("text", "gpt2", 5)).alias("p")).collect()] == [(None, None), (0, 0)]
+
+
+def test_hard_cuts_as_columns(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice([" ", "a"]) * rng.randrange(1, 40) for _ in range(30)) for _ in range(80)] + ["", "x" * 7, " " * 7, "\x1c \x1f " * 9, "é水🌿" * 30]
+    monkeypatch.setattr(pretok, "CHUNK_CHARS", 100)
+    monkeypatch.setattr(pretok, "RUN_CHARS", 7)
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    for r in df.select("text", pretok.hard_cuts("text", 100, 7).alias("parts")).collect():
+        assert r["parts"] == (None if r["text"] is None else pretok.run_cuts(r["text"]) if r["text"] else [])
+
+
+def test_long_runs_are_cut_before_the_split(spark):
+    long = ["a" * 60_000, " " * 30_000 + "b", "水" * 26_000 + " x" * 200_000, "short text"]
+    df = spark.createDataFrame(list(enumerate(long)), "k int, text string")
+    found = regex.compile(pretok.KIMI, regex.V1)
+    for r in df.select("k", pretok.kimi("text").alias("pieces")).collect():
+        assert r["pieces"] == [p for part in pretok.run_cuts(long[r["k"]]) for p in found.findall(part)]
+
+
+def test_pieces_by_a_table_function(spark):
+    t = samples.byte_level()
+    tables.register(spark, "own_pieces", Engine(spark, t))
+    rows = [(1, "the <s> thing"), (2, ""), (3, None), (4, "é水")]
+    spark.createDataFrame(rows, "k int, text string").createOrReplaceTempView("own_texts")
+    got = [tuple(r) for r in spark.sql("SELECT k, p.* FROM own_texts, LATERAL own_pieces(text) p ORDER BY k, place").collect()]
+    assert got == [(k, n, piece, end) for k, text in rows if text for n, (piece, end) in enumerate(zip(t.pieces(text), t.piece_ends(text), strict=True))]

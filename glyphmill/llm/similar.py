@@ -53,6 +53,8 @@ MOST_MATCHES = 8
 VERIFY_COST = 4.0
 #: Documents of a block; a task holds two blocks.  And those that are compared with their hub together.
 BLOCK, RAYS = 384, 256
+#: Shingles of those, all together (8 bytes each): groups of long documents are cut in as many more blocks.
+BLOCK_SHINGLES = RAY_SHINGLES = 1 << 22
 _BITS = 1024
 #: Postings of a shingle that are compared one by one with those after them, by size; and how many a task holds.
 _NEAR, _TOGETHER = 16, 1 << 18
@@ -418,7 +420,7 @@ def _read(texts: list[bytes], ranks: Order) -> Iterator[tuple]:
             yield grams[offsets[i] : offsets[i + 1]].copy(), np.sort(prefixes[i]), int(matches[i])
 
 
-_STAR = "hub bigint, key bigint, linked boolean, packed binary"
+_STAR = "hub bigint, key bigint, linked boolean, packed binary, size bigint"
 
 
 def _starred(order):
@@ -436,10 +438,10 @@ def _starred(order):
             if not alone or len(have) < 2 or all(t for _, t in have.values()):
                 return []
             keys, docs, tight = list(have), [d for d, _ in have.values()], np.array([t for _, t in have.values()])
-            return [(keys[x], keys[y], True, None) for x, y in linked(docs, np.zeros(len(keys)), tight, True)]
+            return [(keys[x], keys[y], True, None, None) for x, y in linked(docs, np.zeros(len(keys)), tight, True)]
 
         def told(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["hub", "key", "linked", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()))], names=["hub", "key", "linked", "packed", "size"])
 
         for batch in rows:
             hubs, parts, other, single, keys, packed = (c.to_pylist() for c in batch.columns)
@@ -455,9 +457,9 @@ def _starred(order):
                 if alone:
                     have.setdefault(keys[i], (d, ties))
                     if ties:
-                        out.append((hubs[i], keys[i], True, None))
+                        out.append((hubs[i], keys[i], True, None, None))
                 else:
-                    out.append((hubs[i], keys[i], ties, packed[i]))
+                    out.append((hubs[i], keys[i], ties, packed[i], len(d[0])))
             yield told(out)
         yield told(rest())
 
@@ -502,8 +504,10 @@ def _all_edges(members: DataFrame, texts: DataFrame, order, parts: int) -> DataF
 
     First every document is compared with its hub, which is linear in the group.  Only pairs with a document that is not
     linked to its hub (a loose one) are left: loose blocks meet each other and the blocks of the others, cell by cell.
+    Blocks have about equally many documents, so few that neither these nor their shingles are more than a task may hold.
     """
-    counted = members.join(members.groupBy("hub").agg(F.ceil(F.count("*") / RAYS).cast("int").alias("n")), "hub")
+    blocks = lambda n, shingles, most, together: F.ceil(F.greatest(n / most, shingles / together)).cast("int")
+    counted = members.join(members.groupBy("hub").agg(blocks(F.count("*"), F.sum("n_shingles"), RAYS, RAY_SHINGLES).alias("n")), "hub")
     block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     part = F.when(F.col("key") == F.col("hub"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(block(F.col("n"))))
     rays = counted.select("hub", F.explode(part).alias("part"), (F.col("key") != F.col("hub")).alias("other"), (F.col("n") == 1).alias("alone"), "key", "rep").join(texts, ["key", "rep"])
@@ -511,8 +515,9 @@ def _all_edges(members: DataFrame, texts: DataFrame, order, parts: int) -> DataF
     stars = stored(rays.mapInArrow(_starred(order), _STAR), "stars")
 
     large = stars.where("packed is not null")
-    sizes = large.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("loose"), F.count("*").alias("all")).where("loose > 0 and all > 1")
-    few = sizes.select("hub", F.ceil(F.col("loose") / BLOCK).cast("int").alias("n_loose"), F.ceil((F.col("all") - F.col("loose")) / BLOCK).cast("int").alias("n_tight"))
+    sizes = large.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("loose"), F.count("*").alias("all"), F.sum("size").alias("size"), F.coalesce(F.sum(F.when(~F.col("linked"), F.col("size"))), F.lit(0)).alias("loose_size")).where("loose > 0 and all > 1")
+    side = lambda n, shingles: blocks(n, shingles, BLOCK, BLOCK_SHINGLES)
+    few = sizes.select("hub", side(F.col("loose"), F.col("loose_size")).alias("n_loose"), side(F.col("all") - F.col("loose"), F.col("size") - F.col("loose_size")).alias("n_tight"))
     open_ = large.join(few, "hub").withColumn("side", F.when(F.col("linked"), F.col("n_loose") + block(F.greatest("n_tight", F.lit(1)))).otherwise(block(F.col("n_loose"))))
     loose_cells, last = F.sequence(F.lit(0), F.col("n_loose") - 1), F.col("n_loose") + F.col("n_tight") - 1
     met = open_.withColumn("met", F.explode(F.when(F.col("linked"), loose_cells).otherwise(F.sequence(F.lit(0), last))))
@@ -586,8 +591,8 @@ def classes(docs: DataFrame, *, with_key: bool = False) -> DataFrame:
     posted = rows.select("text").mapInArrow(_postings(order), "shingle bigint, place bigint, key bigint")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     met = posted.repartition(parts, "shingle").sortWithinPartitions("shingle", "place", "key").mapInArrow(_meetings, "hub bigint, key bigint")
-    least = own.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"))
-    members = stored(met.distinct().join(least.select("key", F.coalesce("rep", F.lit(_NO_ID)).alias("rep")), "key"), "members")
+    least = own.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
+    members = stored(met.distinct().join(least.select("key", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"), "n_shingles"), "key"), "members")
 
     # one text of each set: that of its least id, and of copies with one id (or with none) any one, as they are equal
     picked = rows.mapInArrow(_picked(_key_filter(members.select("key", "rep").distinct(), _sized(64 * n_rows, FILTER_BITS))), "key bigint, rep bigint, packed binary")

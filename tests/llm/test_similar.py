@@ -80,6 +80,50 @@ def test_small_blocks_and_long_lists(spark, monkeypatch):
     compare(spark, family(3, 50, 40, 6))
 
 
+def test_blocks_of_few_shingles(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(similar, "RAY_SHINGLES", 900)
+    compare(spark, family(4, 50, 40, 6))
+
+
+def test_families_of_long_texts_are_cut_by_their_shingles(spark, monkeypatch):
+    """Near copies of 1 MB each: a task holds a few of them, though they are far fewer than a block has documents."""
+    import random
+
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", 400_000)
+    monkeypatch.setattr(similar, "RAY_SHINGLES", 400_000)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(130_000)]
+    rows = []
+    for k in range(7):
+        own = list(base)
+        for i in rng.sample(range(len(own)), 1500 if k < 5 else 9000):
+            own[i] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {(r["doc_id"], r["component_id"]) for r in similar.classes(df).collect()} == set(components_of(rows))
+
+
+def components_of(rows):
+    sets = {}
+    for k, text in rows:
+        w = text.split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    up = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(up, a), find(up, b)))
+                up[y] = x
+    return [(k, find(up, k)) for k in sets]
+
+
+def find(up, k):
+    while up[k] != k:
+        k = up[k]
+    return k
+
+
 def test_postings_that_outgrow_a_task():
     import numpy as np
     import pyarrow as pa

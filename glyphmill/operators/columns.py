@@ -57,11 +57,11 @@ class Engine:
         return self._function("bigint", lambda t, v: len(t.encode(v, add_special_tokens=add_special_tokens, added_tokens=mode)))(text)
 
     def encoding(self, text: Column | str, *, add_special_tokens: bool = True) -> Column:
-        """ids, type_ids, tokens and both masks as one struct; null stays null."""
+        """ids, type_ids, tokens and both masks as one struct; null stays null, and tokens that ids do not tell are null."""
 
-        def body(t: Tokenizer, v: str) -> dict[str, list]:
+        def body(t: Tokenizer, v: str) -> dict[str, list | None]:
             e = t.encode_ex(v, add_special_tokens=add_special_tokens)
-            return {k: getattr(e, k) for k in ("ids", "type_ids", "tokens", "attention_mask", "special_tokens_mask")}
+            return {"ids": e.ids, "type_ids": e.type_ids, "tokens": e.strings, "attention_mask": e.attention_mask, "special_tokens_mask": e.special_tokens_mask}
 
         shared = self._shared
 

@@ -67,6 +67,8 @@ class Decoder:
         self.fallback = "ByteFallback" in kinds
         self.wordpiece = next((s for s in decoders or [] if s["type"] == "WordPiece"), None)
         self.per_token = [s for s in decoders or [] if s["type"] in ("Replace", "Metaspace")]
+        #: Where runs of bytes are made text first, what follows is done to that text too.
+        self.bytes_first = kinds[:1] == ["ByteFallback"] and "Replace" in kinds
         self.strip = next((s for s in decoders or [] if s["type"] == "Strip"), None)
         self.raw = raw
         self.restore(b"", self.strip["start"] if self.strip else 0, True, False)
@@ -109,7 +111,12 @@ class Decoder:
     def _ended(self) -> str:
         """What an ending run of byte tokens leaves to give."""
         out, self.held, self.broken = run_text(self.held), b"", False
-        return out
+        return self._replaced(out) if self.bytes_first else out
+
+    def _replaced(self, text: str) -> str:
+        for s in self.per_token:
+            text = text.replace(next(iter(s["pattern"].values())), s["content"])
+        return text
 
     def _utf8(self, final: bool) -> str:
         reader = codecs.getincrementaldecoder("utf-8")("replace")

@@ -16,7 +16,7 @@ from glyphmill.functions.automaton import Automaton
 from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet, is_word
 from glyphmill.operators import bounds, cutting, decoding, models
 from glyphmill.sources import definition, ranks
-from glyphmill.sources.definition import BPE, AddedToken, ArgumentError, Definition, FormatError, IdError, LimitError, OpenError, UnsupportedError
+from glyphmill.sources.definition import BPE, UNIGRAM, AddedToken, ArgumentError, Definition, FormatError, IdError, LimitError, OpenError, UnsupportedError
 
 ALL, NONSPECIAL, NONE = "all", "nonspecial", "none"
 MODES = (ALL, NONSPECIAL, NONE)
@@ -30,11 +30,18 @@ FEW_TOKENS = 64
 class Encoding:
     ids: list[int]
     type_ids: list[int]
-    tokens: list[str]
     attention_mask: list[int]
     special_tokens_mask: list[int]
+    strings: list[str] | None
     overflowing: tuple = ()
 
+    @property
+    def tokens(self) -> list[str]:
+        """The written form of each id; an error where ids do not tell it, and never a guess."""
+        if self.strings is None:
+            raise UnsupportedError("tokens that their ids do not tell")
+        return self.strings
+
 
 class Tokenizer:
     def __init__(self, d: Definition):
@@ -48,6 +55,13 @@ class Tokenizer:
         self._joins = cutting.joins(d)
         self._cutter = cutting.Cutter(d, self._joins)
         self._by_content = {t.content: t for t in d.added}
+        #: Ids whose string depends on the text: an unknown piece is written as its text, an id that a model string and
+        #: another added token share as either of them, and a token that takes in white space with what it took.
+        self._untold = {t.id for t in d.added if t.lstrip or t.rstrip}
+        if d.algorithm == UNIGRAM and d.unk_id is not None:
+            self._untold.add(d.unk_id)
+        written = {i: s for s, i in d.vocab.items()}
+        self._untold |= {t.id for t in d.added if written.get(t.id, t.content) != t.content}
         self._added_by_id = {t.id: t for t in reversed(d.added)}
         self._raw = self._pattern([t for t in d.added if not t.normalized], lambda t: t.content)
         self._normal = self._pattern([t for t in d.added if t.normalized], lambda t: self._normalize(t.content))
@@ -275,10 +289,14 @@ class Tokenizer:
         special = [1] * before + [0] * middle + [1] * after
         types = [*(d.prefix_types if before else []), *[d.sequence_type] * middle, *(d.suffix_types if after else [])]
         mask, tokens = [1] * len(inner), [self._strings.get(i, "") for i in inner]
+        for k in (*range(before), *range(len(inner) - after, len(inner))):  # the template writes contents as they are
+            if inner[k] in self._added_by_id:
+                tokens[k] = self._added_by_id[inner[k]].content
+        untold = not self._untold.isdisjoint(inner[before : len(inner) - after])
         if d.padding:
             p = d.padding
             inner, types, tokens, mask, special = (self._padded(v, f, longest) for v, f in ((inner, p["id"]), (types, p["type_id"]), (tokens, p["token"]), (mask, 0), (special, 1)))
-        return Encoding(inner, types, tokens, mask, special)
+        return Encoding(inner, types, mask, special, None if untold else tokens)
 
     def encode_batch(self, texts: list[str], **kw: Any) -> list[list[int]]:
         """Each text by itself; with padding to the longest, all to the longest of the batch."""
@@ -428,8 +446,9 @@ class Tokenizer:
         return self._last
 
     @property
-    def eot_token(self) -> int | None:
-        return next((t.id for t in self.definition.added if t.content in ("<|endoftext|>", "</s>")), None)
+    def eot_token(self) -> int:
+        """The id of the special token <|endoftext|>; KeyError where there is none."""
+        return {t.content: t.id for t in self.definition.added if t.special}["<|endoftext|>"]
 
     @property
     def special_tokens_set(self) -> set[str]:

@@ -217,9 +217,9 @@ def bpe_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, n_tokens FROM (SELECT doc_id, {sql.bpe_count('text')} AS n_tokens FROM ({sql.bpe_texts()}))")
 def bpe_dictionary_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the distinct-piece dictionary: the model runs once for each piece of the table."""
-    made = Engine(spark, samples.byte_level()).encode_by_dictionary(_docs(spark, sf_dir), "doc_id", pretok.gpt2("text"))
-    return made.select("doc_id", _n(F.size("ids")).alias("n_tokens"))
+    """The same by the distinct-piece dictionary: the model runs once for each piece of the table, and sizes are joined to
+    the distinct pieces of each text."""
+    return dictionary.count_by_words(Engine(spark, samples.byte_level()), _docs(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"SELECT lang, sum(n_tokens)::BIGINT AS n_tokens, count(*) AS n_docs FROM (SELECT lang, {sql.bpe_count('text')} AS n_tokens FROM ({sql.bpe_texts()})) GROUP BY lang")

@@ -327,6 +327,8 @@ PRE_TOKENIZERS = {
     WORDPIECE: ("BertPreTokenizer", "WhitespaceSplit"),
 }
 DECODERS = ("ByteLevel", "Replace", "Metaspace", "ByteFallback", "Fuse", "Strip", "WordPiece")
+# The patterns that a normalizer may replace, with what stands for them.
+REPLACED = ((" {2,}", " "), (" {2,}", "▁"), (r"(?<!\n)^", "▁"), (" ", "▁"))
 BEHAVIOURS = ("Removed", "Isolated", "MergedWithPrevious", "MergedWithNext", "Contiguous")
 
 
@@ -341,6 +343,8 @@ def _check_steps(out: Definition) -> None:
                 raise FormatError(f"Split behavior {s.get('behavior')!r}")
             if s["type"] in ("Split", "Replace") and not (isinstance(s.get("pattern"), dict) and list(s["pattern"]) in (["Regex"], ["String"]) and next(iter(s["pattern"].values()))):
                 raise FormatError(f"{s['type']} pattern")
+            if where == "normalizer" and s["type"] == "Replace" and "Regex" in s["pattern"] and (s["pattern"]["Regex"], s["content"]) not in REPLACED:
+                raise UnsupportedError(f"Replace of the pattern {s['pattern']['Regex']!r}")
             if s["type"] == "Strip" and where == "decoder" and s.get("stop"):
                 raise UnsupportedError("decoder Strip from the end")
     kinds = [s["type"] for s in out.normalizers]
@@ -351,6 +355,12 @@ def _check_steps(out: Definition) -> None:
         raise UnsupportedError("a byte-level vocabulary without its decoder")
     if out.algorithm == SPM and any(s["type"] == "Metaspace" and s.get("prepend_scheme") == "first" for s in out.pre_tokenizers) and out.normalizers:
         raise UnsupportedError("Metaspace first after a normalizer")
+    chain = [s["type"] for s in out.decoders or []]
+    if out.algorithm == UNIGRAM and chain[:1] == ["ByteFallback"]:
+        if chain != ["ByteFallback", "Replace", "Fuse", "Replace"]:
+            raise UnsupportedError(f"decoders {' '.join(chain)}")
+        if len(out.decoders[3]["pattern"].get("String", "  ")) != 1:
+            raise UnsupportedError("a Replace of more than one character behind Fuse")
     order = [("Replace", "Metaspace"), ("ByteFallback",), ("Fuse",), ("Strip",)]
     if out.algorithm == SPM and out.decoders:
         at = 0

@@ -14,6 +14,8 @@ from shapes import META, SHAPES, file, unigram
 from glyphmill.functions import pretok, supplement
 from glyphmill.functions.normalize import Charsmap
 from glyphmill.operators.tokenizer import NONE, Tokenizer
+from glyphmill.plans import samples
+from glyphmill.sources.definition import UnsupportedError
 
 
 def rank_lines(extra=()):
@@ -164,3 +166,56 @@ def test_spliced_patterns_know_newer_characters(spark):
     rows = df.select("t", plain.alias("plain"), whole.alias("whole")).collect()
     assert all(r["whole"] == [r["t"][:-2], " ", "1"] for r in rows)
     assert any(r["plain"] != r["whole"] for r in rows)
+
+
+def test_bytes_before_replacements_are_the_librarys():
+    """Runs of bytes become text first; then marks are replaced in it too, and once more behind the fused text."""
+    chain = [{"type": "ByteFallback"}, {"type": "Replace", "pattern": {"String": "▁"}, "content": " "}, {"type": "Fuse"}, {"type": "Replace", "pattern": {"String": "o"}, "content": "00"}]
+    source = SHAPES["unigram_bytes"] | {"decoder": {"type": "Sequence", "decoders": chain}}
+    own, other = Tokenizer.from_str(json.dumps(source)), tokenizers.Tokenizer.from_str(json.dumps(source))
+    rng = random.Random(12)
+    number = lambda b: own.token_to_id(f"<0x{b:02X}>")
+    mark = [number(b) for b in "▁o".encode()]
+    for _ in range(400):
+        ids = [i for _ in range(rng.randrange(9)) for i in (mark if rng.random() < 0.3 else [rng.randrange(own.n_vocab)] if rng.random() < 0.6 else [number(rng.choice(b"\xe2\x96\x81\xc3\xa9A"))])]
+        assert own.decode(ids, False) == other.decode(ids, skip_special_tokens=False), ids
+        stream = own.decode_stream()
+        assert "".join(map(stream.push, ids)) + stream.flush() == own.decode(ids, False)
+    for bad in (chain[:3], [*chain[:3], chain[3] | {"pattern": {"String": "oo"}}]):
+        with pytest.raises(UnsupportedError):
+            Tokenizer.from_str(json.dumps(source | {"decoder": {"type": "Sequence", "decoders": bad}}))
+
+
+def test_strings_that_ids_do_not_tell():
+    plain = Tokenizer.from_str(json.dumps(SHAPES["unigram_whitespace"]))
+    assert plain.encode_ex("our ring").tokens and plain.encode_ex("our 水").ids
+    for shape, text in (("unigram_whitespace", "our 水"), ("metaspace_first", "x </s>"), ("metaspace_split", "<s> x")):
+        with pytest.raises(UnsupportedError):
+            _ = Tokenizer.from_str(json.dumps(SHAPES[shape])).encode_ex(text).tokens
+    assert Tokenizer.from_str(json.dumps(SHAPES["metaspace_first"])).encode_ex("x <s>").tokens[-1] == "<s>"
+
+
+def test_strings_are_the_librarys_where_told():
+    for name in SHAPES:
+        own, other = Tokenizer.from_str(json.dumps(SHAPES[name])), tokenizers.Tokenizer.from_str(json.dumps(SHAPES[name]))
+        told = 0
+        for text in ("our ring", "", "sour tin ü x", "<s> tours", "水 ing", "  two  spaces", "[CLS] can not ?"):
+            e = own.encode_ex(text)
+            if e.strings is not None:
+                told += 1
+                assert e.tokens == other.encode(text).tokens, (name, text)
+        assert told
+
+
+def test_end_of_text_and_patterns_that_are_refused():
+    with pytest.raises(KeyError):
+        _ = samples.byte_level().eot_token
+    ended = samples.byte_level(added_tokens=samples._added(("<|endoftext|>",)))
+    assert ended.eot_token == ended.token_to_id("<|endoftext|>")
+    for pattern, content in ((r"\s+", " "), (" {2,}", "x")):
+        with pytest.raises(UnsupportedError):
+            Tokenizer.from_str(json.dumps(SHAPES["unigram"] | {"normalizer": {"type": "Replace", "pattern": {"Regex": pattern}, "content": content}}))
+    started = SHAPES["unigram_whitespace"] | {"normalizer": {"type": "Replace", "pattern": {"Regex": r"(?<!\n)^"}, "content": "▁"}}
+    own, other = Tokenizer.from_str(json.dumps(started)), tokenizers.Tokenizer.from_str(json.dumps(started))
+    for text in ("our", "\nour", " our\nring", "our\n\nring sour"):
+        assert own.encode(text) == other.encode(text).ids, text

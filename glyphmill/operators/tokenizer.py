@@ -437,6 +437,20 @@ class Tokenizer:
             raise UnsupportedError("pairs")
         return len(self.definition.prefix) + len(self.definition.suffix)
 
+    @cached_property
+    def longest_text(self) -> int:
+        """The most bytes that one id adds to a text: its string with a space before, and after all replacements; a byte
+        that is no text becomes three."""
+        most = 3
+        for token in self._strings.values():
+            for s in self.decoders() or []:
+                if s["type"] == "Replace":
+                    pattern = next(iter(s["pattern"].values()))
+                    if len(s["content"].encode()) > len(pattern.encode()):
+                        token = token.replace(pattern, s["content"])
+            most = max(most, 1 + (len(token.encode("utf-8", "surrogateescape")) if not self._byte_level else 3 * len(decoding.raw_bytes(token))))
+        return most
+
     @property
     def n_vocab(self) -> int:
         return self.max_token_value + 1
@@ -496,6 +510,10 @@ class DecodeStream:
         self.tokenizer, self.skip, self.hold = tokenizer, skip_special_tokens, hold
         self.decoder = decoding.Decoder(tokenizer.decoders())
 
+    def bound(self, n: int) -> int:
+        """No push of ``n`` ids gives more bytes of text now, and no flush more than a push of none."""
+        return n * self.tokenizer.longest_text + 3 * len(self.decoder.held)
+
     def push(self, ids: int | list[int]) -> str:
         tokens = self.tokenizer.tokens_of([ids] if isinstance(ids, int) else ids, self.skip)  # a bad id leaves the state as it was
         return self.decoder.push_all(tokens, self.hold)

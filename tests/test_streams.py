@@ -88,6 +88,19 @@ def test_a_push_beyond_the_hold_changes_nothing():
     assert stream.push(ids[44:]) + stream.flush() == "𓀀" * 12
 
 
+@pytest.mark.parametrize("name, t", definitions().items())
+def test_no_push_gives_more_than_its_bound(name, t):
+    rng = random.Random(name)
+    for _ in range(60):
+        stream = t.decode_stream()
+        for _ in range(rng.randrange(6)):
+            ids = [rng.randrange(t.n_vocab) for _ in range(rng.randrange(5))]
+            most = stream.bound(len(ids))
+            assert len(stream.push(ids).encode()) <= most
+        most = stream.bound(0)
+        assert len(stream.flush().encode()) <= most
+
+
 @pytest.fixture
 def rocks(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")

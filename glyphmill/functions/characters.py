@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import cache
 
 import regex
 
+from glyphmill.functions import versions
+
 # The 25 code points of White_Space, and the ASCII punctuation.
 WHITE_SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 ASCII_PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -28,13 +29,13 @@ def is_chinese(ch: str) -> bool:
 
 @cache
 def is_punctuation(ch: str) -> bool:
-    return ch in ASCII_PUNCTUATION or unicodedata.category(ch).startswith("P")
+    return ch in ASCII_PUNCTUATION or versions.is_general_punctuation(ch)
 
 
 @cache
 def lowered(ch: str) -> str:
     """The lower case of one character, without regard to what stands around it."""
-    return ch.lower()
+    return versions.lower(ch)
 
 
 def byte_alphabet() -> dict[int, str]:

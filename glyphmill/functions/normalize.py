@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import struct
-import unicodedata
 from collections.abc import Callable
 from typing import Any
 
@@ -12,6 +11,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions import versions
 from glyphmill.functions.characters import WHITE_SPACE, is_chinese, lowered
 from glyphmill.sources.definition import FormatError, UnsupportedError
 
@@ -33,9 +33,9 @@ def compiled(steps: list[dict[str, Any]]) -> Step:
 def _step(s: dict[str, Any]) -> Step:
     kind = s["type"]
     if kind in ("NFC", "NFD", "NFKC", "NFKD"):
-        return lambda t: t if t.isascii() else unicodedata.normalize(kind, t)
+        return lambda t: versions.form(kind, t)
     if kind == "StripAccents":
-        return lambda t: "".join(c for c in t if not unicodedata.category(c).startswith("M"))
+        return lambda t: t if t.isascii() else "".join(c for c in t if not versions.is_mark(c))
     if kind == "Lowercase":
         return lambda t: t.lower() if t.isascii() else "".join(map(lowered, t))
     if kind == "Strip":
@@ -79,7 +79,7 @@ def _bert(s: dict[str, Any]) -> Step:
         if clean:
             if c in "\t\n\r":
                 return " "
-            if c in "\x00�" or unicodedata.category(c) in ("Cc", "Cf", "Co"):
+            if c in "\x00�" or versions.is_control(c):
                 return ""
             if c in WHITE_SPACE:
                 return " "
@@ -88,7 +88,7 @@ def _bert(s: dict[str, Any]) -> Step:
     def run(t: str) -> str:
         t = "".join(map(one, t))
         if accents and not t.isascii():
-            t = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+            t = "".join(c for c in versions.form("NFD", t) if not versions.is_non_spacing_mark(c))
         return "".join(map(lowered, t)) if lower else t
 
     return run
@@ -166,6 +166,11 @@ def prepend(text: Column | str, what: str) -> Column:
     return F.when(F.length(of) > 0, F.concat(F.lit(what), of)).otherwise(of)
 
 
+def strip_accents(text: Column | str) -> Column:
+    """Marks of the version that ``StripAccents`` knows go; nothing is taken apart before."""
+    return F.regexp_replace(text, f"[{versions.JAVA_MARK}]", "")
+
+
 def is_ascii(text: Column | str) -> Column:
     return (F.col(text) if isinstance(text, str) else text).rlike(r"^[\x00-\x7F]*$")
 

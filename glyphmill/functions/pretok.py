@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions import versions
 from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet, is_punctuation
 from glyphmill.sources.definition import UnsupportedError
 
@@ -50,6 +51,8 @@ DIGITS_GPT2 = (r"\p{N}", GPT2)
 MINICPM5 = (r"\p{N}{1,3}", MINICPM)
 #: Characters that are cut off together, and the longest run of white space or of other characters.
 CHUNK_CHARS, RUN_CHARS = 400_000, 25_000
+#: ASCII's, and that of the general category as far as the steps named after punctuation know it.
+PUNCTUATION_MARK = rf"[!-/:-@\[-`{{-~]|[{versions.JAVA_PUNCTUATION}]"
 
 Split = Callable[[list[tuple[str, bool]]], list[tuple[str, bool]]]
 
@@ -114,11 +117,11 @@ def digits(text: Column | str, individual: bool = False) -> Column:
 
 def punctuation(text: Column | str) -> Column:
     """ASCII punctuation and other punctuation marks, each a piece."""
-    return isolated(text, r"[!-/:-@\[-`{-~]|\p{P}")
+    return isolated(text, PUNCTUATION_MARK)
 
 
 def bert(text: Column | str) -> Column:
-    return split_matches(text, r"[!-/:-@\[-`{-~]|\p{P}|(?:(?![!-/:-@\[-`{-~]|\p{P})\S)+")
+    return split_matches(text, rf"{PUNCTUATION_MARK}|(?:(?!{PUNCTUATION_MARK})\S)+")
 
 
 def metaspace(text: Column | str, mark: str = "▁", prepend: bool = True, split: bool = True) -> Column:

@@ -206,6 +206,25 @@ def norm_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(engine.normalized(F.replace("text", F.lit("e"), F.lit("é")))).alias("h"))
 
 
+@query("""SELECT doc_id, md5(replace(replace(replace(nfc_normalize(replace(text, 'e', 'e' || chr(769))), 'a', chr(13055)), 'o', 'fi'), 'n', 'n' || chr(2200) || chr(790) || chr(769))) AS h
+FROM documents""")
+def norm_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NFKC by the tables of Unicode 9.0: a ligature is taken apart, a later square era name is not, and marks are put in order
+    behind a mark that those tables do not know."""
+    engine = Engine(spark, samples.unigram(normalizer={"type": "NFKC"}))
+    text = F.col("text")
+    for letter, becomes in (("e", "e\u0301"), ("a", "\u32ff"), ("o", "\ufb01"), ("n", "n\u0898\u0301\u0316")):
+        text = F.replace(text, F.lit(letter), F.lit(becomes))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.normalized(text)).alias("h"))
+
+
+@query("SELECT doc_id, md5(replace(text, 'e', 'e' || chr(2200))) AS h FROM documents")
+def norm_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks go but for those that came after Unicode 9.0, in the JVM."""
+    marked = F.replace("text", F.lit("e"), F.lit("e\u0301\u0898"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(normalize.strip_accents(marked)).alias("h"))
+
+
 # ---- models
 
 

@@ -5,6 +5,11 @@ share of punctuation and lessened by its share of link text; ratios are smoothed
 paths of one container, and thresholded.  A container (the path without its last tag) whose paths hold most of the
 selected text is content as a whole, so short paragraphs, headings and lists in it are kept.  Elements that are no content by
 their name, role or class are left out before; an article or main element only weighs in a path's score.
+
+Where no article or main element has chosen text, menus, remarks and notices can share the paths of the content, and class
+names can mislead.  There each block's own ratio is summed up over the elements around it: the content is the innermost element that
+holds most of it (MOST), and a part that has a layout's class name counts as left out only while it does not outweigh all
+other text (OUTWEIGHS).
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ from glyphmill.llm.session import tune
 THRESHOLD = 1.0
 #: What the score of a path is multiplied by inside an article or main element.
 MAIN_WEIGHT = 2.0
+#: Share of an element's sum of ratios by which the content is looked for inside one of its parts.
+MOST = 0.6
+#: How many times the ratios of all other text a part with a layout's class name must have to be content after all.
+OUTWEIGHS = 2.0
 #: Weights of the smoothing over neighbouring nodes.
 _KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 
@@ -44,6 +53,10 @@ _BOILER = frozenset(
     "pagination pager popup promo promoted promotion recommended recommendations related remark reply replies respond share sharing sidebar sidebars "
     "signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets masthead reader-comments discussion".split()
 )
+#: Of these, what also names wrappers of a whole page or story.
+_LAYOUT = frozenset("banner header modal notice notices popup share sharing sidebar sidebars social tags topbar widget widgets".split())
+#: Elements that hold parts of a page.
+_HOLDS = frozenset("html body div section center table tbody tr td".split())
 #: Starts of names that speak of another part, such as no-sidebar.
 _NOT_ITSELF = ("no-", "has-", "with-", "without-", "is-", "js-")
 #: Of these, what an article element itself can be: a reader's remark, an advert, or a pointer to another page.
@@ -57,25 +70,32 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟،]")
 
 
-def _no_content(tag: str, attributes: str, in_main: bool = False) -> bool:
+#: How sure it is that an element is no content: not at all, by a layout's class name alone, or by anything else.
+_CONTENT, _DOUBTFUL, _NONE = range(3)
+
+
+def _no_content(tag: str, attributes: str, in_main: bool = False) -> int:
     """Whether an element is no content by its name, role or class.  A header inside the main part holds its title."""
     if tag in _SKIP and not (in_main and tag == "header"):
-        return True
+        return _NONE
     if not attributes.strip() or tag in ("html", "body", "main"):
-        return False
+        return _CONTENT
     boiler = _NOT_ARTICLE if tag == "article" else _BOILER
+    doubt = _CONTENT
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             names = [x for x in value.split() if not x.startswith(_NOT_ITSELF)]
             words = {w for x in names for w in re.split(r"[^a-z0-9]+", x)} | set(names)
             if words & boiler and not (in_main and words & boiler <= {"header"}):
-                return True
+                if not words & boiler <= _LAYOUT:
+                    return _NONE
+                doubt = _DOUBTFUL
         elif (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return _NONE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return _NONE
+    return doubt
 
 
 class Open:
@@ -84,7 +104,9 @@ class Open:
 
     def __init__(self) -> None:
         self.tags: list[str] = []
-        self.skipped: list[bool] = []
+        self.skipped: list[int] = []
+        self.elements: list[int] = []
+        self.around: list[tuple[int, str, int]] = [(-1, "", _CONTENT)]  # by element: the one around it, its tag, whether it is no content
         self.paths: list[int] = []
         self.last: dict[str, list[int]] = {}
         self.known: dict[tuple[int, str], int] = {}
@@ -93,7 +115,10 @@ class Open:
     def path(self) -> int:
         return self.paths[-1] if self.paths else 0
 
-    def push(self, tag: str, skipped: bool) -> None:
+    def element(self) -> int:
+        return self.elements[-1] if self.elements else 0
+
+    def push(self, tag: str, skipped: int) -> None:
         key = (self.path(), tag)
         if key not in self.known:
             self.known[key] = len(self.above)
@@ -102,6 +127,8 @@ class Open:
         self.paths.append(self.known[key])
         self.tags.append(tag)
         self.skipped.append(skipped)
+        self.around.append((self.element(), tag, skipped))
+        self.elements.append(len(self.around) - 1)
 
     def place(self, tags: Iterable[str]) -> int:
         """Where the innermost of these tags is open; -1 if none is."""
@@ -110,16 +137,16 @@ class Open:
     def cut(self, k: int) -> None:
         for tag in self.tags[k:]:
             self.last[tag].pop()
-        del self.tags[k:], self.skipped[k:], self.paths[k:]
+        del self.tags[k:], self.skipped[k:], self.paths[k:], self.elements[k:]
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int, str]]]:
-    """(path of block tags, text, characters inside links, skipped) of each block of text, in page order; and by path the
-    path above it with its tag.
+def blocks(page: str) -> tuple[list[tuple[int, str, int, int]], list[tuple[int, str]], list[tuple[int, str, int]]]:
+    """(path of block tags, text, characters inside links, element) of each block of text, in page order; by path the
+    path above it with its tag; and by element the one around it, its tag and whether it is no content.
 
     White space inside a block is one space; character references are decoded.  Tags that HTML leaves out are closed.
     """
-    out: list[tuple[int, str, int, bool]] = []
+    out: list[tuple[int, str, int, int]] = []
     stack = Open()
     inline: list[tuple[str, bool]] = []  # open elements inside a block that hide their text
     hidden = 0
@@ -131,7 +158,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int,
         if text:
             whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
-                out.append((stack.path(), whole, links, bool(stack.tags) and stack.skipped[-1]))
+                out.append((stack.path(), whole, links, stack.element()))
             text.clear()
         links = 0
 
@@ -218,11 +245,11 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int,
                 pop(outermost)
         if tag == "body" and stack.tags and stack.tags[-1] == "head":
             pop(len(stack.tags) - 1)
-        above = bool(stack.tags) and stack.skipped[-1]
+        above = stack.skipped[-1] if stack.tags else _CONTENT
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path", "math"):
-            stack.push(tag, above or _no_content(tag, attributes, stack.place(_MAIN) >= 0))
+            stack.push(tag, above if above == _NONE else max(above, _no_content(tag, attributes, stack.place(_MAIN) >= 0)))
     flush()
-    return out, stack.above
+    return out, stack.above, stack.around
 
 
 def _smoothed(x: np.ndarray) -> np.ndarray:
@@ -233,8 +260,8 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
 
 def main_text(page: str, threshold: float = THRESHOLD) -> str:
     """Text of the chosen blocks, one to a line (see the head of this module)."""
-    found, above = blocks(page)
-    found = [b for b in found if not b[3]]
+    found, above, around = blocks(page)
+    found = _content(found, above, around)
     if not found:
         return ""
     sums: dict[int, list[float]] = {}
@@ -268,7 +295,68 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
     # right below the body stand the page's other parts too: of lists that are links almost alone none is kept there
     loose = _within(above, body) if body else set()
     keep = {p for p in sums if (p in chosen and above[p][0] in containers) or p in inside or (p in loose and not _menu(sums[p]))}
-    return "\n".join(text for path, text, _, _ in found if path in keep or not path)
+    keep.add(0)
+    kept = [b for b in found if b[0] in keep] if any(p in named for p in keep) else _innermost(found, keep, above, around)
+    return "\n".join(text for _, text, _, _ in kept)
+
+
+def _ratio(text: str, links: int) -> float:
+    """A block's own length, by its share of punctuation and of text outside links."""
+    return len(text) * (0.2 + min(1.0, 12 * len(_PUNCTUATION.findall(text)) / len(text))) * (1 - min(links, len(text)) / len(text))
+
+
+def _content(found: list[tuple[int, str, int, int]], above: list[tuple[int, str]], around: list[tuple[int, str, int]]) -> list[tuple[int, str, int, int]]:
+    """Without the blocks of elements that are no content.  Of those that only a layout's class name speaks against, the
+    heaviest stays where it outweighs all text that nothing speaks against, unless that has an article or main element."""
+    clear = [b for b in found if around[b[3]][2] == _CONTENT]
+    doubtful = [b for b in found if around[b[3]][2] == _DOUBTFUL]
+    main = {p for p, (_, tag) in enumerate(above) if tag in _MAIN} if doubtful else set()
+    if not doubtful or (main and any(b[0] in _within(above, main) for b in clear)):
+        return clear
+    outer = [0] * len(around)  # the outermost doubtful element around each
+    for e, (up, _, doubt) in enumerate(around):
+        outer[e] = outer[up] or (e if doubt == _DOUBTFUL else 0)
+    weight: dict[int, float] = {}
+    for _, text, links, e in doubtful:
+        weight[outer[e]] = weight.get(outer[e], 0.0) + _ratio(text, links)
+    heaviest = max(weight, key=lambda e: (weight[e], -e))
+    if weight[heaviest] <= OUTWEIGHS * sum(_ratio(text, links) for _, text, links, _ in clear):
+        return clear
+    return [b for b in found if around[b[3]][2] == _CONTENT or outer[b[3]] == heaviest]
+
+
+def _innermost(found: list[tuple[int, str, int, int]], keep: set[int], above: list[tuple[int, str]], around: list[tuple[int, str, int]]) -> list[tuple[int, str, int, int]]:
+    """The blocks of the paths in ``keep`` inside the innermost element that holds most of their ratios, and the headings
+    right before that element."""
+    weight = [0.0] * len(around)
+    kept, every = [0] * len(around), [0] * len(around)
+    for path, text, links, e in found:
+        every[e] += 1
+        if path in keep:
+            weight[e] += _ratio(text, links)
+            kept[e] += 1
+    for e in range(len(around) - 1, 0, -1):  # an element's number is greater than that of the one around it
+        up = around[e][0]
+        weight[up], kept[up], every[up] = weight[up] + weight[e], kept[up] + kept[e], every[up] + every[e]
+    largest = [0] * len(around)  # by element, the heaviest part that holds several blocks
+    for e in range(1, len(around)):
+        up = around[e][0]
+        if around[e][1] in _HOLDS and kept[e] > 1 and (not largest[up] or weight[e] > weight[largest[up]]):
+            largest[up] = e
+    at = before = 0
+    while largest[at] and weight[largest[at]] >= MOST * weight[at]:
+        before = at if every[largest[at]] < every[at] else before
+        at = largest[at]
+    inside = [False] * len(around)
+    inside[at] = True
+    for e in range(at + 1, len(around)):
+        inside[e] = inside[around[e][0]]
+    out, begun = [], False
+    for b in found:
+        begun = begun or inside[b[3]]
+        if (inside[b[3]] and b[0] in keep) or (not begun and above[b[0]][1] in _HEADINGS and around[b[3]][0] == before):
+            out.append(b)
+    return out
 
 
 def _within(above: list[tuple[int, str]], roots: set[int]) -> set[int]:

@@ -91,3 +91,43 @@ def ranges(df: DataFrame, key: str, rows_per_range: float, most: int = MOST_COAR
         return first
     found = _cuts(first.numbered(keys.where("key is not null"), "key", "at"), "key", math.ceil(n / coarse), ["at"]).collect()
     return Ranges([sorted({r["least"], *r["cuts"]}) for r in sorted(found, key=lambda r: r["at"])], rows)
+
+
+#: A key with more than this many times a range's rows is cut by its ties.
+CROWDED = 2
+
+
+def parts(df: DataFrame, key: str, tie: str, rows_per_range: float) -> tuple[DataFrame, int]:
+    """``df`` with the number of each row's part in ``part`` and whether it can be the first there in ``starts``; and the parts.
+
+    Parts follow each other in the order of (key, tie), null keys first.  They are ranges of the key; one key, or null, that
+    many rows have is cut by ranges of its ties, which are taken to be hashes.  Rows of one key and one tie stay together.
+    What is collected and broadcast is a row for each part of the ranges that hold such a key, or for each part where there
+    are any.  In a part of several first keys alike all of them can be the first.
+    """
+    cuts = ranges(df, key, rows_per_range)
+    k = F.col(key)
+    numbered = cuts.numbered(df, key, "own", "starts_at")
+    numbered = numbered.withColumn("level", F.when(k.isNull(), 0).when(k == F.col("starts_at"), 1).otherwise(2))
+    held = numbered.groupBy("own", "level").count().where((F.col("level") < 2) & ((F.col("count") > CROWDED * rows_per_range) | (F.col("level") == 0))).collect()
+    nulls = any(r["level"] == 0 for r in held)
+    crowded = {(r["own"], r["level"]): math.ceil(r["count"] / rows_per_range) for r in held if r["count"] > CROWDED * rows_per_range}
+    n = max(1, len(cuts))
+    if not crowded:
+        first = F.when(F.col("own") == 0, F.col("level") == (0 if nulls else 1)).otherwise(F.col("level") == 1)
+        return numbered.withColumns({"part": F.col("own"), "starts": first}).drop("own", "starts_at", "level"), n
+    spark = df.sparkSession
+    owns = sorted({own for own, _ in crowded})
+    cut = spark.createDataFrame([(own, level, crowded.get((own, level), 1)) for own in owns for level in range(3)], "own bigint, level int, into bigint")
+    share = F.col(tie) / F.lit(2.0**64) + F.lit(0.5)
+    split = numbered.join(F.broadcast(cut), ["own", "level"], "left")
+    split = split.withColumn("bucket", F.when(F.col("into").isNull(), F.lit(0)).otherwise(F.least(F.floor(share * F.col("into")), F.col("into") - 1)).cast("bigint"))
+    split = split.withColumn("level", F.when(F.col("into").isNull(), F.lit(-1)).otherwise(F.col("level"))).drop("into")
+    least = split.where("level >= 0").groupBy("own", "level", "bucket").agg(F.min(F.struct(k.alias("key"), F.col(tie).alias("tie"))).alias("first")).collect()
+    every = [(r["own"], r["level"], r["bucket"], r["first"]["key"], r["first"]["tie"]) for r in least] + [(i, -1, 0, None, None) for i in range(n) if i not in owns]
+    every = [(*row[:3], part, *row[3:]) for part, row in enumerate(sorted(every, key=lambda r: r[:3]))]
+    table = spark.createDataFrame(every, "own bigint, level int, bucket bigint, part bigint, first_key bigint, first_tie bigint")
+    found = split.join(F.broadcast(table), ["own", "level", "bucket"])
+    only = (F.col("level") < 0) & ((k.isNull() if nulls else k == F.col("starts_at")) if 0 not in owns else F.lit(False))
+    first = F.when(F.col("level") >= 0, k.eqNullSafe(F.col("first_key")) & (F.col(tie) == F.col("first_tie"))).when(F.col("own") > 0, k == F.col("starts_at")).otherwise(only)
+    return found.withColumn("starts", F.coalesce(first, F.lit(False))).drop("own", "level", "bucket", "starts_at", "first_key", "first_tie"), len(every)

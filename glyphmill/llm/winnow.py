@@ -18,16 +18,19 @@ those.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.ranges import ranges
+from glyphmill.llm.ranges import parts
 
 K, W = 12, 8
 #: Documents and bytes of text that are sorted together, on average, to find each one's successor.
 ROWS_PER_RANGE, BYTES_PER_RANGE = 512, 1 << 22
+#: Such ranges that a task takes, and tasks at most; beyond those a task takes more.
+PARTS_PER_TASK, MOST_TASKS = 4, 1 << 16
 #: Windows of a piece.  A row has k + w - 2 more columns, and those beside them: beyond 100 Spark makes many small methods of a
 #: step, but below that one for all steps, which would be too large for the JVM to compile.
 STEP = 96
@@ -160,7 +163,7 @@ def edited_fingerprints(docs: DataFrame, *, k: int = K, w: int = W, rows_per_ran
 
     The edited text ends in the start of the next document (ascending doc_id, null first, equal ids by their texts'
     hashes; after the last comes the first) in place of its own last floor(n/2) code points.  Rows are dealt out once,
-    by fixed ranges of doc_id; each range also gets the first document of the one after it, so that none needs rows
+    by fixed ranges of doc_id, and of the texts' hashes where many rows have one doc_id or none; each range also gets the first document of the one after it, so that none needs rows
     of another.  A single document is its own next.  Windows that lie inside the kept half, or inside what follows it,
     are those of the two documents; only the few between them are made anew.  Null texts count as empty; an empty text has
     no choices; texts may be of any length (a row must fit a task).  An empty table gives an empty result; further columns
@@ -170,23 +173,15 @@ def edited_fingerprints(docs: DataFrame, *, k: int = K, w: int = W, rows_per_ran
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     mean = rows.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
-    cuts = ranges(rows, "doc_id", max(1, min(rows_per_range, bytes_per_range / mean)))
-    n = max(1, len(cuts))
-    nulls = not len(cuts) or bool(rows.where("doc_id is null").limit(1).count())
-    numbered = cuts.numbered(rows, "doc_id", "own", "starts_at")
-    part = lambda p, extra: F.struct(p.cast("bigint").alias("part"), F.lit(extra).alias("extra"))
-    to = [F.array(part(F.col("own"), 0))]
-    if len(cuts) > nulls:
-        # a row that starts a range is also needed at the end of the range before it, and the first of all at the end of the last
-        starts = F.col("starts_at") == F.col("doc_id")
-        wanted = starts & (F.col("own") > 0) if nulls else starts
-        to.append(F.filter(F.array(part(F.pmod(F.col("own") - 1, F.lit(n)), 1)), lambda _: F.coalesce(wanted, F.lit(False))))
-    if nulls:
-        to.append(F.filter(F.array(part(F.lit(n - 1), 1)), lambda x: F.col("doc_id").isNull()))
-    dealt = numbered.withColumn("to", F.explode(F.concat(*to))).select("doc_id", "text", "to.part", "to.extra")
-    order = Window.partitionBy("part").orderBy("extra", F.asc_nulls_first("doc_id"), "tie")
+    numbered, n = parts(rows.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", max(1, min(rows_per_range, bytes_per_range / mean)))
+    tasks = min(MOST_TASKS, max(math.ceil(n / PARTS_PER_TASK), min(n, docs.sparkSession.sparkContext.defaultParallelism)))
+    # a row that can be the first of a part is also needed at the end of the part before it, and the first of all at the end of the last
+    also = F.filter(F.array(F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(1).alias("extra"))), lambda _: F.coalesce("starts", F.lit(False)))
+    dealt = numbered.withColumn("to", F.explode(F.concat(F.array(F.struct("part", F.lit(0).alias("extra"))), also))).select("doc_id", "text", "tie", "to.part", "to.extra")
+    dealt = dealt.withColumn("task", F.floor(F.col("part") * tasks / n).cast("int")).repartitionById(tasks, "task")
+    order = Window.partitionBy("task", "part").orderBy("extra", F.asc_nulls_first("doc_id"), "tie")
     # the rows are sorted here, with nothing but their texts
-    df = dealt.withColumn("tie", F.xxhash64("text")).withColumns({"next_text": F.lead("text").over(order), "row": F.row_number().over(order)})
+    df = dealt.withColumns({"next_text": F.lead("text").over(order), "row": F.row_number().over(order)})
     df = df.withColumns({"n": F.length("text"), "keep": F.length("text") - F.floor(F.length("text") / 2).cast("int")})
     df = df.withColumn("used", F.least(F.col("n") - F.col("keep"), F.coalesce(F.length("next_text"), F.lit(0))))
     df = df.withColumn("edited", F.concat(F.expr("left(text, keep)"), F.expr("left(coalesce(next_text, ''), used)")))
@@ -206,18 +201,18 @@ def edited_fingerprints(docs: DataFrame, *, k: int = K, w: int = W, rows_per_ran
     at = lambda i: F.when(i < F.size("cut"), i * step).when(i == F.size("cut"), F.col("across")).otherwise(F.col("end"))
     pieces = F.transform(F.concat("cut", F.array("between", "last")), lambda x, i: F.struct((i - F.size("cut")).alias("of"), at(i).alias("at"), x.alias("piece")))
     df = df.withColumn("doc", F.struct("extra", "doc_id", "n", "keep", "own_to", "next_to", "edited_sha256", "short", "edited_short"))
-    df = df.select("part", "row", "doc", F.explode(pieces).alias("of"))
-    df = df.select("part", "row", F.when(F.col("of.of") == 0, F.col("doc")).alias("doc"), "of.of", "of.at", F.greatest(F.length("of.piece") - (span - 1), F.lit(0)).alias("valid"), "of.piece")
-    df = _picked(df, k, w, step).groupBy("part", "row").agg(
+    df = df.select("task", "part", "row", "doc", F.explode(pieces).alias("of"))
+    df = df.select("task", "part", "row", F.when(F.col("of.of") == 0, F.col("doc")).alias("doc"), "of.of", "of.at", F.greatest(F.length("of.piece") - (span - 1), F.lit(0)).alias("valid"), "of.piece")
+    df = _picked(df, k, w, step).groupBy("task", "part", "row").agg(
         F.first("doc", ignorenulls=True).alias("doc"),
         F.sort_array(F.collect_list(F.when(F.col("of") < 0, F.struct("of", "picks")))).getField("picks").alias("own"),
         *[F.max(F.when(F.col("of") == i, F.col("picks"))).alias(c) for i, c in enumerate(("between", "last"))],
     )
-    df = df.select("part", "row", "doc.*", "own", "between", "last")
+    df = df.select("task", "part", "row", "doc.*", "own", "between", "last")
     alone = lambda c: least(grams(F.col(c), k), w)
     df = df.withColumn("chosen", F.array_distinct(F.when(F.col("short").isNull(), F.flatten("own")).otherwise(alone("short"))))
     df = df.withColumn("hashes", hashes("chosen"))
-    rows_of_part = Window.partitionBy("part").orderBy("row")
+    rows_of_part = Window.partitionBy("task", "part").orderBy("row")
     df = df.withColumns({f"next_{c}": F.lead(c).over(rows_of_part) for c in ("own", "hashes")}).where("extra = 0")
     moved = F.transform(_before("next_own", "next_to", step), lambda x: x - F.col("keep"))
     joint = F.concat(_before("own", "own_to", step), "between", moved, "last")

@@ -6,20 +6,24 @@ function of its own, so that ids are neither sent back nor shuffled where only t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import cuts
-from glyphmill.operators import cutting
+from glyphmill.operators import batches, cutting
 from glyphmill.operators.tokenizer import ALL, Tokenizer
 from glyphmill.sources.definition import Definition, UnsupportedError
 
 _ENCODING = "struct<ids:array<int>,type_ids:array<int>,tokens:array<string>,attention_mask:array<int>,special_tokens_mask:array<int>>"
 
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.field("element", pa.string()))}
+
 
 class Engine:
     """A tokenizer to use in Spark expressions."""
@@ -36,15 +40,27 @@ class Engine:
     def _function(self, kind: str, body: Callable[[Tokenizer, Any], Any]) -> Callable[[Column | str], Column]:
         shared = self._shared
 
-        def run(values: pd.Series) -> pd.Series:
+        def run(values: pa.Array) -> pa.Array:
             t = _tokenizer(shared)
-            return pd.Series([None if v is None else body(t, v) for v in values], dtype=object)
+            made = (None if v is None else body(t, v) for v in batches.rows(values))
+            if kind == "array<int>":
+                lists = batches.Lists()
+                for own in made:
+                    lists.add(own)
+                return lists.column()
+            return pa.array(made, _ARROW[kind], size=len(values))
+
+        return F.arrow_udf(run, kind)
+
+    def encode(self, text: Column | str, *, add_special_tokens: bool = True, mode: str = ALL, continuation: bool = False, truncate: bool = True, pad: bool = True, empty: bool = True) -> Column:
+        """``array<int>`` of ids; null stays null, and without ``empty`` no ids are null too.  The column may be STRING or
+        BINARY (any bytes)."""
 
-        return F.pandas_udf(run, kind)
+        def body(t: Tokenizer, v: str | bytes) -> list[int] | None:
+            ids = t.encode(v, add_special_tokens=add_special_tokens, added_tokens=mode, continuation=continuation, truncate=truncate, pad=pad)
+            return ids if ids or empty else None
 
-    def encode(self, text: Column | str, *, add_special_tokens: bool = True, mode: str = ALL, continuation: bool = False, truncate: bool = True, pad: bool = True) -> Column:
-        """``array<int>`` of ids; null stays null.  The column may be STRING or BINARY (any bytes)."""
-        return self._function("array<int>", lambda t, v: t.encode(v, add_special_tokens=add_special_tokens, added_tokens=mode, continuation=continuation, truncate=truncate, pad=pad))(text)
+        return self._function("array<int>", body)(text)
 
     def encode_ordinary(self, text: Column | str) -> Column:
         return self._function("array<int>", lambda t, v: t.encode_ordinary(v))(text)
@@ -65,12 +81,23 @@ class Engine:
 
         shared = self._shared
 
-        def run(values: pd.Series) -> pd.DataFrame:
+        def run(given: Iterator[pa.Array]) -> Iterator[pa.Array]:
             t = _tokenizer(shared)
-            return pd.DataFrame([body(t, v or "") for v in values], columns=["ids", "type_ids", "tokens", "attention_mask", "special_tokens_mask"])
+            for values in given:
+                for part in batches.parts(values):
+                    numbers = {n: batches.Lists() for n in ("ids", "type_ids", "attention_mask", "special_tokens_mask")}
+                    tokens: list[list[str] | None] = []
+                    for v in part:
+                        made = body(t, v or "")
+                        tokens.append(made["tokens"])
+                        for n, lists in numbers.items():
+                            lists.add(made[n])
+                    columns = {n: lists.column() for n, lists in numbers.items()} | {"tokens": pa.array(tokens, pa.list_(pa.field("element", pa.string())))}
+                    names = ["ids", "type_ids", "tokens", "attention_mask", "special_tokens_mask"]
+                    yield pa.StructArray.from_arrays([columns[n] for n in names], names)
 
         column = F.col(text) if isinstance(text, str) else text
-        return F.when(column.isNotNull(), F.pandas_udf(run, _ENCODING)(column))
+        return F.when(column.isNotNull(), F.arrow_udf(run, _ENCODING)(column))
 
     def normalized(self, text: Column | str) -> Column:
         return self._function("string", lambda t, v: t._normalize(v))(text)
@@ -83,14 +110,29 @@ class Engine:
 
     def segments(self, text: Column | str, mode: str = ALL) -> Column:
         """Added tokens and the gaps between them: ``array<struct<text, id>>``, a gap's id being null."""
-        return self._function("array<struct<text:string,id:int>>", lambda t, v: [{"text": s, "id": i} for s, i, _ in t.segments(v, mode)])(text)
+        shared = self._shared
+
+        def run(given: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            t = _tokenizer(shared)
+            for values in given:
+                for part in batches.parts(values):
+                    texts, ids, ends, missing = [], [], array("i", [0]), []
+                    for v in part:
+                        missing.append(v is None)
+                        for s, i, _ in t.segments(v, mode) if v is not None else ():
+                            texts.append(s)
+                            ids.append(i)
+                        ends.append(len(ids))
+                    yield batches.nested(ends, pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(ids, pa.int32())], ["text", "id"]), missing)
+
+        return F.arrow_udf(run, "array<struct<text:string,id:int>>")(text)
 
     def decode(self, ids: Column | str, *, skip_special_tokens: bool = True) -> Column:
         """Text; an id beyond the table fails the query, a hole is passed over."""
-        return self._function("string", lambda t, v: t.decode([int(i) for i in v], skip_special_tokens))(ids)
+        return self._function("string", lambda t, v: t.decode(v, skip_special_tokens))(ids)
 
     def decode_bytes(self, ids: Column | str) -> Column:
-        return self._function("binary", lambda t, v: t.decode_bytes([int(i) for i in v]))(ids)
+        return self._function("binary", lambda t, v: t.decode_bytes(v))(ids)
 
     def split_points(self, text: Column | str, n_parts: int) -> Column:
         return self._function("array<int>", lambda t, v: t.split_points(v, n_parts))(text)

@@ -6,12 +6,15 @@ it without moving it.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.operators import batches
 from glyphmill.operators.columns import Engine, _tokenizer
 from glyphmill.operators.tokenizer import ALL
 
@@ -26,28 +29,29 @@ def words(engine: Engine, df: DataFrame, key: str, text: str, *, mode: str = ALL
     """
     shared = engine._shared
 
-    def split(texts: pd.Series) -> pd.Series:
+    def split(given: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _tokenizer(shared)
-        out = []
-        for v in texts:
-            found: dict[tuple[str, int | None], list[int]] = {}
-            for place, own in enumerate(t.model_words(v, mode) if v is not None else ()):
-                found.setdefault(own, []).append(place)
-            out.append([{"word": w if i is None else None, "id": i, "places": p} for (w, i), p in found.items()])
-        return pd.Series(out, dtype=object)
-
-    return df.select(F.col(key), F.explode_outer(F.pandas_udf(split, _WORDS)(text)).alias("w")).select(key, "w.word", "w.id", "w.places")
+        for texts in given:
+            for part in batches.parts(texts):
+                strings, ids, places, ends = [], [], batches.Lists(), array("i", [0])
+                for v in part:
+                    found: dict[tuple[str, int | None], list[int]] = {}
+                    for place, own in enumerate(t.model_words(v, mode) if v is not None else ()):
+                        found.setdefault(own, []).append(place)
+                    for (w, i), at in found.items():
+                        strings.append(w if i is None else None)
+                        ids.append(i)
+                        places.add(at)
+                    ends.append(len(ids))
+                made = [pa.array(strings, pa.string()), pa.array(ids, pa.int32()), places.column()]
+                yield batches.nested(ends, pa.StructArray.from_arrays(made, ["word", "id", "places"]))
+
+    return df.select(F.col(key), F.explode_outer(F.arrow_udf(split, _WORDS)(text)).alias("w")).select(key, "w.word", "w.id", "w.places")
 
 
 def modelled(engine: Engine, distinct: DataFrame) -> DataFrame:
     """(word, ids) of a column of distinct words."""
-    shared = engine._shared
-
-    def model(values: pd.Series) -> pd.Series:
-        t = _tokenizer(shared)
-        return pd.Series([t.word_ids(v) for v in values], dtype=object)
-
-    return distinct.select("word", F.pandas_udf(model, "array<int>")("word").alias("ids"))
+    return distinct.select("word", engine._function("array<int>", lambda t, v: t.word_ids(v))("word").alias("ids"))
 
 
 def joined(engine: Engine, found: DataFrame, known: DataFrame, key: str, add_special_tokens: bool = True) -> DataFrame:

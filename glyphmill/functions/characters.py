@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import regex
@@ -17,6 +18,18 @@ CHINESE = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2
 _WORD = regex.compile(r"\w", regex.V1)
 
 
+class Table(dict):
+    """What ``str.translate`` makes of each character, asked for once."""
+
+    def __init__(self, one: Callable[[str], str]):
+        super().__init__()
+        self.one = one
+
+    def __missing__(self, point: int) -> str:
+        made = self[point] = self.one(chr(point))
+        return made
+
+
 @cache
 def is_word(ch: str) -> bool:
     return bool(_WORD.match(ch))
@@ -38,6 +51,7 @@ def lowered(ch: str) -> str:
     return versions.lower(ch)
 
 
+@cache
 def byte_alphabet() -> dict[int, str]:
     """The 256 printable characters that stand for bytes: those that print stand for themselves, the others come from 256 on."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphmill.functions import versions
-from glyphmill.functions.characters import WHITE_SPACE, byte_alphabet, is_punctuation
+from glyphmill.functions.characters import WHITE_SPACE, Table, byte_alphabet, is_punctuation
 from glyphmill.sources.definition import UnsupportedError
 
 # Published split patterns by the family of vocabularies that uses them.
@@ -258,11 +258,8 @@ def _step(s: dict[str, Any]) -> Callable[[str, bool], list[tuple[str, bool]]]:
     if kind == "RunCuts":
         return lambda t, first: _placed(run_cuts(t), first) if len(t) > RUN_CHARS else [(t, first)]
     if kind == "BertPreTokenizer":
-        def bert_split(t: str, first: bool) -> list[tuple[str, bool]]:
-            words = parted(t, ((i, i + 1) for i, c in enumerate(t) if c in WHITE_SPACE), "Removed", False)
-            return _placed([p for w in words for p in parted(w, ((i, i + 1) for i, c in enumerate(w) if is_punctuation(c)), "Isolated", False)], first)
-
-        return bert_split
+        spaced = Table(lambda c: " " if c in WHITE_SPACE else f" {c} " if is_punctuation(c) else c)
+        return lambda t, first: _placed(t.translate(spaced).split(" "), first)
     if kind == "ByteLevel":
         alphabet = byte_alphabet()
         found = regex.compile(GPT2) if s.get("use_regex", True) else None
@@ -270,6 +267,7 @@ def _step(s: dict[str, Any]) -> Callable[[str, bool], list[tuple[str, bool]]]:
         return lambda t, first: [(mapped(p), start) for p, start in (_placed(parted(t, (m.span() for m in found.finditer(t)), "Isolated", False), first) if found else [(t, first)])]
     if kind == "Metaspace":
         mark, scheme, cut = s.get("replacement", "▁"), s.get("prepend_scheme", "always" if s.get("add_prefix_space", True) else "never"), s.get("split", True)
+        marked = regex.compile(rf"{regex.escape(mark)}[^{regex.escape(mark)}]*|[^{regex.escape(mark)}]+") if len(mark) == 1 else None
 
         def meta(t: str, first: bool) -> list[tuple[str, bool]]:
             t = t.replace(" ", mark)
@@ -277,6 +275,8 @@ def _step(s: dict[str, Any]) -> Callable[[str, bool], list[tuple[str, bool]]]:
                 t = mark + t
             if not cut:
                 return [(t, first)]
+            if marked is not None:
+                return _placed(marked.findall(t), first)
             return _placed(parted(t, ((i, i + 1) for i, c in enumerate(t) if c == mark), "MergedWithNext", False), first)
 
         return meta

@@ -54,8 +54,28 @@ def test_flat_lists_and_values():
     assert list(batches.rows(pa.array([[1, None]], pa.list_(pa.int32())))) == [[1, None]]
 
 
+def test_short_pieces_are_not_cut(monkeypatch):
+    monkeypatch.setattr(cutting.Joins, "words", lambda *_: pytest.fail("a short piece was cut"))
+    t = Tokenizer.from_str(cases.DEFINITIONS["unknown_apart"])
+    assert t.encode("milk mil k") == [7, 9, 7, 4, 1, 5]
+
+
 def test_memory_of_pieces_is_bounded_by_characters():
     memo = models.Memo(lambda piece: [len(piece)])
     for k in range(20_000):
         assert memo.bounded()[f"{k:0>250}"] == [250]
     assert sum(map(len, memo)) <= models.KEPT_CHARACTERS + 250
+
+
+@pytest.mark.parametrize("name", ["unknown_bytes", "prefixed", "best_path", "best_path_bytes", "words"])
+def test_tokens_are_decoded_once(monkeypatch, name):
+    t = Tokenizer.from_str(cases.DEFINITIONS[name])
+    given = [t.encode(text) for text in cases.TEXTS[name]] + [list(ids) for ids in cases.IDS.get(name, ())]
+    want = [decoding.text_of(t.tokens_of(ids, True), t.decoders()) for ids in given]
+    pushed, push = [], decoding.Decoder.push
+    monkeypatch.setattr(decoding.Decoder, "push", lambda self, token: pushed.append(token) or push(self, token))
+    assert [t.decode(ids) for ids in given] == want
+    pushed.clear()
+    ids = t.encode("tea, milk " * 50)
+    t.decode(ids)
+    assert len(pushed) < 60 < len(ids)

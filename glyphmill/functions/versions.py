@@ -65,16 +65,17 @@ _NON_SPACING_ADDED, _NON_SPACING_GONE = held(LATER_MARKS) | held(MARKS_OF_9), he
 _CONTROLS_ADDED = held(LATER_CONTROLS)
 _PUNCTUATION_ADDED, _PUNCTUATION_GONE = held(LATER_PUNCTUATION), held(FORMER_PUNCTUATION)
 _LOWER = {c: chr(to + n) for capitals, to in LATER_LOWER for n, c in enumerate(sorted(held(capitals)))}
-_UNKNOWN = re.compile(f"([{''.join(sorted(_MARKS_ADDED | held(LATER_FORMS)))}]+)")
+_UNKNOWN_CHARACTERS = _MARKS_ADDED | held(LATER_FORMS)
+_UNKNOWN = re.compile(f"([{''.join(sorted(_UNKNOWN_CHARACTERS))}]+)")
 
 
 def form(kind: str, text: str) -> str:
     """NFC, NFD, NFKC or NFKD by the tables of 9.0."""
     if text.isascii():
         return text
-    stretches = _UNKNOWN.split(text)
-    if len(stretches) == 1:
+    if _UNKNOWN_CHARACTERS.isdisjoint(text):  # far cheaper than the pattern's many ranges
         return unicodedata.normalize(kind, text)
+    stretches = _UNKNOWN.split(text)
     stretches[::2] = [unicodedata.normalize(kind, s) for s in stretches[::2]]
     return "".join(stretches)
 

@@ -79,3 +79,12 @@ def test_tokens_are_decoded_once(monkeypatch, name):
     ids = t.encode("tea, milk " * 50)
     t.decode(ids)
     assert len(pushed) < 60 < len(ids)
+
+
+def test_known_text_is_normalized_without_the_pattern(monkeypatch):
+    class Refused:
+        def split(self, text):
+            pytest.fail("every character was compared with the pattern's ranges")
+
+    monkeypatch.setattr(versions, "_UNKNOWN", Refused())
+    assert versions.form("NFC", "café") == "café"

@@ -646,11 +646,18 @@ def _case_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _docs(spark, sf_dir).where("text <> ''").select("doc_id", "text")
 
 
+def _there(made: DataFrame, column: str, **told: Column) -> DataFrame:
+    """What is told of the rows that have a value.  A filter on what a Python function gives would be pushed to the scan,
+    and the function run there a second time, on as few tasks as the input has splits."""
+    own = F.array(F.struct(*[c.alias(n) for n, c in told.items()]))
+    return made.select("doc_id", F.inline(F.when(F.col(column).isNotNull(), own)))
+
+
 def _case_encode(name: str) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark, Tokenizer.from_str(cases.DEFINITIONS[name]))
-        made = _case_texts(spark, sf_dir, name).select("doc_id", engine.encode("text").alias("ids"))
-        return made.where(F.size("ids") > 0).select("doc_id", F.md5(_joined("ids")).alias("h"), _n(F.size("ids")).alias("n_tokens"))
+        made = _case_texts(spark, sf_dir, name).select("doc_id", engine.encode("text", empty=False).alias("ids"))
+        return _there(made, "ids", h=F.md5(_joined("ids")), n_tokens=_n(F.size("ids")))
 
     f.__name__ = f"encode_{name}"
     return f
@@ -659,8 +666,8 @@ def _case_encode(name: str) -> Query:
 def _case_decode(name: str) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark, Tokenizer.from_str(cases.DEFINITIONS[name]))
-        made = _case_texts(spark, sf_dir, name).select("doc_id", engine.encode("text").alias("ids")).where(F.size("ids") > 0)
-        return made.select("doc_id", F.md5(engine.decode("ids")).alias("h"))
+        made = _case_texts(spark, sf_dir, name).select("doc_id", engine.decode(engine.encode("text", empty=False)).alias("back"))
+        return _there(made, "back", h=F.md5("back"))
 
     f.__name__ = f"decode_{name}"
     return f

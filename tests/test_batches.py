@@ -88,3 +88,12 @@ def test_known_text_is_normalized_without_the_pattern(monkeypatch):
 
     monkeypatch.setattr(versions, "_UNKNOWN", Refused())
     assert versions.form("NFC", "café") == "café"
+
+
+def test_texts_are_encoded_once(spark, tmp_path):
+    """The filter for texts without ids does not run the Python function a second time."""
+    spark.createDataFrame([(k, text) for k, text in enumerate(["tea", "", " ", "\x00"])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("encode_words", "decode_words"):
+        made = registry.queries()[name](spark, str(tmp_path))
+        assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert [r["doc_id"] for r in made.collect()] == [0]

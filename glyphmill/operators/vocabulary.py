@@ -55,10 +55,13 @@ def unknown_ids(df: DataFrame, column: str, vocab: DataFrame, rows: int) -> Data
 
 
 def decode_join(df: DataFrame, key: str, ids: Column | str, vocab: DataFrame, rows: int, *, skip_special: bool = True, raw: bool = False) -> DataFrame:
-    """(key, text) of byte-level ids with built-in functions alone: explode, join, ordered concatenation, repair.
+    """(key, text) of byte-level ids with built-in functions alone: explode, join, ordered concatenation, repair.  A
+    vocabulary that can be broadcast is joined as one row instead, and looked up inside each array: no id is shuffled.
 
     ``raw`` gives the bytes as they are.  An id without a token fails the query.
     """
+    if rows <= MOST_BROADCAST:
+        return _decode_by_row(df, key, ids, vocab, skip_special, raw)
     each = df.select(F.col(key), F.posexplode_outer(ids).alias("place", "id"))
     found = each.join(_hinted(vocab.select("id", "bytes", "skip"), rows), "id", "left")
     checked = F.when(F.col("id").isNotNull() & F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("id: no token "), F.col("id").cast("string")))).otherwise(F.coalesce("bytes", F.lit(b"")))
@@ -66,3 +69,18 @@ def decode_join(df: DataFrame, key: str, ids: Column | str, vocab: DataFrame, ro
     whole = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("own").alias("own")))), lambda x: x["own"]), "").alias("hex"))
     out = F.unhex("hex")
     return whole.select(key, out.alias("bytes") if raw else F.make_valid_utf8(out.cast("string")).alias("text"))
+
+
+def _decode_by_row(df: DataFrame, key: str, ids: Column | str, vocab: DataFrame, skip_special: bool, raw: bool) -> DataFrame:
+    """The vocabulary as one array with the bytes of id i at place i, broadcast."""
+    own = F.when(F.col("skip") & F.lit(skip_special), F.lit("")).otherwise(F.hex("bytes"))
+    every = vocab.agg(F.max("id").alias("last")).select(F.explode(F.sequence(F.lit(0), F.greatest("last", F.lit(0)))).alias("id"))
+    listed = every.join(vocab.select("id", own.alias("own")), "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", "own"))).alias("listed"))
+    table = listed.select(F.transform("listed", lambda x: x["own"]).alias("_table"))
+
+    def found(i: Column) -> Column:
+        return F.when(i.isNull(), F.lit("")).otherwise(F.coalesce(F.get("_table", i), F.raise_error(F.concat(F.lit("id: no token "), i.cast("string"))).cast("string")))
+
+    out = F.unhex(F.array_join(F.transform(F.coalesce("_ids", F.array().cast("array<int>")), found), ""))
+    made = df.select(F.col(key), (F.col(ids) if isinstance(ids, str) else ids).alias("_ids")).crossJoin(F.broadcast(table))  # one row
+    return made.select(key, out.alias("bytes") if raw else F.make_valid_utf8(out.cast("string")).alias("text"))

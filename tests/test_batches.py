@@ -97,3 +97,15 @@ def test_texts_are_encoded_once(spark, tmp_path):
         made = registry.queries()[name](spark, str(tmp_path))
         assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
         assert [r["doc_id"] for r in made.collect()] == [0]
+
+
+def test_ids_are_looked_up_without_a_shuffle(spark):
+    t = samples.byte_level()
+    vocab = vocabulary.vocabulary(spark, t)
+    ids = spark.createDataFrame([(1, t.encode("the café")), (2, []), (3, None), (4, [0, *t.encode("a")]), (5, [None])], "k int, ids array<int>")
+    made = vocabulary.decode_join(ids, "k", "ids", vocab, t.n_vocab)
+    assert sorted(map(tuple, made.collect())) == [(1, "the café"), (2, ""), (3, ""), (4, "a"), (5, "")]
+    assert "hashpartitioning(k" not in made._jdf.queryExecution().executedPlan().toString()
+    for bad in (t.n_vocab, -1):
+        with pytest.raises(Exception, match="no token"):
+            vocabulary.decode_join(ids.selectExpr("k", f"array({bad}) AS ids"), "k", "ids", vocab, t.n_vocab).collect()

@@ -7,15 +7,19 @@ last row by ``idle``: then what was held is given out, and nothing of the key st
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from glyphmill.operators import batches
 from glyphmill.operators.columns import Engine, _tokenizer
 from glyphmill.operators.decoding import HELD_BYTES, Decoder
 from glyphmill.operators.tokenizer import ALL, EncodeStream
@@ -189,11 +193,33 @@ def encoded_batch(texts: DataFrame, key: str, engine: Engine, *, mode: str = ALL
     """(key, ids) of a table of (key, seq, text): what the stream gives for each key, all pushes and the end together."""
     shared = engine._shared
 
-    def whole(group: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = EncodeStream(_tokenizer(shared), mode, add_special_tokens)
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        ids = [i for text in rows["text"].tolist() if isinstance(text, str) for i in e.push(text)]
-        yield pd.DataFrame({key: [group[0]], "ids": [[*ids, *e.flush()]]})
+        started, last, ids, kind = False, None, array("i"), None
+
+        def told(keys: list, lists: batches.Lists) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), lists.column()], [key, "ids"])
+
+        for batch in given:
+            kind = batch.schema.field(0).type
+            keys, lists = [], batches.Lists()
+            for own, text in zip(batches.rows(batch.column(0)), batches.rows(batch.column(1)), strict=True):
+                if not started or not (own == last or (own != own and last != last)):
+                    if started:
+                        ids.extend(e.flush())
+                        keys.append(last)
+                        lists.add(ids)
+                    started, last, ids = True, own, array("i")
+                if text is not None:
+                    ids.extend(e.push(text))
+            if keys:
+                yield told(keys, lists)
+        if started:
+            ids.extend(e.flush())
+            lists = batches.Lists()
+            lists.add(ids)
+            yield told([last], lists)
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, "seq", "text").groupBy(key).applyInPandas(whole, f"{key} {kind}, ids array<int>")
+    ordered = texts.select(key, "seq", "text").repartition(key).sortWithinPartitions(key, F.asc_nulls_last("seq")).select(key, "text")
+    return ordered.mapInArrow(whole, f"{key} {kind}, ids array<int>")

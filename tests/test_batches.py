@@ -109,3 +109,12 @@ def test_ids_are_looked_up_without_a_shuffle(spark):
     for bad in (t.n_vocab, -1):
         with pytest.raises(Exception, match="no token"):
             vocabulary.decode_join(ids.selectExpr("k", f"array({bad}) AS ids"), "k", "ids", vocab, t.n_vocab).collect()
+
+
+def test_appended_texts_are_read_in_order_and_not_gathered(spark):
+    engine = Engine(spark, samples.byte_level())
+    rows = [(k, seq, part) for k in (None, 1, 2, 3) for seq, part in enumerate(["the oth", "er men", None, " in a stati", "on"])] + [(4, 0, None)]
+    made = keyed.encoded_batch(spark.createDataFrame(rows[::-1], "k int, seq int, text string"), "k", engine)
+    want = engine.tokenizer.encode("the other men in a station")
+    assert {r["k"]: r["ids"] for r in made.collect()} == {None: want, 1: want, 2: want, 3: want, 4: []}
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()

@@ -226,6 +226,8 @@ def parted(text: str, found: Iterable[tuple[int, int]], behaviour: str, invert:
 def compiled(steps: list[dict[str, Any]]) -> Callable[[str, bool], list[str]]:
     """Pieces of (text, whether it starts the input); with ByteLevel, pieces are in its alphabet from that step on."""
     made = [_step(s) for s in steps]
+    if len(steps) == 1 and steps[0]["type"] == "Metaspace" and steps[0].get("split", True) and len(steps[0].get("replacement", "▁")) == 1:
+        return _at_marks(steps[0])
 
     def run(text: str, first: bool) -> list[str]:
         pieces = [(text, first)] if text else []
@@ -236,6 +238,22 @@ def compiled(steps: list[dict[str, Any]]) -> Callable[[str, bool], list[str]]:
     return run
 
 
+def _at_marks(s: dict[str, Any]) -> Callable[[str, bool], list[str]]:
+    """A Metaspace step alone: its pieces need no places."""
+    mark, scheme = s.get("replacement", "▁"), s.get("prepend_scheme", "always" if s.get("add_prefix_space", True) else "never")
+
+    def run(text: str, first: bool) -> list[str]:
+        if not text:
+            return []
+        head, *rest = text.replace(" ", mark).split(mark)
+        pieces = [mark + p for p in rest]
+        if not head:  # the text starts with a mark
+            return pieces
+        return [mark + head if scheme == "always" or (scheme == "first" and first) else head, *pieces]
+
+    return run
+
+
 def _placed(parts: list[str], first: bool) -> list[tuple[str, bool]]:
     return [(p, first and not k) for k, p in enumerate(x for x in parts if x)]
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions import versions
+from glyphmill.functions import pretok, versions
 from glyphmill.operators import batches, cutting, decoding, dictionary, models, vocabulary
 from glyphmill.operators.columns import Engine
 from glyphmill.operators.tokenizer import Tokenizer
@@ -118,3 +118,25 @@ def test_appended_texts_are_read_in_order_and_not_gathered(spark):
     want = engine.tokenizer.encode("the other men in a station")
     assert {r["k"]: r["ids"] for r in made.collect()} == {None: want, 1: want, 2: want, 3: want, 4: []}
     assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["unknown_apart", "unknown_fused", "unknown_bytes", "prefixed"])
+def test_characters_are_looked_up_once(monkeypatch, name):
+    """New pieces of known characters ask for no character again, and decoding asks for no token's string again."""
+    t = Tokenizer.from_str(cases.DEFINITIONS[name])
+    texts = ["mi xk é茶", "\x00lk mil 茶é", *cases.TEXTS[name]]
+    want = [(ids := t.encode(x), t.decode(ids)) for x in texts]
+    assert [back for _, back in want] == [decoding.text_of(t.tokens_of(ids, True), t.decoders()) for ids, _ in want]
+    t._model.clear()
+    monkeypatch.setattr(models._Characters, "__missing__", lambda *_: pytest.fail("a character was made again"))
+    monkeypatch.setattr(Tokenizer, "tokens_of", lambda *_: pytest.fail("token strings were made"))
+    assert [(ids := t.encode(x), t.decode(ids)) for x in texts] == want
+
+
+def test_pieces_at_marks():
+    for scheme in ("always", "first", "never"):
+        step = {"type": "Metaspace", "replacement": "▁", "prepend_scheme": scheme, "split": True}
+        whole = pretok._step(step)
+        for text in ("", " ", "a", " a", "a b", "▁▁a  b▁", "ab ", "é▁茶"):
+            for first in (True, False):
+                assert pretok.compiled([step])(text, first) == [p for p, _ in (whole(text, first) if text else [])]

@@ -221,3 +221,19 @@ def test_pieces_by_a_table_function(spark):
     spark.createDataFrame(rows, "k int, text string").createOrReplaceTempView("own_texts")
     got = [tuple(r) for r in spark.sql("SELECT k, p.* FROM own_texts, LATERAL own_pieces(text) p ORDER BY k, place").collect()]
     assert got == [(k, n, piece, end) for k, text in rows if text for n, (piece, end) in enumerate(zip(t.pieces(text), t.piece_ends(text), strict=True))]
+
+
+@pytest.mark.parametrize("name", sorted(cuts.FAMILIES))
+def test_places_are_counted_by_runs(spark, name):
+    """As many as the pattern of the places finds, and without reading a long run again from each of its characters."""
+    r = random.Random(name)
+    letters = list("aAb é1२\n\r\t'/.,-%茶ア😀\u0301\u00a0\x00\U0001d7ce\U00020000☕_s")
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(400)]
+    pattern = cuts.compiled(cuts.FAMILIES[name].pattern())
+    made = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", "text", cuts.places("text", name).alias("n")).collect()
+    assert [r["n"] for r in sorted(made)] == [sum(0 < m.start() < len(x) for m in pattern.finditer(x)) for x in texts]
+    assert "++" in cuts.FAMILIES[name].runs()
+    long = spark.createDataFrame([(c * 200_000 + "a",) for c in "-1\n茶"] + [("a" * 200_000,)], "text string")
+    began = time.monotonic()
+    assert len(long.select(cuts.places("text", name)).collect()) == 5
+    assert time.monotonic() - began < 20

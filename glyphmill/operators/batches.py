@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -42,6 +42,21 @@ def parts(values: pa.Array) -> Iterator[Iterator[Any]]:
         yield iter(some)
 
 
+def made(values: pa.Array, body: Callable[[Any], Any], kind: pa.DataType | None) -> Iterator[pa.Array]:
+    """What ``body`` makes of the values (of null: null), in columns of about ``PART`` numbers or characters, each of one
+    row at least.  Without a kind these are lists of numbers."""
+    size, some = 0, Lists() if kind is None else []
+    for v in rows(values):
+        own = None if v is None else body(v)
+        (some.add if kind is None else some.append)(own)
+        size += 1 + len(own or "") + (sum(map(len, own)) if own and kind is not None and pa.types.is_list(kind) else 0)
+        if size > PART:
+            yield some.column() if kind is None else pa.array(some, kind)
+            size, some = 0, Lists() if kind is None else []
+    if size or not len(values):
+        yield some.column() if kind is None else pa.array(some, kind)
+
+
 class Lists:
     """A column of lists of numbers, made flat from the first: four bytes a number."""
 

@@ -38,19 +38,20 @@ class Engine:
         self._shared.unpersist()
 
     def _function(self, kind: str, body: Callable[[Tokenizer, Any], Any]) -> Callable[[Column | str], Column]:
+        """Numbers come as one column for a batch, so that several functions share a worker; all else is given back in
+        parts of a batch, so that what a worker holds does not grow with the batch."""
         shared = self._shared
 
-        def run(values: pa.Array) -> pa.Array:
+        def number(values: pa.Array) -> pa.Array:
             t = _tokenizer(shared)
-            made = (None if v is None else body(t, v) for v in batches.rows(values))
-            if kind == "array<int>":
-                lists = batches.Lists()
-                for own in made:
-                    lists.add(own)
-                return lists.column()
-            return pa.array(made, _ARROW[kind], size=len(values))
+            return pa.array((None if v is None else body(t, v) for v in batches.rows(values)), _ARROW[kind], size=len(values))
 
-        return F.arrow_udf(run, kind)
+        def run(given: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            t = _tokenizer(shared)
+            for values in given:
+                yield from batches.made(values, lambda v: body(t, v), _ARROW.get(kind))
+
+        return F.arrow_udf(number if kind == "bigint" else run, kind)
 
     def encode(self, text: Column | str, *, add_special_tokens: bool = True, mode: str = ALL, continuation: bool = False, truncate: bool = True, pad: bool = True, empty: bool = True) -> Column:
         """``array<int>`` of ids; null stays null, and without ``empty`` no ids are null too.  The column may be STRING or
@@ -134,6 +135,19 @@ class Engine:
     def decode_bytes(self, ids: Column | str) -> Column:
         return self._function("binary", lambda t, v: t.decode_bytes(v))(ids)
 
+    def restored(self, text: Column | str, *, add_special_tokens: bool = True, skip_special_tokens: bool = True, empty: bool = True) -> Column:
+        """``decode`` of ``encode``, text by text: the ids are no column.  Without ``empty`` a text without ids gives null."""
+
+        def body(t: Tokenizer, v: str | bytes) -> str | None:
+            ids = t.encode(v, add_special_tokens=add_special_tokens)
+            return t.decode(ids, skip_special_tokens) if ids or empty else None
+
+        return self._function("string", body)(text)
+
+    def restored_bytes(self, text: Column | str) -> Column:
+        """``decode_bytes`` of ``encode_ordinary`` likewise."""
+        return self._function("binary", lambda t, v: t.decode_bytes(t.encode_ordinary(v)))(text)
+
     def split_points(self, text: Column | str, n_parts: int) -> Column:
         return self._function("array<int>", lambda t, v: t.split_points(v, n_parts))(text)
 

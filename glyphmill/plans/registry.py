@@ -465,7 +465,7 @@ def tokenizer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to ids and back."""
     engine = Engine(spark, samples.byte_level())
-    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.decode(engine.encode("text"))).alias("h"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.restored("text")).alias("h"))
 
 
 @query("SELECT doc_id, md5(text) AS h FROM documents")
@@ -487,14 +487,14 @@ def decode_skip_special(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_spm_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replace, byte fallback, fuse and strip bring back the text; a space that it starts with is taken for the mark."""
     engine = Engine(spark, samples.sentencepiece())
-    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.decode(engine.encode("text"))).alias("h"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(engine.restored("text")).alias("h"))
 
 
 @query()
 def decode_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to ids and back: parts are joined, other tokens spaced, and spaces before marks taken out again."""
     engine = Engine(spark, samples.wordpiece())
-    return _docs(spark, sf_dir).select("doc_id", engine.decode(engine.encode("text", add_special_tokens=False)).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", engine.restored("text", add_special_tokens=False).alias("text"))
 
 
 # ---- bounds and cuts
@@ -666,7 +666,7 @@ def _case_encode(name: str) -> Query:
 def _case_decode(name: str) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark, Tokenizer.from_str(cases.DEFINITIONS[name]))
-        made = _case_texts(spark, sf_dir, name).select("doc_id", engine.decode(engine.encode("text", empty=False)).alias("back"))
+        made = _case_texts(spark, sf_dir, name).select("doc_id", engine.restored("text", empty=False).alias("back"))
         return _there(made, "back", h=F.md5("back"))
 
     f.__name__ = f"decode_{name}"
@@ -699,7 +699,7 @@ def rank_file_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, md5(text) AS h, strlen(text)::BIGINT AS n_bytes FROM documents")
 def decode_to_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, samples.byte_level())
-    made = _docs(spark, sf_dir).select("doc_id", engine.decode_bytes(engine.encode_ordinary("text")).alias("raw"))
+    made = _docs(spark, sf_dir).select("doc_id", engine.restored_bytes("text").alias("raw"))
     return made.select("doc_id", F.md5("raw").alias("h"), _n(F.length("raw")).alias("n_bytes"))
 
 

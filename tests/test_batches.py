@@ -140,3 +140,22 @@ def test_pieces_at_marks():
         for text in ("", " ", "a", " a", "a b", "▁▁a  b▁", "ab ", "é▁茶"):
             for first in (True, False):
                 assert pretok.compiled([step])(text, first) == [p for p, _ in (whole(text, first) if text else [])]
+
+
+@pytest.mark.parametrize("kind", ["encode", "normalized", "pieces", "decode", "restored", "restored_bytes"])
+def test_columns_are_given_back_in_parts(spark, monkeypatch, kind):
+    """What a worker holds is bounded by a part, not by a batch; rows and values are those of the tokenizer."""
+    engine = Engine(spark, Tokenizer.from_str(cases.DEFINITIONS["prefixed"]))
+    t = engine.tokenizer
+    values = [*TEXTS, None, ""]
+    if kind == "decode":
+        values = [None if v is None else t.encode(v) for v in values]
+    seen, real = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda f, k: seen.append(f) or real(f, k))
+    getattr(engine, kind)("v")
+    given = pa.array(values, pa.list_(pa.int32()) if kind == "decode" else pa.string())
+    made = list(seen[0](iter([given, given.slice(0, 0)])))
+    want = {"encode": t.encode, "normalized": t._normalize, "pieces": t.pieces, "decode": t.decode, "restored": lambda v: t.decode(t.encode(v)), "restored_bytes": lambda v: t.decode_bytes(t.encode_ordinary(v))}[kind]
+    assert len(made) > 2 and sum(map(len, made)) == len(values)
+    assert max(part.nbytes for part in made) < 16 * batches.PART
+    assert [v for part in made for v in part.to_pylist()] == [None if v is None else want(v) for v in values]

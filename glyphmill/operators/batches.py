@@ -8,12 +8,22 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Bytes of a batch that is sent to a worker, where the session says nothing of it (Spark's own default is 64 MB).
+BATCH, BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: Rows that are Python values together, and characters (or ids) after which a part of a batch is given back.
 ROWS, PART = 64, 1_000_000
 INTS = pa.list_(pa.field("element", pa.int32()))
 
 
+def tune(spark: SparkSession) -> None:
+    """Batches by their bytes: 10,000 long texts, Spark's other limit, would stand in each worker once or twice.  A
+    session's own limit stays."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BYTES_PER_BATCH)
+
+
 def rows(values: pa.Array) -> Iterator[Any]:
     """The values one by one; ids come as lists of Python numbers."""
     for at in range(0, len(values), ROWS):

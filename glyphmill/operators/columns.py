@@ -32,6 +32,7 @@ class Engine:
         d = tokenizer.definition if isinstance(tokenizer, Tokenizer) else tokenizer
         self.tokenizer = tokenizer if isinstance(tokenizer, Tokenizer) else Tokenizer(d)
         self._shared = spark.sparkContext.broadcast(d)
+        batches.tune(spark)
 
     def unload(self) -> None:
         """Takes the definition off the executors; a later use sends it again."""

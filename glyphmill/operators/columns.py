@@ -72,7 +72,7 @@ class Engine:
         return self._function("array<int>", lambda t, v: t.encode_allowed(v, allowed_special, disallowed_special))(text)
 
     def token_count(self, text: Column | str, *, add_special_tokens: bool = True, mode: str = ALL) -> Column:
-        return self._function("bigint", lambda t, v: len(t.encode(v, add_special_tokens=add_special_tokens, added_tokens=mode)))(text)
+        return self._function("bigint", lambda t, v: t.token_count(v, add_special_tokens=add_special_tokens, added_tokens=mode))(text)
 
     def encoding(self, text: Column | str, *, add_special_tokens: bool = True) -> Column:
         """ids, type_ids, tokens and both masks as one struct; null stays null, and tokens that ids do not tell are null."""
